@@ -15,8 +15,10 @@ from math import log2, prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from popweave.domain import Domain
+from popweave.session import materialize
 from popweave.operators.cells import attribute_pairs, marginals, pairwise_counts
 
 EPS = 1e-12
@@ -52,57 +54,44 @@ def srmse_vectors(p: Sequence[float], q: Sequence[float]) -> float:
     return (sum((a - b) ** 2 for a, b in zip(p, q)) / c) ** 0.5 * c
 
 
-def _jsd_grouped(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], K: Column,
-                 by: Sequence[str], n: str, eps: float) -> DataFrame:
-    """``(by..., jsd)``; every statistic is joined back on the ``by`` keys."""
+def _jsd_core(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], K: Column,
+              by: Sequence[str], n: str, eps: float) -> DataFrame:
+    """``(by..., jsd)`` from the full outer join of two count tables.
+
+    Totals and clamp sums are window sums partitioned by ``by``: a window
+    partition holds the support of one group, at most K grid cells (for
+    ``by=()`` the whole support, bounded by the domain product, not by data).
+    """
     on = [*by, *keys]
     e = F.lit(eps)
+    w = Window.partitionBy(*by)
     p = p_cells.groupBy(*on).agg(F.sum(n).cast("double").alias("np"))
     q = q_cells.groupBy(*on).agg(F.sum(n).cast("double").alias("nq"))
     j = p.join(q, on, "full").select(*on, F.coalesce("np", F.lit(0.0)).alias("np"),
-                                     F.coalesce("nq", F.lit(0.0)).alias("nq"))
-    tot = j.groupBy(*by).agg(F.sum("np").alias("tp"), F.sum("nq").alias("tq"),
-                             F.count(F.lit(1)).alias("s"))
+                                     F.coalesce("nq", F.lit(0.0)).alias("nq"), K.alias("kk"))
+    j = j.select("*", F.sum("np").over(w).alias("tp"), F.sum("nq").over(w).alias("tq"),
+                 F.count(F.lit(1)).over(w).cast("double").alias("s"))
     pp = F.coalesce(F.try_divide(F.col("np"), F.col("tp")), F.lit(0.0))
     qq = F.coalesce(F.try_divide(F.col("nq"), F.col("tq")), F.lit(0.0))
-    c = j.join(tot, list(by)).select(*on, F.greatest(pp, e).alias("cp"), F.greatest(qq, e).alias("cq"),
-                                     K.alias("kk"), "s")
-    z = c.groupBy(*by).agg(
-        (F.sum("cp") + (F.first("kk") - F.first("s")) * e).alias("zp"),
-        (F.sum("cq") + (F.first("kk") - F.first("s")) * e).alias("zq"))
-    t = c.join(z, list(by)).groupBy(*by).agg(
+    j = j.select(*by, "kk", "s", F.greatest(pp, e).alias("cp"), F.greatest(qq, e).alias("cq"))
+    pad = (F.col("kk") - F.col("s")) * e
+    j = j.select("*", (F.sum("cp").over(w) + pad).alias("zp"), (F.sum("cq").over(w) + pad).alias("zq"))
+    t = j.groupBy(*by).agg(
         F.sum(g_expr(F.col("cp") / F.col("zp"), F.col("cq") / F.col("zq"))).alias("gs"),
         F.first("zp").alias("zp"), F.first("zq").alias("zq"),
         F.first("kk").alias("kk"), F.first("s").alias("s"))
-    rest = (F.col("kk") - F.col("s")) * g_expr(e / F.col("zp"), e / F.col("zq"))
-    return t.select(*by, F.greatest(F.lit(0.0), F.col("gs") + F.when(F.col("kk") > F.col("s"), rest)
-                                    .otherwise(F.lit(0.0))).alias("jsd"))
+    rest = F.when(F.col("kk") > F.col("s"),
+                  (F.col("kk") - F.col("s")) * g_expr(e / F.col("zp"), e / F.col("zq"))).otherwise(F.lit(0.0))
+    return t.select(*by, F.greatest(F.lit(0.0), F.coalesce(F.col("gs") + rest, F.lit(0.0))).alias("jsd"))
 
 
 def jsd(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], grid: int, *,
         n: str = "n", eps: float = EPS) -> DataFrame:
     """One-row ``(jsd)`` between two sparse count tables over a K-cell grid.
 
-    Totals and clamp sums are scalar subqueries over the (small) joined cell
-    table; both-empty inputs give 0.
+    The global aggregate always yields one row; both-empty inputs give 0.
     """
-    spark = p_cells.sparkSession
-    e = F.lit(eps)
-    K = F.lit(float(grid))
-    p = p_cells.groupBy(*keys).agg(F.sum(n).cast("double").alias("np"))
-    q = q_cells.groupBy(*keys).agg(F.sum(n).cast("double").alias("nq"))
-    j = p.join(q, list(keys), "full").select(*keys, F.coalesce("np", F.lit(0.0)).alias("np"),
-                                             F.coalesce("nq", F.lit(0.0)).alias("nq"))
-    tp = j.agg(F.sum("np")).scalar()
-    tq = j.agg(F.sum("nq")).scalar()
-    s = j.agg(F.count(F.lit(1)).cast("double")).scalar()
-    c = j.select(F.greatest(F.coalesce(F.try_divide(F.col("np"), tp), F.lit(0.0)), e).alias("cp"),
-                 F.greatest(F.coalesce(F.try_divide(F.col("nq"), tq), F.lit(0.0)), e).alias("cq"))
-    zp = F.coalesce(c.agg(F.sum("cp")).scalar(), F.lit(0.0)) + (K - s) * e
-    zq = F.coalesce(c.agg(F.sum("cq")).scalar(), F.lit(0.0)) + (K - s) * e
-    gs = F.coalesce(c.agg(F.sum(g_expr(F.col("cp") / zp, F.col("cq") / zq))).scalar(), F.lit(0.0))
-    rest = F.when(K > s, (K - s) * g_expr(e / zp, e / zq)).otherwise(F.lit(0.0))
-    return spark.range(1).select(F.greatest(F.lit(0.0), gs + rest).alias("jsd"))
+    return _jsd_core(p_cells, q_cells, keys, F.lit(float(grid)), (), n, eps)
 
 
 def _listwise(cells: DataFrame, attrs: Sequence[str]) -> DataFrame:
@@ -136,7 +125,7 @@ def jsd_pairwise(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[st
     pairs = spark.range(1).select(F.explode(pair_rows).alias("x")).select("x.*")
     ps = ps.join(F.broadcast(pairs), ["a1", "a2"])
     qs = qs.join(F.broadcast(pairs), ["a1", "a2"])
-    res = _jsd_grouped(ps, qs, ["v1", "v2"], F.col("k"), ["a1", "a2", "k"], n, EPS)
+    res = _jsd_core(ps, qs, ["v1", "v2"], F.col("k"), ["a1", "a2", "k"], n, EPS)
     return F.broadcast(pairs).join(res, ["a1", "a2", "k"], "left") \
         .select("a1", "a2", F.coalesce(F.col("jsd"), F.lit(0.0)).alias("jsd"))
 
@@ -149,6 +138,7 @@ def evaluate_suite(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[
     one global aggregate: a single plan in which the two cell aggregations
     are shared (exchange reuse), no joins between the parts.
     """
+    syn_cells, real_cells = materialize(syn_cells), materialize(real_cells)
     s = srmse(syn_cells, real_cells, attrs, domain, n).agg(F.avg("srmse").alias("value")) \
         .select(F.lit("srmse_avg").alias("metric"), "value")
     pw = jsd_pairwise(syn_cells, real_cells, attrs, domain, n).agg(F.avg("jsd").alias("value")) \

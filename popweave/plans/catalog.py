@@ -25,7 +25,7 @@ from popweave.operators import cells as C
 from popweave.operators import metrics as M
 from popweave.sources import fixtures as fx
 from popweave.sources import scans as S
-from popweave.session import scratch_path
+from popweave.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -176,7 +176,8 @@ def inferred_domain(spark, d):
 # ---------------------------------------------------------------- F: metrics
 
 def _syn_real(spark, d):
-    return pop_cells(spark, d, "skew", SYN_YEAR), pop_cells(spark, d, "base", POP_TARGET_YEAR)
+    return (materialize(pop_cells(spark, d, "skew", SYN_YEAR)),
+            materialize(pop_cells(spark, d, "base", POP_TARGET_YEAR)))
 
 
 @query

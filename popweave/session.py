@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -53,9 +54,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/popweave-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small intermediate (e.g. a cell table).
+
+    Written to the shared checkpoint folder, so downstream stages read a few
+    files instead of re-running the record-level plan, and an executor loss
+    does not recompute the lineage.  Never a machine-local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme (for os-level checks in tests only)."""
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "local_path", "os"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "local_path", "os"]
