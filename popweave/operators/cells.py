@@ -91,7 +91,7 @@ def marginals(cells: DataFrame, attrs: Sequence[str], domain: Domain, *, by: Seq
     else:
         dense = F.broadcast(domain_df(cells.sparkSession, attrs, domain))
     out = dense.join(long, [*by, "attr", "cat"], "left") \
-               .select(*by, "attr", "ord", "cat", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+               .select(*by, "attr", "ord", "cat", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
     if denominator == "in_domain":
         total = F.sum("n").over(Window.partitionBy(*by, "attr"))
         prop = F.coalesce(F.try_divide(F.col("n").cast("double"), total.cast("double")), F.lit(0.0))
@@ -127,13 +127,13 @@ def joint(cells: DataFrame, attrs: Sequence[str], domain: Domain | None = None,
     present = F.lit(True)
     for a in attrs:
         present = present & F.col(a).isNotNull()
-    sub = cells.where(present).groupBy(*attrs).agg(F.sum(n).cast("long").alias("n"))
+    sub = cells.where(present).groupBy(*attrs).agg(F.sum(n).alias("n"))
     if dense:
         if domain is None:
             raise ValueError("dense joint needs a domain")
         grid = domain_grid(cells.sparkSession, attrs, domain, index_col=None)
         sub = grid.join(sub, list(attrs), "left").select(
-            *attrs, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+            *attrs, F.coalesce(F.col("n"), F.lit(0)).alias("n"))
     total = cells.where(present).agg(F.sum(n)).scalar()
     p = F.coalesce(F.try_divide(F.col("n").cast("double"), total.cast("double")), F.lit(0.0))
     return sub.withColumn("p", p)
@@ -157,7 +157,7 @@ def pairwise_counts(cells: DataFrame, attrs: Sequence[str], n: str = "n") -> Dat
         for a, b in pairs]))
     return (cells.select(kv.alias("kv")).select("kv.*")
             .where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-            .groupBy("a1", "a2", "v1", "v2").agg(F.sum("n").cast("long").alias("n")))
+            .groupBy("a1", "a2", "v1", "v2").agg(F.sum("n").alias("n")))
 
 
 def pairwise_joint(cells: DataFrame, attrs: Sequence[str], domain: Domain, n: str = "n") -> DataFrame:

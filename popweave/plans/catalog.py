@@ -217,3 +217,142 @@ def jsd_full_joint(spark, d):
 def evaluate_suite(spark, d):
     syn, real = _syn_real(spark, d)
     return rounded(M.evaluate_suite(syn, real, POP_ATTRS, POP_DOMAIN))
+
+
+# ------------------------------------------------------- sampling / fitting
+
+from popweave.domain import cell_index  # noqa: E402
+from popweave.operators import fitting as FT  # noqa: E402
+from popweave.operators import sampling as SM  # noqa: E402
+
+POP_GRID = 450
+SEED = 42
+IPF_N = 10007
+
+
+def pop_cells_idx(spark, d, variant="base", year=None, by=()):
+    """POP cells keyed by grid index ``cell`` (all POP rows are in domain)."""
+    w = fx.pop_weighted(spark, d, variant)
+    if year is not None:
+        w = _year(w, year)
+    cells = C.cell_counts(w, POP_ATTRS, POP_DOMAIN, by=by, weight_col="n")
+    return cells.withColumn("cell", cell_index(POP_ATTRS, POP_DOMAIN))
+
+
+def pop_targets(spark, d, variant="base", year=POP_TARGET_YEAR):
+    cells = pop_cells(spark, d, variant, year)
+    marg = C.marginals(cells, POP_ATTRS, POP_DOMAIN, denominator="all_rows")
+    return materialize(FT.targets_from_marginals(marg, POP_ATTRS))
+
+
+def _pop_seed(spark, d, variant="base"):
+    train = fx.pop_weighted(spark, d, variant).where(F.col("year").isin(POP_TRAIN_YEARS))
+    return materialize(FT.seed_table(train, POP_ATTRS, POP_DOMAIN, weight_col="n"))
+
+
+def _share_check(fitted, value_col, targets, tol):
+    cells = fitted.select(*POP_ATTRS, F.col(value_col).alias("n"))
+    marg = C.marginals(cells, POP_ATTRS, POP_DOMAIN, denominator="all_rows")
+    t = targets.select("attr", "cat", F.col("prop").alias("target"))
+    return rounded(marg.join(t, ["attr", "cat"]).select(
+        "attr", "ord", "cat", "target", (F.abs(F.col("prop") - F.col("target")) <= tol).alias("ok")))
+
+
+@query
+def seed_table(spark, d):
+    train = fx.pop_weighted(spark, d, "ood").where(F.col("year").isin(POP_TRAIN_YEARS))
+    return FT.seed_table(train, POP_ATTRS, POP_OOD_DOMAIN, weight_col="n")
+
+
+@query
+def seed_scaled(spark, d):
+    return rounded(FT.seed_scaled(_pop_seed(spark, d), IPF_N))
+
+
+@query
+def ipf_two_pass(spark, d):
+    fit = FT.ipf(_pop_seed(spark, d), pop_targets(spark, d, "skew"), IPF_N, POP_ATTRS, POP_DOMAIN,
+                 tol=0.0, max_iter=2, rate_tol=0.0)
+    return rounded(fit.select("cell", *POP_ATTRS, "fitted"))
+
+
+@query
+def ipf_fitted_marginals(spark, d):
+    targets = pop_targets(spark, d, "skew")
+    fit = FT.ipf(_pop_seed(spark, d), targets, IPF_N, POP_ATTRS, POP_DOMAIN)
+    return _share_check(fit, "fitted", targets, 1e-5)
+
+
+@query
+def trs_integerize(spark, d):
+    fitted = FT.seed_scaled(_pop_seed(spark, d), IPF_N)
+    return FT.trs_integerize(fitted, IPF_N, SEED, ["cell", *POP_ATTRS], grid_bound=POP_GRID)
+
+
+@query
+def expand_cells(spark, d):
+    counts = trs_integerize(spark, d)
+    return FT.expand_cells(counts, ["cell", *POP_ATTRS], grid_bound=POP_GRID)
+
+
+@query
+def fitted_roundtrip(spark, d):
+    fit = FT.ipf(_pop_seed(spark, d), pop_targets(spark, d, "skew"), IPF_N, POP_ATTRS, POP_DOMAIN,
+                 tol=0.0, max_iter=2, rate_tol=0.0)
+    path = scratch_path(spark, "fitted")
+    FT.save_fitted(fit, path)
+    return rounded(FT.load_fitted(spark, path).select("cell", *POP_ATTRS, "fitted"))
+
+
+@query
+def rake_weights_two_pass(spark, d):
+    cells = materialize(pop_cells(spark, d, "skew", SYN_YEAR))
+    fit = FT.rake(cells, pop_targets(spark, d), max_iter=2, tol=0.0)
+    return rounded(fit.select(*POP_ATTRS, "n", "w"))
+
+
+@query
+def rake_shares(spark, d):
+    targets = pop_targets(spark, d)
+    fit = FT.rake(materialize(pop_cells(spark, d, "skew", SYN_YEAR)), targets)
+    return _share_check(fit.withColumn("mass", F.col("n") * F.col("w")), "mass", targets, 1e-4)
+
+
+@query
+def rake_grouped(spark, d):
+    targets = pop_targets(spark, d)
+    cells = materialize(C.cell_counts(
+        fx.pop_weighted(spark, d, "skew").where(F.col("year").isin(POP_TRAIN_YEARS)),
+        POP_ATTRS, POP_DOMAIN, by=["year"], weight_col="n"))
+    # the same targets for every wave: one literal target row set per year
+    tg = targets.select(F.explode(F.array(*[F.lit(y) for y in POP_TRAIN_YEARS])).alias("year"), "*")
+    fit = FT.rake(cells, tg, by=["year"])
+    mass = fit.select("year", *POP_ATTRS, (F.col("n") * F.col("w")).alias("n"))
+    marg = C.marginals(mass, POP_ATTRS, POP_DOMAIN, by=["year"], denominator="all_rows")
+    t = targets.select("attr", "cat", F.col("prop").alias("target"))
+    return rounded(marg.join(F.broadcast(t), ["attr", "cat"]).select(
+        "year", "attr", "ord", "cat", "target", (F.abs(F.col("prop") - F.col("target")) <= 1e-4).alias("ok")))
+
+
+@query
+def weighted_draw(spark, d):
+    cells = materialize(pop_cells_idx(spark, d, "base", SYN_YEAR))
+    hits = SM.weighted_hits(cells.withColumn("mass", F.col("n")), "mass", 5000, SEED, ["cell"],
+                            bounded_rows=POP_GRID)
+    return cells.join(hits, "cell").select("cell", *POP_ATTRS, "hits")
+
+
+@query
+def resample_multinomial(spark, d):
+    cells = materialize(pop_cells_idx(spark, d, "skew", SYN_YEAR))
+    w = F.array_position(F.array(*[F.lit(c) for c in POP_DOMAIN["l_returnflag"]]), F.col("l_returnflag"))
+    cells = cells.withColumn("mass", F.col("n") * w)
+    total = cells.agg(F.sum("n")).first()[0]
+    hits = SM.weighted_hits(cells, "mass", int(total), SEED, ["cell"], bounded_rows=POP_GRID)
+    return cells.join(hits, "cell").select("cell", *POP_ATTRS, "hits")
+
+
+@query
+def subsample_exact(spark, d):
+    train = fx.pop_records(spark, d, with_rid=True).where(F.col("year").isin(POP_TRAIN_YEARS))
+    return SM.subsample_exact(train, 20000, SEED, ["rid"])

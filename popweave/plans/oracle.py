@@ -59,7 +59,7 @@ def ood_null(a, domain) -> str:
 POP_CTES = """
 pop_base AS (
   SELECT CAST(year(o.o_orderdate) AS INTEGER) AS year, l.l_linestatus, l.l_returnflag, o.o_orderstatus,
-         o.o_orderpriority, c.c_mktsegment, o.o_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
+         o.o_orderpriority, c.c_mktsegment, o.o_orderkey, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey),
 pop AS (SELECT year, l_linestatus, l_returnflag, o_orderstatus, o_orderpriority, c_mktsegment FROM pop_base),
 pop_skew AS (
@@ -232,3 +232,133 @@ SELECT round((SELECT avg(srmse) FROM srm), 6) AS srmse_avg,
          AS jsd_full_joint""")
 
 __all__ = ["ORACLE", "CENSUS_DOMAIN", "DISPLAY_NAMES", "DEFAULT_REGION", "ERA_NARRATIVES"]
+
+
+# ------------------------------------------------------ sampling / fitting
+IPF_N = 10007
+POP_TRAIN = "year BETWEEN 1995 AND 1999"
+
+
+def idx_sql(attrs, domain, prefix="") -> str:
+    expr = "0"
+    for a in attrs:
+        expr = f"(({expr}) * {len(domain[a])} + (list_position({sql_list(domain[a])}, {prefix}{a}) - 1))"
+    return expr
+
+
+def uniform_sql(key: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _grid_idx(domain) -> str:
+    return f"(SELECT CAST({idx_sql(POP_ATTRS, domain)} AS BIGINT) AS cell, * FROM {grid_sql(POP_ATTRS, domain)})"
+
+
+def _seed_ctes(src="pop", domain=POP_DOMAIN):
+    return [f"""w_seed AS (SELECT * FROM {src} WHERE year = (SELECT max(year) FROM {src} WHERE {POP_TRAIN})
+               AND {' AND '.join(in_dom(a, domain) for a in POP_ATTRS)})""",
+            f"cnt_seed AS (SELECT {ATTR_LIST}, count(*) AS c FROM w_seed GROUP BY ALL)",
+            f"""seed AS (SELECT g.cell, {', '.join('g.' + a for a in POP_ATTRS)}, CAST(COALESCE(cnt_seed.c, 0) + 0.5 AS DOUBLE) AS seed
+               FROM {_grid_idx(domain)} g LEFT JOIN cnt_seed USING ({ATTR_LIST}))"""]
+
+
+def _targets_ctes(src: str, name="tgt"):
+    longf = " UNION ALL ".join(f"SELECT {q(a)} AS attr, {a} AS cat FROM t_src" for a in POP_ATTRS)
+    return [f"t_src AS (SELECT * FROM {src} WHERE year = {TARGET})",
+            f"t_long AS ({longf})",
+            f"""{name} AS (SELECT dom.attr, dom.ord, dom.cat, count(t_long.cat) / (SELECT count(*) FROM t_src) AS prop
+               FROM {dom_values(POP_ATTRS, POP_DOMAIN)} LEFT JOIN t_long ON t_long.attr = dom.attr AND t_long.cat = dom.cat
+               GROUP BY dom.attr, dom.ord, dom.cat)"""]
+
+
+register("seed_table", with_(*_seed_ctes("pop_ood", POP_OOD_DOMAIN)) + "SELECT * FROM seed")
+register("seed_scaled", with_(*_seed_ctes()) + f"""
+SELECT cell, {ATTR_LIST}, seed, round(seed * {IPF_N} / (SELECT sum(seed) FROM seed), 6) AS fitted FROM seed""")
+
+
+def _ipf_two_pass_sql() -> str:
+    ctes = _seed_ctes() + _targets_ctes("pop_skew")
+    ctes.append(f"m0 AS (SELECT cell, {ATTR_LIST}, seed, seed * {float(IPF_N)} / (SELECT sum(seed) FROM seed) AS m FROM seed)")
+    k = 0
+    for _ in range(2):
+        for a in POP_ATTRS:
+            ctes.append(f"""m{k + 1} AS (
+              SELECT x.cell, {', '.join('x.' + b for b in POP_ATTRS)}, x.seed,
+                     CASE WHEN x.cur > 0 THEN x.m * (COALESCE(t.prop, 0.0) * {float(IPF_N)} / x.cur) ELSE x.m END AS m
+              FROM (SELECT *, sum(m) OVER (PARTITION BY {a}) AS cur FROM m{k}) x
+              LEFT JOIN tgt t ON t.attr = {q(a)} AND t.cat = x.{a})""")
+            k += 1
+    return with_(*ctes) + f"SELECT cell, {ATTR_LIST}, round(m, 6) AS fitted FROM m{k}"
+
+
+register("ipf_two_pass", _ipf_two_pass_sql())
+register("fitted_roundtrip", _ipf_two_pass_sql())
+register("ipf_fitted_marginals", with_(*_targets_ctes("pop_skew")) + """
+SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok FROM tgt""")
+
+
+def _trs_ctes():
+    return _seed_ctes() + [
+        f"scaled AS (SELECT cell, {ATTR_LIST}, seed * {IPF_N} / (SELECT sum(seed) FROM seed) AS v FROM seed)",
+        f"fl AS (SELECT cell, {ATTR_LIST}, floor(v) AS fl, v - floor(v) AS resid FROM scaled)",
+        "mass AS (SELECT *, CASE WHEN (SELECT sum(resid) FROM fl) > 0 THEN resid ELSE 1.0 END AS mass FROM fl)",
+        "iv0 AS (SELECT *, sum(mass) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi FROM mass)",
+        "iv AS (SELECT *, (cum_hi - mass) / (SELECT max(cum_hi) FROM iv0) AS lo, cum_hi / (SELECT max(cum_hi) FROM iv0) AS hi FROM iv0)",
+        f"dr AS (SELECT range AS i, {uniform_sql('range')} AS u FROM range(0, 450) "
+        f"WHERE range < (SELECT {IPF_N} - sum(fl) FROM fl))",
+        "hits AS (SELECT cell, count(*) AS h FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi AND iv.hi > iv.lo GROUP BY cell)",
+        f"trs AS (SELECT cell, {ATTR_LIST}, CAST(fl + COALESCE(h, 0) AS BIGINT) AS count FROM fl LEFT JOIN hits USING (cell))"]
+
+
+register("trs_integerize", with_(*_trs_ctes()) + "SELECT * FROM trs")
+register("expand_cells", with_(*_trs_ctes(), """ex AS (SELECT *, sum(count) OVER (ORDER BY cell ROWS BETWEEN
+         UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM trs)""") + f"""
+SELECT {ATTR_LIST}, r.range AS record FROM ex JOIN range(0, {IPF_N}) r ON r.range >= ex.chi - ex.count AND r.range < ex.chi""")
+
+
+def _rake_two_pass_sql() -> str:
+    ctes = _targets_ctes("pop") + [
+        f"w0 AS (SELECT {ATTR_LIST}, count(*) AS n, 1.0 AS w FROM pop_skew WHERE year = {SYN_YEAR} GROUP BY ALL)"]
+    k = 0
+    for _ in range(2):
+        for a in POP_ATTRS:
+            ctes.append(f"cur{k} AS (SELECT {a} AS cat, sum(n * w) AS cur FROM w{k} GROUP BY {a})")
+            ctes.append(f"W{k}_0 AS (SELECT sum(n * w) AS W, 1.0 AS adj FROM w{k})")
+            for j, c in enumerate(POP_DOMAIN[a]):
+                t = f"(SELECT prop FROM tgt WHERE attr = {q(a)} AND cat = {q(c)})"
+                cur = f"COALESCE((SELECT cur FROM cur{k} WHERE cat = {q(c)}), 0.0)"
+                adj = f"CASE WHEN ({t} > 0 AND {cur} > 0) THEN {t} * p.W / {cur} ELSE 1.0 END"
+                ctes.append(f"W{k}_{j + 1} AS (SELECT p.W + (({adj}) - 1.0) * {cur} AS W, {adj} AS adj FROM W{k}_{j} p)")
+            case = " ".join(f"WHEN {q(c)} THEN (SELECT adj FROM W{k}_{j + 1})" for j, c in enumerate(POP_DOMAIN[a]))
+            ctes.append(f"w{k + 1} AS (SELECT {ATTR_LIST}, n, w * CASE {a} {case} ELSE 1.0 END AS w FROM w{k})")
+            k += 1
+    return with_(*ctes) + f"SELECT {ATTR_LIST}, n, round(w, 6) AS w FROM w{k}"
+
+
+register("rake_weights_two_pass", _rake_two_pass_sql())
+register("rake_shares", with_(*_targets_ctes("pop")) + """
+SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok FROM tgt""")
+register("rake_grouped", with_(*_targets_ctes("pop")) + """
+SELECT CAST(y.year AS INTEGER) AS year, attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok
+FROM tgt, (SELECT DISTINCT year FROM pop_skew WHERE year BETWEEN 1995 AND 1999) y""")
+
+
+def _draw_sql(src: str, year: int, mass: str, m: str) -> str:
+    return with_(
+        f"""cells AS (SELECT CAST({idx_sql(POP_ATTRS, POP_DOMAIN)} AS BIGINT) AS cell, {ATTR_LIST}, count(*) AS n
+            FROM {src} WHERE year = {year} GROUP BY ALL)""",
+        f"cm AS (SELECT *, {mass} AS mass FROM cells)",
+        "iv0 AS (SELECT *, sum(mass) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi FROM cm)",
+        "iv AS (SELECT *, (cum_hi - mass) / (SELECT max(cum_hi) FROM iv0) AS lo, cum_hi / (SELECT max(cum_hi) FROM iv0) AS hi FROM iv0)",
+        f"dr AS (SELECT range AS i, {uniform_sql('range')} AS u FROM range(0, {m}))") + f"""
+SELECT cell, {ATTR_LIST}, count(*) AS hits FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi GROUP BY ALL"""
+
+
+register("weighted_draw", _draw_sql("pop", SYN_YEAR, "n", "5000"))
+register("resample_multinomial", _draw_sql(
+    "pop_skew", SYN_YEAR, f"n * list_position({sql_list(POP_DOMAIN['l_returnflag'])}, l_returnflag)",
+    f"(SELECT count(*) FROM pop_skew WHERE year = {SYN_YEAR})"))
+register("subsample_exact", with_(f"""
+rid AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid, year, {ATTR_LIST}
+        FROM pop_base WHERE {POP_TRAIN})""") + f"""
+SELECT rid, year, {ATTR_LIST} FROM rid ORDER BY {uniform_sql('rid')}, rid LIMIT 20000""")
