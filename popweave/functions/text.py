@@ -223,6 +223,21 @@ def first_value(pairs: Column, key: str) -> Column:
     return F.get(F.filter(pairs, lambda kv: kv["k"] == F.lit(key)), 0)["v"]
 
 
+def stage(df: DataFrame, *cols) -> DataFrame:
+    """Project ``cols`` through a one-row generator so each is evaluated once.
+
+    Catalyst pushes filters through projections by substituting column
+    definitions, and collapses projections the same way; with large derived
+    expressions (a text parse, fuzzy-match chains) that re-evaluates them
+    many times per row.  ``inline(array(struct(...)))`` produces the same
+    columns as generator output, which neither rule can see through.
+    """
+    from pyspark.sql import Column as _C
+
+    named = [c if isinstance(c, _C) else F.col(c) for c in cols]
+    return df.select(F.inline(F.array(F.struct(*named))))
+
+
 def parse_records(df: DataFrame, text_col: str = "text", attrs: Sequence[str] | None = None,
                   display: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Parse texts into ``(keep..., year STRING, attrs... STRING)``; first wins.
@@ -234,8 +249,9 @@ def parse_records(df: DataFrame, text_col: str = "text", attrs: Sequence[str] |
 
     attrs = list(attrs) if attrs else list(CENSUS_ATTRS)
     year, pairs = parse_pairs(F.col(text_col), display)
-    staged = df.select(*keep, year.alias("_year"), pairs.alias("_pairs"))
-    return staged.select(
+    staged = stage(df, *keep, year.alias("_year"), pairs.alias("_pairs"))
+    return stage(
+        staged,
         *keep,
         F.coalesce(F.col("_year"), first_value(F.col("_pairs"), "year")).alias("year"),
         *[first_value(F.col("_pairs"), a).alias(a) for a in attrs],
@@ -244,14 +260,19 @@ def parse_records(df: DataFrame, text_col: str = "text", attrs: Sequence[str] |
 
 # ------------------------------------------------------------- fuzzy match
 
-def fuzzy_match(value: Column, cats: Sequence[str]) -> Column:
+def normalized(value: Column) -> Column:
+    """``value.lower().strip()`` — the key every fuzzy rule compares."""
+    return py_strip(F.lower(value))
+
+
+def fuzzy_match(value: Column, cats: Sequence[str], *, prenormalized: Column | None = None) -> Column:
     """Closest category by the three ordered heuristics; null if none.
 
     (1) case-insensitive equality, (2) value starts with the category,
     (3) category starts with the value and the value has >= 3 characters.
     A literal CASE chain: first hit in domain order wins.
     """
-    v = py_strip(F.lower(value))
+    v = normalized(value) if prenormalized is None else prenormalized
     expr = F.lit(None).cast("string")
     rules = []
     for c in cats:
@@ -265,6 +286,10 @@ def fuzzy_match(value: Column, cats: Sequence[str]) -> Column:
     return expr
 
 
-def match_category(value: Column, cats: Sequence[str]) -> Column:
-    """Exact domain value if present, else the fuzzy match (null if none)."""
-    return F.when(value.isin(list(cats)), value).otherwise(fuzzy_match(value, cats))
+def match_category(value: Column, cats: Sequence[str], *, prenormalized: Column | None = None) -> Column:
+    """Exact domain value if present, else the fuzzy match (null if none).
+
+    Pass ``prenormalized`` (a staged ``normalized(value)`` column) when the
+    value is a derived expression, so the chain compares a plain column.
+    """
+    return F.when(value.isin(list(cats)), value).otherwise(fuzzy_match(value, cats, prenormalized=prenormalized))

@@ -28,7 +28,7 @@ def cell_counts(df: DataFrame, attrs: Sequence[str], domain: Domain | None = Non
     cols = [null_out_of_domain(a, domain[a]) if domain is not None and a in domain else F.col(a)
             for a in attrs]
     extra = [F.col(weight_col)] if weight_col else []
-    agg = F.sum(weight_col).cast("long") if weight_col else F.count(F.lit(1))
+    agg = F.sum(weight_col) if weight_col else F.count(F.lit(1))
     return df.select(*by, *cols, *extra).groupBy(*by, *attrs).agg(agg.alias(name))
 
 
@@ -169,7 +169,7 @@ def pairwise_joint(cells: DataFrame, attrs: Sequence[str], domain: Domain, n: st
         for a, b in attribute_pairs(attrs) for x in domain[a] for y in domain[b]])
     dense = spark.range(1).select(F.explode(lit_rows).alias("d")).select("d.*")
     out = F.broadcast(dense).join(counts, ["a1", "a2", "v1", "v2"], "left") \
-        .select("a1", "a2", "v1", "v2", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+        .select("a1", "a2", "v1", "v2", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("a1", "a2"))
     p = F.coalesce(F.try_divide(F.col("n").cast("double"), total.cast("double")), F.lit(0.0))
     return out.withColumn("p", p)

@@ -356,3 +356,124 @@ def resample_multinomial(spark, d):
 def subsample_exact(spark, d):
     train = fx.pop_records(spark, d, with_rid=True).where(F.col("year").isin(POP_TRAIN_YEARS))
     return SM.subsample_exact(train, 20000, SEED, ["rid"])
+
+
+# --------------------------------------------------- G: text and validation
+
+from popweave.domain import CENSUS_ATTRS, CENSUS_DOMAIN, TRAIN_YEARS, TARGET_YEAR  # noqa: E402
+from popweave.functions import text as TX  # noqa: E402
+from popweave.operators import validate as V  # noqa: E402
+
+GEN_N = 2000
+
+
+def _cen(spark, d):
+    return fx.cen_records(spark, d).select("id", "year", *CENSUS_ATTRS)
+
+
+@query
+def serialize_plain(spark, d):
+    cen = _cen(spark, d)
+    return cen.select("id", TX.serialize(cen, CENSUS_ATTRS, key_col="id").alias("text"))
+
+
+@query
+def serialize_permuted(spark, d):
+    cen = _cen(spark, d)
+    return cen.select("id", TX.serialize(cen, CENSUS_ATTRS, key_col="id", permute=True, seed=SEED).alias("text"))
+
+
+@query
+def serialize_era(spark, d):
+    cen = _cen(spark, d)
+    return cen.select("id", TX.serialize(cen, CENSUS_ATTRS, key_col="id", use_era_context=True).alias("text"))
+
+
+@query
+def era_prefix(spark, d):
+    years = _cen(spark, d).select("year").distinct()
+    return years.select("year", TX.era_prefix(F.col("year")).alias("prefix"))
+
+
+@query
+def era_join(spark, d):
+    cen = _cen(spark, d).select("id", "year")
+    return cen.join(F.broadcast(TX.era_df(spark)), "year", "left").select("id", "year", "narrative")
+
+
+@query
+def corpus_train(spark, d):
+    cen = _cen(spark, d).where(F.col("year").isin(TRAIN_YEARS))
+    return cen.select("id", TX.serialize(cen, key_col="id", permute=True, seed=SEED).alias("text"))
+
+
+@query
+def corpus_val(spark, d):
+    cen = _cen(spark, d).where(F.col("year") == TARGET_YEAR)
+    return cen.select("id", TX.serialize(cen, key_col="id").alias("text"))
+
+
+@query
+def prompt_table(spark, d):
+    cen = _cen(spark, d)
+    conds = [("sex", F.col("sex")), ("age_group", F.col("age_group"))]
+    return cen.select("id", TX.generation_prefix(F.col("year"), conditions=conds).alias("prompt"))
+
+
+def _gen(spark, d):
+    return fx.gen_texts(spark, d)
+
+
+@query
+def parse_records(spark, d):
+    return TX.parse_records(_gen(spark, d), "text", CENSUS_ATTRS, keep=["id"])
+
+
+@query
+def fuzzy_match(spark, d):
+    parsed = TX.parse_records(_gen(spark, d), "text", CENSUS_ATTRS)
+    kv = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).alias("value")) for a in CENSUS_ATTRS]))
+    vals = parsed.select(kv.alias("kv")).select("kv.*").where(F.col("value").isNotNull()).distinct()
+    m = F.lit(None).cast("string")
+    for a in CENSUS_ATTRS:
+        m = F.when(F.col("attr") == a, TX.fuzzy_match(F.col("value"), CENSUS_DOMAIN[a])).otherwise(m)
+    exact = F.lit(False)
+    for a in CENSUS_ATTRS:
+        exact = exact | ((F.col("attr") == a) & F.col("value").isin(CENSUS_DOMAIN[a]))
+    return vals.where(~exact).select("attr", "value", m.alias("matched"))
+
+
+@query
+def structural_zero_violations(spark, d):
+    return V.violation_table(_cen(spark, d), keep=["id"])
+
+
+@query
+def violation_counts(spark, d):
+    return V.violation_counts(_cen(spark, d))
+
+
+def _validated(spark, d):
+    return V.validate_generated(_gen(spark, d), keep=["id", "batch", "pos"])
+
+
+@query
+def validate_generated(spark, d):
+    return V.accepted(_validated(spark, d)).select("id", *CENSUS_ATTRS)
+
+
+@query
+def reject_reasons(spark, d):
+    v = _validated(spark, d)
+    return v.groupBy(F.coalesce(F.col("reject_reason"), F.lit("accepted")).alias("reason")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def take_accepted(spark, d):
+    return V.take_accepted(_validated(spark, d), GEN_N).select("batch", "pos", "id", *CENSUS_ATTRS)
+
+
+@query
+def generation_stats(spark, d):
+    return rounded(V.generation_stats(_validated(spark, d), GEN_N))

@@ -362,3 +362,180 @@ register("subsample_exact", with_(f"""
 rid AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid, year, {ATTR_LIST}
         FROM pop_base WHERE {POP_TRAIN})""") + f"""
 SELECT rid, year, {ATTR_LIST} FROM rid ORDER BY {uniform_sql('rid')}, rid LIMIT 20000""")
+
+
+# --------------------------------------------------- text and validation
+from popweave.domain import TARGET_YEAR as CEN_TARGET, TRAIN_YEARS as CEN_TRAIN  # noqa: E402
+
+CA = ["sex", "age_group", "edu", "occupation", "marital_status"]
+CD = CENSUS_DOMAIN
+REGION = DEFAULT_REGION
+WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+            r"\x{205F}\x{3000}")
+WS = f"[{WS_CHARS}]"
+STRIP = f"^{WS}+|{WS}+$"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {q(STRIP)}, '', 'g')"
+
+
+ERA_CTE = "era(year, narrative) AS (VALUES " + ", ".join(
+    f"({y}, {q(n)})" for y, n in sorted(ERA_NARRATIVES.items())) + ")"
+CEN_CTE = f"""cen AS (SELECT o_orderkey AS id, CAST(1990 + 5 * (o_orderkey % 12) AS INTEGER) AS year,
+  {sql_list(CD['sex'])}[o_orderkey % 2 + 1] AS sex,
+  {sql_list(CD['age_group'])}[o_custkey % 18 + 1] AS age_group,
+  CASE WHEN o_orderkey % 97 <> 0 THEN {sql_list(CD['edu'])}[(o_orderkey // 2) % 7 + 1] END AS edu,
+  {sql_list(CD['occupation'])}[(o_orderkey // 14) % 8 + 1] AS occupation,
+  {sql_list(CD['marital_status'])}[(o_orderkey // 112) % 4 + 1] AS marital_status,
+  o_custkey FROM orders)"""
+
+
+def body_sql(vals: dict[str, str]) -> str:
+    return "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN {vals[a]} IS NOT NULL THEN {q(DISPLAY_NAMES[a] + ' is ')} || {vals[a]} END" for a in CA) + ")"
+
+
+def prefix_sql(year: str) -> str:
+    return f"'In ' || {year} || {q(', a resident of ' + REGION + ' was recorded: ')}"
+
+
+GEN_CTE = f"""g0 AS (SELECT *, CAST((id + o_custkey) % 12 AS INTEGER) AS gen_case FROM cen),
+g1 AS (SELECT id, year, gen_case,
+  CASE WHEN gen_case = 1 THEN lower(sex) ELSE sex END AS v_sex,
+  CASE WHEN gen_case = 1 THEN lower(age_group) ELSE age_group END AS v_age_group,
+  CASE WHEN gen_case = 2 THEN edu || ' dropout' WHEN gen_case = 8 THEN NULL
+       WHEN gen_case = 1 THEN lower(edu) ELSE edu END AS v_edu,
+  CASE WHEN gen_case = 1 THEN lower(occupation) ELSE occupation END AS v_occupation,
+  CASE WHEN gen_case = 3 THEN substr(marital_status, 1, 4) WHEN gen_case = 4 THEN substr(marital_status, 1, 2)
+       WHEN gen_case = 1 THEN lower(marital_status) ELSE marital_status END AS v_marital_status
+  FROM g0),
+g2 AS (SELECT g1.id, g1.year, g1.gen_case,
+  CASE WHEN g1.gen_case = 6 AND era.narrative IS NOT NULL THEN '[Context: ' || era.narrative || '] ' ELSE '' END
+  || CASE WHEN g1.gen_case <> 9 THEN {prefix_sql('g1.year')} ELSE '' END
+  || {body_sql({a: 'g1.v_' + a for a in CA})}
+  || CASE g1.gen_case WHEN 5 THEN {q(', In 2020, a resident of ' + REGION + ' was recorded: Sex is Male')}
+                      WHEN 7 THEN '. . ' WHEN 10 THEN ', Sex is Other' ELSE '' END AS text
+  FROM g1 LEFT JOIN era ON era.year = g1.year),
+gen AS (
+  SELECT id, year, gen_case, id // 64 AS batch, CAST(id % 64 AS INTEGER) AS pos, text FROM g2 WHERE gen_case <> 11
+  UNION ALL
+  SELECT g2.id, g2.year, g2.gen_case, g2.id // 64, CAST(g2.id % 64 AS INTEGER), d.text FROM g2
+  JOIN documents d ON d.doc_id = g2.id % (SELECT count(*) FROM documents) WHERE g2.gen_case = 11)"""
+
+
+def parse_ctes(src: str = "gen") -> list[str]:
+    ctx = f"^\\[Context:.*?\\]{WS}*"
+    second = f"(?s)(?:,{WS}*)?In \\p{{Nd}}{{4}}[,{WS_CHARS}].*"
+    names = " ".join(f"WHEN {q(v)} THEN {q(k)}" for k, v in DISPLAY_NAMES.items())
+    return [
+        f"p0 AS (SELECT id, batch, pos, regexp_replace(text, {q(ctx)}, '') AS t FROM {src})",
+        f"""p1 AS (SELECT id, batch, pos,
+          CASE WHEN starts_with(t, 'In ') THEN CAST(TRY_CAST({strip_sql("replace(split_part(t, ',', 1), 'In ', '')")}
+               AS BIGINT) AS VARCHAR) END AS pyear,
+          CASE WHEN starts_with(t, 'In ') AND strpos(t, 'was recorded: ') > 0 THEN substr(t, strpos(t, 'was recorded: ') + 14)
+               WHEN starts_with(t, 'In ') AND strpos(t, ': ') > 0 THEN substr(t, strpos(t, ': ') + 2)
+               ELSE t END AS body FROM p0)""",
+        f"p2 AS (SELECT id, batch, pos, pyear, rtrim(regexp_replace(body, {q(second)}, ''), '. ' || chr(9) || chr(10)) AS body FROM p1)",
+        f"""p3 AS (SELECT id, batch, pos, pyear, list_transform(
+              list_filter(string_split(body, ', '), lambda x: contains(x, ' is ')),
+              lambda x: {{'name': {strip_sql("substr(x, 1, strpos(x, ' is ') - 1)")},
+                          'value': rtrim({strip_sql("substr(x, strpos(x, ' is ') + 4)")}, '.')}}) AS kv0 FROM p2)""",
+        f"""p4 AS (SELECT id, batch, pos, pyear, list_transform(kv0, lambda x: {{'k': CASE x.name {names}
+              ELSE replace(lower(x.name), ' ', '_') END, 'v': x.value}}) AS kv FROM p3)""",
+        "parsed AS (SELECT id, batch, pos, COALESCE(pyear, list_filter(kv, lambda x: x.k = 'year')[1].v) AS year, "
+        + ", ".join(f"list_filter(kv, lambda x: x.k = {q(a)})[1].v AS {a}" for a in CA) + " FROM p4)"]
+
+
+def fuzzy_sql(v: str, cats) -> str:
+    vv = strip_sql(f"lower({v})")
+    parts = [f"WHEN {vv} = {q(c.lower())} THEN {q(c)}" for c in cats]
+    parts += [f"WHEN starts_with({vv}, {q(c.lower())}) THEN {q(c)}" for c in cats]
+    parts += [f"WHEN length({vv}) >= 3 AND starts_with({q(c.lower())}, {vv}) THEN {q(c)}" for c in cats]
+    return "CASE " + " ".join(parts) + " END"
+
+
+def match_sql(v: str, cats) -> str:
+    return f"CASE WHEN {v} IN ({', '.join(q(c) for c in cats)}) THEN {v} ELSE {fuzzy_sql(v, cats)} END"
+
+
+def zero_conds(src_prefix: str = "") -> list[tuple[str, str]]:
+    idx = f"(list_position({sql_list(CD['age_group'])}, {src_prefix}age_group) - 1)"
+
+    def bad(attr, allowed):
+        v = f"{src_prefix}{attr}"
+        return f"{v} IS NOT NULL AND {v} <> '' AND {v} NOT IN ({', '.join(q(x) for x in allowed)})"
+    return [("Z1", f"{idx} = 0 AND {bad('edu', ['No schooling'])}"),
+            ("Z2", f"{idx} = 1 AND {bad('edu', ['No schooling', 'Elementary school'])}"),
+            ("Z3", f"{idx} = 2 AND {bad('edu', ['No schooling', 'Elementary school', 'Middle school'])}"),
+            ("Z4", f"{idx} BETWEEN 0 AND 2 AND {bad('marital_status', ['Never married'])}"),
+            ("Z5", f"{idx} BETWEEN 0 AND 2 AND {bad('occupation', ['Not economically active'])}")]
+
+
+def cwith(*ctes: str) -> str:
+    return "WITH " + ",\n".join((ERA_CTE, CEN_CTE) + ctes) + "\n"
+
+
+CEN_BODY = body_sql({a: a for a in CA})
+register("serialize_plain", cwith() + f"SELECT id, {prefix_sql('year')} || {CEN_BODY} AS text FROM cen")
+
+
+def _permuted_sql(where: str) -> str:
+    pieces = " UNION ALL ".join(
+        f"SELECT id, year, md5('42:' || id || ':' || {q(a)}) AS k, {q(DISPLAY_NAMES[a] + ' is ')} || {a} AS p "
+        f"FROM cen WHERE {a} IS NOT NULL AND {where}" for a in CA)
+    return cwith(f"pc AS ({pieces})") + f"""
+SELECT id, {prefix_sql('year')} || string_agg(p, ', ' ORDER BY k, p) AS text FROM pc GROUP BY id, year"""
+
+
+register("serialize_permuted", _permuted_sql("true"))
+register("corpus_train", _permuted_sql(f"year IN ({', '.join(str(y) for y in CEN_TRAIN)})"))
+register("corpus_val", cwith() + f"SELECT id, {prefix_sql('year')} || {CEN_BODY} AS text FROM cen WHERE year = {CEN_TARGET}")
+register("serialize_era", cwith() + f"""
+SELECT id, CASE WHEN era.narrative IS NOT NULL AND era.narrative <> ''
+  THEN '[Context: ' || era.narrative || '] ' ELSE '' END || {prefix_sql('cen.year')} || {CEN_BODY} AS text
+FROM cen LEFT JOIN era ON era.year = cen.year""")
+register("era_prefix", cwith() + f"""
+SELECT y.year, CASE WHEN era.narrative IS NOT NULL AND era.narrative <> ''
+  THEN '[Context: ' || era.narrative || '] ' ELSE '' END || {prefix_sql('y.year')} AS prefix
+FROM (SELECT DISTINCT year FROM cen) y LEFT JOIN era ON era.year = y.year""")
+register("era_join", cwith() + "SELECT id, cen.year AS year, narrative FROM cen LEFT JOIN era ON era.year = cen.year")
+register("prompt_table", cwith() + f"""
+SELECT id, {prefix_sql('year')} || 'Sex is ' || sex || ', Age Group is ' || age_group || ', ' AS prompt FROM cen""")
+register("parse_records", cwith(GEN_CTE, *parse_ctes()) + f"SELECT id, year, {', '.join(CA)} FROM parsed")
+register("fuzzy_match", cwith(GEN_CTE, *parse_ctes(), "vals AS (" + " UNION ".join(
+    f"SELECT {q(a)} AS attr, {a} AS value FROM parsed WHERE {a} IS NOT NULL AND {a} NOT IN "
+    f"({', '.join(q(c) for c in CD[a])})" for a in CA) + ")") + "SELECT attr, value, CASE attr " + " ".join(
+    f"WHEN {q(a)} THEN {fuzzy_sql('value', CD[a])}" for a in CA) + " END AS matched FROM vals")
+register("structural_zero_violations", cwith() + "SELECT id, viol AS violations FROM (SELECT id, concat_ws(',', "
+         + ", ".join(f"CASE WHEN {c} THEN {q(r)} END" for r, c in zero_conds()) + ") AS viol FROM cen) WHERE viol <> ''")
+register("violation_counts", cwith() + "SELECT rule_id, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT {q(r)} AS rule_id FROM cen WHERE {c}" for r, c in zero_conds()) + ") GROUP BY rule_id")
+
+VALIDATED = [f"""m AS (SELECT id, batch, pos, ({' AND '.join(f'{a} IS NOT NULL' for a in CA)}) AS complete,
+    {', '.join(f'{match_sql(a, CD[a])} AS {a}' for a in CA)} FROM parsed)""",
+             f"""v AS (SELECT *, CASE WHEN NOT complete THEN 'incomplete'
+                 WHEN NOT ({' AND '.join(f'{a} IS NOT NULL' for a in CA)}) THEN 'unmatched'
+                 WHEN {' OR '.join(f'COALESCE({c}, false)' for _, c in zero_conds())} THEN 'infeasible' END AS reason
+             FROM m)"""]
+register("validate_generated", cwith(GEN_CTE, *parse_ctes(), *VALIDATED)
+         + f"SELECT id, {', '.join(CA)} FROM v WHERE reason IS NULL")
+register("reject_reasons", cwith(GEN_CTE, *parse_ctes(), *VALIDATED)
+         + "SELECT COALESCE(reason, 'accepted') AS reason, count(*) AS n FROM v GROUP BY 1")
+GEN_N = 2000
+GEN_MAXB = max(-(-GEN_N // 64) * 3, 10)
+BATCHES = [f"""bs AS (SELECT batch, count(*) FILTER (WHERE reason IS NULL) AS acc, count(*) FILTER (WHERE reason IS NOT NULL) AS fail
+              FROM v WHERE batch < {GEN_MAXB} GROUP BY batch)""",
+           """bc AS (SELECT *, COALESCE(sum(acc) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              AS acc_before FROM bs)""",
+           f"proc AS (SELECT * FROM bc WHERE acc_before < {GEN_N})"]
+register("take_accepted", cwith(GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES) + f"""
+SELECT batch, pos, id, {', '.join(CA)} FROM (
+  SELECT v.*, row_number() OVER (ORDER BY v.batch, v.pos) AS r FROM v JOIN proc USING (batch) WHERE v.reason IS NULL)
+WHERE r <= {GEN_N}""")
+register("generation_stats", cwith(GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES) + f"""
+SELECT CAST({GEN_N} AS BIGINT) AS requested, CAST(least(sum(acc), {GEN_N}) AS BIGINT) AS accepted,
+       CAST(sum(fail) AS BIGINT) AS failed, count(*) AS batches,
+       round(least(sum(acc), {GEN_N}) / {GEN_N}, 6) AS fill_rate,
+       round(least(sum(acc), {GEN_N}) / greatest(least(sum(acc), {GEN_N}) + sum(fail), 1), 6) AS parse_rate
+FROM proc""")
