@@ -477,3 +477,75 @@ def take_accepted(spark, d):
 @query
 def generation_stats(spark, d):
     return rounded(V.generation_stats(_validated(spark, d), GEN_N))
+
+
+# ----------------------------------------- E6/E8, resampling, method runs
+
+from popweave.operators.conditional import EmpiricalSampler  # noqa: E402
+from popweave.plans import methods as PM  # noqa: E402
+
+POP_N = 5000
+
+
+def _pop_train(spark, d, variant="base"):
+    return fx.pop_weighted(spark, d, variant).where(F.col("year").isin(POP_TRAIN_YEARS))
+
+
+def _pop_target(spark, d, variant="base"):
+    return _year(fx.pop_weighted(spark, d, variant), POP_TARGET_YEAR)
+
+
+@query
+def conditional_sample(spark, d):
+    s = EmpiricalSampler.fit(_pop_train(spark, d), POP_ATTRS, weight_col="n", grid_bound=POP_GRID)
+    return s.sample_counts(POP_N, 1998, SEED)
+
+
+@query
+def conditional_sample_pooled(spark, d):
+    s = EmpiricalSampler.fit(_pop_train(spark, d), POP_ATTRS, weight_col="n", grid_bound=POP_GRID)
+    return s.sample_counts(POP_N, POP_TARGET_YEAR, SEED)
+
+
+@query
+def rake_resample(spark, d):
+    records = _year(fx.pop_records(spark, d, "skew"), SYN_YEAR).select(*POP_ATTRS)
+    return PM.rake_resample(records, pop_targets(spark, d), POP_ATTRS, seed=SEED, grid_bound=POP_GRID)
+
+
+@query
+def oversample_rake(spark, d):
+    s = EmpiricalSampler.fit(_pop_train(spark, d), POP_ATTRS, weight_col="n", grid_bound=POP_GRID)
+    pool = materialize(s.sample(POP_N * 4, POP_TARGET_YEAR, SEED))
+    return PM.rake_resample(pool, pop_targets(spark, d), POP_ATTRS, seed=SEED, grid_bound=POP_GRID)
+
+
+def _no_time(res):
+    return rounded(res.drop("time_sec"))
+
+
+@query
+def method_ipf(spark, d):
+    _, res = PM.run_ipf(_pop_train(spark, d), _pop_target(spark, d), POP_N, POP_ATTRS, POP_DOMAIN,
+                        seed=SEED, weight_col="n")
+    return _no_time(res)
+
+
+@query
+def method_conditional(spark, d):
+    _, res = PM.run_conditional(_pop_train(spark, d, "skew"), _pop_target(spark, d), POP_TARGET_YEAR, POP_N,
+                                POP_ATTRS, POP_DOMAIN, seed=SEED, weight_col="n")
+    return _no_time(res)
+
+
+@query
+def method_text(spark, d):
+    target = _cen(spark, d).where(F.col("year") == TARGET_YEAR)
+    _, res = PM.run_text(_gen(spark, d), target, GEN_N, CENSUS_ATTRS, CENSUS_DOMAIN, seed=SEED)
+    return _no_time(res)
+
+
+@query
+def comparison_table(spark, d):
+    rows = [method_ipf(spark, d), method_conditional(spark, d), method_text(spark, d)]
+    return rounded(PM.comparison_table(rows, with_time=False))

@@ -539,3 +539,16 @@ SELECT CAST({GEN_N} AS BIGINT) AS requested, CAST(least(sum(acc), {GEN_N}) AS BI
        round(least(sum(acc), {GEN_N}) / {GEN_N}, 6) AS fill_rate,
        round(least(sum(acc), {GEN_N}) / greatest(least(sum(acc), {GEN_N}) + sum(fail), 1), 6) AS parse_rate
 FROM proc""")
+
+
+# -------------------------------------------------------- conditional sampler
+def _cond_sql(where: str) -> str:
+    return with_(f"cells AS (SELECT {ATTR_LIST}, count(*) AS n FROM pop WHERE {where} GROUP BY ALL)",
+                 f"iv0 AS (SELECT *, sum(n) OVER (ORDER BY {ATTR_LIST} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM cells)",
+                 "iv AS (SELECT *, (chi - n) / (SELECT max(chi) FROM iv0) AS lo, chi / (SELECT max(chi) FROM iv0) AS hi FROM iv0)",
+                 f"dr AS (SELECT range AS i, {uniform_sql('range')} AS u FROM range(0, 5000))") + f"""
+SELECT {ATTR_LIST}, count(*) AS hits FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi GROUP BY ALL"""
+
+
+register("conditional_sample", _cond_sql("year = 1998"))
+register("conditional_sample_pooled", _cond_sql(POP_TRAIN))
