@@ -60,14 +60,34 @@ def seed_table(train: DataFrame, attrs: Sequence[str], domain: Domain, *, smooth
 
     ``(cell BIGINT, attrs..., seed DOUBLE)``.  Rows with any attribute out of
     domain are skipped; every grid cell (structural zeros included) gets the
-    smoothing mass, as in the reference.
+    smoothing mass, as in the reference.  Records are aggregated once into
+    per-year grid cells (checkpointed, bounded by years × grid); the latest
+    year is then picked on that small table, so the record plan runs once.
     """
     spark = train.sparkSession
-    wave = latest_wave(train, year_col)
     idx = cell_index(attrs, {a: domain[a] for a in attrs})
     cnt = F.sum(weight_col) if weight_col else F.count(F.lit(1))
-    counts = (wave.select(idx.alias("cell"), *([weight_col] if weight_col else []))
-              .where(F.col("cell").isNotNull()).groupBy("cell").agg(cnt.cast("double").alias("c")))
+    by = [year_col] if year_col in train.columns else []
+    per_year = materialize(
+        train.select(*by, idx.alias("cell"), *([weight_col] if weight_col else []))
+        .where(F.col("cell").isNotNull()).groupBy(*by, "cell").agg(cnt.cast("double").alias("c")))
+    counts = latest_wave(per_year, year_col).select("cell", "c") if by else per_year
+    grid = domain_grid(spark, attrs, domain, index_col="cell")
+    return grid.join(counts, "cell", "left").select(
+        "cell", *attrs, (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(float(smoothing))).alias("seed"))
+
+
+def seed_from_year_cells(year_cells: DataFrame, attrs: Sequence[str], domain: Domain, train_years: Sequence[int],
+                         *, smoothing: float = 0.5, year_col: str = "year", n: str = "n") -> DataFrame:
+    """Seed table from per-year cells (out-of-domain already NULL): the
+    latest training year present, in-domain cells only, full grid + smoothing."""
+    spark = year_cells.sparkSession
+    cond = F.col(year_col).isin(list(train_years))
+    for a in attrs:
+        cond = cond & F.col(a).isNotNull()
+    wave = latest_wave(year_cells.where(cond), year_col)
+    counts = wave.select(cell_index(attrs, domain).alias("cell"), F.col(n).cast("double").alias("c")) \
+        .groupBy("cell").agg(F.sum("c").alias("c"))
     grid = domain_grid(spark, attrs, domain, index_col="cell")
     return grid.join(counts, "cell", "left").select(
         "cell", *attrs, (F.coalesce(F.col("c"), F.lit(0.0)) + F.lit(float(smoothing))).alias("seed"))

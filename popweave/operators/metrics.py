@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from popweave.domain import Domain
 from popweave.session import materialize
-from popweave.operators.cells import attribute_pairs, marginals, pairwise_counts
+from popweave.domain import domain_df
+from popweave.operators.cells import attribute_pairs
 
 EPS = 1e-12
 
@@ -34,16 +35,33 @@ def _g_py(a: float, b: float) -> float:
     return 0.5 * (a * log2(2 * a / s) + b * log2(2 * b / s))
 
 
+def _tagged(syn_cells: DataFrame, real_cells: DataFrame, cols: Sequence[str], n: str) -> DataFrame:
+    """Both sides in one table: ``(cols..., np, nq)`` (a union, no join)."""
+    s = syn_cells.select(*cols, F.col(n).cast("double").alias("np"), F.lit(0.0).alias("nq"))
+    r = real_cells.select(*cols, F.lit(0.0).alias("np"), F.col(n).cast("double").alias("nq"))
+    return s.unionByName(r)
+
+
 def srmse(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[str], domain: Domain,
           n: str = "n") -> DataFrame:
-    """Per-attribute SRMSE ``(attr, srmse)`` = C·sqrt(mean((ps−pr)²)), C = |domain|."""
-    ms = marginals(syn_cells, attrs, domain, denominator="in_domain", n=n) \
-        .select("attr", "ord", F.col("prop").alias("ps"))
-    mr = marginals(real_cells, attrs, domain, denominator="in_domain", n=n) \
-        .select("attr", "ord", F.col("prop").alias("pr"))
-    j = ms.join(mr, ["attr", "ord"])
-    return j.groupBy("attr").agg(
-        (F.sqrt(F.avg(F.pow(F.col("ps") - F.col("pr"), 2))) * F.count(F.lit(1))).alias("srmse"))
+    """Per-attribute SRMSE ``(attr, srmse)`` = C·sqrt(mean((ps−pr)²)), C = |domain|.
+
+    One unpivot of the tagged sides, one aggregation with a sum per side,
+    dense over the literal domain; shares over in-domain rows per attribute.
+    """
+    spark = syn_cells.sparkSession
+    t = _tagged(syn_cells, real_cells, attrs, n)
+    kv = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("cat"),
+                                      F.col("np"), F.col("nq")) for a in attrs]))
+    long = (t.select(kv.alias("kv")).select("kv.*").where(F.col("cat").isNotNull())
+            .groupBy("attr", "cat").agg(F.sum("np").alias("np"), F.sum("nq").alias("nq")))
+    dense = F.broadcast(domain_df(spark, attrs, domain)).join(long, ["attr", "cat"], "left") \
+        .select("attr", "cat", F.coalesce("np", F.lit(0.0)).alias("np"), F.coalesce("nq", F.lit(0.0)).alias("nq"))
+    w = Window.partitionBy("attr")
+    ps = F.coalesce(F.try_divide(F.col("np"), F.sum("np").over(w)), F.lit(0.0))
+    pr = F.coalesce(F.try_divide(F.col("nq"), F.sum("nq").over(w)), F.lit(0.0))
+    return dense.select("attr", (ps - pr).alias("d")).groupBy("attr").agg(
+        (F.sqrt(F.avg(F.col("d") * F.col("d"))) * F.count(F.lit(1))).alias("srmse"))
 
 
 def srmse_vectors(p: Sequence[float], q: Sequence[float]) -> float:
@@ -54,21 +72,18 @@ def srmse_vectors(p: Sequence[float], q: Sequence[float]) -> float:
     return (sum((a - b) ** 2 for a, b in zip(p, q)) / c) ** 0.5 * c
 
 
-def _jsd_core(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], K: Column,
-              by: Sequence[str], n: str, eps: float) -> DataFrame:
-    """``(by..., jsd)`` from the full outer join of two count tables.
+def _jsd_core(t: DataFrame, keys: Sequence[str], K: Column, by: Sequence[str], eps: float) -> DataFrame:
+    """``(by..., jsd)`` from a tagged count table ``(by..., keys..., np, nq)``.
 
-    Totals and clamp sums are window sums partitioned by ``by``: a window
-    partition holds the support of one group, at most K grid cells (for
-    ``by=()`` the whole support, bounded by the domain product, not by data).
+    Counts of both sides come from one aggregation (no outer join).  Totals
+    and clamp sums are window sums partitioned by ``by``: a window partition
+    holds the support of one group, at most K grid cells (for ``by=()`` the
+    whole support, bounded by the domain product, not by the data).
     """
     on = [*by, *keys]
     e = F.lit(eps)
     w = Window.partitionBy(*by)
-    p = p_cells.groupBy(*on).agg(F.sum(n).cast("double").alias("np"))
-    q = q_cells.groupBy(*on).agg(F.sum(n).cast("double").alias("nq"))
-    j = p.join(q, on, "full").select(*on, F.coalesce("np", F.lit(0.0)).alias("np"),
-                                     F.coalesce("nq", F.lit(0.0)).alias("nq"), K.alias("kk"))
+    j = t.groupBy(*on).agg(F.sum("np").alias("np"), F.sum("nq").alias("nq")).withColumn("kk", K)
     j = j.select("*", F.sum("np").over(w).alias("tp"), F.sum("nq").over(w).alias("tq"),
                  F.count(F.lit(1)).over(w).cast("double").alias("s"))
     pp = F.coalesce(F.try_divide(F.col("np"), F.col("tp")), F.lit(0.0))
@@ -76,13 +91,13 @@ def _jsd_core(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], K: Co
     j = j.select(*by, "kk", "s", F.greatest(pp, e).alias("cp"), F.greatest(qq, e).alias("cq"))
     pad = (F.col("kk") - F.col("s")) * e
     j = j.select("*", (F.sum("cp").over(w) + pad).alias("zp"), (F.sum("cq").over(w) + pad).alias("zq"))
-    t = j.groupBy(*by).agg(
+    agg = j.groupBy(*by).agg(
         F.sum(g_expr(F.col("cp") / F.col("zp"), F.col("cq") / F.col("zq"))).alias("gs"),
         F.first("zp").alias("zp"), F.first("zq").alias("zq"),
         F.first("kk").alias("kk"), F.first("s").alias("s"))
     rest = F.when(F.col("kk") > F.col("s"),
                   (F.col("kk") - F.col("s")) * g_expr(e / F.col("zp"), e / F.col("zq"))).otherwise(F.lit(0.0))
-    return t.select(*by, F.greatest(F.lit(0.0), F.coalesce(F.col("gs") + rest, F.lit(0.0))).alias("jsd"))
+    return agg.select(*by, F.greatest(F.lit(0.0), F.coalesce(F.col("gs") + rest, F.lit(0.0))).alias("jsd"))
 
 
 def jsd(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], grid: int, *,
@@ -91,7 +106,7 @@ def jsd(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], grid: int,
 
     The global aggregate always yields one row; both-empty inputs give 0.
     """
-    return _jsd_core(p_cells, q_cells, keys, F.lit(float(grid)), (), n, eps)
+    return _jsd_core(_tagged(p_cells, q_cells, keys, n), keys, F.lit(float(grid)), (), eps)
 
 
 def _listwise(cells: DataFrame, attrs: Sequence[str]) -> DataFrame:
@@ -111,22 +126,23 @@ def jsd_full_joint(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[
 
 def jsd_pairwise(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[str], domain: Domain,
                  n: str = "n") -> DataFrame:
-    """``(a1, a2, jsd)`` for every attribute pair, from one pair fan-out per side.
+    """``(a1, a2, jsd)`` for every attribute pair from one fan-out of the tagged sides.
 
-    Pairs missing on both sides (both empty) are restored from the literal
-    pair list with JSD 0.
+    Pairs with no rows on either side are restored from the literal pair
+    list with JSD 0 (both sides uniform).
     """
     spark = syn_cells.sparkSession
-    ps = pairwise_counts(syn_cells, attrs, n)
-    qs = pairwise_counts(real_cells, attrs, n)
-    pair_rows = F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"),
-                                   F.lit(float(len(domain[a]) * len(domain[b]))).alias("k"))
-                          for a, b in attribute_pairs(attrs)])
+    t = _tagged(syn_cells, real_cells, attrs, n)
+    kv = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"),
+                 F.col(a).cast("string").alias("v1"), F.col(b).cast("string").alias("v2"),
+                 F.lit(float(len(domain[a]) * len(domain[b]))).alias("k"), F.col("np"), F.col("nq"))
+        for a, b in attribute_pairs(attrs)]))
+    fan = t.select(kv.alias("kv")).select("kv.*").where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
+    res = _jsd_core(fan, ["v1", "v2"], F.col("k"), ["a1", "a2", "k"], EPS)
+    pair_rows = F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2")) for a, b in attribute_pairs(attrs)])
     pairs = spark.range(1).select(F.explode(pair_rows).alias("x")).select("x.*")
-    ps = ps.join(F.broadcast(pairs), ["a1", "a2"])
-    qs = qs.join(F.broadcast(pairs), ["a1", "a2"])
-    res = _jsd_core(ps, qs, ["v1", "v2"], F.col("k"), ["a1", "a2", "k"], n, EPS)
-    return F.broadcast(pairs).join(res, ["a1", "a2", "k"], "left") \
+    return F.broadcast(pairs).join(res, ["a1", "a2"], "left") \
         .select("a1", "a2", F.coalesce(F.col("jsd"), F.lit(0.0)).alias("jsd"))
 
 

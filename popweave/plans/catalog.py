@@ -526,8 +526,8 @@ def _no_time(res):
 
 @query
 def method_ipf(spark, d):
-    _, res = PM.run_ipf(_pop_train(spark, d), _pop_target(spark, d), POP_N, POP_ATTRS, POP_DOMAIN,
-                        seed=SEED, weight_col="n")
+    _, res = PM.run_ipf_population(fx.pop_weighted(spark, d), POP_TRAIN_YEARS, POP_TARGET_YEAR, POP_N,
+                                   POP_ATTRS, POP_DOMAIN, seed=SEED, weight_col="n")
     return _no_time(res)
 
 

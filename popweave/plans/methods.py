@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from popweave.domain import DEFAULT_SEED, Domain, grid_size
 from popweave.operators.cells import cell_counts, marginals
 from popweave.operators.conditional import EmpiricalSampler
-from popweave.operators.fitting import expand_cells, ipf, rake, seed_table, targets_from_marginals, trs_integerize
+from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_cells, seed_table,
+                                        targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
 from popweave.operators.sampling import expand, weighted_hits
 from popweave.operators.validate import accepted, generation_stats, take_accepted, validate_generated
@@ -25,9 +26,9 @@ from popweave.session import materialize
 RESULT_COLS = ["method", "time_sec", "srmse_avg", "jsd_full_joint", "srmse_avg_ipf", "jsd_full_joint_ipf"]
 
 
-def target_marginals(target: DataFrame, attrs: Sequence[str], domain: Domain, weight_col: str | None = None) -> DataFrame:
+def target_marginals(target_cells: DataFrame, attrs: Sequence[str], domain: Domain) -> DataFrame:
     """Targets as the reference builds them: shares over all target rows."""
-    cells = materialize(cell_counts(target, attrs, domain, weight_col=weight_col))
+    cells = materialize(target_cells)
     return materialize(targets_from_marginals(marginals(cells, attrs, domain, denominator="all_rows"), attrs))
 
 
@@ -77,15 +78,43 @@ def run_ipf(train: DataFrame, target: DataFrame, n: int, attrs: Sequence[str], d
             seed: int = DEFAULT_SEED, weight_col: str | None = None, year_col: str = "year"):
     """Seed (latest wave, +0.5) -> IPF to target shares -> TRS -> records -> evaluate."""
     t0 = time.time()
-    targets = target_marginals(target, attrs, domain, weight_col)
-    s = materialize(seed_table(train, attrs, domain, weight_col=weight_col, year_col=year_col))
-    fitted = materialize(ipf(s, targets, n, attrs, domain))
-    counts = materialize(trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain)))
+    real = materialize(cell_counts(target, attrs, domain, weight_col=weight_col))
+    targets = target_marginals(real, attrs, domain)
+    s = seed_table(train, attrs, domain, weight_col=weight_col, year_col=year_col)
+    fitted = ipf(s, targets, n, attrs, domain)
+    counts = trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain))
+    syn_cells = materialize(counts.select(*attrs, F.col("count").alias("n")))
     syn = expand_cells(counts, ["cell", *attrs], grid_bound=grid_size(attrs, domain), total=n).select(*attrs)
-    syn = materialize(syn)
     elapsed = time.time() - t0
-    real = materialize(cell_counts(target, attrs, domain, weight_col=weight_col))
-    return syn, _row(train.sparkSession, "IPF", elapsed, evaluate_records(syn, real, attrs, domain), None)
+    res = evaluate_suite(syn_cells, real, attrs, domain)
+    return syn, _row(train.sparkSession, "IPF", elapsed, res, None)
+
+
+def year_cells(population: DataFrame, attrs: Sequence[str], domain: Domain, *, year_col: str = "year",
+               weight_col: str | None = None) -> DataFrame:
+    """One aggregation of the whole population by (year, cell), checkpointed.
+
+    Training seed, target marginals, evaluation cells and the per-year
+    sampler are all roll-ups of this table, so records are read once.
+    """
+    return materialize(cell_counts(population, attrs, domain, by=[year_col], weight_col=weight_col))
+
+
+def run_ipf_population(population: DataFrame, train_years: Sequence[int], target_year: int, n: int,
+                       attrs: Sequence[str], domain: Domain, *, seed: int = DEFAULT_SEED,
+                       weight_col: str | None = None, year_col: str = "year"):
+    """``run_ipf`` on one population table: a single pass over the records."""
+    t0 = time.time()
+    yc = year_cells(population, attrs, domain, year_col=year_col, weight_col=weight_col)
+    real = materialize(yc.where(F.col(year_col) == int(target_year)).drop(year_col))
+    targets = target_marginals(real, attrs, domain)
+    s = seed_from_year_cells(yc, attrs, domain, train_years, year_col=year_col)
+    fitted = ipf(s, targets, n, attrs, domain)
+    counts = trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain))
+    syn_cells = materialize(counts.select(*attrs, F.col("count").alias("n")))
+    syn = expand_cells(counts, ["cell", *attrs], grid_bound=grid_size(attrs, domain), total=n).select(*attrs)
+    elapsed = time.time() - t0
+    return syn, _row(population.sparkSession, "IPF", elapsed, evaluate_suite(syn_cells, real, attrs, domain), None)
 
 
 def run_conditional(train: DataFrame, target: DataFrame, target_year: int, n: int, attrs: Sequence[str],
@@ -95,9 +124,9 @@ def run_conditional(train: DataFrame, target: DataFrame, target_year: int, n: in
     sampler = EmpiricalSampler.fit(train, attrs, weight_col=weight_col, grid_bound=grid_size(attrs, domain))
     syn = materialize(sampler.sample(n, target_year, seed))
     elapsed = time.time() - t0
-    targets = target_marginals(target, attrs, domain, weight_col)
-    raked = rake_resample(syn, targets, attrs, seed=seed, grid_bound=grid_size(attrs, domain))
     real = materialize(cell_counts(target, attrs, domain, weight_col=weight_col))
+    targets = target_marginals(real, attrs, domain)
+    raked = rake_resample(syn, targets, attrs, seed=seed, grid_bound=grid_size(attrs, domain))
     res = _row(train.sparkSession, "Conditional", elapsed, evaluate_records(syn, real, attrs, domain),
                evaluate_records(raked, real, attrs, domain))
     return syn, res
@@ -113,9 +142,9 @@ def run_text(texts: DataFrame, target: DataFrame, n: int, attrs: Sequence[str],
     pool = materialize(take_accepted(validated, gen_count, batch_size=batch_size).select(*attrs))
     elapsed = time.time() - t0
     stats = generation_stats(validated, gen_count, batch_size=batch_size)
-    targets = target_marginals(target, attrs, domain)
-    raked = rake_resample(pool, targets, attrs, seed=seed, grid_bound=grid_size(attrs, domain))
     real = materialize(cell_counts(target, attrs, domain))
+    targets = target_marginals(real, attrs, domain)
+    raked = rake_resample(pool, targets, attrs, seed=seed, grid_bound=grid_size(attrs, domain))
     res = _row(texts.sparkSession, label, elapsed, evaluate_records(pool, real, attrs, domain),
                evaluate_records(raked, real, attrs, domain))
     res = res.unionByName(stats.select(F.col("accepted").alias("n_generated"),
@@ -139,5 +168,5 @@ def comparison_table(results: Sequence[DataFrame], *, with_time: bool = True) ->
     return out.orderBy("_order").select(*cols)
 
 
-__all__ = ["run_ipf", "run_conditional", "run_text", "comparison_table", "rake_resample", "target_marginals",
+__all__ = ["run_ipf", "run_ipf_population", "year_cells", "run_conditional", "run_text", "comparison_table", "rake_resample", "target_marginals",
            "evaluate_records", "accepted"]

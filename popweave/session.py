@@ -61,8 +61,12 @@ def materialize(df: DataFrame) -> DataFrame:
     files instead of re-running the record-level plan, and an executor loss
     does not recompute the lineage.  Never a machine-local checkpoint.
     """
+    if getattr(df, "_popweave_materialized", False):
+        return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._popweave_materialized = True
+    return out
 
 
 def local_path(path: str) -> str:
