@@ -23,6 +23,7 @@ from popweave.domain import domain_df
 from popweave.operators.cells import attribute_pairs
 
 EPS = 1e-12
+SMALL_SUPPORT = 2_000_000  # whole-support window allowed up to this grid size
 
 
 def g_expr(a: Column, b: Column) -> Column:
@@ -100,13 +101,34 @@ def _jsd_core(t: DataFrame, keys: Sequence[str], K: Column, by: Sequence[str], e
     return agg.select(*by, F.greatest(F.lit(0.0), F.coalesce(F.col("gs") + rest, F.lit(0.0))).alias("jsd"))
 
 
+def _jsd_large(t: DataFrame, keys: Sequence[str], grid: int, eps: float) -> DataFrame:
+    """Same value for a support too large for one window partition: the
+    support is checkpointed once, then totals and clamp sums are scalar
+    aggregates over it (each a distributed aggregation)."""
+    e, K = F.lit(eps), F.lit(float(grid))
+    j = materialize(t.groupBy(*keys).agg(F.sum("np").alias("np"), F.sum("nq").alias("nq")))
+    tp, tq = j.agg(F.sum("np")).scalar(), j.agg(F.sum("nq")).scalar()
+    s = j.agg(F.count(F.lit(1)).cast("double")).scalar()
+    c = j.select(F.greatest(F.coalesce(F.try_divide(F.col("np"), tp), F.lit(0.0)), e).alias("cp"),
+                 F.greatest(F.coalesce(F.try_divide(F.col("nq"), tq), F.lit(0.0)), e).alias("cq"))
+    zp = F.coalesce(c.agg(F.sum("cp")).scalar(), F.lit(0.0)) + (K - s) * e
+    zq = F.coalesce(c.agg(F.sum("cq")).scalar(), F.lit(0.0)) + (K - s) * e
+    gs = F.coalesce(c.agg(F.sum(g_expr(F.col("cp") / zp, F.col("cq") / zq))).scalar(), F.lit(0.0))
+    rest = F.when(K > s, (K - s) * g_expr(e / zp, e / zq)).otherwise(F.lit(0.0))
+    return t.sparkSession.range(1).select(F.greatest(F.lit(0.0), gs + rest).alias("jsd"))
+
+
 def jsd(p_cells: DataFrame, q_cells: DataFrame, keys: Sequence[str], grid: int, *,
         n: str = "n", eps: float = EPS) -> DataFrame:
     """One-row ``(jsd)`` between two sparse count tables over a K-cell grid.
 
     The global aggregate always yields one row; both-empty inputs give 0.
+    Grids above ``SMALL_SUPPORT`` cells take the checkpointed scalar path.
     """
-    return _jsd_core(_tagged(p_cells, q_cells, keys, n), keys, F.lit(float(grid)), (), eps)
+    t = _tagged(p_cells, q_cells, keys, n)
+    if grid > SMALL_SUPPORT:
+        return _jsd_large(t, keys, grid, eps)
+    return _jsd_core(t, keys, F.lit(float(grid)), (), eps)
 
 
 def _listwise(cells: DataFrame, attrs: Sequence[str]) -> DataFrame:

@@ -26,6 +26,14 @@ SMALL_TABLE_ROWS = 2_000_000     # single ordered window allowed below this
 BROADCAST_INTERVAL_ROWS = 2_000_000
 PREFIX_BLOCKS = 4096
 TOPK_LIMIT = 1_000_000           # exact subsample via TakeOrdered below this
+ROWS_PER_RANGE_PARTITION = 4_000_000
+EDGE_BUCKETS = 1 << 16
+
+
+def index_range(spark, m: int) -> DataFrame:
+    """``spark.range(m)`` with a partition count that grows with m."""
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(m / ROWS_PER_RANGE_PARTITION))
+    return spark.range(0, m, 1, parts)
 
 
 def intervals(df: DataFrame, mass_col: str, order_cols: Sequence[str], *, bounded_rows: int | None = None,
@@ -81,11 +89,11 @@ def draws(spark, m: int | Column, seed: int, *, bound: int | None = None) -> Dat
     that is generated before the filter ``draw < m``.
     """
     if isinstance(m, int):
-        base = spark.range(m)
+        base = index_range(spark, m)
     else:
         if bound is None:
             raise ValueError("a data-dependent draw count needs a bound")
-        base = spark.range(bound).where(F.col("id") < m)
+        base = index_range(spark, bound).where(F.col("id") < m)
     return base.select(F.col("id").alias("draw"), hash_uniform(seed, F.col("id")).alias("u"))
 
 
@@ -118,7 +126,7 @@ def expand(cells: DataFrame, count_col: str, key_cols: Sequence[str], *, bounded
         return spark.createDataFrame([], cells.select(*key_cols).schema).withColumn("record", F.lit(0).cast("long"))
     rows = bounded_rows if bounded_rows is not None else 10 * BROADCAST_INTERVAL_ROWS
     nb = max(1, min(max(rows, 1), 1 << 20, total))
-    pts = spark.range(total).select(F.col("id").alias("record"))
+    pts = index_range(spark, total).select(F.col("id").alias("record"))
     j = range_join(pts, F.col("record").cast("double"), iv, "cum_lo", "cum_hi", span=float(total),
                    n_buckets=nb, broadcast=rows <= BROADCAST_INTERVAL_ROWS)
     return j.select(*key_cols, "record")
@@ -127,43 +135,40 @@ def expand(cells: DataFrame, count_col: str, key_cols: Sequence[str], *, bounded
 def subsample_exact(df: DataFrame, n: int, seed: int, key_cols: Sequence[str]) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, seeded by row key.
 
-    Rows are ranked by ``u = hash_uniform(seed, key)``.  Up to TOPK_LIMIT a
-    TakeOrdered plan (per-partition partial top-n); beyond it, u-buckets are
-    counted (one small aggregate), every bucket below the cut is taken whole
-    and only the cut bucket is ranked — no single task sees more than one
-    bucket.
+    Rows are ranked by ``u = hash_uniform(seed, key)`` (ties by key).  Up to
+    TOPK_LIMIT a TakeOrdered plan (per-partition partial top-n).  Beyond it,
+    two levels of u-buckets are counted (small aggregates): every row below
+    the cut is taken whole, and only the rows of the cut sub-bucket
+    (~rows / 2^32) are ranked — no task sorts more than that.
     """
     u = hash_uniform(seed, *key_cols)
     ranked = df.withColumn("_u", u)
     order = [F.col("_u")] + [F.col(k) for k in key_cols]
     if n <= TOPK_LIMIT:
         return ranked.orderBy(*order).limit(n).drop("_u")
-    nb = 1 << 16
-    bucketed = ranked.withColumn("_b", F.floor(F.col("_u") * nb).cast("long"))
-    counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_cum", F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
-    cut = cum.where(F.col("_cum") >= n).agg(F.min("_b")).scalar()
-    before = cum.where(F.col("_b") == cut).select("_before").scalar()
-    whole = bucketed.where(F.col("_b") < F.coalesce(cut, F.lit(nb)))
-    edge = bucketed.where(F.col("_b") == cut)
-    we = Window.partitionBy("_b").orderBy(*order)
-    edge = edge.withColumn("_r", F.row_number().over(we)).where(F.col("_r") <= F.lit(n) - before).drop("_r")
-    return whole.unionByName(edge).drop("_u", "_b")
-
-
-def systematic_counts(cells: DataFrame, mass_col: str, n: int, seed: int, key_cols: Sequence[str], *,
-                      bounded_rows: int | None) -> DataFrame:
-    """Systematic allocation: ``floor(C_i·n + u) − floor(C_{i−1}·n + u)``.
-
-    Exact size n, lower variance than multinomial; one uniform per call.
-    """
-    from popweave.functions.hashing import py_hash_uniform
-
-    u0 = py_hash_uniform(seed, "systematic")
-    iv = intervals(cells.select(*key_cols, mass_col), mass_col, key_cols, bounded_rows=bounded_rows)
-    cnt = (F.floor(F.col("hi") * n + u0) - F.floor(F.col("lo") * n + u0)).cast("long")
-    return iv.select(*key_cols, cnt.alias("count"))
+    nb = EDGE_BUCKETS
+    b1 = ranked.withColumn("_b1", F.floor(F.col("_u") * nb).cast("long")) \
+               .withColumn("_b2", (F.floor(F.col("_u") * float(nb) * nb) % nb).cast("long"))
+
+    def cut(counts: DataFrame, key: str, need):
+        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.withColumn("_cum", F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
+        at = cum.where(F.col("_cum") >= need).agg(F.min(key)).scalar()
+        before = cum.where(F.col(key) == at).select("_before").scalar()
+        return at, before
+
+    c1 = b1.groupBy("_b1").agg(F.count(F.lit(1)).alias("_c"))
+    cut1, before1 = cut(c1, "_b1", F.lit(n))
+    edge = b1.where(F.col("_b1") == cut1)
+    c2 = edge.groupBy("_b2").agg(F.count(F.lit(1)).alias("_c"))
+    need2 = F.lit(n) - before1
+    cut2, before2 = cut(c2, "_b2", need2)
+    whole = b1.where(F.col("_b1") < F.coalesce(cut1, F.lit(nb)))
+    whole2 = edge.where(F.col("_b2") < cut2)
+    last = edge.where(F.col("_b2") == cut2)
+    we = Window.partitionBy("_b2").orderBy(*order)
+    last = last.withColumn("_r", F.row_number().over(we)).where(F.col("_r") <= need2 - before2).drop("_r")
+    return whole.unionByName(whole2).unionByName(last).drop("_u", "_b1", "_b2")
 
 
 def log2_ceil(x: int) -> int:

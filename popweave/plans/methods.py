@@ -17,7 +17,7 @@ from popweave.domain import DEFAULT_SEED, Domain, grid_size
 from popweave.operators.cells import cell_counts, marginals
 from popweave.operators.conditional import EmpiricalSampler
 from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_cells, seed_table,
-                                        targets_from_marginals, trs_integerize)
+                                        targets_df, targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
 from popweave.operators.sampling import expand, weighted_hits
 from popweave.operators.validate import accepted, generation_stats, take_accepted, validate_generated
@@ -40,20 +40,35 @@ def evaluate_records(syn: DataFrame, real_cells: DataFrame, attrs: Sequence[str]
 def rake_resample(records: DataFrame, targets, attrs: Sequence[str], *, seed: int = DEFAULT_SEED,
                   grid_bound: int | None = None, mode: str = "sequential", max_iter: int = 100,
                   tol: float = 1e-6) -> DataFrame:
-    """Rake the records' cells to the targets, then draw as many records as
-    there are inputs with p ∝ weight (with replacement).  Empty in -> empty out.
-
-    Records are grouped by all their columns (one aggregation); the weights
-    live on that cell table and the draws expand back to records through the
-    range join, so no record-level sort or per-cell window is needed.
+    """Rake the records to the targets, then draw as many records as there
+    are inputs with p ∝ weight (with replacement).  Empty in -> empty out.
+
+    The fit runs on cells keyed by the raked attributes only, with values
+    outside the targets folded to NULL (they are never adjusted), so the
+    fitted table is bounded by the target sizes whatever else the records
+    hold.  The weights (a small, size-bounded table) are joined to the
+    full-row cells, and the draws expand back to rows through the range join:
+    no record-level sort, no per-cell window, no unbounded group.
     """
+    spark = records.sparkSession
+    tdf = targets if isinstance(targets, DataFrame) else targets_df(spark, targets)
+    tcats = {r["attr"]: r["cats"] for r in tdf.groupBy("attr").agg(F.collect_list("cat").alias("cats")).collect()}
+    keys = [a for a in attrs if a in tcats]
     cols = list(records.columns)
-    cells = materialize(records.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
-    fit = materialize(rake(cells, targets, mode=mode, max_iter=max_iter, tol=tol, grid_bound=grid_bound))
-    total = int(fit.agg(F.sum("n")).first()[0] or 0)
+    full = materialize(records.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
+    folded = [F.when(F.col(a).isin(tcats[a]), F.col(a)).alias(a) for a in keys]
+    fit_cells = full.select(*folded, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+    fit = materialize(rake(fit_cells, tdf, mode=mode, max_iter=max_iter, tol=tol, grid_bound=grid_bound))
+    weights = fit.select(*[F.col(a).alias(f"_k_{a}") for a in keys], "w")
+    on = [F.when(full[a].isin(tcats[a]), full[a]).eqNullSafe(weights[f"_k_{a}"]) for a in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    mass = full.join(F.broadcast(weights), cond, "left") \
+        .select(*cols, (F.col("n") * F.coalesce(F.col("w"), F.lit(1.0))).alias("mass"), "n")
+    total = int(full.agg(F.sum("n")).first()[0] or 0)
     if total == 0:
         return records.limit(0)
-    mass = fit.withColumn("mass", F.col("n") * F.col("w"))
     hits = weighted_hits(mass, "mass", total, seed, cols, bounded_rows=grid_bound)
     return expand(hits, "hits", cols, bounded_rows=grid_bound, total=total).select(*cols)
 

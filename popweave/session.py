@@ -42,6 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (machine-local temp dirs are not "
+                               "visible to other executors)")
         configured = tempfile.mkdtemp(prefix="popweave-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

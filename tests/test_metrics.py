@@ -78,3 +78,14 @@ def test_pairwise_and_srmse_match_dense(spark):
         assert sr[a] == pytest.approx(M.srmse_vectors(one(p), one(q)), abs=1e-12)
     assert all(v == pytest.approx(0.0, abs=1e-15) for v in
                [r.srmse for r in M.srmse(cp, cp, ATTRS, DOM).collect()])
+
+
+def test_large_grid_path_matches(spark, monkeypatch):
+    grid = list(product(*DOM.values()))
+    p = {g: (i % 4) for i, g in enumerate(grid)}
+    q = {g: (i % 6) for i, g in enumerate(grid)}
+    cp, cq = _cells(spark, p), _cells(spark, q)
+    small = M.jsd_full_joint(cp, cq, ATTRS, DOM).first()[0]
+    monkeypatch.setattr(M, "SMALL_SUPPORT", 1)
+    big = M.jsd_full_joint(cp, cq, ATTRS, DOM).first()[0]
+    assert big == pytest.approx(small, abs=1e-14)
