@@ -102,9 +102,13 @@ def era_narrative_expr(year: Column) -> Column:
     return F.element_at(m, year.cast("int"))
 
 
+# the same set as literal characters, for trim(): no regex per call
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def py_strip(c: Column) -> Column:
-    """``str.strip()`` with Python's whitespace set."""
-    return F.regexp_replace(c, STRIP_RE, "")
+    """``str.strip()``: trim Python's whitespace set from both ends."""
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def record_prefix(year: Column, region: str = DEFAULT_REGION) -> Column:
@@ -224,18 +228,19 @@ def first_value(pairs: Column, key: str) -> Column:
 
 
 def stage(df: DataFrame, *cols) -> DataFrame:
-    """Project ``cols`` through a one-row generator so each is evaluated once.
+    """Evaluate ``cols`` once, in a codegen'd projection, then fence them.
 
     Catalyst pushes filters through projections by substituting column
     definitions, and collapses projections the same way; with large derived
     expressions (a text parse, fuzzy-match chains) that re-evaluates them
-    many times per row.  ``inline(array(struct(...)))`` produces the same
-    columns as generator output, which neither rule can see through.
+    many times per row.  The computed columns are passed on through a
+    one-row generator (``inline(array(struct(col...)))``) holding plain
+    column references, which neither rule can see through.
     """
     from pyspark.sql import Column as _C
 
-    named = [c if isinstance(c, _C) else F.col(c) for c in cols]
-    return df.select(F.inline(F.array(F.struct(*named))))
+    projected = df.select(*[c if isinstance(c, _C) else F.col(c) for c in cols])
+    return projected.select(F.inline(F.array(F.struct(*[F.col(f"`{n}`") for n in projected.columns]))))
 
 
 def parse_records(df: DataFrame, text_col: str = "text", attrs: Sequence[str] | None = None,
