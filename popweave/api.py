@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from popweave.domain import ALL_YEARS, DEFAULT_REGION, DEFAULT_SEED, TARGET_YEAR, TRAIN_YEARS, grid_size, resolve
 from popweave.functions import text as TX
@@ -19,7 +18,7 @@ from popweave.operators import cells as C
 from popweave.operators import fitting as FT
 from popweave.operators import metrics as M
 from popweave.operators.conditional import EmpiricalSampler
-from popweave.operators.validate import accepted, take_accepted, validate_generated
+from popweave.operators.validate import take_accepted, validate_generated
 from popweave.plans import methods as PM
 from popweave.session import materialize
 from popweave.sources import scans as S
@@ -175,4 +174,4 @@ def run_all(spark: SparkSession, data_dir: str = "data", methods: Sequence[str]
 
 __all__ = ["load_data", "compute_marginals", "IPFSynthesizer", "ConditionalSampler", "evaluate",
            "compute_all_srmse", "compute_pairwise_jsd", "compute_full_joint_jsd", "ipf_reweight",
-           "serialize_dataframe", "parse_records", "accept_generated", "run_all", "accepted", "F"]
+           "serialize_dataframe", "parse_records", "accept_generated", "run_all"]

@@ -149,12 +149,16 @@ def cell_index(attrs: Sequence[str], domain: Domain) -> Column:
 def infer_domain(left: DataFrame, right: DataFrame | None, attrs: Sequence[str]) -> DataFrame:
     """Fallback domain: sorted union of both sides' distinct non-null values.
 
-    Output ``(attr, ord, cat)``.  One unpivot + one distinct aggregation per
-    side; ordinals come from ``dense_rank`` partitioned by attribute, whose
-    groups are bounded by the distinct-value count, not by row count.
+    Output ``(attr, ord, cat)``.  One unpivot + distinct per side; ordinals
+    come from a range-partitioned sort: each partition counts its values per
+    attribute, offsets are a running sum over partitions (one row per
+    partition and attribute), and values are ranked only within their own
+    partition — no task holds all values of an attribute.
     """
     from pyspark.sql.window import Window
 
+    from popweave.session import materialize
+
     def long(df: DataFrame) -> DataFrame:
         return df.select(F.explode(F.array(*[
             F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("cat")) for a in attrs
@@ -163,5 +167,10 @@ def infer_domain(left: DataFrame, right: DataFrame | None, attrs: Sequence[str])
     vals = long(left)
     if right is not None:
         vals = vals.unionByName(long(right)).distinct()
-    w = Window.partitionBy("attr").orderBy("cat")
-    return vals.select("attr", (F.row_number().over(w) - 1).cast("int").alias("ord"), "cat")
+    ranged = materialize(vals.repartitionByRange("attr", "cat").withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid", "attr").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("attr").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", "attr", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_pid", "attr").orderBy("cat"))
+    return ranged.withColumn("_r", local).join(offs, ["_pid", "attr"]) \
+        .select("attr", (F.col("_off") + F.col("_r") - 1).cast("int").alias("ord"), "cat")

@@ -169,7 +169,3 @@ def subsample_exact(df: DataFrame, n: int, seed: int, key_cols: Sequence[str]) -
     we = Window.partitionBy("_b2").orderBy(*order)
     last = last.withColumn("_r", F.row_number().over(we)).where(F.col("_r") <= need2 - before2).drop("_r")
     return whole.unionByName(whole2).unionByName(last).drop("_u", "_b1", "_b2")
-
-
-def log2_ceil(x: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, x))))

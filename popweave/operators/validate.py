@@ -23,7 +23,7 @@ from popweave.domain import CENSUS_ATTRS, CENSUS_DOMAIN
 from popweave.functions.rules import STRUCTURAL_ZERO_RULES, ZeroRule, feasible, violations
 from popweave.functions.text import match_category, normalized, parse_records, stage
 
-REASONS = ("incomplete", "unmatched", "infeasible")
+REASONS = ("incomplete", "unmatched", "infeasible")  # reject_reason values, in check order
 
 
 def validate_generated(df: DataFrame, text_col: str = "text", *, attrs: Sequence[str] | None = None,

@@ -20,9 +20,10 @@ from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_
                                         targets_df, targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
 from popweave.operators.sampling import expand, weighted_hits
-from popweave.operators.validate import accepted, generation_stats, take_accepted, validate_generated
+from popweave.operators.validate import generation_stats, take_accepted, validate_generated
 from popweave.session import materialize
 
+BROADCAST_WEIGHT_ROWS = 2_000_000  # fitted weights are broadcast only under this proven bound
 RESULT_COLS = ["method", "time_sec", "srmse_avg", "jsd_full_joint", "srmse_avg_ipf", "jsd_full_joint_ipf"]
 
 
@@ -64,7 +65,11 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str], *, seed: in
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    mass = full.join(F.broadcast(weights), cond, "left") \
+    fit_bound = 1
+    for a in keys:
+        fit_bound *= len(tcats[a]) + 1
+    side = F.broadcast(weights) if fit_bound <= BROADCAST_WEIGHT_ROWS else weights
+    mass = full.join(side, cond, "left") \
         .select(*cols, (F.col("n") * F.coalesce(F.col("w"), F.lit(1.0))).alias("mass"), "n")
     total = int(full.agg(F.sum("n")).first()[0] or 0)
     if total == 0:
@@ -184,4 +189,4 @@ def comparison_table(results: Sequence[DataFrame], *, with_time: bool = True) ->
 
 
 __all__ = ["run_ipf", "run_ipf_population", "year_cells", "run_conditional", "run_text", "comparison_table", "rake_resample", "target_marginals",
-           "evaluate_records", "accepted"]
+           "evaluate_records"]

@@ -89,3 +89,14 @@ def test_large_grid_path_matches(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL_SUPPORT", 1)
     big = M.jsd_full_joint(cp, cq, ATTRS, DOM).first()[0]
     assert big == pytest.approx(small, abs=1e-14)
+
+
+def test_inferred_domain_ordinals(spark):
+    from popweave.domain import infer_domain
+
+    rows = [("v%05d" % ((i * 7919) % 5000), "x" if i % 2 else None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(6)
+    got = {(r.attr, r.ord): r.cat for r in infer_domain(df, df.limit(10), ["a", "b"]).collect()}
+    want = {("a", i): v for i, v in enumerate(sorted({r[0] for r in rows}))}
+    want[("b", 0)] = "x"
+    assert got == want
