@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from popweave.domain import ALL_YEARS, DEFAULT_REGION, DEFAULT_SEED, TARGET_YEAR, TRAIN_YEARS, grid_size, resolve
 from popweave.functions import text as TX
+from popweave.functions.hashing import hash_uniform
 from popweave.operators import cells as C
 from popweave.operators import fitting as FT
 from popweave.operators import metrics as M
@@ -63,7 +64,9 @@ class IPFSynthesizer:
         self._seed_table = materialize(FT.seed_table(train_df, self.attributes, self.category_map))
         return self
 
-    def generate(self, n_samples: int, target_marginals=None) -> DataFrame:
+    def generate(self, n_samples: int, target_marginals=None, shuffle: bool = False) -> DataFrame:
+        """n records; ``shuffle`` orders them by a seeded hash of the record
+        index (a distributed range-partitioned sort; order carries no data)."""
         if self._seed_table is None:
             raise RuntimeError("Must call fit() first.")
         k = grid_size(self.attributes, self.category_map)
@@ -72,8 +75,10 @@ class IPFSynthesizer:
         else:
             fitted = FT.seed_scaled(self._seed_table, n_samples)
         counts = FT.trs_integerize(fitted, n_samples, self.seed, ["cell", *self.attributes], grid_bound=k)
-        return FT.expand_cells(counts, ["cell", *self.attributes], grid_bound=k,
-                               total=n_samples).select(*self.attributes)
+        recs = FT.expand_cells(counts, ["cell", *self.attributes], grid_bound=k, total=n_samples)
+        if shuffle:
+            recs = recs.orderBy(hash_uniform(self.seed, "record"), "record")
+        return recs.select(*self.attributes)
 
     compute_marginals = staticmethod(compute_marginals)
 

@@ -19,6 +19,8 @@ def test_ipf_synthesizer_contract(spark):
     targets = api.compute_marginals(target)
     syn = ipf.generate(777, targets)
     assert syn.count() == 777 and syn.columns == CENSUS_ATTRS
+    shuffled = ipf.generate(777, targets, shuffle=True)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, syn.collect()))
     res = api.evaluate(syn, target).first()
     assert 0 <= res.jsd_full_joint <= 1 and res.srmse_avg >= 0
     raked = api.ipf_reweight(syn, targets)
