@@ -116,3 +116,143 @@ def test_method_ipf_bruteforce(spark):
     got = K.QUERIES["method_ipf"](spark, SF_SMALL).first()
     assert got.jsd_full_joint == pytest.approx(want_jsd, abs=2e-6)
     assert got.srmse_avg == pytest.approx(float(np.mean(srm)), abs=2e-6)
+
+
+def _counts(rows):
+    out = {}
+    for r in rows:
+        out[r] = out.get(r, 0) + 1
+    return out
+
+
+def _pooled_sample(spark, n, variant):
+    """The conditional sampler for an unseen year: pooled training cells."""
+    train = _pop_rows_years(spark, variant, POP_TRAIN_YEARS)
+    cells = _counts(train)
+    keys = sorted(cells)
+    return _draw_counts(keys, [cells[k] for k in keys], n, K.SEED)
+
+
+def _pop_rows_years(spark, variant, years):
+    df = fx.pop_records(spark, SF_SMALL, variant).where(F.col("year").isin(years)).select(*POP_ATTRS)
+    return [tuple(r) for r in df.collect()]
+
+
+def _rake_draw(syn_counts, targets, seed):
+    rows = [k for k, c in syn_counts.items() for _ in range(c)]
+    cols = {a: np.array([r[i] for r in rows], dtype=object) for i, a in enumerate(POP_ATTRS)}
+    w = record_rake(cols, targets)
+    cellw = {}
+    for r, x in zip(rows, w):
+        cellw[r] = cellw.get(r, 0.0) + x
+    keys = sorted(cellw)
+    return _draw_counts(keys, [cellw[k] for k in keys], len(rows), seed)
+
+
+def _metrics(syn, real):
+    grid = list(product(*[POP_DOMAIN[a] for a in POP_ATTRS]))
+    ns, nr = sum(syn.values()), sum(real.values())
+    jsd = jsd_vectors([syn.get(g, 0) / ns for g in grid], [real.get(g, 0) / nr for g in grid])
+    srm = []
+    for i, a in enumerate(POP_ATTRS):
+        def marg(d, tot):
+            return [sum(v for g, v in d.items() if g[i] == c) / tot for c in POP_DOMAIN[a]]
+        srm.append(srmse_vectors(marg(syn, ns), marg(real, nr)))
+    return float(np.mean(srm)), jsd
+
+
+def test_oversample_rake_bruteforce(spark):
+    pool = _pooled_sample(spark, K.POP_N * 4, "base")
+    want = _rake_draw(pool, _targets(spark), K.SEED)
+    got = {tuple(r[:-1]): r[-1] for r in
+           K.QUERIES["oversample_rake"](spark, SF_SMALL).groupBy(*POP_ATTRS).count().collect()}
+    assert got == want
+
+
+def test_method_conditional_bruteforce(spark):
+    syn = _pooled_sample(spark, K.POP_N, "skew")
+    real = _counts(_pop_rows(spark, "base", POP_TARGET_YEAR))
+    raked = _rake_draw(syn, _targets(spark), K.SEED)
+    s_raw, j_raw = _metrics(syn, real)
+    s_ipf, j_ipf = _metrics(raked, real)
+    got = K.QUERIES["method_conditional"](spark, SF_SMALL).first()
+    assert (got.srmse_avg, got.jsd_full_joint) == (pytest.approx(s_raw, abs=2e-6), pytest.approx(j_raw, abs=2e-6))
+    assert (got.srmse_avg_ipf, got.jsd_full_joint_ipf) == (pytest.approx(s_ipf, abs=2e-6),
+                                                           pytest.approx(j_ipf, abs=2e-6))
+
+
+def _py_feasible(rec):
+    from popweave.domain import CENSUS_DOMAIN
+    from popweave.functions.rules import STRUCTURAL_ZERO_RULES
+
+    ages = CENSUS_DOMAIN["age_group"]
+    if rec["age_group"] not in ages:
+        return True
+    idx = ages.index(rec["age_group"])
+    for r in STRUCTURAL_ZERO_RULES:
+        v = rec.get(r.attr)
+        if r.idx_lo <= idx <= r.idx_hi and v and v not in r.allowed:
+            return False
+    return True
+
+
+def test_method_text_bruteforce(spark):
+    from popweave.domain import CENSUS_ATTRS, CENSUS_DOMAIN, TARGET_YEAR
+    from popweave.operators.validate import max_batches
+    from tests.test_text import py_fuzzy, py_parse
+
+    n = K.GEN_N
+    texts = sorted((r.batch, r.pos, r.text) for r in fx.gen_texts(spark, SF_SMALL).collect())
+    pool = []
+    mb = max_batches(n, 64)
+    for b, _, t in texts:
+        if b >= mb or len(pool) >= n:
+            continue
+        rec = py_parse(t)
+        if not all(a in rec for a in CENSUS_ATTRS):
+            continue
+        ok = True
+        for a in CENSUS_ATTRS:
+            if rec[a] not in CENSUS_DOMAIN[a]:
+                m = py_fuzzy(rec[a], CENSUS_DOMAIN[a])
+                if m is None:
+                    ok = False
+                    break
+                rec[a] = m
+        if ok and _py_feasible(rec):
+            pool.append(tuple(rec[a] for a in CENSUS_ATTRS))
+    cen = fx.cen_records(spark, SF_SMALL).where(F.col("year") == TARGET_YEAR).select(*CENSUS_ATTRS)
+    real_rows = [tuple(r) for r in cen.collect()]
+    targets = {a: {c: sum(1 for r in real_rows if r[i] == c) / len(real_rows) for c in CENSUS_DOMAIN[a]}
+               for i, a in enumerate(CENSUS_ATTRS)}
+    rows = pool
+    cols = {a: np.array([r[i] for r in rows], dtype=object) for i, a in enumerate(CENSUS_ATTRS)}
+    w = record_rake(cols, targets)
+    cellw = {}
+    for r, x in zip(rows, w):
+        cellw[r] = cellw.get(r, 0.0) + x
+    keys = sorted(cellw)
+    raked = _draw_counts(keys, [cellw[k] for k in keys], len(rows), K.SEED)
+
+    grid = list(product(*[CENSUS_DOMAIN[a] for a in CENSUS_ATTRS]))
+
+    def metrics(syn_rows_counts):
+        real_in = [r for r in real_rows if all(v is not None for v in r)]
+        rc = _counts(real_in)
+        ns = sum(syn_rows_counts.values())
+        jsd = jsd_vectors([syn_rows_counts.get(g, 0) / ns for g in grid], [rc.get(g, 0) / len(real_in) for g in grid])
+        srm = []
+        for i, a in enumerate(CENSUS_ATTRS):
+            rr = [r[i] for r in real_rows if r[i] is not None]
+            ps = [sum(v for g, v in syn_rows_counts.items() if g[i] == c) / ns for c in CENSUS_DOMAIN[a]]
+            pr = [sum(1 for x in rr if x == c) / len(rr) for c in CENSUS_DOMAIN[a]]
+            srm.append(srmse_vectors(ps, pr))
+        return float(np.mean(srm)), jsd
+
+    s_raw, j_raw = metrics(_counts(pool))
+    s_ipf, j_ipf = metrics(raked)
+    got = K.QUERIES["method_text"](spark, SF_SMALL).first()
+    assert got.n_generated == len(pool)
+    assert (got.srmse_avg, got.jsd_full_joint) == (pytest.approx(s_raw, abs=2e-6), pytest.approx(j_raw, abs=2e-6))
+    assert (got.srmse_avg_ipf, got.jsd_full_joint_ipf) == (pytest.approx(s_ipf, abs=2e-6),
+                                                           pytest.approx(j_ipf, abs=2e-6))
