@@ -100,3 +100,18 @@ def test_inferred_domain_ordinals(spark):
     want = {("a", i): v for i, v in enumerate(sorted({r[0] for r in rows}))}
     want[("b", 0)] = "x"
     assert got == want
+
+
+def test_fused_suite_matches_parts(spark, monkeypatch):
+    rnd = random.Random(11)
+    grid = list(product(*DOM.values()))
+    p = {g: rnd.choice([0, 2, 9]) for g in grid}
+    q = {g: rnd.choice([0, 1, 4]) for g in grid}
+    cp, cq = _cells(spark, p), _cells(spark, q)
+    fused = M.evaluate_suite(cp, cq, ATTRS, DOM).first()
+    parts = M._evaluate_suite_parts(cp, cq, ATTRS, DOM).first()
+    for c in ("srmse_avg", "jsd_pairwise_avg", "jsd_full_joint"):
+        assert fused[c] == pytest.approx(parts[c], abs=1e-13)
+    empty = cp.where(F.lit(False))
+    e = M.evaluate_suite(empty, empty, ATTRS, DOM).first()
+    assert (e.srmse_avg, e.jsd_pairwise_avg, e.jsd_full_joint) == (0.0, 0.0, 0.0)
