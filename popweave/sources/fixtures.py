@@ -5,9 +5,10 @@ CEN: census-shaped records computed from ``orders``.
 GEN: generated-text proxy: CEN serialized and mutated in twelve ways.
 
 All builders are lazy DataFrames over the given tables, so their work grows
-with the tables.  ``pop_weighted`` pre-aggregates ``lineitem`` per
-(order, status, flag) before the join, which shrinks the big join input and
-collapses any hot order key to at most six rows.
+with the tables.  ``pop_weighted`` pre-aggregates ``lineitem`` per order
+(fixed-width counts per status × flag) before the join: the big join input
+shrinks to one row per order, any hot order key collapses to one row, and
+the aggregation's shuffle is the join's partitioning.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.domain import CENSUS_DOMAIN, DEFAULT_REGION, DISPLAY_NAMES, cats_array
+from popweave.domain import CENSUS_DOMAIN, DEFAULT_REGION, DISPLAY_NAMES, POP_DOMAIN, cats_array
 from popweave.functions.text import era_narrative_expr
 
 # POP_SKEW keep-thresholds by return flag: keep (l_partkey + 3*l_suppkey) % 10 < k
@@ -70,13 +71,32 @@ def pop_records(spark: SparkSession, sf_dir: str, variant: str = "base", with_ri
 
 
 def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
-    """POP with multiplicity ``n``: lineitem pre-aggregated before the join."""
-    li = (_lineitem(spark, sf_dir, variant)
-          .groupBy("l_orderkey", "l_linestatus", "l_returnflag")
-          .agg(F.count(F.lit(1)).alias("n")))
+    """POP with multiplicity ``n``, for cell-level work.
+
+    lineitem is aggregated per order into one count per (status, flag)
+    combination — a fixed-width row, so a hot order collapses to one row —
+    and that aggregation's shuffle on ``l_orderkey`` is the partitioning the
+    join needs: the largest table is shuffled once.  The combinations are
+    unpivoted after the join.  Values outside the POP domain arrive as NULL
+    (the cell table's out-of-domain rule).
+    """
+    ls_dom, rf_dom = POP_DOMAIN["l_linestatus"], POP_DOMAIN["l_returnflag"]
+    combos = [(x, y) for x in ls_dom + [None] for y in rf_dom + [None]]
+    li = _lineitem(spark, sf_dir, variant)
+    ls = F.when(F.col("l_linestatus").isin(ls_dom), F.col("l_linestatus"))
+    rf = F.when(F.col("l_returnflag").isin(rf_dom), F.col("l_returnflag"))
+    per_order = li.select("l_orderkey", ls.alias("ls"), rf.alias("rf")).groupBy("l_orderkey").agg(*[
+        F.count(F.when(F.col("ls").eqNullSafe(F.lit(x)) & F.col("rf").eqNullSafe(F.lit(y)), 1)).alias(f"_c{i}")
+        for i, (x, y) in enumerate(combos)])
     oc = _orders_customers(spark, sf_dir, variant)
-    j = oc.join(li, oc["o_orderkey"] == li["l_orderkey"])
-    return j.select(*POP_COLUMNS, "n")
+    j = oc.join(per_order, oc["o_orderkey"] == per_order["l_orderkey"])
+    kv = F.explode(F.array(*[
+        F.struct(F.lit(x).cast("string").alias("l_linestatus"), F.lit(y).cast("string").alias("l_returnflag"),
+                 F.col(f"_c{i}").alias("n"))
+        for i, (x, y) in enumerate(combos)]))
+    out = j.select("year", "o_orderstatus", "o_orderpriority", "c_mktsegment", kv.alias("kv")) \
+        .select("year", "o_orderstatus", "o_orderpriority", "c_mktsegment", "kv.*").where(F.col("n") > 0)
+    return out.select(*POP_COLUMNS, "n")
 
 
 # ---------------------------------------------------------------- CEN / GEN
