@@ -25,17 +25,21 @@ class EmpiricalSampler:
     cells: DataFrame          # (year, attrs..., n), checkpointed
     attrs: list[str]
     year_col: str = "year"
-    grid_bound: int | None = None
+    grid_bound: int | None = None   # measured row count of ``cells`` (a proven bound)
 
     @classmethod
     def fit(cls, train: DataFrame, attrs: Sequence[str], *, year_col: str = "year",
             weight_col: str | None = None, grid_bound: int | None = None) -> "EmpiricalSampler":
+        """Per-year cell counts (one aggregation, checkpointed).  ``grid_bound``
+        is ignored: the measured cell count is the bound used."""
         by = [year_col] if year_col in train.columns else []
         cells = cell_counts(train.select(*by, *attrs, *([weight_col] if weight_col else [])),
                             list(attrs), None, by=by, weight_col=weight_col)
         if not by:
             cells = cells.withColumn(year_col, F.lit(None).cast("int"))
-        return cls(materialize(cells), list(attrs), year_col, grid_bound)
+        cells = materialize(cells)
+        # raw values can exceed any domain grid: bound by the measured size
+        return cls(cells, list(attrs), year_col, cells.count())
 
     def condition_cells(self, year: int | None) -> DataFrame:
         """That year's cells if any exist, else all years pooled."""

@@ -44,6 +44,8 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str], *, seed: in
     """Rake the records to the targets, then draw as many records as there
     are inputs with p ∝ weight (with replacement).  Empty in -> empty out.
 
+    ``grid_bound`` is accepted for compatibility; the bounds used are the
+    target sizes (fit) and the measured size of the checkpointed cells.
     The fit runs on cells keyed by the raked attributes only, with values
     outside the targets folded to NULL (they are never adjusted), so the
     fitted table is bounded by the target sizes whatever else the records
@@ -59,23 +61,26 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str], *, seed: in
     full = materialize(records.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
     folded = [F.when(F.col(a).isin(tcats[a]), F.col(a)).alias(a) for a in keys]
     fit_cells = full.select(*folded, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
-    fit = materialize(rake(fit_cells, tdf, mode=mode, max_iter=max_iter, tol=tol, grid_bound=grid_bound))
+    fit_bound = 1
+    for a in keys:
+        fit_bound *= len(tcats[a]) + 1
+    fit = materialize(rake(fit_cells, tdf, mode=mode, max_iter=max_iter, tol=tol, grid_bound=fit_bound))
     weights = fit.select(*[F.col(a).alias(f"_k_{a}") for a in keys], "w")
     on = [F.when(full[a].isin(tcats[a]), full[a]).eqNullSafe(weights[f"_k_{a}"]) for a in keys]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    fit_bound = 1
-    for a in keys:
-        fit_bound *= len(tcats[a]) + 1
     side = F.broadcast(weights) if fit_bound <= BROADCAST_WEIGHT_ROWS else weights
     mass = full.join(side, cond, "left") \
         .select(*cols, (F.col("n") * F.coalesce(F.col("w"), F.lit(1.0))).alias("mass"), "n")
     total = int(full.agg(F.sum("n")).first()[0] or 0)
     if total == 0:
         return records.limit(0)
-    hits = weighted_hits(mass, "mass", total, seed, cols, bounded_rows=grid_bound)
-    return expand(hits, "hits", cols, bounded_rows=grid_bound, total=total).select(*cols)
+    # full-row cells can outnumber the grid (extra columns, raw values): use
+    # the measured size of the checkpointed table as the bound
+    rows = full.count()
+    hits = weighted_hits(mass, "mass", total, seed, cols, bounded_rows=rows)
+    return expand(hits, "hits", cols, bounded_rows=rows, total=total).select(*cols)
 
 
 def _row(spark, method: str, elapsed: float, raw: DataFrame, raked: DataFrame | None) -> DataFrame:
