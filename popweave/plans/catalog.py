@@ -126,7 +126,11 @@ def stringify(spark, d):
 
 @query(name="domain_grid")
 def domain_grid_q(spark, d):
-    return domain_grid(spark, POP_ATTRS, POP_DOMAIN, index_col="cell")
+    """The full product grid, dense over the latest wave's counts (zeros kept)."""
+    grid = domain_grid(spark, POP_ATTRS, POP_DOMAIN, index_col="cell")
+    counts = pop_cells(spark, d, "base", SYN_YEAR)
+    return grid.join(counts, POP_ATTRS, "left").select(
+        "cell", *POP_ATTRS, F.coalesce(F.col("n"), F.lit(0)).alias("n"))
 
 
 @query

@@ -97,11 +97,14 @@ register("attribute_projection", with_() + f"SELECT {ATTR_LIST} FROM pop")
 register("stringify", with_() + "SELECT CAST(year AS VARCHAR) AS year, " + ATTR_LIST + " FROM pop")
 
 # ----------------------------------------------------------------- C / D
-register("domain_grid", f"""
-SELECT CAST(row_number() OVER (ORDER BY {', '.join(f'o_{a}' for a in POP_ATTRS)}) - 1 AS BIGINT) AS cell,
+register("domain_grid", with_(f"""
+grid AS (SELECT CAST(row_number() OVER (ORDER BY {', '.join(f'o_{a}' for a in POP_ATTRS)}) - 1 AS BIGINT) AS cell,
        {ATTR_LIST}
 FROM {' CROSS JOIN '.join(f"(SELECT unnest({sql_list(POP_DOMAIN[a])}) AS {a}, "
-                          f"generate_subscripts({sql_list(POP_DOMAIN[a])}, 1) AS o_{a})" for a in POP_ATTRS)}""")
+                          f"generate_subscripts({sql_list(POP_DOMAIN[a])}, 1) AS o_{a})" for a in POP_ATTRS)})""",
+                              f"cnt AS (SELECT {ATTR_LIST}, count(*) AS n FROM pop WHERE year = 1999 GROUP BY ALL)")
+         + f"SELECT grid.cell, {', '.join('grid.' + a for a in POP_ATTRS)}, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n "
+           f"FROM grid LEFT JOIN cnt USING ({ATTR_LIST})")
 register("cell_counts", with_() + f"SELECT year, {ATTR_LIST}, count(*) AS n FROM pop GROUP BY ALL")
 register("marginal_dense", with_(f"""
 real AS (SELECT * FROM pop WHERE year = {TARGET} AND o_orderpriority <> '5-LOW')""",

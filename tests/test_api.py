@@ -35,3 +35,24 @@ def test_conditional_and_text_roundtrip(spark):
     back = api.parse_records(texts, keep=["id"]).withColumnRenamed("year", "parsed_year")
     j = back.join(cen, "id").where(F.col("parsed_year") != F.col("year").cast("string"))
     assert j.count() == 0 and back.count() == cen.count()
+
+
+def test_load_data_layouts(spark):
+    from popweave.session import scratch_path
+
+    cen = fx.cen_records(spark, SF_SMALL).select("year", *CENSUS_ATTRS)
+    cen = cen.where(F.col("year") <= 2020)
+    combined = scratch_path(spark, "combined_layout")
+    cen.write.parquet(f"{combined}/{api.COMBINED_FILE}")
+    tr, tg, y = api.load_data(spark, combined)
+    assert y == 2015
+    assert tr.count() == cen.where(F.col("year") <= 2010).count()
+    assert tg.count() == cen.where(F.col("year") == 2015).count()
+    per_year = scratch_path(spark, "per_year_layout")
+    for yr in (1990, 2000, 2015):  # other years missing: skipped
+        cen.where(F.col("year") == yr).drop("year").write.parquet(f"{per_year}/{api.YEAR_FILE.format(year=yr)}")
+    tr2, tg2, _ = api.load_data(spark, per_year)
+    assert sorted(r.year for r in tr2.select("year").distinct().collect()) == [1990, 2000]
+    assert tg2.count() == cen.where(F.col("year") == 2015).count()
+    with pytest.raises(FileNotFoundError):
+        api.load_data(spark, scratch_path(spark, "empty_layout"))
