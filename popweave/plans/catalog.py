@@ -14,15 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popweave.domain import (
+    CENSUS_ATTRS,
+    CENSUS_DOMAIN,
     POP_ATTRS,
     POP_DOMAIN,
     POP_TARGET_YEAR,
     POP_TRAIN_YEARS,
+    TARGET_YEAR,
+    TRAIN_YEARS,
+    cell_index,
     domain_grid,
     infer_domain,
 )
+from popweave.functions import text as TX
 from popweave.operators import cells as C
+from popweave.operators import fitting as FT
 from popweave.operators import metrics as M
+from popweave.operators import sampling as SM
+from popweave.operators import validate as V
+from popweave.operators.conditional import EmpiricalSampler
+from popweave.plans import methods as PM
 from popweave.sources import fixtures as fx
 from popweave.sources import scans as S
 from popweave.session import materialize, scratch_path
@@ -225,9 +236,6 @@ def evaluate_suite(spark, d):
 
 # ------------------------------------------------------- sampling / fitting
 
-from popweave.domain import cell_index  # noqa: E402
-from popweave.operators import fitting as FT  # noqa: E402
-from popweave.operators import sampling as SM  # noqa: E402
 
 POP_GRID = 450
 SEED = 42
@@ -364,9 +372,6 @@ def subsample_exact(spark, d):
 
 # --------------------------------------------------- G: text and validation
 
-from popweave.domain import CENSUS_ATTRS, CENSUS_DOMAIN, TRAIN_YEARS, TARGET_YEAR  # noqa: E402
-from popweave.functions import text as TX  # noqa: E402
-from popweave.operators import validate as V  # noqa: E402
 
 GEN_N = 2000
 
@@ -485,8 +490,6 @@ def generation_stats(spark, d):
 
 # ----------------------------------------- E6/E8, resampling, method runs
 
-from popweave.operators.conditional import EmpiricalSampler  # noqa: E402
-from popweave.plans import methods as PM  # noqa: E402
 
 POP_N = 5000
 
