@@ -108,14 +108,6 @@ def marginals(cells: DataFrame, attrs: Sequence[str], domain: Domain, *, by: Seq
               .drop("_total")
 
 
-def marginal_dict(marg: DataFrame) -> dict[str, dict[str, float]]:
-    """Driver-side target dict from a marginal table (Σ domain sizes rows)."""
-    out: dict[str, dict[str, float]] = {}
-    for r in marg.orderBy("attr", "ord").collect():
-        out.setdefault(r["attr"], {})[r["cat"]] = float(r["prop"] or 0.0)
-    return out
-
-
 # ------------------------------------------------------------------- joints
 
 def joint(cells: DataFrame, attrs: Sequence[str], domain: Domain | None = None, *,

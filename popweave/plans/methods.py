@@ -55,6 +55,7 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str], *, seed: in
     """
     spark = records.sparkSession
     tdf = targets if isinstance(targets, DataFrame) else targets_df(spark, targets)
+    # target categories per attribute: Σ target sizes values, the only driver-side data
     tcats = {r["attr"]: r["cats"] for r in tdf.groupBy("attr").agg(F.collect_list("cat").alias("cats")).collect()}
     keys = [a for a in attrs if a in tcats]
     cols = list(records.columns)
