@@ -201,6 +201,32 @@ def ipf_fit(m: np.ndarray, codes: Sequence[np.ndarray], counts: Sequence[np.ndar
     return m, it, float(conv)
 
 
+def trs_counts(values: np.ndarray, n: int, seed: int, key: str | None = None) -> np.ndarray:
+    """Truncate-replicate-sample on one group's cell vector (already in order).
+
+    Same rule and draws as ``trs_integerize``: floor, then ``deficit`` draws
+    with u_i = md5('seed:i') (or 'seed:key:i' for a named group) over the
+    residual intervals (uniform when all residuals are 0).
+    """
+    from popweave.functions.hashing import py_hash_uniform
+
+    v = np.asarray(values, dtype=np.float64)
+    fl = np.floor(v)
+    deficit = int(n - fl.sum())
+    counts = fl.astype(np.int64)
+    if deficit <= 0 or len(v) == 0:
+        return counts
+    resid = v - fl
+    mass = resid if resid.sum() > 0 else np.ones_like(resid)
+    cum = np.cumsum(mass)
+    hi = cum / cum[-1]
+    keys = [(seed, i) if key is None else (seed, key, i) for i in range(deficit)]
+    u = np.array([py_hash_uniform(*k) for k in keys])
+    idx = np.minimum(np.searchsorted(hi, u, side="right"), len(v) - 1)
+    np.add.at(counts, idx, 1)
+    return counts
+
+
 # ------------------------------------------------------------ grouped fits
 
 def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -250,12 +276,15 @@ def rake(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n",
 
 
 def ipf(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain, *, by: Sequence[str] = (),
-        seed_col: str = "seed", tol: float = 1e-6, max_iter: int = 500, rate_tol: float = 1e-8) -> DataFrame:
+        seed_col: str = "seed", tol: float = 1e-6, max_iter: int = 500, rate_tol: float = 1e-8,
+        integerize_seed: int | None = None, order_col: str = "cell") -> DataFrame:
     """Fit ``seed · n/Σseed`` to one-way target shares × n; adds ``fitted``.
 
     Attributes without targets are unconstrained; a domain category missing
     from a target gets count 0.  Output keeps the seed columns plus
-    ``fitted, iterations, conv``.
+    ``fitted, iterations, conv``.  With ``integerize_seed`` the group's
+    cells, already in the task, are also integerized there (``count``; same
+    rule and draws as ``trs_integerize``, cells in ``order_col`` order).
     """
     spark = seed.sparkSession
     tdf = _as_targets(spark, targets)
@@ -264,12 +293,14 @@ def ipf(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain,
     c, keys = _with_group(seed, by)
     if not by:
         tdf = tdf.withColumn(GROUP_KEY, F.lit(0))
+    extra = [T.StructField("count", T.LongType())] if integerize_seed is not None else []
     schema = T.StructType(c.schema.fields + [
         T.StructField("fitted", T.DoubleType()), T.StructField("iterations", T.IntegerType()),
-        T.StructField("conv", T.DoubleType())])
+        T.StructField("conv", T.DoubleType())] + extra)
     cols = c.columns
     dom = {a: list(domain[a]) for a in attrs}
     order = list(attrs)
+    group_named = bool(by)
 
     def fit(key, cpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if cpdf.empty:
@@ -290,6 +321,10 @@ def ipf(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain,
         out["fitted"] = m
         out["iterations"] = np.int32(it)
         out["conv"] = conv
+        if integerize_seed is not None:
+            out = out.sort_values(order_col, kind="stable")
+            gkey = ":".join(str(k) for k in key) if group_named else None
+            out["count"] = trs_counts(out["fitted"].to_numpy(), n, integerize_seed, gkey)
         return out
 
     res = c.groupBy(*keys).cogroup(tdf.groupBy(*keys)).applyInPandas(fit, schema)
@@ -448,6 +483,6 @@ def load_fitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-__all__ = ["seed_table", "seed_scaled", "rake", "ipf", "rake_weights", "ipf_fit", "trs_integerize",
+__all__ = ["seed_table", "seed_scaled", "rake", "ipf", "rake_weights", "ipf_fit", "trs_integerize", "trs_counts",
            "expand_cells", "save_fitted", "load_fitted", "targets_df", "targets_from_marginals",
            "rake_driver_loop", "ipf_driver_loop", "intervals", "expand"]

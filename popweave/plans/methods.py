@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from popweave.domain import DEFAULT_SEED, Domain, grid_size
 from popweave.operators.cells import cell_counts, marginals
 from popweave.operators.conditional import EmpiricalSampler
-from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_cells, seed_table,
+from popweave.operators.fitting import (MAX_TASK_CELLS, expand_cells, ipf, rake, seed_from_year_cells, seed_table,
                                         targets_df, targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
 from popweave.operators.sampling import expand, weighted_hits
@@ -135,9 +135,14 @@ def run_ipf_population(population: DataFrame, train_years: Sequence[int], target
     real = materialize(yc.where(F.col(year_col) == int(target_year)).drop(year_col))
     targets = target_marginals(real, attrs, domain)
     s = seed_from_year_cells(yc, attrs, domain, train_years, year_col=year_col)
-    fitted = ipf(s, targets, n, attrs, domain)
-    counts = trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain))
-    syn_cells = materialize(counts.select(*attrs, F.col("count").alias("n")))
+    if grid_size(attrs, domain) <= MAX_TASK_CELLS:
+        # the fit task already holds the whole grid: integerize it there
+        counts = ipf(s, targets, n, attrs, domain, integerize_seed=seed)
+    else:
+        fitted = ipf(s, targets, n, attrs, domain)
+        counts = trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain))
+    counts = materialize(counts.select("cell", *attrs, "count"))
+    syn_cells = counts.select(*attrs, F.col("count").alias("n"))
     syn = expand_cells(counts, ["cell", *attrs], grid_bound=grid_size(attrs, domain), total=n).select(*attrs)
     elapsed = time.time() - t0
     return syn, _row(population.sparkSession, "IPF", elapsed, evaluate_suite(syn_cells, real, attrs, domain), None)
