@@ -62,14 +62,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def _year(df: DataFrame, y: int) -> DataFrame:
-    return df.where(F.col("year") == y)
-
-
 def pop_cells(spark, d, variant="base", year=None, domain=POP_DOMAIN):
-    w = fx.pop_weighted(spark, d, variant)
-    if year is not None:
-        w = _year(w, year)
+    w = fx.pop_weighted(spark, d, variant, years=None if year is None else [year])
     return C.cell_counts(w, POP_ATTRS, domain, weight_col="n")
 
 
@@ -151,7 +145,7 @@ def cell_counts(spark, d):
 
 @query
 def marginal_dense(spark, d):
-    zero = _year(fx.pop_weighted(spark, d), POP_TARGET_YEAR).where(F.col("o_orderpriority") != "5-LOW")
+    zero = fx.pop_weighted(spark, d, years=[POP_TARGET_YEAR]).where(F.col("o_orderpriority") != "5-LOW")
     cells = C.cell_counts(zero, POP_ATTRS, POP_DOMAIN, weight_col="n")
     return C.marginals(cells, POP_ATTRS, POP_DOMAIN).select("attr", "ord", "cat", "n")
 
@@ -184,8 +178,8 @@ def pairwise_joint(spark, d):
 
 @query
 def inferred_domain(spark, d):
-    ood = fx.pop_records(spark, d, "ood")
-    return infer_domain(_year(ood, SYN_YEAR), _year(ood, POP_TARGET_YEAR), POP_ATTRS)
+    return infer_domain(fx.pop_records(spark, d, "ood", years=[SYN_YEAR]),
+                        fx.pop_records(spark, d, "ood", years=[POP_TARGET_YEAR]), POP_ATTRS)
 
 
 # ---------------------------------------------------------------- F: metrics
@@ -210,7 +204,7 @@ def srmse_all(spark, d):
 @query
 def jsd_one(spark, d):
     syn = pop_cells(spark, d, "base", SYN_YEAR)
-    real_w = _year(fx.pop_weighted(spark, d), POP_TARGET_YEAR).where(F.col("o_orderpriority") != "5-LOW")
+    real_w = fx.pop_weighted(spark, d, years=[POP_TARGET_YEAR]).where(F.col("o_orderpriority") != "5-LOW")
     real = C.cell_counts(real_w, POP_ATTRS, POP_DOMAIN, weight_col="n")
     a = ["o_orderpriority"]
     return rounded(M.jsd(M._listwise(syn, a), M._listwise(real, a), a, len(POP_DOMAIN[a[0]])))
@@ -244,9 +238,7 @@ IPF_N = 10007
 
 def pop_cells_idx(spark, d, variant="base", year=None, by=()):
     """POP cells keyed by grid index ``cell`` (all POP rows are in domain)."""
-    w = fx.pop_weighted(spark, d, variant)
-    if year is not None:
-        w = _year(w, year)
+    w = fx.pop_weighted(spark, d, variant, years=None if year is None else [year])
     cells = C.cell_counts(w, POP_ATTRS, POP_DOMAIN, by=by, weight_col="n")
     return cells.withColumn("cell", cell_index(POP_ATTRS, POP_DOMAIN))
 
@@ -258,7 +250,7 @@ def pop_targets(spark, d, variant="base", year=POP_TARGET_YEAR):
 
 
 def _pop_seed(spark, d, variant="base"):
-    train = fx.pop_weighted(spark, d, variant).where(F.col("year").isin(POP_TRAIN_YEARS))
+    train = fx.pop_weighted(spark, d, variant, years=POP_TRAIN_YEARS)
     return materialize(FT.seed_table(train, POP_ATTRS, POP_DOMAIN, weight_col="n"))
 
 
@@ -272,7 +264,7 @@ def _share_check(fitted, value_col, targets, tol):
 
 @query
 def seed_table(spark, d):
-    train = fx.pop_weighted(spark, d, "ood").where(F.col("year").isin(POP_TRAIN_YEARS))
+    train = fx.pop_weighted(spark, d, "ood", years=POP_TRAIN_YEARS)
     return FT.seed_table(train, POP_ATTRS, POP_OOD_DOMAIN, weight_col="n")
 
 
@@ -334,7 +326,7 @@ def rake_shares(spark, d):
 def rake_grouped(spark, d):
     targets = pop_targets(spark, d)
     cells = materialize(C.cell_counts(
-        fx.pop_weighted(spark, d, "skew").where(F.col("year").isin(POP_TRAIN_YEARS)),
+        fx.pop_weighted(spark, d, "skew", years=POP_TRAIN_YEARS),
         POP_ATTRS, POP_DOMAIN, by=["year"], weight_col="n"))
     # the same targets for every wave: one literal target row set per year
     tg = targets.select(F.explode(F.array(*[F.lit(y) for y in POP_TRAIN_YEARS])).alias("year"), "*")
@@ -366,7 +358,7 @@ def resample_multinomial(spark, d):
 
 @query
 def subsample_exact(spark, d):
-    train = fx.pop_records(spark, d, with_rid=True).where(F.col("year").isin(POP_TRAIN_YEARS))
+    train = fx.pop_records(spark, d, with_rid=True, years=POP_TRAIN_YEARS)
     return SM.subsample_exact(train, 20000, SEED, ["rid"])
 
 
@@ -495,11 +487,11 @@ POP_N = 5000
 
 
 def _pop_train(spark, d, variant="base"):
-    return fx.pop_weighted(spark, d, variant).where(F.col("year").isin(POP_TRAIN_YEARS))
+    return fx.pop_weighted(spark, d, variant, years=POP_TRAIN_YEARS)
 
 
 def _pop_target(spark, d, variant="base"):
-    return _year(fx.pop_weighted(spark, d, variant), POP_TARGET_YEAR)
+    return fx.pop_weighted(spark, d, variant, years=[POP_TARGET_YEAR])
 
 
 @query
@@ -516,7 +508,7 @@ def conditional_sample_pooled(spark, d):
 
 @query
 def rake_resample(spark, d):
-    records = _year(fx.pop_records(spark, d, "skew"), SYN_YEAR).select(*POP_ATTRS)
+    records = fx.pop_records(spark, d, "skew", years=[SYN_YEAR]).select(*POP_ATTRS)
     return PM.rake_resample(records, pop_targets(spark, d), POP_ATTRS, seed=SEED, grid_bound=POP_GRID)
 
 

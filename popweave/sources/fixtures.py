@@ -39,8 +39,29 @@ def _lineitem(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     return li
 
 
-def _orders_customers(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(
+def year_range(col: str, years) -> Column:
+    """``year(col) in years`` as timestamp ranges (one per run of consecutive
+    years), which Parquet can push down and prune row groups with."""
+    ys = sorted(set(int(y) for y in years))
+    runs: list[list[int]] = []
+    for y in ys:
+        if runs and y == runs[-1][1] + 1:
+            runs[-1][1] = y
+        else:
+            runs.append([y, y])
+    cond = F.lit(False)
+    for a, b in runs:
+        lo = F.lit(f"{a:04d}-01-01 00:00:00").cast("timestamp_ntz")
+        hi = F.lit(f"{b + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")
+        cond = cond | ((F.col(col) >= lo) & (F.col(col) < hi))
+    return cond
+
+
+def _orders_customers(spark: SparkSession, sf_dir: str, variant: str, years=None) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    if years is not None:
+        o = o.where(year_range("o_orderdate", years))
+    o = o.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         F.year("o_orderdate").cast("int").alias("year"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -54,14 +75,16 @@ def _orders_customers(spark: SparkSession, sf_dir: str, variant: str) -> DataFra
 POP_COLUMNS = ["year", "l_linestatus", "l_returnflag", "o_orderstatus", "o_orderpriority", "c_mktsegment"]
 
 
-def pop_records(spark: SparkSession, sf_dir: str, variant: str = "base", with_rid: bool = False) -> DataFrame:
+def pop_records(spark: SparkSession, sf_dir: str, variant: str = "base", with_rid: bool = False,
+                years=None) -> DataFrame:
     """Row-level POP (one row per lineitem).  ``variant``: base|skew|ood.
 
     ``rid`` is the unique row identity ``orderkey:linenumber:partkey:suppkey``
-    used to key seeded hash uniforms.
+    used to key seeded hash uniforms.  ``years`` restricts the order dates at
+    the scan (pushed down; lineitem is then reduced by the join).
     """
     li = _lineitem(spark, sf_dir, variant)
-    oc = _orders_customers(spark, sf_dir, variant)
+    oc = _orders_customers(spark, sf_dir, variant, years)
     j = oc.join(li, oc["o_orderkey"] == li["l_orderkey"])
     cols = [F.col(c) for c in POP_COLUMNS]
     if with_rid:
@@ -70,7 +93,7 @@ def pop_records(spark: SparkSession, sf_dir: str, variant: str = "base", with_ri
     return j.select(*cols)
 
 
-def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
+def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base", years=None) -> DataFrame:
     """POP with multiplicity ``n``, for cell-level work.
 
     lineitem is aggregated per order into one count per (status, flag)
@@ -88,7 +111,7 @@ def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base") -> Dat
     per_order = li.select("l_orderkey", ls.alias("ls"), rf.alias("rf")).groupBy("l_orderkey").agg(*[
         F.count(F.when(F.col("ls").eqNullSafe(F.lit(x)) & F.col("rf").eqNullSafe(F.lit(y)), 1)).alias(f"_c{i}")
         for i, (x, y) in enumerate(combos)])
-    oc = _orders_customers(spark, sf_dir, variant)
+    oc = _orders_customers(spark, sf_dir, variant, years)
     j = oc.join(per_order, oc["o_orderkey"] == per_order["l_orderkey"])
     kv = F.explode(F.array(*[
         F.struct(F.lit(x).cast("string").alias("l_linestatus"), F.lit(y).cast("string").alias("l_returnflag"),
