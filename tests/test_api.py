@@ -56,3 +56,28 @@ def test_load_data_layouts(spark):
     assert tg2.count() == cen.where(F.col("year") == 2015).count()
     with pytest.raises(FileNotFoundError):
         api.load_data(spark, scratch_path(spark, "empty_layout"))
+
+
+def test_workers_need_no_package(tmp_path):
+    """In-task fits run from a plain session whose workers cannot import the package."""
+    import subprocess
+    import sys as _sys
+
+    repo = str(__import__("pathlib").Path(__file__).resolve().parents[1])
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from popweave.operators import fitting as FT
+seed = spark.createDataFrame([(0, "0", 1.5), (1, "1", 2.5)], "cell long, x string, seed double")
+fit = FT.ipf(seed, {{"x": {{"0": 0.3, "1": 0.7}}}}, 11, ["x"], {{"x": ["0", "1"]}}, integerize_seed=1).collect()
+assert sum(r["count"] for r in fit) == 11
+cells = spark.createDataFrame([("0", 3), ("1", 5)], "x string, n long")
+assert FT.rake(cells, {{"x": {{"0": 0.5, "1": 0.5}}}}).count() == 2
+print("OK")
+""")
+    out = subprocess.run([_sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600)
+    assert "OK" in out.stdout, out.stderr[-2000:]
