@@ -322,6 +322,14 @@ def rake_shares(spark, d):
     return _share_check(fit.withColumn("mass", F.col("n") * F.col("w")), "mass", targets, 1e-4)
 
 
+@query
+def rake_classic_shares(spark, d):
+    """Classic raking (normalised targets, fixed total) converges to the targets."""
+    targets = pop_targets(spark, d)
+    fit = FT.rake(materialize(pop_cells(spark, d, "skew", SYN_YEAR)), targets, mode="classic")
+    return _share_check(fit.withColumn("mass", F.col("n") * F.col("w")), "mass", targets, 1e-4)
+
+
 @query
 def rake_grouped(spark, d):
     targets = pop_targets(spark, d)

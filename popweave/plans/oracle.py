@@ -558,3 +558,5 @@ register("conditional_sample_pooled", _cond_sql(POP_TRAIN))
 register("ipf_grouped", with_(*_targets_ctes("pop_skew")) + """
 SELECT CAST(y.year AS INTEGER) AS year, attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok
 FROM tgt, (SELECT DISTINCT year FROM pop WHERE year BETWEEN 1995 AND 1999) y""")
+register("rake_classic_shares", with_(*_targets_ctes("pop")) + """
+SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok FROM tgt""")
