@@ -99,7 +99,7 @@ def era_df(spark: SparkSession) -> DataFrame:
 def era_narrative_expr(year: Column) -> Column:
     """Narrative for a year via a literal map (null when the year has none)."""
     m = F.create_map(*[x for y, n in sorted(ERA_NARRATIVES.items()) for x in (F.lit(y), F.lit(n))])
-    return F.element_at(m, year.cast("int"))
+    return F.try_element_at(m, year.cast("int"))
 
 
 # the same set as literal characters, for trim(): no regex per call
