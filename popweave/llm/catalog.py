@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from popweave.llm import exact_dedup, mixing, sharding
+from popweave.llm import exact_dedup, html_text, langid, mixing, pieces, quality, sharding
 
-MODULES = (exact_dedup, mixing, sharding)
+MODULES = (pieces, mixing, exact_dedup, html_text, langid, quality, sharding)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
