@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from popweave.llm import exact_dedup, html_text, langid, mixing, pieces, quality, sharding
+from popweave.llm import (
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    langid,
+    line_dedup,
+    mixing,
+    nearest,
+    pieces,
+    quality,
+    sharding,
+)
 
-MODULES = (pieces, mixing, exact_dedup, html_text, langid, quality, sharding)
+MODULES = (pieces, line_dedup, mixing, exact_dedup, html_text, jaccard_join, langid, nearest, quality, sharding)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
