@@ -170,7 +170,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_i
         yield pd.DataFrame({"model": [pickle.dumps(fit(pdf["_text"].tolist(), pdf["_lang"].tolist(), idf))]})
 
     found = sample.select("_id", "_text", "_lang").repartition(1).mapInPandas(fit_all, "model binary").first()
-    return pickle.loads(found[0])
+    return pickle.loads(found[0]) if found else fit([], [], idf)  # no task runs on no rows
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang_pred",

@@ -173,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                     pdf["_n"].to_numpy(float, na_value=np.nan), pdf["_y"].to_numpy(float))
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    return pickle.loads(rows.repartition(1).mapInPandas(fit_all, "model binary").first()[0])
+    found = rows.repartition(1).mapInPandas(fit_all, "model binary").first()
+    return pickle.loads(found[0]) if found else fit([], np.zeros(0), np.zeros(0))  # no task runs on no rows
 
 
 def score_rows(docs: DataFrame, model: dict, text_col: str = "text", size_col: str | None = "n_chars",
