@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from popweave.domain import ALL_YEARS, DEFAULT_REGION, DEFAULT_SEED, TARGET_YEAR, TRAIN_YEARS, grid_size, resolve
+from popweave.domain import ALL_YEARS, DEFAULT_REGION, DEFAULT_SEED, TARGET_YEAR, TRAIN_YEARS, resolve
 from popweave.functions import text as TX
 from popweave.functions.hashing import hash_uniform
 from popweave.operators import cells as C
@@ -33,9 +33,10 @@ YEAR_FILE = "census_harmonized_{year}.parquet"
 def load_data(spark: SparkSession, data_dir: str = "data", train_years: Sequence[int] = TRAIN_YEARS,
               target_year: int = TARGET_YEAR) -> tuple[DataFrame, DataFrame, int]:
     """Combined file if present, else the per-year files; then the split."""
-    try:
-        df = S.read_combined(spark, f"{data_dir}/{COMBINED_FILE}")
-    except Exception:  # noqa: BLE001 - missing combined file: per-year fallback
+    combined = f"{data_dir}/{COMBINED_FILE}"
+    if S.path_exists(spark, combined):
+        df = S.read_combined(spark, combined)
+    else:
         df = S.read_per_year(spark, lambda y: f"{data_dir}/{YEAR_FILE.format(year=y)}", ALL_YEARS)
     train, target = S.split_train_target(df, train_years, target_year)
     return train, target, target_year
@@ -69,13 +70,12 @@ class IPFSynthesizer:
         index (a distributed range-partitioned sort; order carries no data)."""
         if self._seed_table is None:
             raise RuntimeError("Must call fit() first.")
-        k = grid_size(self.attributes, self.category_map)
         if target_marginals is not None:
             fitted = FT.ipf(self._seed_table, target_marginals, n_samples, self.attributes, self.category_map)
         else:
             fitted = FT.seed_scaled(self._seed_table, n_samples)
-        counts = FT.trs_integerize(fitted, n_samples, self.seed, ["cell", *self.attributes], grid_bound=k)
-        recs = FT.expand_cells(counts, ["cell", *self.attributes], grid_bound=k, total=n_samples)
+        counts = FT.trs_integerize(fitted, n_samples, self.seed, ["cell", *self.attributes])
+        recs = FT.expand_cells(counts, ["cell", *self.attributes])
         if shuffle:
             recs = recs.orderBy(hash_uniform(self.seed, "record"), "record")
         return recs.select(*self.attributes)
@@ -132,11 +132,9 @@ def evaluate(syn_df: DataFrame, real_df: DataFrame, attributes=None, category_ma
 
 def ipf_reweight(syn_df: DataFrame, target_marginals, max_iter: int = 100, tol: float = 1e-6,
                  seed: int = DEFAULT_SEED, attributes=None) -> DataFrame:
-    """Rake (sequential rule) then resample as many rows as the input."""
-    attrs, dom = resolve(attributes, None)
-    attrs = [a for a in attrs if a in syn_df.columns]
-    return PM.rake_resample(syn_df, target_marginals, attrs, seed=seed, max_iter=max_iter, tol=tol,
-                            grid_bound=grid_size(attrs, dom))
+    """Rake (sequential rule) every attribute of the targets that the records
+    have, then resample as many rows as the input (uniformly without targets)."""
+    return PM.rake_resample(syn_df, target_marginals, attributes or None, seed=seed, max_iter=max_iter, tol=tol)
 
 
 def serialize_dataframe(df: DataFrame, year_col: str = "year", region: str = DEFAULT_REGION, permute: bool = True,

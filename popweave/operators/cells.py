@@ -75,6 +75,18 @@ def _domain_literal(attrs: Sequence[str], domain: Domain) -> Column:
                      for a in attrs for i, c in enumerate(domain[a])])
 
 
+def _join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Left join on group columns, which may be NULL (a NULL group is a group), and on ``keys``."""
+    names = [*by, *keys]
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    for c in keys:
+        cond = cond & (F.col(c) == F.col(f"_r_{c}"))
+    return left.join(other, cond, "left").drop(*[f"_r_{c}" for c in names])
+
+
 def marginals(cells: DataFrame, attrs: Sequence[str], domain: Domain, *, by: Sequence[str] = (),
               denominator: str = "all_rows", n: str = "n") -> DataFrame:
     """Dense marginals ``(by..., attr, ord, cat, n, prop)``.
@@ -90,8 +102,8 @@ def marginals(cells: DataFrame, attrs: Sequence[str], domain: Domain, *, by: Seq
                       .select(*by, "d.attr", "d.ord", "d.cat")
     else:
         dense = F.broadcast(domain_df(cells.sparkSession, attrs, domain))
-    out = dense.join(long, [*by, "attr", "cat"], "left") \
-               .select(*by, "attr", "ord", "cat", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+    out = _join_groups(dense, long, by, ["attr", "cat"]) \
+        .select(*by, "attr", "ord", "cat", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
     if denominator == "in_domain":
         total = F.sum("n").over(Window.partitionBy(*by, "attr"))
         prop = F.coalesce(F.try_divide(F.col("n").cast("double"), total.cast("double")), F.lit(0.0))
@@ -99,8 +111,7 @@ def marginals(cells: DataFrame, attrs: Sequence[str], domain: Domain, *, by: Seq
     if denominator != "all_rows":
         raise ValueError(f"unknown denominator {denominator!r}")
     if by:
-        totals = cells.groupBy(*by).agg(F.sum(n).alias("_total"))
-        out = out.join(totals, list(by), "left")
+        out = _join_groups(out, cells.groupBy(*by).agg(F.sum(n).alias("_total")), by, [])
         total = F.col("_total")
     else:
         total = cells.agg(F.sum(n)).scalar()

@@ -25,21 +25,17 @@ class EmpiricalSampler:
     cells: DataFrame          # (year, attrs..., n), checkpointed
     attrs: list[str]
     year_col: str = "year"
-    grid_bound: int | None = None   # measured row count of ``cells`` (a proven bound)
 
     @classmethod
     def fit(cls, train: DataFrame, attrs: Sequence[str], *, year_col: str = "year",
-            weight_col: str | None = None, grid_bound: int | None = None) -> "EmpiricalSampler":
-        """Per-year cell counts (one aggregation, checkpointed).  ``grid_bound``
-        is ignored: the measured cell count is the bound used."""
+            weight_col: str | None = None) -> "EmpiricalSampler":
+        """Per-year cell counts (one aggregation, checkpointed)."""
         by = [year_col] if year_col in train.columns else []
         cells = cell_counts(train.select(*by, *attrs, *([weight_col] if weight_col else [])),
                             list(attrs), None, by=by, weight_col=weight_col)
         if not by:
             cells = cells.withColumn(year_col, F.lit(None).cast("int"))
-        cells = materialize(cells)
-        # raw values can exceed any domain grid: bound by the measured size
-        return cls(cells, list(attrs), year_col, cells.count())
+        return cls(materialize(cells), list(attrs), year_col)
 
     def condition_cells(self, year: int | None) -> DataFrame:
         """That year's cells if any exist, else all years pooled."""
@@ -55,9 +51,9 @@ class EmpiricalSampler:
     def sample_counts(self, n: int, year: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
         """``(attrs..., hits)`` for n draws (cells never drawn are absent)."""
         cells = self.condition_cells(year)
-        return weighted_hits(cells, "n", int(n), seed, self.attrs, bounded_rows=self.grid_bound)
+        return weighted_hits(cells, "n", int(n), seed, self.attrs)
 
     def sample(self, n: int, year: int | None = None, seed: int = DEFAULT_SEED) -> DataFrame:
         """n records (attributes only; the year is dropped)."""
         hits = self.sample_counts(n, year, seed)
-        return expand(hits, "hits", self.attrs, bounded_rows=self.grid_bound, total=int(n)).select(*self.attrs)
+        return expand(hits, "hits", self.attrs).select(*self.attrs)

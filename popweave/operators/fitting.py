@@ -5,8 +5,10 @@ of its cell: fitting the cell table is exact.  Each group's cells (bounded
 by the domain product) are fitted inside one task by
 ``cogroup(cells, targets).applyInPandas`` — one job for any number of
 groups, lineage flat.  When one group's grid is larger than
-``MAX_TASK_CELLS`` the same recurrences run as a driver loop of small Spark
-aggregations over integer category codes (only per-category sums travel).
+``MAX_TASK_CELLS`` (measured) the same recurrences run as a driver loop of
+small Spark aggregations over integer category codes (only per-category sums
+and factors travel), group by group: such groups are at most the cells divided
+by that limit.
 """
 
 from __future__ import annotations
@@ -19,13 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.domain import Domain, cell_index, domain_grid, grid_size, ordinal
-from popweave.functions.hashing import py_hash_uniform
+from popweave.domain import Domain, cell_index, domain_grid, ordinal
 from popweave.operators.cells import latest_wave
-from popweave.operators.sampling import draws, expand, intervals, range_join
+from popweave.operators.sampling import expand, weighted_hits
 from popweave.session import materialize
 
-MAX_TASK_CELLS = 5_000_000
+MAX_TASK_CELLS = 1_000_000
 GROUP_KEY = "_grp"
 
 Targets = Mapping[str, Mapping[str, float]]
@@ -66,7 +67,9 @@ def seed_table(train: DataFrame, attrs: Sequence[str], domain: Domain, *, smooth
     year is then picked on that small table, so the record plan runs once.
     """
     spark = train.sparkSession
-    idx = cell_index(attrs, {a: domain[a] for a in attrs})
+    train = train.select(*[F.col(c).cast("string").alias(c) if c in attrs else F.col(c) for c in train.columns])
+    domain = {a: [str(c) for c in domain[a]] for a in attrs}
+    idx = cell_index(attrs, domain)
     cnt = F.sum(weight_col) if weight_col else F.count(F.lit(1))
     by = [year_col] if year_col in train.columns else []
     per_year = materialize(
@@ -202,30 +205,6 @@ def ipf_fit(m: np.ndarray, codes: Sequence[np.ndarray], counts: Sequence[np.ndar
     return m, it, float(conv)
 
 
-def trs_counts(values: np.ndarray, n: int, seed: int, key: str | None = None) -> np.ndarray:
-    """Truncate-replicate-sample on one group's cell vector (already in order).
-
-    Same rule and draws as ``trs_integerize``: floor, then ``deficit`` draws
-    with u_i = md5('seed:i') (or 'seed:key:i' for a named group) over the
-    residual intervals (uniform when all residuals are 0).
-    """
-    v = np.asarray(values, dtype=np.float64)
-    fl = np.floor(v)
-    deficit = int(n - fl.sum())
-    counts = fl.astype(np.int64)
-    if deficit <= 0 or len(v) == 0:
-        return counts
-    resid = v - fl
-    mass = resid if resid.sum() > 0 else np.ones_like(resid)
-    cum = np.cumsum(mass)
-    hi = cum / cum[-1]
-    keys = [(seed, i) if key is None else (seed, key, i) for i in range(deficit)]
-    u = np.array([py_hash_uniform(*k) for k in keys])
-    idx = np.minimum(np.searchsorted(hi, u, side="right"), len(v) - 1)
-    np.add.at(counts, idx, 1)
-    return counts
-
-
 # ------------------------------------------------------------ grouped fits
 
 def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -234,19 +213,36 @@ def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df.withColumn(GROUP_KEY, F.lit(0)), [GROUP_KEY]
 
 
+def _by_size(cells: DataFrame, tdf: DataFrame, keys: Sequence[str], small, large) -> DataFrame:
+    """``small`` over all groups that fit a task, ``large(cells, targets)`` over each of the others."""
+    over = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells")).where(F.col("_cells") > MAX_TASK_CELLS)
+    groups = over.select(*keys).collect()  # at most the cells divided by MAX_TASK_CELLS
+    if not groups:
+        return small(cells, tdf)
+    out, rest = None, F.lit(True)
+    for g in groups:
+        here = F.lit(True)
+        for k in keys:
+            here = here & F.col(k).eqNullSafe(F.lit(g[k]))
+        one = large(cells.where(here), tdf.where(here))
+        out = one if out is None else out.unionByName(one)
+        rest = rest & ~here
+    return out.unionByName(small(cells.where(rest), tdf.where(rest)))
+
+
 def rake(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n", mode: str = "sequential",
-         max_iter: int = 100, tol: float = 1e-6, grid_bound: int | None = None) -> DataFrame:
+         max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Rake cell weights to one-way targets; adds ``w, iterations, max_change``.
 
     ``targets``: ordered dict ``{attr: {cat: prop}}`` (same for every group)
     or a DataFrame ``(by..., attr, attr_pos, cat, cat_pos, prop)``.
     An empty group yields no rows (the reference returns an empty copy).
     """
+    if mode not in ("sequential", "classic"):
+        raise ValueError(f"unknown mode {mode!r}")
     spark = cells.sparkSession
     tdf = _as_targets(spark, targets)
-    if grid_bound is not None and grid_bound > MAX_TASK_CELLS and not by:
-        return rake_driver_loop(cells, targets, n_col=n_col, mode=mode, max_iter=max_iter, tol=tol)
-    c, keys = _with_group(cells, by)
+    c, keys = _with_group(materialize(cells), by)
     if not by:
         tdf = tdf.withColumn(GROUP_KEY, F.lit(0))
     schema = T.StructType(c.schema.fields + [
@@ -270,36 +266,32 @@ def rake(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n",
         out["max_change"] = float(ch)
         return out
 
-    res = c.groupBy(*keys).cogroup(tdf.groupBy(*keys)).applyInPandas(fit, schema)
+    res = _by_size(
+        c, tdf, keys,
+        lambda x, t: x.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(fit, schema),
+        lambda x, t: rake_driver_loop(x, t, n_col=n_col, mode=mode, max_iter=max_iter, tol=tol))
     return res.drop(GROUP_KEY) if not by else res
 
 
 def ipf(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain, *, by: Sequence[str] = (),
-        seed_col: str = "seed", tol: float = 1e-6, max_iter: int = 500, rate_tol: float = 1e-8,
-        integerize_seed: int | None = None, order_col: str = "cell") -> DataFrame:
+        seed_col: str = "seed", tol: float = 1e-6, max_iter: int = 500, rate_tol: float = 1e-8) -> DataFrame:
     """Fit ``seed · n/Σseed`` to one-way target shares × n; adds ``fitted``.
 
     Attributes without targets are unconstrained; a domain category missing
     from a target gets count 0.  Output keeps the seed columns plus
-    ``fitted, iterations, conv``.  With ``integerize_seed`` the group's
-    cells, already in the task, are also integerized there (``count``; same
-    rule and draws as ``trs_integerize``, cells in ``order_col`` order).
+    ``fitted, iterations, conv``.
     """
     spark = seed.sparkSession
     tdf = _as_targets(spark, targets)
-    if not by and grid_size(attrs, domain) > MAX_TASK_CELLS:
-        return ipf_driver_loop(seed, targets, n, attrs, domain, seed_col=seed_col, tol=tol, max_iter=max_iter)
-    c, keys = _with_group(seed, by)
+    c, keys = _with_group(materialize(seed), by)
     if not by:
         tdf = tdf.withColumn(GROUP_KEY, F.lit(0))
-    extra = [T.StructField("count", T.LongType())] if integerize_seed is not None else []
     schema = T.StructType(c.schema.fields + [
         T.StructField("fitted", T.DoubleType()), T.StructField("iterations", T.IntegerType()),
-        T.StructField("conv", T.DoubleType())] + extra)
+        T.StructField("conv", T.DoubleType())])
     cols = c.columns
     dom = {a: list(domain[a]) for a in attrs}
     order = list(attrs)
-    group_named = bool(by)
 
     def fit(key, cpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if cpdf.empty:
@@ -320,153 +312,170 @@ def ipf(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain,
         out["fitted"] = m
         out["iterations"] = np.int32(it)
         out["conv"] = conv
-        if integerize_seed is not None:
-            out = out.sort_values(order_col, kind="stable")
-            gkey = ":".join(str(k) for k in key) if group_named else None
-            out["count"] = trs_counts(out["fitted"].to_numpy(), n, integerize_seed, gkey)
         return out
 
-    res = c.groupBy(*keys).cogroup(tdf.groupBy(*keys)).applyInPandas(fit, schema)
+    res = _by_size(
+        c, tdf, keys,
+        lambda x, t: x.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(fit, schema),
+        lambda x, t: ipf_driver_loop(x, t, n, attrs, domain, seed_col=seed_col, tol=tol, max_iter=max_iter,
+                                     rate_tol=rate_tol))
     return res.drop(GROUP_KEY) if not by else res
 
 
 # ------------------------------------------------- huge-grid driver loops
 
-def _factor_expr(col: str, cats: Sequence[str], factors: Sequence[float]):
-    o = ordinal(col, cats)
-    arr = F.array(*[F.lit(float(f)) for f in factors])
-    return F.when(o >= 0, F.element_at(arr, o + 1)).otherwise(F.lit(1.0))
+def _target_lists(targets) -> dict[str, tuple[list[str], np.ndarray]]:
+    """Categories and shares of each attribute, in target order (Σ target sizes values)."""
+    if not isinstance(targets, DataFrame):
+        return {a: ([str(c) for c in t], np.array([float(p) for p in t.values()])) for a, t in targets.items()}
+    rows = targets.select("attr", "attr_pos", "cat", "cat_pos", "prop").orderBy("attr_pos", "cat_pos").collect()
+    out: dict[str, tuple[list[str], list[float]]] = {}
+    for r in rows:
+        cats, props = out.setdefault(r["attr"], ([], []))
+        cats.append(r["cat"])
+        props.append(float(r["prop"]))
+    return {a: (c, np.array(p)) for a, (c, p) in out.items()}
+
 
+class _Loop:
+    """One large cell table with integer category codes, encoded once, and one factor per category.
+
+    Factors enter the plan as array literals, which generated code refers to
+    and does not contain: a step compiles nothing new.
+    """
 
-def rake_driver_loop(cells: DataFrame, targets: Targets, *, n_col: str = "n", mode: str = "sequential",
+    def __init__(self, cells: DataFrame, cats: Mapping[str, Sequence[str]], mass: str):
+        self.cols = cells.columns
+        self.mass = F.col(mass).cast("double")
+        self.base = materialize(cells.select("*", *[ordinal(a, c).alias(f"_o_{a}") for a, c in cats.items()]))
+        self.factors = {a: np.ones(len(c)) for a, c in cats.items()}
+
+    def weight(self):
+        w = F.lit(1.0)
+        for a, f in self.factors.items():
+            w = w * F.element_at(F.lit(np.concatenate(([1.0], f))), F.col(f"_o_{a}") + 2)
+        return w
+
+    def sums(self, attr: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Mass and largest weight of each category, and the mass of all cells."""
+        rows = (self.base.select(F.col(f"_o_{attr}").alias("o"), (self.mass * self.weight()).alias("m"),
+                                 self.weight().alias("w"))
+                .groupBy("o").agg(F.sum("m").alias("cur"), F.max("w").alias("mx")).collect())
+        cur, top = np.zeros((2, len(self.factors[attr])))
+        for r in rows:
+            if r["o"] >= 0:
+                cur[r["o"]], top[r["o"]] = r["cur"], r["mx"]
+        return cur, top, float(sum(r["cur"] for r in rows))
+
+    def result(self, *columns) -> DataFrame:
+        return self.base.select(*self.cols, *columns)
+
+
+def rake_driver_loop(cells: DataFrame, targets, *, n_col: str = "n", mode: str = "sequential",
                      max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Same recurrence as ``rake_weights`` for one very large cell table.
 
     State is one factor per target category (driver side); each attribute
     step is one aggregation over the checkpointed cells returning
-    ``|categories|`` rows.  Sequential mode only.
+    ``|categories|`` rows.
     """
-    if mode != "sequential":
-        raise NotImplementedError("driver loop implements the sequential rule")
-    base = materialize(cells)
-    attrs = list(targets)
-    cats = {a: list(targets[a]) for a in attrs}
-    props = {a: np.array([float(targets[a][c]) for c in cats[a]]) for a in attrs}
-    fac = {a: np.ones(len(cats[a])) for a in attrs}
-
-    def weight():
-        w = F.lit(1.0)
-        for a in attrs:
-            w = w * _factor_expr(a, cats[a], fac[a])
-        return w
-
+    lists = _target_lists(targets)
+    loop = _Loop(cells, {a: c for a, (c, _) in lists.items()}, n_col)
+    props = {a: p for a, (_, p) in lists.items()}
     it, change = 0, 0.0
+    listed = F.lit(1.0)
+    if mode == "classic":
+        # Values outside the targets have no weight, and targets count as shares of a fixed total.
+        total = float(loop.base.agg(F.sum(loop.mass)).first()[0] or 0.0)
+        for a in props:
+            listed = listed * F.when(F.col(f"_o_{a}") >= 0, 1.0).otherwise(0.0)
+        loop.mass = loop.mass * listed
+        props = {a: p / p.sum() if p.sum() > 0 else p * 0.0 for a, p in props.items()}
     for it in range(1, max_iter + 1):
         change = 0.0
-        for a in attrs:
-            w = weight()
-            o = ordinal(a, cats[a])
-            rows = (base.select(o.alias("o"), (F.col(n_col) * w).alias("mass"), w.alias("w"))
-                    .groupBy("o").agg(F.sum("mass").alias("cur"), F.max("w").alias("mx")).collect())
-            W = float(sum(r["cur"] for r in rows))
-            cur = np.zeros(len(cats[a]))
-            mx = np.zeros(len(cats[a]))
-            for r in rows:
-                if r["o"] >= 0:
-                    cur[r["o"]], mx[r["o"]] = r["cur"], r["mx"]
-            t = props[a]
-            for j in range(len(t)):
-                if t[j] <= 0 or cur[j] <= 0:
-                    continue
-                adj = t[j] * W / cur[j]
-                fac[a][j] *= adj
-                W += (adj - 1.0) * cur[j]
-                change = max(change, abs(adj - 1.0) * mx[j])
-        if change < tol:
+        for a, t in props.items():
+            cur, top, mass = loop.sums(a)
+            if mode == "classic":
+                loop.factors[a] *= np.where(cur > 0, t * total / np.where(cur > 0, cur, 1.0), 1.0)
+                continue
+            for j in np.flatnonzero((t > 0) & (cur > 0)):
+                adj = t[j] * mass / cur[j]
+                loop.factors[a][j] *= adj
+                mass += (adj - 1.0) * cur[j]
+                change = max(change, abs(adj - 1.0) * top[j])
+        if mode == "classic":
+            for a, t in props.items():
+                cur, pos = loop.sums(a)[0], t > 0
+                if pos.any():
+                    change = max(change, float(np.max(np.abs(cur[pos] / (t[pos] * total) - 1.0))))
+            if change <= tol:
+                break
+        elif change < tol:
             break
-    return base.select("*", weight().alias("w"), F.lit(it).alias("iterations"),
+    return loop.result((loop.weight() * listed).alias("w"), F.lit(it).alias("iterations"),
                        F.lit(float(change)).alias("max_change"))
 
 
-def ipf_driver_loop(seed: DataFrame, targets: Targets, n: int, attrs: Sequence[str], domain: Domain, *,
+def ipf_driver_loop(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain, *,
                     seed_col: str = "seed", tol: float = 1e-6, max_iter: int = 500,
                     rate_tol: float = 1e-8) -> DataFrame:
     """Classic IPF for one grid too large for a task: factors per category."""
-    base = materialize(seed)
-    total = float(base.agg(F.sum(seed_col)).first()[0])
-    scale = float(n) / total
-    present = [a for a in attrs if a in targets]
-    counts = {a: np.array([float(targets[a].get(c, 0.0)) for c in domain[a]]) * n for a in present}
-    fac = {a: np.ones(len(domain[a])) for a in present}
-
-    def fitted():
-        m = F.col(seed_col) * F.lit(scale)
-        for a in present:
-            m = m * _factor_expr(a, domain[a], fac[a])
-        return m
-
-    def margins(a):
-        o = ordinal(a, domain[a])
-        cur = np.zeros(len(domain[a]))
-        for r in base.select(o.alias("o"), fitted().alias("m")).groupBy("o").agg(F.sum("m").alias("s")).collect():
-            if r["o"] >= 0:
-                cur[r["o"]] = r["s"]
-        return cur
-
+    lists = _target_lists(targets)
+    present = [a for a in attrs if a in lists]
+    loop = _Loop(seed, {a: list(domain[a]) for a in present}, seed_col)
+    scale = float(n) / float(loop.base.agg(F.sum(seed_col)).first()[0])
+    loop.mass = loop.mass * F.lit(scale)
+    share = {a: dict(zip(*lists[a], strict=True)) for a in present}
+    counts = {a: np.array([float(share[a].get(c, 0.0)) for c in domain[a]]) * n for a in present}
     conv, old, it = np.inf, -np.inf, 0
     while it < max_iter and conv > tol and abs(conv - old) > rate_tol:
         old = conv
         for a in present:
-            cur = margins(a)
-            fac[a] *= np.where(cur > 0, counts[a] / np.where(cur > 0, cur, 1.0), 1.0)
+            cur = loop.sums(a)[0]
+            loop.factors[a] *= np.where(cur > 0, counts[a] / np.where(cur > 0, cur, 1.0), 1.0)
         conv = 0.0
         for a in present:
-            cur, t = margins(a), counts[a]
+            cur, t = loop.sums(a)[0], counts[a]
             pos = t > 0
             if pos.any():
                 conv = max(conv, float(np.max(np.abs(cur[pos] / t[pos] - 1.0))))
             if np.any(cur[~pos] > 0):
                 conv = np.inf
         it += 1
-    return base.select("*", fitted().alias("fitted"), F.lit(it).alias("iterations"),
+    return loop.result((loop.mass * loop.weight()).alias("fitted"), F.lit(it).alias("iterations"),
                        F.lit(float(conv)).alias("conv"))
 
 
 # ----------------------------------------------------- integerize / expand
 
 def trs_integerize(fitted: DataFrame, n: int, seed: int, key_cols: Sequence[str], *, value_col: str = "fitted",
-                   order_col: str = "cell", grid_bound: int | None = None) -> DataFrame:
+                   order_col: str = "cell") -> DataFrame:
     """Truncate-replicate-sample: ``count = floor(v) + hits``.
 
     deficit = n − Σfloor; when positive, ``deficit`` draws with replacement,
     p ∝ residual (uniform when every residual is 0); when <= 0 nothing is
-    removed.  The deficit is below the cell count, so draws are generated
-    from ``spark.range(cells)`` filtered by the deficit scalar.
+    removed.  The deficit has no bound but n (the fitted cells sum to less
+    than n where the last fitted target's shares sum to less than 1), so the
+    draws are a distributed range.
     """
-    base = fitted.select(order_col, *[k for k in key_cols if k != order_col], value_col)
-    fl = base.withColumn("floor", F.floor(F.col(value_col)).cast("long")) \
-             .withColumn("resid", F.col(value_col) - F.floor(F.col(value_col)))
-    fl = materialize(fl)
-    cells_n = grid_bound if grid_bound is not None else int(fl.count())
-    deficit = F.lit(int(n)) - fl.agg(F.sum("floor")).scalar()
-    rsum = fl.agg(F.sum("resid")).scalar()
-    mass = fl.withColumn("mass", F.when(rsum > 0, F.col("resid")).otherwise(F.lit(1.0)))
-    iv = intervals(mass.select(order_col, "mass"), "mass", [order_col], bounded_rows=cells_n)
-    d = draws(fitted.sparkSession, deficit, seed, bound=max(cells_n, 1))
-    nb = max(1, min(cells_n, 1 << 20))
-    hits = range_join(d, F.col("u"), iv, "lo", "hi", span=1.0, n_buckets=nb,
-                      broadcast=cells_n <= 2_000_000).groupBy(order_col).agg(F.count(F.lit(1)).alias("hits"))
+    keys = [k for k in key_cols if k != order_col]
+    v = F.col(value_col)
+    fl = materialize(fitted.select(order_col, *keys, F.floor(v).cast("long").alias("floor"), (v - F.floor(v)).alias("resid")))
+    floors, resids = fl.agg(F.sum("floor"), F.sum("resid")).first()
+    deficit = int(n) - int(floors or 0)
+    if deficit <= 0:
+        return fl.select(order_col, *keys, F.col("floor").alias("count"))
+    mass = fl.select(order_col, (F.col("resid") if resids > 0 else F.lit(1.0)).alias("mass"))
+    hits = weighted_hits(mass, "mass", deficit, seed, [order_col])
     return fl.join(hits, order_col, "left").select(
-        order_col, *[k for k in key_cols if k != order_col],
-        (F.col("floor") + F.coalesce(F.col("hits"), F.lit(0))).cast("long").alias("count"))
+        order_col, *keys, (F.col("floor") + F.coalesce(F.col("hits"), F.lit(0))).cast("long").alias("count"))
 
 
 def expand_cells(counts: DataFrame, key_cols: Sequence[str], *, count_col: str = "count",
-                 order_col: str = "cell", grid_bound: int | None = None, total: int | None = None) -> DataFrame:
-    """Integer cell table -> records (``key_cols...``), count <= 0 dropped."""
-    out = expand(counts, count_col, [order_col] + [k for k in key_cols if k != order_col],
-                 bounded_rows=grid_bound, total=total)
-    return out.select(*[k for k in key_cols if k != order_col], "record")
+                 order_col: str = "cell") -> DataFrame:
+    """Integer cell table -> Σcount records (``key_cols...``), count <= 0 dropped."""
+    keys = [k for k in key_cols if k != order_col]
+    return expand(counts, count_col, keys, order_cols=[order_col]).select(*keys, "record")
 
 
 def save_fitted(fitted: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
@@ -482,6 +491,6 @@ def load_fitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-__all__ = ["seed_table", "seed_scaled", "rake", "ipf", "rake_weights", "ipf_fit", "trs_integerize", "trs_counts",
+__all__ = ["seed_table", "seed_scaled", "rake", "ipf", "rake_weights", "ipf_fit", "trs_integerize",
            "expand_cells", "save_fitted", "load_fitted", "targets_df", "targets_from_marginals",
-           "rake_driver_loop", "ipf_driver_loop", "intervals", "expand"]
+           "rake_driver_loop", "ipf_driver_loop"]

@@ -1,12 +1,15 @@
 """Seeded sampling on cell tables, distributed end to end.
 
-* ``intervals``: cumulative mass per row as ``[lo, hi)`` in [0, 1) (or
-  integer ``[cum_lo, cum_hi)``).  Small tables use one ordered window; large
-  ones a two-level prefix sum (block totals, then a window per block).
+* ``intervals``: cumulative mass per row as ``[cum_lo, cum_hi)``, in key
+  order at every size.  A small table (measured) uses one ordered window; a
+  larger one range-partitioned blocks of bounded size, in the same order, each
+  with its own window and an offset from a prefix sum over the blocks.  A
+  row's lower edge *is* the upper edge of the row before it, so floating-point
+  masses leave neither gaps nor overlaps.
 * ``range_join``: points -> the interval containing them, as a bucketed
-  equi-join plus a range filter.  Intervals are exploded only to the buckets
-  they overlap (<= rows + buckets), and points are bucketed by value, so a
-  heavy interval spreads over many buckets instead of one task.
+  equi-join plus a range filter.  There are as many buckets as intervals;
+  intervals are exploded only to the buckets they overlap (<= rows + buckets),
+  so a heavy interval spreads over many buckets instead of one task.
 * Draws come from ``spark.range(m)`` with ``u = hash_uniform(seed, i)``:
   evenly partitioned, reproducible, independent of partitioning.
 """
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from popweave.functions.hashing import hash_uniform
+from popweave.session import stash
 
-SMALL_TABLE_ROWS = 2_000_000     # single ordered window allowed below this
-BROADCAST_INTERVAL_ROWS = 2_000_000
-PREFIX_BLOCKS = 4096
+SMALL_TABLE_ROWS = 1_000_000     # single ordered window allowed up to this
+BLOCK_ROWS = 500_000             # rows of a block of the prefix sum
+BROADCAST_BYTES = 64 << 20       # measured size up to which intervals are broadcast
+ROW_BYTES = 48                   # besides the key's text: two edges, a bucket, row overhead
 TOPK_LIMIT = 1_000_000           # exact subsample via TakeOrdered below this
 ROWS_PER_RANGE_PARTITION = 4_000_000
 EDGE_BUCKETS = 1 << 16
@@ -36,31 +41,45 @@ def index_range(spark, m: int) -> DataFrame:
     return spark.range(0, m, 1, parts)
 
 
-def intervals(df: DataFrame, mass_col: str, order_cols: Sequence[str], *, bounded_rows: int | None = None,
+def measured(df: DataFrame, cols: Sequence[str]) -> tuple[int, int]:
+    """Rows, and bytes of their ``cols`` as text plus the fixed part of a row."""
+    rows, text = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*cols))))).first()
+    return rows, (text or 0) + rows * ROW_BYTES
+
+
+def row_key(cols: Sequence[str]) -> Column:
+    """A narrow key of a whole row: the MD5 of its JSON."""
+    return F.md5(F.to_json(F.struct(*cols)))
+
+
+def intervals(df: DataFrame, mass_col: str, order_cols: Sequence[str], *, rows: int | None = None,
               normalize: bool = True) -> DataFrame:
-    """Add ``cum_lo, cum_hi`` (and ``lo, hi`` in [0,1) when ``normalize``).
+    """Add ``cum_lo, cum_hi`` (and ``lo, hi`` in [0,1] when ``normalize``).
 
-    ``bounded_rows``: a known upper bound on the row count (e.g. the grid
-    size).  Within the bound a single ordered window is used; otherwise a
-    two-level prefix sum over hash blocks keeps every window partition small.
-    Zero-mass rows get empty intervals and are never hit.
+    ``order_cols`` identify a row and order the intervals; ``rows`` is the
+    row count where the caller has measured it.  Zero-mass rows get empty
+    intervals and are never hit.
     """
-    m = F.col(mass_col)
-    if bounded_rows is not None and bounded_rows <= SMALL_TABLE_ROWS:
-        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn("cum_hi", F.sum(m).over(w))
+    rows = df.count() if rows is None else rows
+    if rows <= SMALL_TABLE_ROWS:
+        order = Window.orderBy(*order_cols)
+        run = df.withColumn("cum_hi", F.sum(mass_col).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        out = run.withColumn("cum_lo", F.coalesce(F.lag("cum_hi").over(order), F.lit(0)))
     else:
-        blk = F.pmod(F.xxhash64(*order_cols), F.lit(PREFIX_BLOCKS))
-        b = df.withColumn("_blk", blk)
-        tot = b.groupBy("_blk").agg(F.sum(mass_col).alias("_bt"))
-        wo = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        offs = tot.select("_blk", F.coalesce(F.sum("_bt").over(wo), F.lit(0)).alias("_off"))
-        wi = Window.partitionBy("_blk").orderBy(*order_cols) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = (b.join(F.broadcast(offs), "_blk")
-               .withColumn("cum_hi", F.col("_off") + F.sum(m).over(wi))
-               .drop("_off", "_blk"))
-    out = out.withColumn("cum_lo", F.col("cum_hi") - m)
+        n = math.ceil(rows / BLOCK_ROWS)
+        # Written with its block numbers: a later re-run of the range exchange could cut elsewhere.
+        b = stash(df.repartitionByRange(n, *order_cols).withColumn("_blk", F.spark_partition_id()), "prefix-blocks")
+        over_blocks = Window.orderBy("_blk")  # one row a block
+        totals = b.groupBy("_blk").agg(F.sum(mass_col).alias("_t"))
+        offs = (totals.withColumn("_next", F.sum("_t").over(over_blocks.rowsBetween(Window.unboundedPreceding, 0)))
+                .withColumn("_off", F.coalesce(F.lag("_next").over(over_blocks), F.lit(0))).drop("_t"))
+        order = Window.partitionBy("_blk").orderBy(*order_cols)
+        run = b.join(F.broadcast(offs), "_blk").withColumn(
+            "_run", F.col("_off") + F.sum(mass_col).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        last = F.lead(F.lit(1)).over(order).isNull()
+        out = (run.withColumn("cum_hi", F.when(last, F.col("_next")).otherwise(F.least("_run", "_next")))
+               .withColumn("cum_lo", F.coalesce(F.lag("cum_hi").over(order), F.col("_off")))
+               .drop("_off", "_next", "_run", "_blk"))
     if normalize:
         total = out.agg(F.max("cum_hi")).scalar()
         out = out.withColumn("lo", F.col("cum_lo") / total).withColumn("hi", F.col("cum_hi") / total)
@@ -70,65 +89,64 @@ def intervals(df: DataFrame, mass_col: str, order_cols: Sequence[str], *, bounde
 def range_join(points: DataFrame, point: Column, ivals: DataFrame, lo: str, hi: str, *,
                span: float, n_buckets: int, broadcast: bool) -> DataFrame:
     """Join each point p in [0, span) to the interval with ``lo <= p < hi``."""
-    width = span / n_buckets
-    b_lo = F.floor(F.col(lo) / F.lit(width)).cast("long")
-    b_hi = F.least(F.floor(F.col(hi) / F.lit(width)).cast("long"), F.lit(n_buckets - 1))
+    bucket = lambda x: F.least(F.floor(x.cast("double") / F.lit(span) * F.lit(float(n_buckets))).cast("long"),
+                               F.lit(n_buckets - 1))
+    b_lo, b_hi = bucket(F.col(lo)), bucket(F.col(hi))
     iv = (ivals.where(F.col(hi) > F.col(lo))
           .withColumn("_bucket", F.explode(F.sequence(b_lo, F.greatest(b_lo, b_hi)))))
-    pts = points.withColumn("_p", point).withColumn(
-        "_bucket", F.least(F.floor(F.col("_p") / F.lit(width)).cast("long"), F.lit(n_buckets - 1)))
+    pts = points.withColumn("_p", point).withColumn("_bucket", bucket(F.col("_p")))
     side = F.broadcast(iv) if broadcast else iv
     cond = (pts["_bucket"] == side["_bucket"]) & (pts["_p"] >= side[lo]) & (pts["_p"] < side[hi])
     return pts.join(side, cond).drop("_bucket", "_p")
 
 
-def draws(spark, m: int | Column, seed: int, *, bound: int | None = None) -> DataFrame:
-    """``(draw BIGINT, u DOUBLE)`` for draws ``0..m-1``.
+def draws(spark, m: int, seed: int) -> DataFrame:
+    """``(draw BIGINT, u DOUBLE)`` for draws ``0..m-1``."""
+    return index_range(spark, m).select(F.col("id").alias("draw"), hash_uniform(seed, F.col("id")).alias("u"))
 
-    ``m`` may be a column (scalar subquery); then ``bound`` caps the range
-    that is generated before the filter ``draw < m``.
+
+def weighted_hits(cells: DataFrame, mass_col: str, m: int, seed: int, key_cols: Sequence[str], *,
+                  order_cols: Sequence[str] | None = None) -> DataFrame:
+    """Multinomial: m draws with p ∝ mass -> ``(key_cols..., hits)`` (hit cells only).
+
+    ``order_cols`` (default: the keys) order the intervals.  Draws carry a
+    narrow key: the only key column, or the MD5 of all of them.
     """
-    if isinstance(m, int):
-        base = index_range(spark, m)
-    else:
-        if bound is None:
-            raise ValueError("a data-dependent draw count needs a bound")
-        base = index_range(spark, bound).where(F.col("id") < m)
-    return base.select(F.col("id").alias("draw"), hash_uniform(seed, F.col("id")).alias("u"))
-
-
-def weighted_hits(cells: DataFrame, mass_col: str, m: int | Column, seed: int, key_cols: Sequence[str], *,
-                  bounded_rows: int | None, bound: int | None = None) -> DataFrame:
-    """Multinomial: m draws with p ∝ mass -> ``(key_cols..., hits)`` (hit cells only)."""
-    iv = intervals(cells.select(*key_cols, mass_col), mass_col, key_cols, bounded_rows=bounded_rows)
-    rows = bounded_rows if bounded_rows is not None else 10 * BROADCAST_INTERVAL_ROWS
-    nb = max(1, min(rows, 1 << 20))
-    d = draws(cells.sparkSession, m, seed, bound=bound)
-    j = range_join(d, F.col("u"), iv, "lo", "hi", span=1.0, n_buckets=nb,
-                   broadcast=rows <= BROADCAST_INTERVAL_ROWS)
-    return j.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("hits"))
-
-
-def expand(cells: DataFrame, count_col: str, key_cols: Sequence[str], *, bounded_rows: int | None,
-           total: int | None = None) -> DataFrame:
+    order = list(order_cols or key_cols)
+    narrow = len(key_cols) == 1
+    base = cells.select(*dict.fromkeys([*key_cols, *order, mass_col]))
+    if not narrow:
+        base = base.withColumn("_rid", row_key(key_cols))
+    rid = key_cols[0] if narrow else "_rid"
+    rows, size = measured(base, [rid])
+    if not rows or m <= 0:
+        return base.select(*key_cols, F.lit(0).cast("long").alias("hits")).limit(0)
+    iv = intervals(base, mass_col, order, rows=rows)
+    j = range_join(draws(cells.sparkSession, m, seed), F.col("u"), iv.select(rid, "lo", "hi"), "lo", "hi", span=1.0,
+                   n_buckets=rows, broadcast=size <= BROADCAST_BYTES)
+    hits = j.groupBy(rid).agg(F.count(F.lit(1)).alias("hits"))
+    return hits if narrow else base.join(hits, "_rid").select(*key_cols, "hits")
+
+
+def expand(cells: DataFrame, count_col: str, key_cols: Sequence[str], *,
+           order_cols: Sequence[str] | None = None) -> DataFrame:
     """Repeat each cell ``count`` times (count <= 0 dropped) as record rows.
 
     Records are ``spark.range(Σcount)`` joined to integer intervals
     ``[cum_lo, cum_hi)``: the output is evenly partitioned however the counts
-    are skewed.  Adds ``record`` (0-based global index).
+    are skewed.  Adds ``record`` (0-based global index, in key order).
     """
-    c = cells.select(*key_cols, F.greatest(F.col(count_col).cast("long"), F.lit(0)).alias("_cnt"))
-    iv = intervals(c, "_cnt", key_cols, bounded_rows=bounded_rows, normalize=False)
+    order = list(order_cols or key_cols)
+    c = cells.select(*dict.fromkeys([*key_cols, *order]), F.greatest(F.col(count_col).cast("long"), F.lit(0)).alias("_cnt"))
     spark = cells.sparkSession
-    if total is None:
-        total = int(c.agg(F.sum("_cnt")).first()[0] or 0)
+    rows, size = measured(c, list(dict.fromkeys([*key_cols, *order])))
+    total = int(c.agg(F.sum("_cnt")).first()[0] or 0) if rows else 0
     if total == 0:
         return spark.createDataFrame([], cells.select(*key_cols).schema).withColumn("record", F.lit(0).cast("long"))
-    rows = bounded_rows if bounded_rows is not None else 10 * BROADCAST_INTERVAL_ROWS
-    nb = max(1, min(max(rows, 1), 1 << 20, total))
+    iv = intervals(c, "_cnt", order, rows=rows, normalize=False)
     pts = index_range(spark, total).select(F.col("id").alias("record"))
     j = range_join(pts, F.col("record").cast("double"), iv, "cum_lo", "cum_hi", span=float(total),
-                   n_buckets=nb, broadcast=rows <= BROADCAST_INTERVAL_ROWS)
+                   n_buckets=min(rows, total), broadcast=size <= BROADCAST_BYTES)
     return j.select(*key_cols, "record")
 
 

@@ -5,9 +5,9 @@ per attribute, structural zeros, and a ``reject_reason`` (null = accepted).
 It is row-local, so the same function serves batch and streaming inputs.
 
 ``take_accepted`` reproduces the sequential loop without a global sort:
-accepted counts per batch (one small aggregate), a cumulative count over
-batches (one row per batch), then only the cut batch is ranked by position
-(a batch is at most one generation batch wide).
+accepted counts per batch (one aggregate), the batch that holds the n-th
+record (found level by level from bounded sums), earlier batches whole, and
+only the cut batch ranked by position.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from popweave.domain import CENSUS_ATTRS, CENSUS_DOMAIN
 from popweave.functions.rules import STRUCTURAL_ZERO_RULES, ZeroRule, feasible, violations
 from popweave.functions.text import match_category, normalized, parse_records, stage
+from popweave.session import materialize
 
+FAN = 1_024  # parts of a level of batches
 REASONS = ("incomplete", "unmatched", "infeasible")  # reject_reason values, in check order
 
 
@@ -60,35 +61,65 @@ def max_batches(n: int, batch_size: int) -> int:
     return max(int(math.ceil(n / batch_size)) * 3, 10)
 
 
-def _batch_stats(validated: DataFrame, n: int, batch_size: int, batch_col: str) -> DataFrame:
-    mb = max_batches(n, batch_size)
-    per = (validated.where(F.col(batch_col) < mb)
-           .groupBy(batch_col)
-           .agg(F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("acc"),
-                F.count(F.when(F.col("reject_reason").isNotNull(), 1)).alias("fail")))
-    w = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("acc_before", F.coalesce(F.sum("acc").over(w), F.lit(0))) \
-              .where(F.col("acc_before") < n)
+def first_batches(texts: DataFrame, n: int, batch_size: int = 64, batch_col: str = "batch") -> DataFrame:
+    """The batches that may be read for n records; to be taken before texts are parsed."""
+    return texts.where(F.col(batch_col) < max_batches(n, batch_size))
+
+
+def _per_batch(validated: DataFrame, n: int, batch_size: int, batch_col: str) -> DataFrame:
+    """``(batch, acc, fail)`` of the batches that may be read."""
+    return (first_batches(validated, n, batch_size, batch_col).groupBy(batch_col)
+            .agg(F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("acc"),
+                 F.count(F.when(F.col("reject_reason").isNotNull(), 1)).alias("fail")))
+
+
+def _cut(per: DataFrame, n: int, batch_col: str) -> tuple[int, int]:
+    """The last batch read, and the records accepted before it (all batches if n is not reached).
+
+    Levels of batches: a level's sums (``FAN`` rows at most) give the one
+    that holds the n-th record, whose parts are the next level.
+    """
+    lo, hi = (per.agg(F.min(batch_col), F.max(batch_col)).first())
+    if lo is None:
+        return -1, 0
+    hi, before = hi + 1, 0
+    while hi - lo > 1:
+        step = -(-(hi - lo) // FAN)
+        part = F.floor((F.col(batch_col) - F.lit(lo)) / F.lit(step))
+        sums = dict(per.where((F.col(batch_col) >= lo) & (F.col(batch_col) < hi))
+                    .groupBy(part.cast("long")).agg(F.sum("acc")).collect())
+        for k in sorted(sums):
+            if before + sums[k] >= n:
+                break
+            if k == max(sums):
+                return lo + (k + 1) * step, before  # n is not reached
+            before += sums[k]
+        lo, hi = lo + k * step, min(hi, lo + (k + 1) * step)
+    return lo, before
 
 
 def take_accepted(validated: DataFrame, n: int, *, batch_size: int = 64, batch_col: str = "batch",
                   pos_col: str = "pos") -> DataFrame:
     """First n accepted records in (batch, pos) order among batches < max_batches.
 
-    The per-batch table has one row per batch; the only ranking is within a
-    batch, so no task ever sorts more than one generation batch.
+    Batches before the cut batch are taken whole; the cut batch alone is
+    ranked by position.  Only the cut (two numbers) is broadcast, in the plan.
     """
-    stats = _batch_stats(validated, n, batch_size, batch_col).select(batch_col, "acc_before")
-    acc = accepted(validated).join(F.broadcast(stats), batch_col)
-    rank = F.row_number().over(Window.partitionBy(batch_col).orderBy(pos_col))
-    return acc.withColumn("_r", rank).where(F.col("acc_before") + F.col("_r") <= n).drop("_r", "acc_before")
+    if n <= 0:
+        return accepted(validated).limit(0)
+    cut, before = _cut(materialize(_per_batch(validated, n, batch_size, batch_col)), n, batch_col)
+    acc = accepted(first_batches(validated, n, batch_size, batch_col))
+    whole = acc.where(F.col(batch_col) < cut)
+    edge = acc.where(F.col(batch_col) == cut).orderBy(pos_col).limit(n - before)
+    return whole.unionByName(edge)
 
 
 def generation_stats(validated: DataFrame, n: int, *, batch_size: int = 64, batch_col: str = "batch") -> DataFrame:
     """One row: requested, accepted (after truncation to n), failed, batches,
     fill_rate = accepted / requested, parse_rate = accepted / (accepted + failed)."""
-    stats = _batch_stats(validated, n, batch_size, batch_col)
-    agg = stats.agg(F.coalesce(F.sum("acc"), F.lit(0)).alias("acc_all"),
+    per = materialize(_per_batch(validated, n, batch_size, batch_col))
+    cut, _ = _cut(per, n, batch_col)
+    agg = per.where(F.col(batch_col) <= cut).agg(F.coalesce(F.sum("acc"), F.lit(0)).alias("acc_all"),
                     F.coalesce(F.sum("fail"), F.lit(0)).alias("failed"),
                     F.count(F.lit(1)).alias("batches"))
     acc = F.least(F.col("acc_all"), F.lit(n)).cast("long")

@@ -13,17 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.domain import DEFAULT_SEED, Domain, grid_size
+from popweave.domain import DEFAULT_SEED, Domain
 from popweave.operators.cells import cell_counts, marginals
 from popweave.operators.conditional import EmpiricalSampler
-from popweave.operators.fitting import (MAX_TASK_CELLS, expand_cells, ipf, rake, seed_from_year_cells, seed_table,
-                                        targets_df, targets_from_marginals, trs_integerize)
+from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_cells, seed_table, targets_df,
+                                        targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
-from popweave.operators.sampling import expand, weighted_hits
-from popweave.operators.validate import generation_stats, take_accepted, validate_generated
-from popweave.session import materialize
+from popweave.operators.sampling import BROADCAST_BYTES, expand, measured, row_key, weighted_hits
+from popweave.operators.validate import first_batches, generation_stats, take_accepted, validate_generated
+from popweave.session import materialize, stash
 
-BROADCAST_WEIGHT_ROWS = 2_000_000  # fitted weights are broadcast only under this proven bound
 RESULT_COLS = ["method", "time_sec", "srmse_avg", "jsd_full_joint", "srmse_avg_ipf", "jsd_full_joint_ipf"]
 
 
@@ -38,50 +37,49 @@ def evaluate_records(syn: DataFrame, real_cells: DataFrame, attrs: Sequence[str]
     return evaluate_suite(syn_cells, real_cells, attrs, domain)
 
 
-def rake_resample(records: DataFrame, targets, attrs: Sequence[str], *, seed: int = DEFAULT_SEED,
-                  grid_bound: int | None = None, mode: str = "sequential", max_iter: int = 100,
-                  tol: float = 1e-6) -> DataFrame:
+def rake_resample(records: DataFrame, targets, attrs: Sequence[str] | None = None, *, seed: int = DEFAULT_SEED,
+                  mode: str = "sequential", max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Rake the records to the targets, then draw as many records as there
     are inputs with p ∝ weight (with replacement).  Empty in -> empty out.
 
-    ``grid_bound`` is accepted for compatibility; the bounds used are the
-    target sizes (fit) and the measured size of the checkpointed cells.
-    The fit runs on cells keyed by the raked attributes only, with values
-    outside the targets folded to NULL (they are never adjusted), so the
-    fitted table is bounded by the target sizes whatever else the records
-    hold.  The weights (a small, size-bounded table) are joined to the
-    full-row cells, and the draws expand back to rows through the range join:
-    no record-level sort, no per-cell window, no unbounded group.
+    Every attribute of the targets is raked (those in ``attrs``, if given, and
+    in the records); with none left, records are drawn uniformly.  The fit
+    runs on cells keyed by the raked attributes only, with values outside the
+    targets folded to NULL (they are never adjusted), so the fitted table is
+    bounded by the target sizes whatever else the records hold.  The weights
+    are joined to the distinct rows; draws carry a row's MD5, which also
+    orders them, and expand back to rows through the range join: no
+    record-level sort of whole rows, no per-cell window, no unbounded group.
     """
     spark = records.sparkSession
     tdf = targets if isinstance(targets, DataFrame) else targets_df(spark, targets)
     # target categories per attribute: Σ target sizes values, the only driver-side data
-    tcats = {r["attr"]: r["cats"] for r in tdf.groupBy("attr").agg(F.collect_list("cat").alias("cats")).collect()}
-    keys = [a for a in attrs if a in tcats]
+    tcats: dict[str, list[str]] = {}
+    for r in tdf.select("attr", "attr_pos", "cat").orderBy("attr_pos").collect():
+        tcats.setdefault(r["attr"], []).append(r["cat"])
     cols = list(records.columns)
-    full = materialize(records.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
-    folded = [F.when(F.col(a).isin(tcats[a]), F.col(a)).alias(a) for a in keys]
-    fit_cells = full.select(*folded, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
-    fit_bound = 1
-    for a in keys:
-        fit_bound *= len(tcats[a]) + 1
-    fit = materialize(rake(fit_cells, tdf, mode=mode, max_iter=max_iter, tol=tol, grid_bound=fit_bound))
-    weights = fit.select(*[F.col(a).alias(f"_k_{a}") for a in keys], "w")
-    on = [F.when(full[a].isin(tcats[a]), full[a]).eqNullSafe(weights[f"_k_{a}"]) for a in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    side = F.broadcast(weights) if fit_bound <= BROADCAST_WEIGHT_ROWS else weights
-    mass = full.join(side, cond, "left") \
-        .select(*cols, (F.col("n") * F.coalesce(F.col("w"), F.lit(1.0))).alias("mass"), "n")
-    total = int(full.agg(F.sum("n")).first()[0] or 0)
+    keys = [a for a in tcats if a in cols and (attrs is None or a in attrs)]
+    full = stash(records.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_rid", row_key(cols)), "distinct-rows")
+    total = int(full.agg(F.sum("_n")).first()[0] or 0)
     if total == 0:
         return records.limit(0)
-    # full-row cells can outnumber the grid (extra columns, raw values): use
-    # the measured size of the checkpointed table as the bound
-    rows = full.count()
-    hits = weighted_hits(mass, "mass", total, seed, cols, bounded_rows=rows)
-    return expand(hits, "hits", cols, bounded_rows=rows, total=total).select(*cols)
+    mass = full.select("_rid", F.col("_n").cast("double").alias("_mass"))
+    if keys:
+        value = {a: F.col(f"`{a}`").cast("string") for a in keys}
+        folded = [F.when(value[a].isin(tcats[a]), value[a]).alias(a) for a in keys]
+        fit_cells = full.select(*folded, "_n").groupBy(*keys).agg(F.sum("_n").alias("n"))
+        fit = materialize(rake(fit_cells, tdf.where(F.col("attr").isin(keys)), mode=mode, max_iter=max_iter, tol=tol))
+        weights = fit.select(*[F.col(a).alias(f"_k_{a}") for a in keys], "w")
+        side = full.select("_rid", "_n", *[f.alias(f"_v_{a}") for a, f in zip(keys, folded)])
+        cond = F.lit(True)
+        for a in keys:
+            cond = cond & F.col(f"_v_{a}").eqNullSafe(F.col(f"_k_{a}"))
+        if measured(weights, weights.columns)[1] <= BROADCAST_BYTES:
+            weights = F.broadcast(weights)
+        mass = side.join(weights, cond, "left").select(
+            "_rid", (F.col("_n") * F.coalesce(F.col("w"), F.lit(1.0))).alias("_mass"))
+    hits = weighted_hits(mass, "_mass", total, seed, ["_rid"])
+    return expand(full.join(hits, "_rid"), "hits", cols, order_cols=["_rid"]).select(*cols)
 
 
 def _row(spark, method: str, elapsed: float, raw: DataFrame, raked: DataFrame | None) -> DataFrame:
@@ -108,9 +106,9 @@ def run_ipf(train: DataFrame, target: DataFrame, n: int, attrs: Sequence[str], d
     targets = target_marginals(real, attrs, domain)
     s = seed_table(train, attrs, domain, weight_col=weight_col, year_col=year_col)
     fitted = ipf(s, targets, n, attrs, domain)
-    counts = trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain))
-    syn_cells = materialize(counts.select(*attrs, F.col("count").alias("n")))
-    syn = expand_cells(counts, ["cell", *attrs], grid_bound=grid_size(attrs, domain), total=n).select(*attrs)
+    counts = materialize(trs_integerize(fitted, n, seed, ["cell", *attrs]))
+    syn_cells = counts.select(*attrs, F.col("count").alias("n"))
+    syn = expand_cells(counts, ["cell", *attrs]).select(*attrs)
     elapsed = time.time() - t0
     res = evaluate_suite(syn_cells, real, attrs, domain)
     return syn, _row(train.sparkSession, "IPF", elapsed, res, None)
@@ -128,36 +126,31 @@ def year_cells(population: DataFrame, attrs: Sequence[str], domain: Domain, *, y
 
 def run_ipf_population(population: DataFrame, train_years: Sequence[int], target_year: int, n: int,
                        attrs: Sequence[str], domain: Domain, *, seed: int = DEFAULT_SEED,
-                       weight_col: str | None = None, year_col: str = "year"):
+                       weight_col: str | None = None, year_col: str = "year", tol: float = 1e-6):
     """``run_ipf`` on one population table: a single pass over the records."""
     t0 = time.time()
     yc = year_cells(population, attrs, domain, year_col=year_col, weight_col=weight_col)
     real = materialize(yc.where(F.col(year_col) == int(target_year)).drop(year_col))
     targets = target_marginals(real, attrs, domain)
     s = seed_from_year_cells(yc, attrs, domain, train_years, year_col=year_col)
-    if grid_size(attrs, domain) <= MAX_TASK_CELLS:
-        # the fit task already holds the whole grid: integerize it there
-        counts = ipf(s, targets, n, attrs, domain, integerize_seed=seed)
-    else:
-        fitted = ipf(s, targets, n, attrs, domain)
-        counts = trs_integerize(fitted, n, seed, ["cell", *attrs], grid_bound=grid_size(attrs, domain))
-    counts = materialize(counts.select("cell", *attrs, "count"))
+    fitted = ipf(s, targets, n, attrs, domain, tol=tol)
+    counts = materialize(trs_integerize(fitted, n, seed, ["cell", *attrs]))
     syn_cells = counts.select(*attrs, F.col("count").alias("n"))
-    syn = expand_cells(counts, ["cell", *attrs], grid_bound=grid_size(attrs, domain), total=n).select(*attrs)
+    syn = expand_cells(counts, ["cell", *attrs]).select(*attrs)
     elapsed = time.time() - t0
     return syn, _row(population.sparkSession, "IPF", elapsed, evaluate_suite(syn_cells, real, attrs, domain), None)
 
 
 def run_conditional(train: DataFrame, target: DataFrame, target_year: int, n: int, attrs: Sequence[str],
-                    domain: Domain, *, seed: int = DEFAULT_SEED, weight_col: str | None = None):
+                    domain: Domain, *, seed: int = DEFAULT_SEED, weight_col: str | None = None, tol: float = 1e-6):
     """Empirical year-conditioned sampler; raw and raked evaluation."""
     t0 = time.time()
-    sampler = EmpiricalSampler.fit(train, attrs, weight_col=weight_col, grid_bound=grid_size(attrs, domain))
-    syn = materialize(sampler.sample(n, target_year, seed))
+    sampler = EmpiricalSampler.fit(train, attrs, weight_col=weight_col)
+    syn = stash(sampler.sample(n, target_year, seed), "sampled")
     elapsed = time.time() - t0
     real = materialize(cell_counts(target, attrs, domain, weight_col=weight_col))
     targets = target_marginals(real, attrs, domain)
-    raked = rake_resample(syn, targets, attrs, seed=seed, grid_bound=grid_size(attrs, domain))
+    raked = rake_resample(syn, targets, attrs, seed=seed, tol=tol)
     res = _row(train.sparkSession, "Conditional", elapsed, evaluate_records(syn, real, attrs, domain),
                evaluate_records(raked, real, attrs, domain))
     return syn, res
@@ -165,17 +158,19 @@ def run_conditional(train: DataFrame, target: DataFrame, target_year: int, n: in
 
 def run_text(texts: DataFrame, target: DataFrame, n: int, attrs: Sequence[str], domain: Domain, *,
              oversample_factor: int = 1, seed: int = DEFAULT_SEED, batch_size: int = 64,
-             label: str = "Text"):
+             label: str = "Text", tol: float = 1e-6):
     """Validate generated texts, keep the first n·factor accepted, rake the pool."""
     t0 = time.time()
     gen_count = n * oversample_factor
-    validated = materialize(validate_generated(texts, keep=["batch", "pos"], attrs=attrs, domain=domain))
-    pool = materialize(take_accepted(validated, gen_count, batch_size=batch_size).select(*attrs))
+    # Only the batches that may be read are parsed, once.
+    validated = stash(validate_generated(first_batches(texts, gen_count, batch_size), keep=["batch", "pos"], attrs=attrs,
+                                         domain=domain), "validated")
+    pool = stash(take_accepted(validated, gen_count, batch_size=batch_size).select(*attrs), "accepted")
     elapsed = time.time() - t0
     stats = generation_stats(validated, gen_count, batch_size=batch_size)
     real = materialize(cell_counts(target, attrs, domain))
     targets = target_marginals(real, attrs, domain)
-    raked = rake_resample(pool, targets, attrs, seed=seed, grid_bound=grid_size(attrs, domain))
+    raked = rake_resample(pool, targets, attrs, seed=seed, tol=tol)
     res = _row(texts.sparkSession, label, elapsed, evaluate_records(pool, real, attrs, domain),
                evaluate_records(raked, real, attrs, domain))
     res = res.unionByName(stats.select(F.col("accepted").alias("n_generated"),

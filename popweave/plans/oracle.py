@@ -102,12 +102,12 @@ grid AS (SELECT CAST(row_number() OVER (ORDER BY {', '.join(f'o_{a}' for a in PO
        {ATTR_LIST}
 FROM {' CROSS JOIN '.join(f"(SELECT unnest({sql_list(POP_DOMAIN[a])}) AS {a}, "
                           f"generate_subscripts({sql_list(POP_DOMAIN[a])}, 1) AS o_{a})" for a in POP_ATTRS)})""",
-                              f"cnt AS (SELECT {ATTR_LIST}, count(*) AS n FROM pop WHERE year = 1999 GROUP BY ALL)")
+                              f"cnt AS (SELECT {ATTR_LIST}, count(*) AS n FROM pop GROUP BY ALL)")
          + f"SELECT grid.cell, {', '.join('grid.' + a for a in POP_ATTRS)}, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n "
            f"FROM grid LEFT JOIN cnt USING ({ATTR_LIST})")
 register("cell_counts", with_() + f"SELECT year, {ATTR_LIST}, count(*) AS n FROM pop GROUP BY ALL")
 register("marginal_dense", with_(f"""
-real AS (SELECT * FROM pop WHERE year = {TARGET} AND o_orderpriority <> '5-LOW')""",
+real AS (SELECT * FROM pop WHERE o_orderpriority <> '5-LOW')""",
                                  f"""
 longf AS ({' UNION ALL '.join(f"SELECT {q(a)} AS attr, {a} AS cat FROM real" for a in POP_ATTRS)})""") + f"""
 SELECT dom.attr, CAST(dom.ord AS INTEGER) AS ord, dom.cat, CAST(count(longf.cat) AS BIGINT) AS n
@@ -121,7 +121,8 @@ def _marg_sql(denominator: str) -> str:
         prop = "c / (SELECT count(*) FROM real)"
     else:
         prop = "COALESCE(c / NULLIF(sum(c) OVER (PARTITION BY attr), 0), 0.0)"
-    return with_(f"real AS (SELECT * FROM pop_ood WHERE year = {TARGET})", f"longf AS ({longf})",
+    where = f" WHERE year = {TARGET}" if denominator == "all_rows" else ""
+    return with_(f"real AS (SELECT * FROM pop_ood{where})", f"longf AS ({longf})",
                  f"""cnt AS (SELECT dom.attr, dom.ord, dom.cat, count(longf.cat) AS c
                  FROM {dom_values(POP_ATTRS, POP_OOD_DOMAIN)}
                  LEFT JOIN longf ON longf.attr = dom.attr AND longf.cat = dom.cat
@@ -132,7 +133,7 @@ SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(CAST({prop} AS DOUBLE), 6)
 register("marginals_all_rows", _marg_sql("all_rows"))
 register("marginals_in_domain", _marg_sql("in_domain"))
 register("joint_k", with_(f"""
-real AS (SELECT * FROM pop_ood WHERE year = {TARGET} AND {' AND '.join(in_dom(a, POP_OOD_DOMAIN) for a in PAIR3)})""",
+real AS (SELECT * FROM pop_ood WHERE {' AND '.join(in_dom(a, POP_OOD_DOMAIN) for a in PAIR3)})""",
                           f"cnt AS (SELECT {', '.join(PAIR3)}, count(*) AS n FROM real GROUP BY ALL)") + f"""
 SELECT {', '.join('g.' + a for a in PAIR3)}, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n,
        round(COALESCE(cnt.n, 0) / (SELECT count(*) FROM real), 6) AS p
@@ -153,16 +154,14 @@ def _pair_dense() -> str:
     return f"(VALUES {rows}) AS d(a1, a2, v1, v2)"
 
 
-register("pairwise_joint", with_(f"real AS (SELECT * FROM pop WHERE year = {TARGET})",
+register("pairwise_joint", with_("real AS (SELECT * FROM pop)",
                                  f"pr AS ({_pairs_sql('real')})",
                                  "pc AS (SELECT a1, a2, v1, v2, count(*) AS n FROM pr GROUP BY ALL)") + f"""
 SELECT d.a1, d.a2, d.v1, d.v2, CAST(COALESCE(pc.n, 0) AS BIGINT) AS n,
        round(COALESCE(COALESCE(pc.n, 0) / NULLIF(sum(COALESCE(pc.n, 0)) OVER (PARTITION BY d.a1, d.a2), 0), 0.0), 6) AS p
 FROM {_pair_dense()} LEFT JOIN pc USING (a1, a2, v1, v2)""")
-register("inferred_domain", with_(f"""
-both_sides AS (SELECT * FROM pop_ood WHERE year IN ({SYN_YEAR}, {TARGET}))""",
-                                  "vals AS (" + " UNION ".join(
-                                      f"SELECT {q(a)} AS attr, CAST({a} AS VARCHAR) AS cat FROM both_sides "
+register("inferred_domain", with_("vals AS (" + " UNION ".join(
+                                      f"SELECT {q(a)} AS attr, CAST({a} AS VARCHAR) AS cat FROM pop_ood "
                                       f"WHERE {a} IS NOT NULL" for a in POP_ATTRS) + ")") + """
 SELECT attr, CAST(row_number() OVER (PARTITION BY attr ORDER BY cat) - 1 AS INTEGER) AS ord, cat FROM vals""")
 
@@ -265,12 +264,12 @@ def _seed_ctes(src="pop", domain=POP_DOMAIN):
                FROM {_grid_idx(domain)} g LEFT JOIN cnt_seed USING ({ATTR_LIST}))"""]
 
 
-def _targets_ctes(src: str, name="tgt"):
+def _targets_ctes(src: str, name="tgt", domain=POP_DOMAIN):
     longf = " UNION ALL ".join(f"SELECT {q(a)} AS attr, {a} AS cat FROM t_src" for a in POP_ATTRS)
     return [f"t_src AS (SELECT * FROM {src} WHERE year = {TARGET})",
             f"t_long AS ({longf})",
             f"""{name} AS (SELECT dom.attr, dom.ord, dom.cat, count(t_long.cat) / (SELECT count(*) FROM t_src) AS prop
-               FROM {dom_values(POP_ATTRS, POP_DOMAIN)} LEFT JOIN t_long ON t_long.attr = dom.attr AND t_long.cat = dom.cat
+               FROM {dom_values(POP_ATTRS, domain)} LEFT JOIN t_long ON t_long.attr = dom.attr AND t_long.cat = dom.cat
                GROUP BY dom.attr, dom.ord, dom.cat)"""]
 
 
@@ -279,77 +278,139 @@ register("seed_scaled", with_(*_seed_ctes()) + f"""
 SELECT cell, {ATTR_LIST}, seed, round(seed * {IPF_N} / (SELECT sum(seed) FROM seed), 6) AS fitted FROM seed""")
 
 
-def _ipf_two_pass_sql() -> str:
-    ctes = _seed_ctes() + _targets_ctes("pop_skew")
-    ctes.append(f"m0 AS (SELECT cell, {ATTR_LIST}, seed, seed * {float(IPF_N)} / (SELECT sum(seed) FROM seed) AS m FROM seed)")
+IPF_PASSES = 10  # sweeps after which the test tables' fits no longer move
+
+
+def _ipf_ctes(passes: int, n: int, start: str = "seed", by: str = "", factor: float = 1.0) -> tuple[list[str], str]:
+    """CTEs of ``passes`` sweeps from ``start`` to ``tgt``, and the name of the last (column m)."""
+    g = f"{by}, " if by else ""
+    over = f"OVER (PARTITION BY {by})" if by else "OVER ()"
+    ctes = [f"m0 AS (SELECT {g}cell, {ATTR_LIST}, seed, seed * {float(n)} / sum(seed) {over} AS m FROM {start})"]
     k = 0
-    for _ in range(2):
+    for _ in range(passes):
         for a in POP_ATTRS:
             ctes.append(f"""m{k + 1} AS (
-              SELECT x.cell, {', '.join('x.' + b for b in POP_ATTRS)}, x.seed,
-                     CASE WHEN x.cur > 0 THEN x.m * (COALESCE(t.prop, 0.0) * {float(IPF_N)} / x.cur) ELSE x.m END AS m
-              FROM (SELECT *, sum(m) OVER (PARTITION BY {a}) AS cur FROM m{k}) x
+              SELECT {f"x.{by}, " if by else ""}x.cell, {', '.join('x.' + b for b in POP_ATTRS)}, x.seed,
+                     CASE WHEN x.cur > 0 THEN x.m * (COALESCE(t.prop * {factor}, 0.0) * {float(n)} / x.cur) ELSE x.m END AS m
+              FROM (SELECT *, sum(m) OVER (PARTITION BY {g}{a}) AS cur FROM m{k}) x
               LEFT JOIN tgt t ON t.attr = {q(a)} AND t.cat = x.{a})""")
             k += 1
-    return with_(*ctes) + f"SELECT cell, {ATTR_LIST}, round(m, 6) AS fitted FROM m{k}"
+    return ctes, f"m{k}"
 
 
-register("ipf_two_pass", _ipf_two_pass_sql())
-register("fitted_roundtrip", _ipf_two_pass_sql())
-register("ipf_fitted_marginals", with_(*_targets_ctes("pop_skew")) + """
-SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok FROM tgt""")
+def _ipf_two_pass_sql() -> str:
+    ctes, last = _ipf_ctes(2, IPF_N)
+    return with_(*_seed_ctes(), *_targets_ctes("pop_skew"), *ctes) + f"SELECT cell, {ATTR_LIST}, round(m, 6) AS fitted FROM {last}"
 
 
-def _trs_ctes():
-    return _seed_ctes() + [
-        f"scaled AS (SELECT cell, {ATTR_LIST}, seed * {IPF_N} / (SELECT sum(seed) FROM seed) AS v FROM seed)",
-        f"fl AS (SELECT cell, {ATTR_LIST}, floor(v) AS fl, v - floor(v) AS resid FROM scaled)",
+def _shares_sql(table: str, value: str) -> str:
+    """Fitted share of each category beside its target."""
+    long = " UNION ALL ".join(f"SELECT {q(a)} AS attr, {a} AS cat, {value} AS v FROM {table}" for a in POP_ATTRS)
+    return f"""
+SELECT t.attr, CAST(t.ord AS INTEGER) AS ord, t.cat, round(t.prop, 5) AS target,
+       round(COALESCE(s.v, 0.0) / (SELECT sum({value}) FROM {table}), 5) AS fitted
+FROM tgt t LEFT JOIN (SELECT attr, cat, sum(v) AS v FROM ({long}) GROUP BY ALL) s USING (attr, cat)"""
+
+
+register("ipf_two_pass", _ipf_two_pass_sql())
+register("fitted_roundtrip", _ipf_two_pass_sql())
+_fit, _last = _ipf_ctes(IPF_PASSES, IPF_N)
+register("ipf_fitted_marginals", with_(*_seed_ctes(), *_targets_ctes("pop_skew"), *_fit) + _shares_sql(_last, "m"))
+_fit, _last = _ipf_ctes(IPF_PASSES, IPF_N, "seeds", "year")
+register("ipf_grouped", with_(*_targets_ctes("pop_skew"), f"""
+seeds AS (SELECT y.year, g.cell, {', '.join('g.' + a for a in POP_ATTRS)}, CAST(COALESCE(c.n, 0) + 0.5 AS DOUBLE) AS seed
+          FROM (SELECT DISTINCT year FROM pop WHERE {POP_TRAIN}) y CROSS JOIN {_grid_idx(POP_DOMAIN)} g
+          LEFT JOIN (SELECT year, {ATTR_LIST}, count(*) AS n FROM pop GROUP BY ALL) c USING (year, {ATTR_LIST}))""", *_fit)
+         + f"SELECT year, cell, {ATTR_LIST}, round(m, 4) AS fitted FROM {_last}")
+
+
+def _trs_ctes(values: str, n: int, value: str = "v") -> list[str]:
+    """Truncate, replicate, sample: ``trs`` has the counts of the cells of ``values``."""
+    return [
+        f"fl AS (SELECT cell, {ATTR_LIST}, floor({value}) AS fl, {value} - floor({value}) AS resid FROM {values})",
         "mass AS (SELECT *, CASE WHEN (SELECT sum(resid) FROM fl) > 0 THEN resid ELSE 1.0 END AS mass FROM fl)",
         "iv0 AS (SELECT *, sum(mass) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi FROM mass)",
-        "iv AS (SELECT *, (cum_hi - mass) / (SELECT max(cum_hi) FROM iv0) AS lo, cum_hi / (SELECT max(cum_hi) FROM iv0) AS hi FROM iv0)",
-        f"dr AS (SELECT range AS i, {uniform_sql('range')} AS u FROM range(0, 450) "
-        f"WHERE range < (SELECT {IPF_N} - sum(fl) FROM fl))",
+        """iv AS (SELECT *, COALESCE(lag(cum_hi) OVER (ORDER BY cell), 0.0) / (SELECT max(cum_hi) FROM iv0) AS lo,
+           cum_hi / (SELECT max(cum_hi) FROM iv0) AS hi FROM iv0)""",
+        f"""dr AS (SELECT i, {uniform_sql('i')} AS u
+            FROM (SELECT unnest(range(CAST((SELECT greatest({n} - sum(fl), 0) FROM fl) AS BIGINT))) AS i))""",
         "hits AS (SELECT cell, count(*) AS h FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi AND iv.hi > iv.lo GROUP BY cell)",
         f"trs AS (SELECT cell, {ATTR_LIST}, CAST(fl + COALESCE(h, 0) AS BIGINT) AS count FROM fl LEFT JOIN hits USING (cell))"]
 
 
-register("trs_integerize", with_(*_trs_ctes()) + "SELECT * FROM trs")
-register("expand_cells", with_(*_trs_ctes(), """ex AS (SELECT *, sum(count) OVER (ORDER BY cell ROWS BETWEEN
+SCALED = f"scaled AS (SELECT cell, {ATTR_LIST}, seed * {IPF_N} / (SELECT sum(seed) FROM seed) AS v FROM seed)"
+TRS_N = 100_003
+for _name, _factor in (("trs_short_targets", 1.0), ("trs_long_targets", 1.2)):
+    _fit, _last = _ipf_ctes(2, TRS_N, factor=_factor)
+    register(_name, with_(*_seed_ctes("pop_ood", POP_OOD_DOMAIN), *_targets_ctes("pop_ood", domain=POP_OOD_DOMAIN), *_fit,
+                          *_trs_ctes(_last, TRS_N, "m")) + f"SELECT cell, {ATTR_LIST}, count, count AS records FROM trs")
+
+
+register("trs_integerize", with_(*_seed_ctes(), SCALED, *_trs_ctes("scaled", IPF_N)) + "SELECT * FROM trs")
+register("expand_cells", with_(*_seed_ctes(), SCALED, *_trs_ctes("scaled", IPF_N), """ex AS (SELECT *, sum(count) OVER (ORDER BY cell ROWS BETWEEN
          UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM trs)""") + f"""
 SELECT {ATTR_LIST}, r.range AS record FROM ex JOIN range(0, {IPF_N}) r ON r.range >= ex.chi - ex.count AND r.range < ex.chi""")
 
 
-def _rake_two_pass_sql() -> str:
-    ctes = _targets_ctes("pop") + [
-        f"w0 AS (SELECT {ATTR_LIST}, count(*) AS n, 1.0 AS w FROM pop_skew WHERE year = {SYN_YEAR} GROUP BY ALL)"]
+RAKE_PASSES = 24  # passes of the sequential rule after which the test tables' weights no longer move
+
+
+def _rake_ctes(start: str, passes: int, attrs=POP_ATTRS, domain=POP_DOMAIN, tgt: str = "tgt", by: str = "", n: str = "n",
+               mode: str = "sequential", name: str = "w") -> tuple[list[str], str]:
+    """CTEs of ``passes`` raking passes over ``start`` (cells with ``n``), and the name of the last (column w).
+
+    One row of factors for each attribute step: the masses of its categories,
+    and the running total that the sequential rule reads after each category.
+    """
+    cols, g = ", ".join(attrs), f"{by}, " if by else ""
+    shares = ", ".join(f"(SELECT prop FROM {tgt} WHERE attr = {q(a)} AND cat = {q(c)}) AS t_{i}_{j}"
+                       for i, a in enumerate(attrs) for j, c in enumerate(domain[a]))
+    ctes = [f"{name}_t AS MATERIALIZED (SELECT {shares})"]
+    listed = " * ".join(f"CASE WHEN {in_dom(a, domain)} THEN 1.0 ELSE 0.0 END" for a in attrs) if mode == "classic" else "1.0"
+    ctes.append(f"{name}0 AS MATERIALIZED (SELECT {g}{cols}, {n} AS n, {listed} AS w FROM {start})")
     k = 0
-    for _ in range(2):
-        for a in POP_ATTRS:
-            ctes.append(f"cur{k} AS (SELECT {a} AS cat, sum(n * w) AS cur FROM w{k} GROUP BY {a})")
-            ctes.append(f"W{k}_0 AS (SELECT sum(n * w) AS W, 1.0 AS adj FROM w{k})")
-            for j, c in enumerate(POP_DOMAIN[a]):
-                t = f"(SELECT prop FROM tgt WHERE attr = {q(a)} AND cat = {q(c)})"
-                cur = f"COALESCE((SELECT cur FROM cur{k} WHERE cat = {q(c)}), 0.0)"
-                adj = f"CASE WHEN ({t} > 0 AND {cur} > 0) THEN {t} * p.W / {cur} ELSE 1.0 END"
-                ctes.append(f"W{k}_{j + 1} AS (SELECT p.W + (({adj}) - 1.0) * {cur} AS W, {adj} AS adj FROM W{k}_{j} p)")
-            case = " ".join(f"WHEN {q(c)} THEN (SELECT adj FROM W{k}_{j + 1})" for j, c in enumerate(POP_DOMAIN[a]))
-            ctes.append(f"w{k + 1} AS (SELECT {ATTR_LIST}, n, w * CASE {a} {case} ELSE 1.0 END AS w FROM w{k})")
+    for _ in range(passes):
+        for i, a in enumerate(attrs):
+            cats = list(enumerate(domain[a]))
+            masses = ", ".join(f"COALESCE(sum(n * w) FILTER (WHERE {a} = {q(c)}), 0.0) AS u{j}" for j, c in cats)
+            if mode == "classic":
+                all_t = " + ".join(f"t_{i}_{j}" for j, _ in cats)
+                steps = ", ".join(f"CASE WHEN u{j} > 0 THEN t_{i}_{j} / ({all_t}) * total / u{j} ELSE 1.0 END AS a{j}" for j, _ in cats)
+            else:
+                steps, total = [], "total"
+                for j, _ in cats:
+                    adj = f"CASE WHEN t_{i}_{j} > 0 AND u{j} > 0 THEN t_{i}_{j} * {total} / u{j} ELSE 1.0 END"
+                    steps += [f"{adj} AS a{j}", f"{total} + (a{j} - 1.0) * u{j} AS s{j}"]
+                    total = f"s{j}"
+                steps = ", ".join(steps)
+            whole = "sum(n)" if mode == "classic" else "sum(n * w)"
+            ctes.append(f"""{name}_f{k} AS MATERIALIZED (SELECT {g}{steps} FROM (
+              SELECT {g}{masses}, {whole} AS total FROM {name}{k} {f"GROUP BY {by}" if by else ""}) CROSS JOIN {name}_t)""")
+            case = " ".join(f"WHEN {q(c)} THEN f.a{j}" for j, c in cats)
+            join = f"JOIN {name}_f{k} f USING ({by})" if by else f"CROSS JOIN {name}_f{k} f"
+            ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {g}{cols}, n, w * CASE {a} {case} ELSE 1.0 END AS w FROM {name}{k} {join})")
             k += 1
-    return with_(*ctes) + f"SELECT {ATTR_LIST}, n, round(w, 6) AS w FROM w{k}"
+    return ctes, f"{name}{k}"
 
 
-register("rake_weights_two_pass", _rake_two_pass_sql())
-register("rake_shares", with_(*_targets_ctes("pop")) + """
-SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok FROM tgt""")
-register("rake_grouped", with_(*_targets_ctes("pop")) + """
-SELECT CAST(y.year AS INTEGER) AS year, attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok
-FROM tgt, (SELECT DISTINCT year FROM pop_skew WHERE year BETWEEN 1995 AND 1999) y""")
+SKEW_CELLS = f"skew_cells AS (SELECT {ATTR_LIST}, count(*) AS n FROM pop_skew WHERE year = {SYN_YEAR} GROUP BY ALL)"
+_fit, _last = _rake_ctes("skew_cells", 2)
+register("rake_weights_two_pass", with_(*_targets_ctes("pop"), SKEW_CELLS, *_fit) + f"SELECT {ATTR_LIST}, n, round(w, 6) AS w FROM {_last}")
+RAKED_SKEW = _rake_ctes("skew_cells", RAKE_PASSES)
+register("rake_shares", with_(*_targets_ctes("pop"), SKEW_CELLS, *RAKED_SKEW[0]) + _shares_sql(RAKED_SKEW[1], "n * w"))
+_fit, _last = _rake_ctes("skew_cells", 10, mode="classic")
+register("rake_classic_shares", with_(*_targets_ctes("pop"), SKEW_CELLS, *_fit)
+         + f"SELECT {ATTR_LIST}, n, round(w, 5) AS w FROM {_last}")
+_fit, _last = _rake_ctes("year_cells", RAKE_PASSES, by="year")
+register("rake_grouped", with_(*_targets_ctes("pop"), f"""
+year_cells AS (SELECT year, {ATTR_LIST}, count(*) AS n FROM pop_skew WHERE {POP_TRAIN} GROUP BY ALL)""", *_fit)
+         + f"SELECT year, {ATTR_LIST}, n, round(w, 5) AS w FROM {_last}")
 
 
-def _draw_sql(src: str, year: int, mass: str, m: str) -> str:
+def _draw_sql(src: str, mass: str, m: str) -> str:
     return with_(
         f"""cells AS (SELECT CAST({idx_sql(POP_ATTRS, POP_DOMAIN)} AS BIGINT) AS cell, {ATTR_LIST}, count(*) AS n
-            FROM {src} WHERE year = {year} GROUP BY ALL)""",
+            FROM {src} GROUP BY ALL)""",
         f"cm AS (SELECT *, {mass} AS mass FROM cells)",
         "iv0 AS (SELECT *, sum(mass) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi FROM cm)",
         "iv AS (SELECT *, (cum_hi - mass) / (SELECT max(cum_hi) FROM iv0) AS lo, cum_hi / (SELECT max(cum_hi) FROM iv0) AS hi FROM iv0)",
@@ -357,10 +418,10 @@ def _draw_sql(src: str, year: int, mass: str, m: str) -> str:
 SELECT cell, {ATTR_LIST}, count(*) AS hits FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi GROUP BY ALL"""
 
 
-register("weighted_draw", _draw_sql("pop", SYN_YEAR, "n", "5000"))
+register("weighted_draw", _draw_sql("pop", "n", "5000"))
 register("resample_multinomial", _draw_sql(
-    "pop_skew", SYN_YEAR, f"n * list_position({sql_list(POP_DOMAIN['l_returnflag'])}, l_returnflag)",
-    f"(SELECT count(*) FROM pop_skew WHERE year = {SYN_YEAR})"))
+    "pop_skew", f"n * list_position({sql_list(POP_DOMAIN['l_returnflag'])}, l_returnflag)",
+    "(SELECT count(*) FROM pop_skew)"))
 register("subsample_exact", with_(f"""
 rid AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid, year, {ATTR_LIST}
         FROM pop_base WHERE {POP_TRAIN})""") + f"""
@@ -423,8 +484,8 @@ g2 AS (SELECT g1.id, g1.year, g1.gen_case,
 gen AS (
   SELECT id, year, gen_case, id // 64 AS batch, CAST(id % 64 AS INTEGER) AS pos, text FROM g2 WHERE gen_case <> 11
   UNION ALL
-  SELECT g2.id, g2.year, g2.gen_case, g2.id // 64, CAST(g2.id % 64 AS INTEGER), d.text FROM g2
-  JOIN documents d ON d.doc_id = g2.id % (SELECT count(*) FROM documents) WHERE g2.gen_case = 11)"""
+  SELECT -1 - doc_id, CAST(1990 + 5 * (doc_id % 12) AS INTEGER), 11, doc_id // 8, CAST(64 + doc_id % 8 AS INTEGER), text
+  FROM documents)"""
 
 
 def parse_ctes(src: str = "gen") -> list[str]:
@@ -525,38 +586,128 @@ register("validate_generated", cwith(GEN_CTE, *parse_ctes(), *VALIDATED)
          + f"SELECT id, {', '.join(CA)} FROM v WHERE reason IS NULL")
 register("reject_reasons", cwith(GEN_CTE, *parse_ctes(), *VALIDATED)
          + "SELECT COALESCE(reason, 'accepted') AS reason, count(*) AS n FROM v GROUP BY 1")
-GEN_N = 2000
-GEN_MAXB = max(-(-GEN_N // 64) * 3, 10)
+GEN_N = "(SELECT greatest(count(*) // 2, 1) FROM orders)"
+GEN_MAXB = f"greatest(CAST(ceil({GEN_N} / 64.0) AS BIGINT) * 3, 10)"
 BATCHES = [f"""bs AS (SELECT batch, count(*) FILTER (WHERE reason IS NULL) AS acc, count(*) FILTER (WHERE reason IS NOT NULL) AS fail
               FROM v WHERE batch < {GEN_MAXB} GROUP BY batch)""",
            """bc AS (SELECT *, COALESCE(sum(acc) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
               AS acc_before FROM bs)""",
-           f"proc AS (SELECT * FROM bc WHERE acc_before < {GEN_N})"]
-register("take_accepted", cwith(GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES) + f"""
-SELECT batch, pos, id, {', '.join(CA)} FROM (
-  SELECT v.*, row_number() OVER (ORDER BY v.batch, v.pos) AS r FROM v JOIN proc USING (batch) WHERE v.reason IS NULL)
-WHERE r <= {GEN_N}""")
-register("generation_stats", cwith(GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES) + f"""
+           f"proc AS (SELECT * FROM bc WHERE acc_before < {GEN_N})",
+           f"""pool AS (SELECT batch, pos, id, {', '.join(CA)} FROM (
+              SELECT v.*, row_number() OVER (ORDER BY v.batch, v.pos) AS r FROM v JOIN proc USING (batch) WHERE v.reason IS NULL)
+              WHERE r <= {GEN_N})"""]
+STATS = f"""
 SELECT CAST({GEN_N} AS BIGINT) AS requested, CAST(least(sum(acc), {GEN_N}) AS BIGINT) AS accepted,
        CAST(sum(fail) AS BIGINT) AS failed, count(*) AS batches,
-       round(least(sum(acc), {GEN_N}) / {GEN_N}, 6) AS fill_rate,
-       round(least(sum(acc), {GEN_N}) / greatest(least(sum(acc), {GEN_N}) + sum(fail), 1), 6) AS parse_rate
-FROM proc""")
+       least(sum(acc), {GEN_N}) / {GEN_N} AS fill_rate,
+       least(sum(acc), {GEN_N}) / greatest(least(sum(acc), {GEN_N}) + sum(fail), 1) AS parse_rate
+FROM proc"""
+register("take_accepted", cwith(GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES) + "SELECT * FROM pool")
+register("generation_stats", cwith(GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES)
+         + f"SELECT * REPLACE (round(fill_rate, 6) AS fill_rate, round(parse_rate, 6) AS parse_rate) FROM ({STATS})")
 
 
 # -------------------------------------------------------- conditional sampler
-def _cond_sql(where: str) -> str:
-    return with_(f"cells AS (SELECT {ATTR_LIST}, count(*) AS n FROM pop WHERE {where} GROUP BY ALL)",
-                 f"iv0 AS (SELECT *, sum(n) OVER (ORDER BY {ATTR_LIST} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM cells)",
-                 "iv AS (SELECT *, (chi - n) / (SELECT max(chi) FROM iv0) AS lo, chi / (SELECT max(chi) FROM iv0) AS hi FROM iv0)",
-                 f"dr AS (SELECT range AS i, {uniform_sql('range')} AS u FROM range(0, 5000))") + f"""
-SELECT {ATTR_LIST}, count(*) AS hits FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi GROUP BY ALL"""
-
-
-register("conditional_sample", _cond_sql("year = 1998"))
-register("conditional_sample_pooled", _cond_sql(POP_TRAIN))
-register("ipf_grouped", with_(*_targets_ctes("pop_skew")) + """
-SELECT CAST(y.year AS INTEGER) AS year, attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok
-FROM tgt, (SELECT DISTINCT year FROM pop WHERE year BETWEEN 1995 AND 1999) y""")
-register("rake_classic_shares", with_(*_targets_ctes("pop")) + """
-SELECT attr, CAST(ord AS INTEGER) AS ord, cat, round(prop, 6) AS target, true AS ok FROM tgt""")
+POP_N = 5000
+
+
+def _sample_ctes(src: str, where: str, n: int, name: str = "drawn") -> list[str]:
+    """``n`` draws from the cells of ``src``: ``(attrs, hits)``."""
+    return [
+        f"s_cells AS (SELECT {ATTR_LIST}, count(*) AS n FROM {src} WHERE {where} GROUP BY ALL)",
+        f"s_iv0 AS (SELECT *, sum(n) OVER (ORDER BY {ATTR_LIST} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM s_cells)",
+        "s_iv AS (SELECT *, (chi - n) / (SELECT max(chi) FROM s_iv0) AS lo, chi / (SELECT max(chi) FROM s_iv0) AS hi FROM s_iv0)",
+        f"s_dr AS (SELECT range AS i, {uniform_sql('range')} AS u FROM range(0, {n}))",
+        f"{name} AS (SELECT {ATTR_LIST}, count(*) AS hits FROM s_dr JOIN s_iv ON u >= lo AND u < hi GROUP BY ALL)"]
+
+
+for _name, _where in (("conditional_sample", "year = 1998"), ("conditional_sample_pooled", POP_TRAIN)):
+    register(_name, with_(*_sample_ctes("pop", _where, POP_N)) + f"SELECT {ATTR_LIST}, hits FROM drawn")
+
+
+def _resample_ctes(cells: str, passes: int, attrs=POP_ATTRS, domain=POP_DOMAIN, tgt: str = "tgt", name: str = "raked") -> list[str]:
+    """Rake the cells (``n`` records each), then draw as many records: ``(attrs, hits)``, in the order of the rows' MD5."""
+    cols = ", ".join(attrs)
+    ctes, last = _rake_ctes(cells, passes, attrs, domain, tgt, name=f"{name}_w")
+    key = "md5('{' || " + " || ',' || ".join(f"'\"{a}\":\"' || {a} || '\"'" for a in attrs) + " || '}')"
+    return ctes + [
+        f"{name}_m AS (SELECT {cols}, {key} AS rid, n * w AS mass FROM {last})",
+        f"{name}_i0 AS (SELECT *, sum(mass) OVER (ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM {name}_m)",
+        f"""{name}_iv AS (SELECT *, COALESCE(lag(chi) OVER (ORDER BY rid), 0.0) / (SELECT max(chi) FROM {name}_i0) AS lo,
+            chi / (SELECT max(chi) FROM {name}_i0) AS hi FROM {name}_i0)""",
+        f"""{name}_dr AS (SELECT i, {uniform_sql('i')} AS u
+            FROM (SELECT unnest(range(CAST((SELECT sum(n) FROM {cells}) AS BIGINT))) AS i))""",
+        f"{name} AS (SELECT {cols}, count(*) AS hits FROM {name}_dr JOIN {name}_iv ON u >= lo AND u < hi GROUP BY ALL)"]
+
+
+def _records(cells: str, count: str, attrs=POP_ATTRS) -> str:
+    cols = ", ".join(attrs)
+    return f"(SELECT {cols} FROM (SELECT {cols}, unnest(range({count})) AS i FROM {cells}))"
+
+
+def _srmse_avg(syn: str, real: str, attrs, domain) -> str:
+    def shares(side):
+        long = " UNION ALL ".join(f"SELECT {q(a)} AS attr, {a} AS cat FROM {side}" for a in attrs)
+        return f"""(SELECT attr, ord, COALESCE(c / NULLIF(sum(c) OVER (PARTITION BY attr), 0), 0.0) AS p FROM (
+          SELECT dom.attr, dom.ord, count(l.cat) AS c FROM {dom_values(attrs, domain)}
+          LEFT JOIN ({long}) l ON l.attr = dom.attr AND l.cat = dom.cat GROUP BY ALL))"""
+    return f"""(SELECT avg(e) FROM (SELECT s.attr, sqrt(avg((s.p - r.p) * (s.p - r.p))) * count(*) AS e
+      FROM {shares(syn)} s JOIN {shares(real)} r USING (attr, ord) GROUP BY s.attr))"""
+
+
+def _pair_avg(syn: str, real: str, attrs, domain) -> str:
+    parts = " UNION ALL ".join(f"SELECT jsd FROM {_dense_jsd([a, b], domain, syn, real)} t_{i}"
+                               for i, (a, b) in enumerate(combinations(attrs, 2)))
+    return f"(SELECT avg(jsd) FROM ({parts}))"
+
+
+def _joint(syn: str, real: str, attrs, domain) -> str:
+    return f"(SELECT jsd FROM {_dense_jsd(attrs, domain, syn, real)} t)"
+
+
+def _method(label: str, ctes: list[str], raked: bool, attrs=POP_ATTRS, domain=POP_DOMAIN, more: str = "") -> tuple[list[str], str]:
+    """CTEs up to ``syn`` and ``real`` (and ``syn_raked``), and the result row over them."""
+    r6 = lambda x: f"round({x}, 6)"
+    of = (lambda f: r6(f("syn_raked", "real", attrs, domain))) if raked else (lambda f: "CAST(NULL AS DOUBLE)")
+    return ctes, f"""SELECT {q(label)} AS method, {r6(_srmse_avg("syn", "real", attrs, domain))} AS srmse_avg,
+      {r6(_joint("syn", "real", attrs, domain))} AS jsd_full_joint, {of(_srmse_avg)} AS srmse_avg_ipf,
+      {of(_joint)} AS jsd_full_joint_ipf, {r6(_pair_avg("syn", "real", attrs, domain))} AS jsd_pairwise_avg{more}"""
+
+
+def _materialized(name: str, body: str) -> str:
+    return f"{name} AS MATERIALIZED {body}"
+
+
+register("rake_resample", with_(*_targets_ctes("pop"), SKEW_CELLS, *_resample_ctes("skew_cells", RAKE_PASSES))
+         + f"SELECT * FROM {_records('raked', 'hits')}")
+register("oversample_rake", with_(*_targets_ctes("pop"), *_sample_ctes("pop", POP_TRAIN, 4 * POP_N),
+                                  f"pool_cells AS (SELECT {ATTR_LIST}, hits AS n FROM drawn)",
+                                  *_resample_ctes("pool_cells", RAKE_PASSES)) + f"SELECT * FROM {_records('raked', 'hits')}")
+
+REAL = _materialized("real", f"(SELECT {ATTR_LIST} FROM pop WHERE year = {TARGET})")
+_fit, _last = _ipf_ctes(IPF_PASSES, POP_N)
+METHOD_IPF = _method("IPF", [*_seed_ctes(), *_targets_ctes("pop"), *_fit, *_trs_ctes(_last, POP_N, "m"), REAL,
+                             _materialized("syn", _records("trs", "count"))], False)
+METHOD_CONDITIONAL = _method("Conditional", [
+    *_targets_ctes("pop"), *_sample_ctes("pop_skew", POP_TRAIN, POP_N), f"pool_cells AS (SELECT {ATTR_LIST}, hits AS n FROM drawn)",
+    *_resample_ctes("pool_cells", RAKE_PASSES), REAL, _materialized("syn", _records("drawn", "hits")),
+    _materialized("syn_raked", _records("raked", "hits"))], True)
+TEXT_PASSES = 60
+METHOD_TEXT = _method("Text", [
+    GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES,
+    _materialized("syn", f"(SELECT {', '.join(CA)} FROM pool)"),
+    _materialized("real", f"(SELECT {', '.join(CA)} FROM cen WHERE year = {CEN_TARGET})"),
+    f"text_long AS ({' UNION ALL '.join(f'SELECT {q(a)} AS attr, {a} AS cat FROM real' for a in CA)})",
+    f"""text_tgt AS MATERIALIZED (SELECT dom.attr, dom.cat, count(l.cat) / (SELECT count(*) FROM real) AS prop
+        FROM {dom_values(CA, CD)} LEFT JOIN text_long l ON l.attr = dom.attr AND l.cat = dom.cat GROUP BY dom.attr, dom.cat)""",
+    f"text_cells AS MATERIALIZED (SELECT {', '.join(CA)}, count(*) AS n FROM syn GROUP BY ALL)",
+    *_resample_ctes("text_cells", TEXT_PASSES, CA, CD, "text_tgt"),
+    _materialized("syn_raked", _records("raked", "hits", CA))], True, CA, CD, f""",
+      (SELECT accepted FROM ({STATS})) AS n_generated, round((SELECT fill_rate FROM ({STATS})), 6) AS parse_rate""")
+register("method_ipf", with_(*METHOD_IPF[0]) + METHOD_IPF[1])
+register("method_conditional", with_(*METHOD_CONDITIONAL[0]) + METHOD_CONDITIONAL[1])
+register("method_text", cwith(*METHOD_TEXT[0]) + METHOD_TEXT[1])
+register("comparison_table", "SELECT method, srmse_avg, jsd_full_joint, COALESCE(srmse_avg_ipf, srmse_avg) AS srmse_avg_ipf, "
+         "COALESCE(jsd_full_joint_ipf, jsd_full_joint) AS jsd_full_joint_ipf FROM ("
+         + " UNION ALL BY NAME ".join(f"SELECT * FROM ({ORACLE[m]})" for m in ("method_ipf", "method_conditional", "method_text"))
+         + ")")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; we only set our own
-    (a fresh temp folder) when nothing is configured, as in local tests.
+    (a fresh temp folder) when nothing is configured and driver and executors
+    are one process, as in tests (``local-cluster`` is not).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,19 +44,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (machine-local temp dirs are not "
                                "visible to other executors)")
         configured = tempfile.mkdtemp(prefix="popweave-ckpt-")
+        atexit.register(shutil.rmtree, configured, True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint dir for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    base = base.rstrip("/")
-    return f"{base}/popweave-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder under the shared checkpoint dir for written tables.
+
+    It is deleted when the driver's JVM ends.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/popweave-{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    files.delete(folder, False)  # the writer makes it; the registration stays
+    return path
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write a table of record scale as Parquet in the shared folder and read it back.
+
+    Later reads are pruned to their columns, which a checkpoint's are not.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -76,4 +98,4 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "materialize", "local_path"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "stash", "materialize", "local_path"]

@@ -31,12 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _lineitem(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
-    if variant == "skew":
-        keep = F.lit(0)
-        for flag, k in SKEW_KEEP.items():
-            keep = F.when(F.col("l_returnflag") == flag, F.lit(k)).otherwise(keep)
-        li = li.where(((F.col("l_partkey") + 3 * F.col("l_suppkey")) % 10) < keep)
-    return li
+    return li.where(_skew_kept(F.col("l_returnflag"))) if variant == "skew" else li
 
 
 def year_range(col: str, years) -> Column:
@@ -93,6 +88,13 @@ def pop_records(spark: SparkSession, sf_dir: str, variant: str = "base", with_ri
     return j.select(*cols)
 
 
+def _skew_kept(flag: Column) -> Column:
+    keep = F.lit(0)
+    for value, k in SKEW_KEEP.items():
+        keep = F.when(flag == value, F.lit(k)).otherwise(keep)
+    return ((F.col("l_partkey") + 3 * F.col("l_suppkey")) % 10) < keep
+
+
 def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base", years=None) -> DataFrame:
     """POP with multiplicity ``n``, for cell-level work.
 
@@ -101,25 +103,29 @@ def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base", years=
     and that aggregation's shuffle on ``l_orderkey`` is the partitioning the
     join needs: the largest table is shuffled once.  The combinations are
     unpivoted after the join.  Values outside the POP domain arrive as NULL
-    (the cell table's out-of-domain rule).
+    (the cell table's out-of-domain rule).  ``variant='both'`` counts the base
+    rows in ``n`` and the skewed ones in ``n_skew`` in the same pass.
     """
     ls_dom, rf_dom = POP_DOMAIN["l_linestatus"], POP_DOMAIN["l_returnflag"]
     combos = [(x, y) for x in ls_dom + [None] for y in rf_dom + [None]]
+    both = variant == "both"
     li = _lineitem(spark, sf_dir, variant)
     ls = F.when(F.col("l_linestatus").isin(ls_dom), F.col("l_linestatus"))
     rf = F.when(F.col("l_returnflag").isin(rf_dom), F.col("l_returnflag"))
-    per_order = li.select("l_orderkey", ls.alias("ls"), rf.alias("rf")).groupBy("l_orderkey").agg(*[
-        F.count(F.when(F.col("ls").eqNullSafe(F.lit(x)) & F.col("rf").eqNullSafe(F.lit(y)), 1)).alias(f"_c{i}")
-        for i, (x, y) in enumerate(combos)])
+    li = li.select("l_orderkey", ls.alias("ls"), rf.alias("rf"), *([_skew_kept(rf).alias("kept")] if both else []))
+    here = [F.col("ls").eqNullSafe(F.lit(x)) & F.col("rf").eqNullSafe(F.lit(y)) for x, y in combos]
+    per_order = li.groupBy("l_orderkey").agg(
+        *[F.count(F.when(h, 1)).alias(f"_c{i}") for i, h in enumerate(here)],
+        *([F.count(F.when(h & F.col("kept"), 1)).alias(f"_s{i}") for i, h in enumerate(here)] if both else []))
     oc = _orders_customers(spark, sf_dir, variant, years)
     j = oc.join(per_order, oc["o_orderkey"] == per_order["l_orderkey"])
     kv = F.explode(F.array(*[
         F.struct(F.lit(x).cast("string").alias("l_linestatus"), F.lit(y).cast("string").alias("l_returnflag"),
-                 F.col(f"_c{i}").alias("n"))
+                 F.col(f"_c{i}").alias("n"), *([F.col(f"_s{i}").alias("n_skew")] if both else []))
         for i, (x, y) in enumerate(combos)]))
     out = j.select("year", "o_orderstatus", "o_orderpriority", "c_mktsegment", kv.alias("kv")) \
         .select("year", "o_orderstatus", "o_orderpriority", "c_mktsegment", "kv.*").where(F.col("n") > 0)
-    return out.select(*POP_COLUMNS, "n")
+    return out.select(*POP_COLUMNS, "n", *(["n_skew"] if both else []))
 
 
 # ---------------------------------------------------------------- CEN / GEN
@@ -128,9 +134,16 @@ def _pick(cats: list[str], idx: Column) -> Column:
     return F.element_at(cats_array(cats), (idx + 1).cast("int"))
 
 
-def cen_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Census-shaped records from ``orders`` (FIXTURES.md §3)."""
+def cen_records(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Census-shaped records from ``orders`` (FIXTURES.md §3).
+
+    ``spread``: deal the two scanned columns over all cores where the file's
+    row groups are fewer, for heavy work per record.
+    """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and o.rdd.getNumPartitions() < cores:
+        o = o.repartition(2 * cores)
     k = F.col("o_orderkey")
     d = CENSUS_DOMAIN
     return o.select(
@@ -153,10 +166,10 @@ GEN_CONFLICT = ", Sex is Other"
 def gen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated-text proxy ``(id, year, gen_case, batch, pos, text)``.
 
-    Case 11 rows take a whole ``documents.text``; only those rows are joined
-    (the other eleven twelfths never enter the join, so no null-key skew).
+    Case 11 is every row of ``documents`` with its whole text: identifier
+    ``-1 - doc_id``, eight to a batch after the batch's other texts.
     """
-    cen = cen_records(spark, sf_dir)
+    cen = cen_records(spark, sf_dir, spread=True)
     case = ((F.col("id") + F.col("o_custkey")) % 12).cast("int")
     cen = cen.withColumn("gen_case", case)
 
@@ -189,13 +202,11 @@ def gen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = cen.select("id", "year", "gen_case", text.alias("text"))
     plain = base.where(F.col("gen_case") != 11)
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    junk = (base.where(F.col("gen_case") == 11)
-            .withColumn("doc_key", F.col("id") % n_docs)
-            .join(docs, F.col("doc_key") == F.col("doc_id"))
-            .select("id", "year", "gen_case", F.col("doc_text").alias("text")))
-    out = plain.unionByName(junk)
-    return out.select("id", "year", "gen_case",
-                      F.floor(F.col("id") / 64).cast("long").alias("batch"),
-                      (F.col("id") % 64).cast("int").alias("pos"), "text")
+    docs = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    junk = docs.select(
+        (F.lit(-1) - doc).cast("long").alias("id"), (F.lit(1990) + 5 * (doc % 12)).cast("int").alias("year"),
+        F.lit(11).alias("gen_case"), F.floor(doc / 8).cast("long").alias("batch"),
+        (F.lit(64) + doc % 8).cast("int").alias("pos"), "text")
+    return plain.select("id", "year", "gen_case", F.floor(F.col("id") / 64).cast("long").alias("batch"),
+                        (F.col("id") % 64).cast("int").alias("pos"), "text").unionByName(junk)

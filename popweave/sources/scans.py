@@ -11,11 +11,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from popweave.domain import ALL_YEARS, TARGET_YEAR, TRAIN_YEARS
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store Spark reads it from."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(sc._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_combined(spark: SparkSession, path: str, year_col: str = "year") -> DataFrame:
     """One all-years table; ``year`` typed as INT."""
     df = spark.read.parquet(path)
@@ -28,16 +34,16 @@ def read_per_year(spark: SparkSession, path_for_year, years: Sequence[int] = ALL
                   year_col: str = "year") -> DataFrame:
     """Per-year files; ``year`` is set to the file's year (overwrites).
 
-    ``path_for_year(y)`` gives the path of one year.  Missing years are
-    skipped; none found raises ``FileNotFoundError``.  Each existing path is
-    one scan; the union adds no shuffle.
+    ``path_for_year(y)`` gives the path of one year.  Only a missing path is
+    skipped: one that exists but cannot be read raises.  None found raises
+    ``FileNotFoundError``.  Each existing path is one scan; the union adds no
+    shuffle.
     """
     parts = []
     for y in years:
-        try:
-            df = spark.read.parquet(path_for_year(y))
-        except AnalysisException:
+        if not path_exists(spark, path_for_year(y)):
             continue
+        df = spark.read.parquet(path_for_year(y))
         parts.append(df.withColumn(year_col, F.lit(int(y)).cast("int")))
     if not parts:
         raise FileNotFoundError("no per-year files found")
