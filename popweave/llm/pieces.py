@@ -43,10 +43,10 @@ from pyspark.sql import types as T
 from popweave.llm.common import stash, table, whole_row
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 16_384
+CHUNK = 65_536
 BLOCK = 256
 #: Remembered words of a task; beyond it the memory is emptied.
-WORDS = 300_000
+WORDS = 100_000
 MARK = "▁"
 NONE = -np.inf
 
@@ -107,6 +107,8 @@ class Vocabulary:
                 new = list(set(words))
             for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
                 known[w] = tuple(ids)
+            if MARK in known:  # the model puts no mark in front of nothing
+                known[MARK] = tuple(self.whole(MARK))
         return chain.from_iterable(map(known.__getitem__, words))
 
 
@@ -354,19 +356,34 @@ def _trace_task(model: bytes) -> Callable:
     return trace
 
 
-def _one_chunk_task(model: bytes) -> Callable:
-    """Texts of one chunk: no cut, so the whole text runs from the first state to the end."""
+def _one_chunk_task(model: bytes, check: bool) -> Callable:
+    """Texts of one chunk: no cut, so the whole text runs from the first state to the end.
+
+    ``check``: also whether the ids decode to the text.
+    """
     def encode(batches):
         v = Vocabulary(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 100):
+                some = batch.slice(lo, 100)
                 texts = some.column(some.schema.names.index("_text")).to_pylist()
                 ids = [None if t is None else list(v.encode_words(marked(t))) if t else [] for t in texts]
-                yield pa.RecordBatch.from_arrays([*some.columns, _id_lists(ids)], names=[*some.schema.names, "_ids"])
+                more = [pa.array([back == (t and t.replace(MARK, " ")) for t, back in zip(texts, _spelled(v.model, ids), strict=True)],
+                                 pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*some.columns, _id_lists(ids), *more],
+                                                 names=[*some.schema.names, "_ids", *["_ok"] * check])
     return encode
 
 
+def _spelled(model, ids: list) -> list:
+    """The text of each list of ids; null for null."""
+    keep = [i for i, x in enumerate(ids) if x]
+    out = [None if x is None else "" for x in ids]
+    for i, text in zip(keep, model.decode([ids[i] for i in keep], num_threads=1) if keep else [], strict=True):
+        out[i] = text
+    return out
+
+
 def _model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -376,18 +393,22 @@ _IDS = T.ArrayType(T.IntegerType())
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str = MODEL,
-           chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with the ids of each text (``ids_col`` replaces a column of that name)."""
+           chunk: int = CHUNK, check_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text, and in ``check_col``, if named, whether they decode to it.
+
+    The new columns replace any of those names.
+    """
     if chunk < _REACH:
         raise ValueError(f"chunks have {_REACH} characters at least")
     spec = _model_bytes(model)  # a file of fixed size; goes to the tasks with the function
     Vocabulary(spec)
-    rest = docs.drop(text_col, ids_col)
+    rest = docs.drop(text_col, ids_col, *([check_col] if check_col else []))
     rows = docs.select(whole_row(rest).alias("_row") if rest.columns else F.struct(F.lit(1).alias("_")).alias("_row"),
                        F.col(f"`{text_col}`").alias("_text"))
     size = F.char_length("_text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_ids", _IDS)])
-    small = rows.where(size.isNull() | (size < chunk)).mapInArrow(_one_chunk_task(spec), schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_ids", _IDS),
+                           *([T.StructField("_ok", T.BooleanType())] if check_col else [])])
+    small = rows.where(size.isNull() | (size < chunk)).mapInArrow(_one_chunk_task(spec, bool(check_col)), schema)
 
     giant = stash(rows.where(size >= chunk).select(F.monotonically_increasing_id().alias("_uid"), "*"), "giant-texts")
     chunks = stash(giant.select("_uid", "_text").mapInArrow(_splitter(chunk), _CHUNKS).repartition("_uid", "_chunk"),
@@ -403,9 +424,13 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
     ids = traced.groupBy("_uid").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_ids"))), lambda x: x["_ids"])).alias("_ids"))
     large = giant.join(ids, "_uid").select("_row", "_text", "_ids")
+    if check_col:
+        large = decode(large, "_ids", "_back", model).select(
+            "_row", "_text", "_ids", F.col("_back").eqNullSafe(F.regexp_replace("_text", MARK, " ")).alias("_ok"))
     both = small.unionByName(large)
     return both.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c)
-                         for c in docs.columns if c != ids_col], F.col("_ids").alias(ids_col))
+                         for c in docs.columns if c not in (ids_col, check_col)], F.col("_ids").alias(ids_col),
+                       *([F.col("_ok").alias(check_col)] if check_col else []))
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -417,13 +442,9 @@ def decode(tokens: DataFrame, ids_col: str = "token_ids", text_col: str = "decod
 
         m = SentencePieceProcessor(model_proto=spec)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                ids = some.column(some.schema.names.index("_ids")).to_pylist()
-                keep = [i for i, x in enumerate(ids) if x]
-                got = [None if x is None else "" for x in ids]
-                for i, text in zip(keep, m.decode([ids[i] for i in keep], num_threads=1) if keep else [], strict=True):
-                    got[i] = text
+            for lo in range(0, batch.num_rows, 100):
+                some = batch.slice(lo, 100)
+                got = _spelled(m, some.column(some.schema.names.index("_ids")).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.string())],
                                                  names=[*some.schema.names, "_decoded"])
 
@@ -435,11 +456,8 @@ def decode(tokens: DataFrame, ids_col: str = "token_ids", text_col: str = "decod
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, n_tokens, token_ids, round_trip``: ids of each text, and whether they decode to it."""
-    tokens = encode(docs.select("doc_id", "text"), model=model)
-    back = decode(tokens, model=model)
-    plain = F.regexp_replace("text", MARK, " ")
-    return back.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"), "token_ids",
-                       F.col("decoded").eqNullSafe(plain).alias("round_trip"))
+    tokens = encode(docs.select("doc_id", "text"), model=model, check_col="round_trip")
+    return tokens.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"), "token_ids", "round_trip")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
