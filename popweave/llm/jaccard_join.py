@@ -9,13 +9,14 @@ word shingles.  The join is exact and returns classes, not pairs:
    of their prefixes (the first ``n - ceil(t n) + 1``), so only prefixes are
    shuffled, and of those only tokens that several documents have go on.
    Documents with identical sets are one class and are handled once.
-2. *Groups.*  Each class is paired with the smallest class among those that
+2. *Families.*  Each class is paired with the smallest class among those that
    share a token; pairs that share enough of their prefixes are compared in
    full.  This links the bulk of a family of near copies with a number of
-   pairs linear in its size.
-3. *Matrix.*  Classes are partitioned into groups of similar ones (same first
-   token; a large linked family apart).  The matrix holds the union of each
-   group's prefix tokens.  A class's overlap with that union bounds its
+   pairs linear in its size.  Tokens whose classes are all linked are done.
+3. *Matrix.*  Classes are partitioned into groups of similar ones: those whose
+   most shared token is the same (a large linked family apart), so that
+   similar documents meet in few groups, however many they are.  The matrix
+   holds the union of each group's prefix tokens.  A class's overlap with that union bounds its
    overlap with every member; only groups that reach the needed overlap are
    opened, in blocks, and a pair inside is compared in full only if the two are
    not linked yet and their own prefix overlap reaches what a link needs.
@@ -54,6 +55,8 @@ HOT = 1 << 16
 HOT_FROM = 50
 #: Members, and queries, of a group that one task compares.
 BLOCK = 256
+#: Queries of one call, which can hold the blocks of several small groups.
+CALL_ROWS = 2_000
 #: Classes of a linked family from which on it is a group of its own.
 FAMILY = 64
 #: Identifiers that may be broadcast to select documents (8 bytes each).
@@ -155,9 +158,9 @@ def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (``_a``, ``_b``: keys of classes) whose full sets link."""
-    wanted = pairs.select(F.col("_a").alias("_key")).unionByName(pairs.select(F.col("_b").alias("_key"))).distinct()
-    ids = stash(classes.join(wanted, "_key").select("_id"), "compared-ids")
+    """The pairs (``_a``, ``_b``: numbers of classes) whose full sets link."""
+    wanted = pairs.select(F.col("_a").alias("_class")).unionByName(pairs.select(F.col("_b").alias("_class"))).distinct()
+    ids = stash(classes.join(wanted, "_class").select("_id"), "compared-ids")
 
     def sets(batches):
         for batch in batches:
@@ -168,8 +171,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
                     names=["_key", "_set"])
 
     # The digest tells which row has a class's set, should an identifier repeat.
-    full = stash(_by_id(rows, ids).mapInArrow(sets, "_key string, _set binary").groupBy("_key").agg(
-        F.min("_set").alias("_set")), "token-sets")
+    full = stash(_by_id(rows, ids).mapInArrow(sets, "_key string, _set binary"), "token-sets")
 
     def link(batches):
         for batch in batches:
@@ -180,9 +182,12 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = full.select(F.col("_key").alias("_a"), F.col("_set").alias("_x"))
-    right = full.select(F.col("_key").alias("_b"), F.col("_set").alias("_y"))
-    return pairs.join(left, "_a").join(right, "_b").select("_a", "_b", "_x", "_y").mapInArrow(link, "_a string, _b string")
+    named = lambda side: classes.select(F.col("_class").alias(side), F.col("_key").alias(f"_key{side}"))
+    keyed = pairs.join(named("_a"), "_a").join(named("_b"), "_b")
+    left = full.select(F.col("_key").alias("_key_a"), F.col("_set").alias("_x"))
+    right = full.select(F.col("_key").alias("_key_b"), F.col("_set").alias("_y"))
+    return (keyed.join(left, "_key_a").join(right, "_key_b").select("_a", "_b", "_x", "_y")
+            .mapInArrow(link, "_a long, _b long"))
 
 
 def _needed(n: Column, other: Column, percent: int) -> Column:
@@ -191,38 +196,44 @@ def _needed(n: Column, other: Column, percent: int) -> Column:
     return both - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
 
 
+def _compared(members, queries, percent: int):
+    """Pairs of a member and a query that may link, by their shared prefix tokens, sizes and families."""
+    codes = [np.concatenate(list(x["_codes"])) for x in (members, queries)]
+    shared = np.intersect1d(*codes)
+    if not len(shared):
+        return codes[0][:0], codes[0][:0]
+    grids = []
+    for x in (members, queries):
+        grid = np.zeros((len(x), len(shared)), np.float32)
+        for i, c in enumerate(x["_codes"]):
+            at = np.searchsorted(shared, c)
+            at[at == len(shared)] = 0
+            grid[i, at[shared[at] == c]] = 1
+        grids.append(grid)
+    common = grids[0] @ grids[1].T
+    n, m = members["_n"].to_numpy(float)[:, None], queries["_n"].to_numpy(float)[None, :]
+    both = np.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    need = lambda size: both - np.ceil(size * percent / 100 - 1e-9) + 1
+    first = members["_last"].to_numpy()[:, None] <= queries["_last"].to_numpy()[None, :]
+    ok = common >= np.maximum(np.where(first, need(n), need(m)), 1)
+    ok &= (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    ok &= members["_comp"].to_numpy()[:, None] != queries["_comp"].to_numpy()[None, :]
+    i, j = np.nonzero(ok)
+    return members["_class"].to_numpy()[i], queries["_class"].to_numpy()[j]
+
+
 def _opened(percent: int):
-    """Compares a block of queries with a block of members of a group."""
+    """Compares blocks of queries with blocks of members; a call has the blocks of several groups."""
 
     def compare(members, queries):
         import pandas as pd
 
-        none = pd.DataFrame({"_a": [], "_b": []}, dtype=str)
-        if not len(members) or not len(queries):
-            return none
-        codes = [np.concatenate(list(x["_codes"])) for x in (members, queries)]
-        shared = np.intersect1d(*codes)
-        if not len(shared):
-            return none
-        grids = []
-        for x in (members, queries):
-            grid = np.zeros((len(x), len(shared)), np.float32)
-            for i, c in enumerate(x["_codes"]):
-                at = np.searchsorted(shared, c)
-                at[at == len(shared)] = 0
-                grid[i, at[shared[at] == c]] = 1
-            grids.append(grid)
-        common = grids[0] @ grids[1].T
-        n, m = members["_n"].to_numpy(float)[:, None], queries["_n"].to_numpy(float)[None, :]
-        both = np.ceil((n + m) * percent / (100 + percent) - 1e-9)
-        need = lambda size: both - np.ceil(size * percent / 100 - 1e-9) + 1
-        first = members["_last"].to_numpy()[:, None] <= queries["_last"].to_numpy()[None, :]
-        ok = common >= np.maximum(np.where(first, need(n), need(m)), 1)
-        ok &= (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        ok &= members["_comp"].to_numpy()[:, None] != queries["_comp"].to_numpy()[None, :]
-        i, j = np.nonzero(ok)
-        a, b = members["_key"].to_numpy()[i], queries["_key"].to_numpy()[j]
-        return pd.DataFrame({"_a": np.where(a < b, a, b), "_b": np.where(a < b, b, a)})
+        where = ["_group", "_mb", "_qb"]
+        asked = queries.groupby(where).indices
+        found = [_compared(members.iloc[rows], queries.iloc[asked[at]], percent)
+                 for at, rows in members.groupby(where).indices.items() if at in asked]
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)})
 
     return compare
 
@@ -233,88 +244,92 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     hot, level = frequent(rows, words)
     sketch = stash(_sketch(rows, words, percent, hot, level), "shingle-sketches")
-    classes = stash(sketch.where("_key is not null").groupBy("_key").agg(
-        F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.min(F.element_at("_prefix", -1)).alias("_last"),
-        F.min(F.element_at("_prefix", 1)).alias("_first")), "shingle-classes")
+    classes = stash(
+        sketch.where("_key is not null").groupBy("_key").agg(
+            F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.min(F.element_at("_prefix", -1)).alias("_last"))
+        .withColumn("_class", F.monotonically_increasing_id()), "shingle-classes")  # written, so the numbers stay
 
     # Tokens of prefixes that several documents have, by class.
     posted = sketch.where("_id is not null").select("_id", F.explode("_prefix").alias("_code"))
     several = posted.groupBy("_code").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").select("_code")
-    keys = sketch.where("_id is not null and _key is not null").select("_id", "_key")
+    of_id = sketch.where("_id is not null").select("_id", "_key").join(classes.select("_key", "_class"), "_key").select("_id", "_class")
     shared = stash(posted.join(several, "_code"), "shared-tokens")
-    entries = stash(shared.join(keys, "_id").select("_code", "_key").distinct(), "token-classes")
+    entries = stash(shared.join(of_id, "_id").select("_code", "_class").distinct(), "token-classes")
 
-    # Groups: families of near copies linked through their smallest class.
-    size = lambda c: F.col(c)
-    hubs = entries.groupBy("_code").agg(F.min("_key").alias("_a"))
-    of = classes.select("_key", "_n")
+    # Families of near copies, linked through their smallest class.
+    hubs = entries.groupBy("_code").agg(F.min("_class").alias("_a"))
+    of = classes.select("_class", "_n")
     stars = (
-        entries.withColumnRenamed("_key", "_b").join(hubs, "_code").where("_a <> _b")
+        entries.withColumnRenamed("_class", "_b").join(hubs, "_code").where("_a <> _b")
         .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_common"))
         .join(of.toDF("_a", "_na"), "_a").join(of.toDF("_b", "_nb"), "_b")
         .where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
         .where(F.col("_common") * 300 >= (100 - percent) * F.least("_na", "_nb"))
         .select("_a", "_b")
     )
-    stars = stash(stars, "star-pairs")
-    near = stash(_verified(rows, classes, stars, words, percent), "star-links")
-    families = components(near, "_a", "_b").toDF("_key", "_comp")
+    near = stash(_verified(rows, classes, stash(stars, "star-pairs"), words, percent), "star-links")
+    families = components(near, "_a", "_b").toDF("_class", "_comp")
     sizes = families.groupBy("_comp").agg(F.count(F.lit(1)).alias("_members"))
 
-    known = (
-        entries.groupBy("_key").agg(F.collect_list("_code").alias("_codes"))  # a prefix at most
-        .join(classes.select("_key", "_n", "_last", "_first"), "_key")
-        .join(families, "_key", "left").join(sizes, "_comp", "left")
-        .select("_key", "_codes", "_n", "_last", F.coalesce("_comp", "_key").alias("_comp"),
-                F.concat_ws("/", "_first", F.when(F.col("_members") >= FAMILY, F.col("_comp"))).alias("_group"))
-    )
-    known = stash(known, "grouped-classes")
-    groups = known.groupBy("_group").agg(
+    # What is left: tokens of classes that are not all linked.
+    placed = stash(entries.join(families, "_class", "left").select(
+        "_code", "_class", F.coalesce("_comp", "_class").alias("_comp")), "token-families")
+    left = (placed.groupBy("_code").agg(F.count(F.lit(1)).alias("_df"), F.min("_comp").alias("_from"), F.max("_comp").alias("_to"))
+            .where("_from <> _to").select("_code", "_df"))
+    known = stash(
+        placed.join(left, "_code")
+        .groupBy("_class", "_comp").agg(F.collect_list("_code").alias("_codes"),  # a prefix at most
+                                        F.max(F.struct("_df", "_code"))["_code"].alias("_most_shared"))
+        .join(classes.select("_class", "_n", "_last"), "_class").join(sizes, "_comp", "left")
+        .select("_class", "_codes", "_n", "_last", "_comp",
+                F.concat_ws("/", "_most_shared", F.when(F.col("_members") >= FAMILY, F.col("_comp"))).alias("_name")),
+        "grouped-classes")
+    groups = stash(known.groupBy("_name").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_n").alias("_least"), F.max("_n").alias("_most"),
         F.min("_comp").alias("_comp_a"), F.max("_comp").alias("_comp_b"))
+        .withColumn("_group", F.monotonically_increasing_id()), "groups")
+    known = stash(known.join(groups.select("_name", "_group", "_size"), "_name").drop("_name"), "numbered-classes")
 
     # The matrix, and the overlap of each class with each group's union.
-    mine = groups.select("_group", "_size")
-    asking = known.join(mine, "_group").select("_key", "_n", "_comp", F.col("_group").alias("_own"),
-                                               F.col("_size").alias("_own_size"), F.explode("_codes").alias("_code"))
-    matrix = known.select("_group", F.explode("_codes").alias("_code")).distinct().join(groups, "_group")
+    asking = known.select("_class", "_n", "_comp", F.col("_group").alias("_own"), F.col("_size").alias("_own_size"),
+                          F.explode("_codes").alias("_code"))
+    matrix = known.select("_group", F.explode("_codes").alias("_code")).distinct().join(groups.drop("_name"), "_group")
     smaller = (F.col("_own_size") < F.col("_size")) | (
         (F.col("_own_size") == F.col("_size")) & (F.col("_own") <= F.col("_group")))
-    fits = (100 * F.col("_n") <= 100 * 100 * F.col("_most") / percent) & (100 * F.col("_n") >= percent * F.col("_least"))
+    fits = (F.col("_n") * percent <= 100 * F.col("_most")) & (100 * F.col("_n") >= percent * F.col("_least"))
     linked = (F.col("_comp_a") == F.col("_comp_b")) & (F.col("_comp_a") == F.col("_comp"))
     overlap = (
         asking.join(matrix, "_code").where(smaller & fits & ~linked)
-        .groupBy("_key", "_group").agg(F.count(F.lit(1)).alias("_common"), F.first("_n").alias("_n"),
-                                       F.first("_least").alias("_least"), F.first("_most").alias("_most"),
-                                       F.first("_size").alias("_size"))
+        .groupBy("_class", "_group").agg(F.count(F.lit(1)).alias("_common"), F.first("_n").alias("_n"),
+                                         F.first("_least").alias("_least"), F.first("_most").alias("_most"),
+                                         F.first("_size").alias("_size"))
     )
-    n = size("_n")
+    n = F.col("_n")
     low = F.greatest(F.col("_least"), F.ceil(n * percent / F.lit(100.0) - 1e-9))
     high = F.least(F.col("_most"), F.floor(n * 100 / F.lit(float(percent)) + 1e-9))
     # One less in the second case: its two roundings need not fall together over the sizes between.
     bound = F.least(_needed(n, low, percent), _needed(high, n, percent) - 1, _needed(n, n, percent))
     opened = stash(overlap.where(F.col("_common") >= F.greatest(bound, F.lit(1)))
-                   .select("_key", "_group", "_size"), "opened-groups")
+                   .select("_class", "_group", "_size"), "opened-groups")
 
-    # Open them in blocks.
-    parts = opened.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_qs"),
-                                         F.first("_size").alias("_size"))
-    block = lambda of: F.pmod(F.xxhash64("_key"), of).cast("int")
+    # Open them in blocks; several small groups share a call.
+    parts = opened.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_qs"))
+    block = lambda of: F.pmod(F.xxhash64("_class"), of).cast("int")
     ms = F.ceil(F.col("_size") / BLOCK).cast("int")
-    members = known.join(parts, "_group").select(
-        "_group", block(ms).alias("_mb"), F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_qb"),
-        "_key", "_codes", "_n", "_last", "_comp")
-    queries = opened.join(parts.select("_group", "_qs"), "_group").join(known.drop("_group"), "_key").select(
-        "_group", F.explode(F.sequence(F.lit(0), ms - 1)).alias("_mb"), block(F.col("_qs")).alias("_qb"),
-        "_key", "_codes", "_n", "_last", "_comp")
-    where = ["_group", "_mb", "_qb"]
-    members, queries = members.toDF(*members.columns), queries.toDF(*queries.columns)  # both come from one table
-    pairs = members.groupBy(*where).cogroup(queries.groupBy(*where)).applyInPandas(
-        _opened(percent), "_a string, _b string").distinct()
+    columns = ["_class", "_codes", "_n", "_last", "_comp"]
+    calls = F.lit(max(1, opened.count() // CALL_ROWS))
+    dealt = lambda df: df.withColumn("_call", F.pmod(F.xxhash64("_group", "_mb", "_qb"), calls)).toDF(
+        "_group", "_mb", "_qb", *columns, "_call")
+    members = dealt(known.join(parts, "_group").select(
+        "_group", block(ms).alias("_mb"), F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_qb"), *columns))
+    queries = dealt(opened.join(parts, "_group").join(known.select(*columns), "_class").select(
+        "_group", F.explode(F.sequence(F.lit(0), ms - 1)).alias("_mb"), block(F.col("_qs")).alias("_qb"), *columns))
+    pairs = members.groupBy("_call").cogroup(queries.groupBy("_call")).applyInPandas(
+        _opened(percent), "_a long, _b long").distinct()
     far = _verified(rows, classes, stash(pairs, "candidate-pairs"), words, percent)
 
-    linked = components(near.unionByName(far), "_a", "_b").toDF("_key", "_comp")
-    named = classes.join(linked, "_key", "left").withColumn("_comp", F.coalesce("_comp", "_key"))
+    linked = components(near.unionByName(far), "_a", "_b").toDF("_class", "_comp")
+    named = classes.join(linked, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
     smallest = named.groupBy("_comp").agg(F.min("_id").alias("_component"))
     of_class = named.join(smallest, "_comp").select("_key", "_component")
     return sketch.select("_id", "_n", "_key").join(of_class, "_key", "left").select(
