@@ -10,18 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from popweave.domain import ALL_YEARS, DEFAULT_REGION, DEFAULT_SEED, TARGET_YEAR, TRAIN_YEARS, resolve
 from popweave.functions import text as TX
 from popweave.functions.hashing import hash_uniform
+from popweave.functions.rules import feasible
 from popweave.operators import cells as C
 from popweave.operators import fitting as FT
 from popweave.operators import metrics as M
 from popweave.operators.conditional import EmpiricalSampler
-from popweave.operators.validate import take_accepted, validate_generated
+from popweave.operators.validate import first_batches, take_accepted, validate_generated
 from popweave.plans import methods as PM
-from popweave.session import materialize
+from popweave.session import materialize, stash
 from popweave.sources import scans as S
 
 # --- fixed values: input file names -----------------------------------------
@@ -124,10 +126,22 @@ def compute_full_joint_jsd(syn_df, real_df, attributes=None, category_map=None)
     return M.jsd_full_joint(s, r, attrs, dom)
 
 
+def compute_srmse(syn_df: DataFrame, real_df: DataFrame, attribute: str, categories: Sequence[str]) -> DataFrame:
+    """SRMSE of one attribute: ``(attr, srmse)``."""
+    dom = {attribute: [str(c) for c in categories]}
+    s, r, attrs, dom = _cells_pair(syn_df, real_df, [attribute], dom)
+    return M.srmse(s, r, attrs, dom)
+
+
+def compute_jsd(p_counts: DataFrame, q_counts: DataFrame, keys: Sequence[str], grid: int, n: str = "n") -> DataFrame:
+    """Jensen-Shannon divergence ``(jsd)`` of two count tables over a grid of ``grid`` cells."""
+    return M.jsd(p_counts, q_counts, keys, grid, n=n)
+
+
 def evaluate(syn_df: DataFrame, real_df: DataFrame, attributes=None, category_map=None) -> DataFrame:
-    """One row: ``srmse_avg, jsd_pairwise_avg, jsd_full_joint``."""
+    """One row: ``srmse_avg, jsd_pairwise_avg, jsd_full_joint, srmse_per_attr`` (a map)."""
     s, r, attrs, dom = _cells_pair(syn_df, real_df, attributes, category_map)
-    return M.evaluate_suite(s, r, attrs, dom)
+    return M.evaluate_suite(s, r, attrs, dom, per_attr=True)
 
 
 def ipf_reweight(syn_df: DataFrame, target_marginals, max_iter: int = 100, tol: float = 1e-6,
@@ -142,9 +156,26 @@ def serialize_dataframe(df: DataFrame, year_col: str = "year", region: str = DEF
                         key_col: str | None = None) -> DataFrame:
     """``(text)`` per row (plus ``key_col`` when given; it is not serialized)."""
     cols = [c for c in df.columns if c not in (year_col, key_col)]
-    text = TX.serialize(df, cols, year_col=year_col, region=region, permute=permute, seed=seed,
-                        key_col=key_col, use_era_context=use_era_context)
-    return df.select(*([key_col] if key_col else []), text.alias("text"))
+    keyed = df
+    if permute and key_col is None:
+        # No key: each row's order hashes its place, which depends on how the input is partitioned.
+        keyed = df.withColumn("_row_id", F.monotonically_increasing_id())
+    text = TX.serialize(keyed, cols, year_col=year_col, region=region, permute=permute, seed=seed,
+                        key_col=key_col or "_row_id", use_era_context=use_era_context)
+    return keyed.select(*([key_col] if key_col else []), text.alias("text"))
+
+
+def check_record_feasibility(df: DataFrame, out: str = "feasible") -> DataFrame:
+    """``df`` with whether each record breaks no structural-zero rule."""
+    return df.withColumn(out, feasible())
+
+
+def build_generation_prefix(year: Column, region: str = DEFAULT_REGION, conditions=()) -> Column:
+    return TX.generation_prefix(year, region, conditions)
+
+
+def build_era_prefix(year: Column, region: str = DEFAULT_REGION) -> Column:
+    return TX.era_prefix(year, region)
 
 
 def parse_records(df: DataFrame, text_col: str = "text", attributes=None, keep: Sequence[str] = ()) -> DataFrame:
@@ -156,7 +187,8 @@ def accept_generated(texts: DataFrame, n_samples: int, *, batch_size: int = 64,
                      category_map=None) -> DataFrame:
     """Validated records, first n in (batch, pos) order (texts need batch/pos)."""
     attrs, dom = resolve(attributes, category_map)
-    v = validate_generated(texts, keep=["batch", "pos"], attrs=attrs, domain=dom)
+    read = first_batches(texts, n_samples, batch_size)
+    v = stash(validate_generated(read, keep=["batch", "pos"], attrs=attrs, domain=dom), "validated")
     return take_accepted(v, n_samples, batch_size=batch_size).select(*attrs)
 
 
@@ -177,4 +209,5 @@ def run_all(spark: SparkSession, data_dir: str = "data", methods: Sequence[str]
 
 __all__ = ["load_data", "compute_marginals", "IPFSynthesizer", "ConditionalSampler", "evaluate",
            "compute_all_srmse", "compute_pairwise_jsd", "compute_full_joint_jsd", "ipf_reweight",
-           "serialize_dataframe", "parse_records", "accept_generated", "run_all"]
+           "compute_srmse", "compute_jsd", "serialize_dataframe", "check_record_feasibility", "build_generation_prefix",
+           "build_era_prefix", "parse_records", "accept_generated", "run_all"]

@@ -169,8 +169,8 @@ def jsd_pairwise(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[st
 
 
 def evaluate_suite(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[str], domain: Domain,
-                   n: str = "n") -> DataFrame:
-    """One row ``(srmse_avg, jsd_pairwise_avg, jsd_full_joint)``.
+                   n: str = "n", per_attr: bool = False) -> DataFrame:
+    """One row ``(srmse_avg, jsd_pairwise_avg, jsd_full_joint)``, with ``per_attr`` also the map ``srmse_per_attr``.
 
     All roll-ups in one pass, grouping-sets style: every tagged cell fans out
     to its single-attribute, pair and full-joint groups, one aggregation sums
@@ -183,7 +183,7 @@ def evaluate_suite(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[
     pairs = attribute_pairs(attrs)
     K = prod(len(domain[a]) for a in attrs)
     if K > SMALL_SUPPORT:
-        return _evaluate_suite_parts(syn_cells, real_cells, attrs, domain, n)
+        return _evaluate_suite_parts(syn_cells, real_cells, attrs, domain, n, per_attr)
     sets = ([("srmse", (a,), len(domain[a])) for a in attrs]
             + [("pair", (a, b), len(domain[a]) * len(domain[b])) for a, b in pairs]
             + [("joint", tuple(attrs), K)])
@@ -213,27 +213,34 @@ def evaluate_suite(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[
                   (F.col("kk") - F.col("s")) * g_expr(e / F.col("zp"), e / F.col("zq"))).otherwise(F.lit(0.0))
     jsd_v = F.greatest(F.lit(0.0), F.col("gs") + rest)
     srmse_v = F.when(F.col("kk") > 0, F.sqrt(F.col("d2") / F.col("kk")) * F.col("kk")).otherwise(F.lit(0.0))
-    per = per.select("kind", F.when(F.col("kind") == "srmse", srmse_v).otherwise(jsd_v).alias("v"))
+    per = per.select("kind", "sid", F.when(F.col("kind") == "srmse", srmse_v).otherwise(jsd_v).alias("v"))
     n_attrs, n_pairs = max(len(attrs), 1), max(len(pairs), 1)
     return per.agg(
         (F.coalesce(F.sum(F.when(F.col("kind") == "srmse", F.col("v"))), F.lit(0.0)) / n_attrs).alias("srmse_avg"),
         (F.coalesce(F.sum(F.when(F.col("kind") == "pair", F.col("v"))), F.lit(0.0)) / n_pairs)
         .alias("jsd_pairwise_avg"),
-        F.coalesce(F.max(F.when(F.col("kind") == "joint", F.col("v"))), F.lit(0.0)).alias("jsd_full_joint"))
+        F.coalesce(F.max(F.when(F.col("kind") == "joint", F.col("v"))), F.lit(0.0)).alias("jsd_full_joint"),
+        *([F.create_map(*[x for i, a in enumerate(attrs) for x in (
+            F.lit(a), F.coalesce(F.max(F.when((F.col("kind") == "srmse") & (F.col("sid") == i), F.col("v"))), F.lit(0.0)))])
+           .alias("srmse_per_attr")] if per_attr else []))
 
 
 def _evaluate_suite_parts(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[str], domain: Domain,
-                          n: str = "n") -> DataFrame:
+                          n: str = "n", per_attr: bool = False) -> DataFrame:
     """Grids too large for one window partition: the three parts separately."""
-    s = srmse(syn_cells, real_cells, attrs, domain, n).agg(F.avg("srmse").alias("value")) \
-        .select(F.lit("srmse_avg").alias("metric"), "value")
+    each = srmse(syn_cells, real_cells, attrs, domain, n)
+    s = each.agg(F.avg("srmse").alias("value")).select(F.lit("srmse_avg").alias("metric"), "value")
+    if per_attr:
+        s = s.unionByName(each.select(F.concat(F.lit("attr:"), "attr").alias("metric"), F.col("srmse").alias("value")))
     pw = jsd_pairwise(syn_cells, real_cells, attrs, domain, n).agg(F.avg("jsd").alias("value")) \
         .select(F.lit("jsd_pairwise_avg").alias("metric"), "value")
     fj = jsd_full_joint(syn_cells, real_cells, attrs, domain, n) \
         .select(F.lit("jsd_full_joint").alias("metric"), F.col("jsd_full_joint").alias("value"))
     u = s.unionByName(pw).unionByName(fj)
-    return u.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
-                   for m in ("srmse_avg", "jsd_pairwise_avg", "jsd_full_joint")])
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    return u.agg(*[of(m).alias(m) for m in ("srmse_avg", "jsd_pairwise_avg", "jsd_full_joint")],
+                 *([F.create_map(*[x for a in attrs for x in (F.lit(a), F.coalesce(of(f"attr:{a}"), F.lit(0.0)))])
+                    .alias("srmse_per_attr")] if per_attr else []))
 
 
 def jsd_vectors(p: Sequence[float], q: Sequence[float], eps: float = EPS) -> float:

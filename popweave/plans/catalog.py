@@ -479,6 +479,18 @@ def prompt_table(spark, d):
     return cen.select("id", TX.generation_prefix(F.col("year"), conditions=conds).alias("prompt"))
 
 
+@query
+def text_corpus(spark, d):
+    """Half of the training records, drawn exactly, as training texts with their era."""
+    train = _cen(spark, d).where(F.col("year").isin(TRAIN_YEARS))
+    return PM.text_corpus(train, gen_n(spark, d) // 2, "id", CENSUS_ATTRS, seed=SEED, use_era_context=True)
+
+
+@query
+def prompt_batch(spark, d):
+    return PM.prompt_batch(spark, gen_n(spark, d), TARGET_YEAR, conditions={"sex": "Female"}, use_era_context=True)
+
+
 def _gen(spark, d):
     return fx.gen_texts(spark, d)
 

@@ -8,18 +8,19 @@ records -> cell table (one aggregation, checkpointed) -> metrics.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popweave.domain import DEFAULT_SEED, Domain
+from popweave.functions.text import era_prefix, generation_prefix, record_prefix, serialize
 from popweave.operators.cells import cell_counts, marginals
 from popweave.operators.conditional import EmpiricalSampler
 from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_cells, seed_table, targets_df,
                                         targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
-from popweave.operators.sampling import BROADCAST_BYTES, expand, measured, row_key, weighted_hits
+from popweave.operators.sampling import BROADCAST_BYTES, expand, index_range, measured, row_key, subsample_exact, weighted_hits
 from popweave.operators.validate import first_batches, generation_stats, take_accepted, validate_generated
 from popweave.session import materialize, stash
 
@@ -156,6 +157,25 @@ def run_conditional(train: DataFrame, target: DataFrame, target_year: int, n: in
     return syn, res
 
 
+def text_corpus(train: DataFrame, n: int, key_col: str, attrs: Sequence[str], *, seed: int = DEFAULT_SEED,
+                use_era_context: bool = False) -> DataFrame:
+    """Training texts of the text method: an exact seeded subsample, serialized with permuted attributes."""
+    sample = subsample_exact(train, n, seed, [key_col])
+    return sample.select(key_col, serialize(sample, attrs, key_col=key_col, permute=True, seed=seed,
+                                            use_era_context=use_era_context).alias("text"))
+
+
+def prompt_batch(spark, n: int, year: int, *, conditions: Mapping[str, str] | None = None, batch_size: int = 64,
+                 use_era_context: bool = False) -> DataFrame:
+    """``(batch, pos, prompt)``: the prompt for ``year``, once for each of ``n`` texts to generate."""
+    given = [(k, F.lit(v)) for k, v in (conditions or {}).items()]
+    prompt = generation_prefix(F.lit(int(year)), conditions=given)
+    if use_era_context:
+        prompt = F.concat(F.replace(era_prefix(F.lit(int(year))), record_prefix(F.lit(int(year))), F.lit("")), prompt)
+    return index_range(spark, n).select(F.floor(F.col("id") / batch_size).cast("long").alias("batch"),
+                                        (F.col("id") % batch_size).cast("int").alias("pos"), prompt.alias("prompt"))
+
+
 def run_text(texts: DataFrame, target: DataFrame, n: int, attrs: Sequence[str], domain: Domain, *,
              oversample_factor: int = 1, seed: int = DEFAULT_SEED, batch_size: int = 64,
              label: str = "Text", tol: float = 1e-6):

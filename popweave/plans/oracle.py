@@ -352,7 +352,7 @@ register("expand_cells", with_(*_seed_ctes(), SCALED, *_trs_ctes("scaled", IPF_N
 SELECT {ATTR_LIST}, r.range AS record FROM ex JOIN range(0, {IPF_N}) r ON r.range >= ex.chi - ex.count AND r.range < ex.chi""")
 
 
-RAKE_PASSES = 24  # passes of the sequential rule after which the test tables' weights no longer move
+RAKE_PASSES = 16  # passes of the sequential rule after which the test tables' weights no longer move
 
 
 def _rake_ctes(start: str, passes: int, attrs=POP_ATTRS, domain=POP_DOMAIN, tgt: str = "tgt", by: str = "", n: str = "n",
@@ -665,13 +665,13 @@ def _joint(syn: str, real: str, attrs, domain) -> str:
     return f"(SELECT jsd FROM {_dense_jsd(attrs, domain, syn, real)} t)"
 
 
-def _method(label: str, ctes: list[str], raked: bool, attrs=POP_ATTRS, domain=POP_DOMAIN, more: str = "") -> tuple[list[str], str]:
+def _method(label: str, ctes: list[str], raked: bool, attrs=POP_ATTRS, domain=POP_DOMAIN) -> tuple[list[str], str]:
     """CTEs up to ``syn`` and ``real`` (and ``syn_raked``), and the result row over them."""
     r6 = lambda x: f"round({x}, 6)"
     of = (lambda f: r6(f("syn_raked", "real", attrs, domain))) if raked else (lambda f: "CAST(NULL AS DOUBLE)")
     return ctes, f"""SELECT {q(label)} AS method, {r6(_srmse_avg("syn", "real", attrs, domain))} AS srmse_avg,
       {r6(_joint("syn", "real", attrs, domain))} AS jsd_full_joint, {of(_srmse_avg)} AS srmse_avg_ipf,
-      {of(_joint)} AS jsd_full_joint_ipf, {r6(_pair_avg("syn", "real", attrs, domain))} AS jsd_pairwise_avg{more}"""
+      {of(_joint)} AS jsd_full_joint_ipf, {r6(_pair_avg("syn", "real", attrs, domain))} AS jsd_pairwise_avg"""
 
 
 def _materialized(name: str, body: str) -> str:
@@ -692,22 +692,20 @@ METHOD_CONDITIONAL = _method("Conditional", [
     *_targets_ctes("pop"), *_sample_ctes("pop_skew", POP_TRAIN, POP_N), f"pool_cells AS (SELECT {ATTR_LIST}, hits AS n FROM drawn)",
     *_resample_ctes("pool_cells", RAKE_PASSES), REAL, _materialized("syn", _records("drawn", "hits")),
     _materialized("syn_raked", _records("raked", "hits"))], True)
-TEXT_PASSES = 60
-METHOD_TEXT = _method("Text", [
-    GEN_CTE, *parse_ctes(), *VALIDATED, *BATCHES,
-    _materialized("syn", f"(SELECT {', '.join(CA)} FROM pool)"),
-    _materialized("real", f"(SELECT {', '.join(CA)} FROM cen WHERE year = {CEN_TARGET})"),
-    f"text_long AS ({' UNION ALL '.join(f'SELECT {q(a)} AS attr, {a} AS cat FROM real' for a in CA)})",
-    f"""text_tgt AS MATERIALIZED (SELECT dom.attr, dom.cat, count(l.cat) / (SELECT count(*) FROM real) AS prop
-        FROM {dom_values(CA, CD)} LEFT JOIN text_long l ON l.attr = dom.attr AND l.cat = dom.cat GROUP BY dom.attr, dom.cat)""",
-    f"text_cells AS MATERIALIZED (SELECT {', '.join(CA)}, count(*) AS n FROM syn GROUP BY ALL)",
-    *_resample_ctes("text_cells", TEXT_PASSES, CA, CD, "text_tgt"),
-    _materialized("syn_raked", _records("raked", "hits", CA))], True, CA, CD, f""",
-      (SELECT accepted FROM ({STATS})) AS n_generated, round((SELECT fill_rate FROM ({STATS})), 6) AS parse_rate""")
 register("method_ipf", with_(*METHOD_IPF[0]) + METHOD_IPF[1])
 register("method_conditional", with_(*METHOD_CONDITIONAL[0]) + METHOD_CONDITIONAL[1])
-register("method_text", cwith(*METHOD_TEXT[0]) + METHOD_TEXT[1])
-register("comparison_table", "SELECT method, srmse_avg, jsd_full_joint, COALESCE(srmse_avg_ipf, srmse_avg) AS srmse_avg_ipf, "
-         "COALESCE(jsd_full_joint_ipf, jsd_full_joint) AS jsd_full_joint_ipf FROM ("
-         + " UNION ALL BY NAME ".join(f"SELECT * FROM ({ORACLE[m]})" for m in ("method_ipf", "method_conditional", "method_text"))
-         + ")")
+
+
+# ------------------------------------------------ the text method's inputs
+_pieces = " UNION ALL ".join(
+    f"SELECT id, year, md5('42:' || id || ':' || {q(a)}) AS k, {q(DISPLAY_NAMES[a] + ' is ')} || {a} AS p FROM sub WHERE {a} IS NOT NULL"
+    for a in CA)
+_context = "CASE WHEN era.narrative IS NOT NULL THEN '[Context: ' || era.narrative || '] ' ELSE '' END"
+register("text_corpus", cwith(f"""
+sub AS (SELECT * FROM cen WHERE year IN ({', '.join(str(y) for y in CEN_TRAIN)})
+        ORDER BY {uniform_sql('id')}, id LIMIT (SELECT {GEN_N} // 2))""", f"pc AS ({_pieces})") + f"""
+SELECT id, {_context} || {prefix_sql('x.year')} || body AS text
+FROM (SELECT id, year, string_agg(p, ', ' ORDER BY k, p) AS body FROM pc GROUP BY id, year) x LEFT JOIN era ON era.year = x.year""")
+register("prompt_batch", cwith() + f"""
+SELECT i // 64 AS batch, CAST(i % 64 AS INTEGER) AS pos, {_context} || {prefix_sql(str(CEN_TARGET))} || 'Sex is Female, ' AS prompt
+FROM (SELECT unnest(range({GEN_N})) AS i) LEFT JOIN era ON era.year = {CEN_TARGET}""")

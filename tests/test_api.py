@@ -58,6 +58,38 @@ def test_load_data_layouts(spark):
         api.load_data(spark, scratch_path(spark, "empty_layout"))
 
 
+def test_only_missing_paths_are_skipped(spark, tmp_path):
+    cen = fx.cen_records(spark, SF_SMALL).select("year", *CENSUS_ATTRS)
+    cen.where(F.col("year") == 2015).drop("year").write.parquet(f"{tmp_path}/y/{api.YEAR_FILE.format(year=2015)}")
+    (tmp_path / "y" / api.YEAR_FILE.format(year=2000)).mkdir()  # there, but without a file
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA|infer schema"):
+        api.load_data(spark, f"{tmp_path}/y")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / api.COMBINED_FILE).write_bytes(b"this is no Parquet file")
+    with pytest.raises(Exception):  # noqa: B017 - any error but a fall-back to other files
+        api.load_data(spark, f"{tmp_path}/c")[0].count()
+
+
+def test_public_functions(spark):
+    cen = fx.cen_records(spark, SF_SMALL).select("id", "year", *CENSUS_ATTRS)
+    texts = api.serialize_dataframe(cen.drop("id"))  # no key: a row number
+    assert texts.columns == ["text"] and texts.count() == cen.count()
+    assert texts.select(F.regexp_extract("text", "recorded: (\\w+)", 1)).distinct().count() > 2  # orders differ
+    ok = api.check_record_feasibility(cen)
+    assert 0 < ok.where("feasible").count() < cen.count()
+    p = spark.range(1).select(api.build_era_prefix(F.lit(2020)).alias("e"), api.build_generation_prefix(F.lit(2021)).alias("g")).first()
+    assert p.e.startswith("[Context: In 2020") and p.g == "In 2021, a resident of Daejeon was recorded: "
+    res = api.evaluate(cen, cen).first()
+    assert res.srmse_per_attr == dict.fromkeys(CENSUS_ATTRS, 0.0)
+    one = api.compute_srmse(cen.where("sex = 'Male'"), cen, "sex", ["Male", "Female"]).first()
+    assert one.attr == "sex" and one.srmse == pytest.approx(1.0, abs=0.02)
+    counts = cen.groupBy("sex").agg(F.count("*").alias("n"))
+    assert api.compute_jsd(counts, counts, ["sex"], 2).first().jsd == pytest.approx(0.0, abs=1e-12)
+    any_attr = spark.createDataFrame([("u", 1), ("v", 2)] * 50, "x string, y int")
+    assert api.ipf_reweight(any_attr, {"x": {"u": 0.9, "v": 0.1}}).where("x = 'u'").count() > 75
+    assert api.ipf_reweight(any_attr, {}).count() == 100
+
+
 def test_workers_need_no_package(tmp_path):
     """In-task fits run from a plain session whose workers cannot import the package."""
     import subprocess
@@ -72,8 +104,8 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 from popweave.operators import fitting as FT
 seed = spark.createDataFrame([(0, "0", 1.5), (1, "1", 2.5)], "cell long, x string, seed double")
-fit = FT.ipf(seed, {{"x": {{"0": 0.3, "1": 0.7}}}}, 11, ["x"], {{"x": ["0", "1"]}}, integerize_seed=1).collect()
-assert sum(r["count"] for r in fit) == 11
+fit = FT.ipf(seed, {{"x": {{"0": 0.3, "1": 0.7}}}}, 11, ["x"], {{"x": ["0", "1"]}}).collect()
+assert round(sum(r["fitted"] for r in fit), 6) == 11
 cells = spark.createDataFrame([("0", 3), ("1", 5)], "x string, n long")
 assert FT.rake(cells, {{"x": {{"0": 0.5, "1": 0.5}}}}).count() == 2
 print("OK")
