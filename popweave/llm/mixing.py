@@ -45,12 +45,12 @@ def source_rates(rows: DataFrame, weights: dict | None = None, total: int | None
         for name, w in weights.items():
             case = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(case)
         weighed = sizes.withColumn("_weight", case)
-    sums = weighed.agg(F.sum("_weight").alias("_weights"), F.sum("_rows").alias("_all"))
-    want = F.lit(float(total)) if total is not None else F.col("_all").cast("double")
-    return weighed.join(F.broadcast(sums)).select(
+    weighed = stash(weighed, "source-sizes")
+    all_weights, all_rows = weighed.agg(F.sum("_weight"), F.sum("_rows")).first()  # two numbers
+    want = float(total if total is not None else all_rows or 0)
+    return weighed.select(
         "_source", "_rows",
-        F.when(F.col("_weights") > 0, want * F.col("_weight") / F.col("_weights") / F.col("_rows"))
-        .otherwise(0.0).alias("_rate"))
+        (F.lit(want) * F.col("_weight") / F.lit(all_weights or 1.0) / F.col("_rows")).alias("_rate"))
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:
