@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.session import scratch_path
+from popweave.session import stash
+
+__all__ = ["WHITE", "normal_space", "stash", "table", "unpack", "whole_row"]
 
 #: ASCII white space: tab, line feed, vertical tab, form feed, return, space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -15,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate as Parquet under ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage with column pruning kept (an RDD checkpoint has none);
-    the folder goes when the session's JVM ends.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def normal_space(text: Column) -> Column:
     """Null becomes empty, each run of ASCII white space one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
