@@ -9,10 +9,12 @@ word shingles.  The join is exact and returns classes, not pairs:
    of their prefixes (the first ``n - ceil(t n) + 1``), so only prefixes are
    shuffled, and of those only tokens that several documents have go on.
    Documents with identical sets are one class and are handled once.
-2. *Families.*  Each class is paired with the smallest class among those that
-   share a token; pairs that share enough of their prefixes are compared in
-   full.  This links the bulk of a family of near copies with a number of
-   pairs linear in its size.  Tokens whose classes are all linked are done.
+2. *Families.*  Each class is paired with a few hubs among those that share a
+   token, the first in ``HUBS`` random orders; pairs that share enough of their
+   prefixes are compared in full.  This links the bulk of a family of near
+   copies with a number of pairs linear in its size.  Tokens whose classes are
+   all linked are done; ``TURNS`` turns with other orders, while they find
+   links, bring in most of the rest.
 3. *Matrix.*  Classes are partitioned into groups of similar ones: those whose
    most shared token is the same (a large linked family apart), so that
    similar documents meet in few groups, however many they are.  The matrix
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from popweave.llm.common import stash, table
-from popweave.llm.components import components
+from popweave.llm.components import components, partial_components
 from popweave.llm.textarrays import LOWER, batches_of, mix, word_hashes
 
 WORDS = 4
@@ -57,6 +59,8 @@ HOT_FROM = 50
 BLOCK = 256
 #: Queries of one call, which can hold the blocks of several small groups.
 CALL_ROWS = 2_000
+#: Hubs of a token in a turn, and turns.
+HUBS, TURNS = 4, 2
 #: Classes of a linked family from which on it is a group of its own.
 FAMILY = 64
 #: Identifiers that may be broadcast to select documents (8 bytes each).
@@ -256,24 +260,40 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     shared = stash(posted.join(several, "_code"), "shared-tokens")
     entries = stash(shared.join(of_id, "_id").select("_code", "_class").distinct(), "token-classes")
 
-    # Families of near copies, linked through their smallest class.
-    hubs = entries.groupBy("_code").agg(F.min("_class").alias("_a"))
+    # Families of near copies: each class meets, for every token, the first classes in a few random orders.
     of = classes.select("_class", "_n")
-    stars = (
-        entries.withColumnRenamed("_class", "_b").join(hubs, "_code").where("_a <> _b")
-        .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_common"))
-        .join(of.toDF("_a", "_na"), "_a").join(of.toDF("_b", "_nb"), "_b")
-        .where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
-        .where(F.col("_common") * 300 >= (100 - percent) * F.least("_na", "_nb"))
-        .select("_a", "_b")
-    )
-    near = stash(_verified(rows, classes, stash(stars, "star-pairs"), words, percent), "star-links")
-    families = components(near, "_a", "_b").toDF("_class", "_comp")
-    sizes = families.groupBy("_comp").agg(F.count(F.lit(1)).alias("_members"))
-
-    # What is left: tokens of classes that are not all linked.
+    placed = entries.withColumn("_comp", F.col("_class"))
+    near = None
+    for turn in range(TURNS):
+        heads = [F.min(F.struct(F.xxhash64("_class", F.lit(turn * HUBS + h)).alias("_at"), F.col("_class").alias("_a"),
+                                F.col("_comp").alias("_comp_a"))).alias(f"_h{h}") for h in range(HUBS)]
+        hubs = placed.groupBy("_code").agg(*heads, F.min("_comp").alias("_from"), F.max("_comp").alias("_to")).where("_from <> _to")
+        stars = (
+            placed.join(hubs, "_code")
+            .select("_code", F.col("_class").alias("_b"), "_comp", F.explode(F.array(*[f"_h{h}" for h in range(HUBS)])).alias("_h"))
+            .where(F.col("_h._comp_a") != F.col("_comp")).select("_code", F.col("_h._a").alias("_a"), "_b").distinct()
+            .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_common"))
+            .join(of.toDF("_a", "_na"), "_a").join(of.toDF("_b", "_nb"), "_b")
+            .where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
+            .where(F.col("_common") * 300 >= (100 - percent) * F.least("_na", "_nb"))
+            .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+        )
+        found = stash(_verified(rows, classes, stash(stars, "star-pairs"), words, percent), "star-links")
+        near = found if near is None else near.unionByName(found)
+        if turn == TURNS - 1 or found.isEmpty():
+            break
+        if turn:  # what the turns before linked stands as one link each
+            near = near.unionByName(families.select(F.col("_comp").alias("_a"), F.col("_class").alias("_b")))
+        families = stash(partial_components(near, "_a", "_b").toDF("_class", "_comp"), "families")
+        placed = stash(entries.join(families, "_class", "left").select(
+            "_code", "_class", F.coalesce("_comp", "_class").alias("_comp")), "token-families")
+    # Whole components before the matrix: classes that are connected already are never compared again.
+    families = stash(components(near, "_a", "_b").toDF("_class", "_comp"), "families")
     placed = stash(entries.join(families, "_class", "left").select(
         "_code", "_class", F.coalesce("_comp", "_class").alias("_comp")), "token-families")
+    sizes = placed.select("_class", "_comp").distinct().groupBy("_comp").agg(F.count(F.lit(1)).alias("_members"))
+
+    # What is left: tokens of classes that are not all linked.
     left = (placed.groupBy("_code").agg(F.count(F.lit(1)).alias("_df"), F.min("_comp").alias("_from"), F.max("_comp").alias("_to"))
             .where("_from <> _to").select("_code", "_df"))
     known = stash(
