@@ -60,11 +60,14 @@ def dedup_lines(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id
     """``docs`` with boilerplate lines out of ``text_col``, the lines before, and those removed."""
     rest = docs.drop(n_col, removed_col)
     rows = rest.select(
-        F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("_id"), F.md5(f"`{text_col}`").alias("_key"),
+        F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("_id"), F.xxhash64(f"`{text_col}`").alias("_key"),
         F.col(f"`{site_col}`").cast("string").alias("_site"), F.split(f"`{text_col}`", "\n", -1).alias("_lines"),
         whole_row(rest.drop(text_col)).alias("_row"))
-    lines = rows.select("_id", "_key", "_site", F.posexplode("_lines").alias("_at", "_text")).select(
-        "_id", "_key", "_site", "_at", _line_hash(F.col("_text")).alias("_line")).where("_line is not null")
+    # Hashes only, written once: the texts are not split again for the counts and the marks.
+    lines = stash(
+        rows.select("_id", "_key", "_site", F.posexplode("_lines").alias("_at", "_text"))
+        .select("_id", "_key", "_site", "_at", _line_hash(F.col("_text")).alias("_line")).where("_line is not null"),
+        "line-hashes")
     gone = stash(boilerplate(lines.select("_line", "_site"), min_sites), "boilerplate-lines")
     if gone.count() <= BROADCAST_LINES:
         gone = F.broadcast(gone)
