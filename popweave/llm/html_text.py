@@ -12,8 +12,9 @@ Character references are decoded, white space inside a block becomes one
 space, kept blocks are joined in page order by one space.
 
 Edge cases: null, empty and text-free html give the empty text; unclosed or
-stray tags close with their container; an unclosed script, style or comment
-runs to the end of the page; very long pages are read whole; repeated rows are
+stray tags close with their container; an unclosed script, style, textarea or
+comment runs to the end of the page; an open head ends at the first body
+element or text; self-closed svg and math are empty; very long pages are read whole; repeated rows are
 treated alike; an empty table gives an empty result; other columns come back
 untouched.
 """
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +36,14 @@ from pyspark.sql import types as T
 from popweave.llm.common import table, whole_row
 
 # Elements by their part in a page.
-SILENT = ("head script style noscript template svg math iframe object canvas audio video select option textarea "
-          "button title").split()
+SILENT = set(("head script style noscript template svg math iframe object canvas audio video select option textarea "
+              "button title").split())
+#: Of these, the ones whose text is no markup: to their end tag or the end of the page; only if they have an end tag.
+RAW, RAW_CLOSED = ("script", "style", "textarea"), ("title", "iframe")
+#: Elements that can be self-closed, with all inside them; what an open head can hold; what the next of its kind ends.
+FOREIGN = ("svg", "math")
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
+SINGLE = ("button", "option")
 BLOCKS = set(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
               "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary "
               "table tbody td tfoot th thead tr ul").split())
@@ -46,9 +55,14 @@ HINTS = set(("ad ads adv advert advertisement banner breadcrumb breadcrumbs byli
              "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription tags "
              "teaser toolbar widget widgets").split())
 
-_SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(s for s in SILENT if s != "head"),
-                      re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+#: Elements that a start tag ends, if the lists and tables named after them were not opened since.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+        **dict.fromkeys(("td", "th"), (("td", "th"), ("table",))), "tr": (("td", "th", "tr"), ("table",))}
+
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+|[^>]*)>|<[!?][^>]*>", re.S)
+_END = {n: re.compile(rf"(</{n}(?=[\s/>])[^>]*>)", re.I) for n in RAW}
+_END_INSIDE = {n: re.compile(rf"(</{n}(?=[\s/>])[^>]*>)|</(?:{'|'.join(FOREIGN)})(?=[\s/>])", re.I) for n in RAW}
+_END_CLOSED = {n: re.compile(rf"(</{n}(?=[\s/>])[^>]*>)|<(?:/head|body|{n})(?=[\s/>])", re.I) for n in RAW_CLOSED}
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z")
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -66,12 +80,105 @@ def _hinted(attributes: str) -> bool:
     return any(p in HINTS for m in _NAMED.finditer(attributes) for p in _PARTS.findall("".join(filter(None, m.groups())).lower()))
 
 
+def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Where comments and silent elements stand, and the begins of the silent ones that have no end tag.
+
+    Those given as ``unclosed`` also end where their container's end is implied.
+    """
+    spans: list[tuple[int, int]] = []
+    open_ended: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    #: Places in the stack: of each name, of blocks, of silent elements.
+    places: dict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    silent_at: list[int] = []
+    at = 0
+
+    def end(k: int, lo: int, hi: int, own: bool) -> None:
+        """Closes what the stack holds from ``k`` on, the first by its ``own`` end tag (from ``lo`` to ``hi``) or not."""
+        own = own and stack[k][0] in SILENT
+        if silent_at and silent_at[0] >= k:
+            spans.append((stack[silent_at[0]][1], hi if own else lo))
+        open_ended.update(stack[i][1] for i in silent_at[bisect_left(silent_at, k + own):])
+        for held in (block_at, silent_at):
+            while held and held[-1] >= k:
+                held.pop()
+        for name, _ in stack[k:]:
+            places[name].pop()
+        del stack[k:]
+
+    def loose(k: int) -> bool:
+        """Whether all silent elements above ``k`` are known to have no end tag."""
+        return all(stack[i][1] in unclosed for i in silent_at[bisect_right(silent_at, k):])
+
+    while m := _MARK.search(page, at):
+        lo, text, at = m.start(), at, m.end()
+        if stack and stack[-1][0] == "head" and not page[text:lo].isspace() and lo > text:
+            end(len(stack) - 1, text, text, False)
+        if not m[2]:
+            if page.startswith("<!--", lo):
+                spans.append((lo, at))
+            continue
+        name = m[2].lower()
+        if m[1]:
+            # An end tag of an inline element leaves blocks open.
+            if places[name] and (name in BLOCKS or name in SILENT or not block_at or block_at[-1] <= places[name][-1]):
+                end(places[name][-1], lo, at, True)
+            continue
+        inside = any(places[n] for n in FOREIGN)
+        empty = m[3].endswith("/")
+        if places["head"]:
+            k = places["head"][-1]
+            if name == "body" or name not in IN_HEAD and len(stack) - 1 - k == len(silent_at) - bisect_right(silent_at, k) and loose(k):
+                end(k, lo, lo, False)
+        if empty and (inside or name in FOREIGN):
+            if not inside:
+                spans.append((lo, at))
+            continue
+        if name in RAW or name in RAW_CLOSED:
+            found = (_END_CLOSED if name in RAW_CLOSED else _END_INSIDE if inside else _END)[name].search(page, at)
+            if found and found[1] or name in RAW and not inside:
+                at = found.end() if found else len(page)
+                spans.append((lo, at))
+                continue
+        if name in SINGLE and places[name]:
+            end(places[name][-1], lo, lo, False)
+        if unclosed:
+            if name in BLOCKS and places["p"] and block_at[-1] == places["p"][-1] and loose(block_at[-1]):
+                end(block_at[-1], lo, lo, False)
+            ended, within = ENDS.get(name, ((), ()))
+            for k in sorted(places[n][-1] for n in ended if places[n]):
+                if k < len(stack) and loose(k) and all(not places[n] or places[n][-1] < k for n in within):
+                    end(k, lo, lo, False)
+        if name not in VOID and (not empty or name in SILENT):
+            for held, kind in ((block_at, BLOCKS), (silent_at, SILENT)):
+                if name in kind:
+                    held.append(len(stack))
+            places[name].append(len(stack))
+            stack.append((name, lo))
+    if stack:
+        end(0, len(page), len(page), False)
+    return spans, open_ended
+
+
+def _without_silent(page: str) -> str:
+    """The page with comments and silent elements blanked: offsets stay, \\0 is no text."""
+    spans, unclosed = _silent_spans(page, set())
+    if unclosed:
+        spans, _ = _silent_spans(page, unclosed)
+    out, at = [], 0
+    for lo, hi in sorted(spans):
+        if hi > at:
+            out += [page[at:lo], "\0" * (hi - max(lo, at))]
+            at = hi
+    return "".join(out) + page[at:]
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
-    blank = lambda m: "\0" * (m.end() - m.start())  # noqa: E731  keeps offsets; \0 is no text
     page = page.replace("\0", " ")
     if "<" in page:
-        page = _SKIPPED.sub(blank, _HEAD.sub(blank, _SKIPPED.sub(blank, page)))
+        page = _without_silent(page)
     out: list[Block] = []
     #: (element, (in article, in furniture, hinted)) of the open containers
     stack: list[tuple[str, tuple]] = [("", (0, 0, 0))]

@@ -23,6 +23,25 @@ CASES = [
     (f"<article><p>{STORY}</p></article><script>never closed <p>{STORY}</p>", STORY.strip()),
     (f"<head><title>T</title><style>p{{}}</style></head><body><article><p>{STORY}</p><p>a &lt b</p></article>", f"{STORY.strip()} a < b"),
     ("<article><p>" + "word " * 200_000 + "</p></article>", ("word " * 200_000).strip()),
+    # Names that begin like a silent element's, and self-closed ones.
+    *[(f"<{e}>{i}</{e}><article><p>{STORY}</p></article>", STORY.strip()) for e in ("svg-icon", "video-js", "button-group", "title-bar")
+      for i in ("", " ")],
+    *[(f"<article><p>{STORY}<{e}/></p><p>{STORY}</p></article>", f"{STORY.strip()} {STORY.strip()}") for e in ("svg width='1'", "math ")],
+    (f"<article><p>{STORY}</p><svg><style/><title/><path d='M0'/><text>no</text></svg><p>Yes.</p></article>", f"{STORY.strip()} Yes."),
+    # Unclosed silent elements end with their container.
+    *[(f"<article><div><{e}>no</div><p>{STORY}</p><p>Yes.</p></article>", f"{STORY.strip()} Yes.")
+      for e in ("button", "option", "title", "object", "canvas", "video", "iframe", "select", "noscript", "svg", "audio src='a>b'")],
+    *[(f"<article><p>{STORY}<{e}>no{p}<p>Yes.</p></article>", f"{STORY.strip()} Yes.") for e in ("button", "video") for p in ("</p>", "")],
+    (f"<article><ul><li>One.<button>no<li>Two.</ul><p>{STORY}</p></article>", f"One. Two. {STORY.strip()}"),
+    (f"<article><p>{STORY}<span><canvas>no</span> Yes.</p></article>", f"{STORY.strip()} Yes."),
+    (f"<article><p>{STORY}<button><div>no</div></button> Yes.</p><select><option>no<option>no</select></article>", f"{STORY.strip()} Yes."),
+    (f"<article><p>{STORY}</p><textarea>never closed <p>{STORY}</p></article>", STORY.strip()),
+    # Heads whose end tag, or whose body's start tag, is left out.
+    (f"<html><head><title>T</title><meta charset=utf-8><article><p>{STORY}</p></article>", STORY.strip()),
+    (f"<head><title>T</title><noscript><img src=a>no</noscript><style>p{{}}</style><p>{STORY}</p>", STORY.strip()),
+    (f"<head><title>T<article><p>{STORY}</p><svg><title>no</title></svg></article>", STORY.strip()),
+    (f"<head><title>A <script> in a title</title></head><article><p>{STORY}</p></article>", STORY.strip()),
+    (f"<head-line>x</head-line><article><p>{STORY}</p></article>", STORY.strip()),
 ]
 
 
