@@ -14,9 +14,10 @@ space, kept blocks are joined in page order by one space.
 Edge cases: null, empty and text-free html give the empty text; unclosed or
 stray tags close with their container; an unclosed script, style, textarea or
 comment runs to the end of the page; an open head ends at the first body
-element or text; self-closed svg and math are empty; very long pages are read whole; repeated rows are
-treated alike; an empty table gives an empty result; other columns come back
-untouched.
+element or text; self-closed svg and math are empty; the text of math belongs
+to its block, annotations apart; very long pages are read whole; repeated rows
+are treated alike; an empty table gives an empty result; other columns come
+back untouched.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from popweave.llm.common import table, whole_row
 
 # Elements by their part in a page.
-SILENT = set(("head script style noscript template svg math iframe object canvas audio video select option textarea "
+SILENT = set(("head script style noscript template svg iframe object canvas audio video select option textarea "
               "button title").split())
 #: Of these, the ones whose text is no markup: to their end tag or the end of the page; only if they have an end tag.
 RAW, RAW_CLOSED = ("script", "style", "textarea"), ("title", "iframe")
@@ -44,6 +45,8 @@ RAW, RAW_CLOSED = ("script", "style", "textarea"), ("title", "iframe")
 FOREIGN = ("svg", "math")
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SINGLE = ("button", "option")
+#: Inside math, the elements that repeat a formula in another notation.
+ANNOTATIONS = ("annotation", "annotation-xml")
 BLOCKS = set(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
               "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary "
               "table tbody td tfoot th thead tr ul").split())
@@ -96,7 +99,7 @@ def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]],
 
     def end(k: int, lo: int, hi: int, own: bool) -> None:
         """Closes what the stack holds from ``k`` on, the first by its ``own`` end tag (from ``lo`` to ``hi``) or not."""
-        own = own and stack[k][0] in SILENT
+        own = own and (stack[k][0] in SILENT or stack[k][0] in ANNOTATIONS)
         if silent_at and silent_at[0] >= k:
             spans.append((stack[silent_at[0]][1], hi if own else lo))
         open_ended.update(stack[i][1] for i in silent_at[bisect_left(silent_at, k + own):])
@@ -126,14 +129,13 @@ def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]],
                 end(places[name][-1], lo, at, True)
             continue
         inside = any(places[n] for n in FOREIGN)
+        silent = name in SILENT or name in ANNOTATIONS and bool(places["math"])
         empty = m[3].endswith("/")
         if places["head"]:
             k = places["head"][-1]
             if name == "body" or name not in IN_HEAD and len(stack) - 1 - k == len(silent_at) - bisect_right(silent_at, k) and loose(k):
                 end(k, lo, lo, False)
         if empty and (inside or name in FOREIGN):
-            if not inside:
-                spans.append((lo, at))
             continue
         if name in RAW or name in RAW_CLOSED:
             found = (_END_CLOSED if name in RAW_CLOSED else _END_INSIDE if inside else _END)[name].search(page, at)
@@ -150,9 +152,9 @@ def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]],
             for k in sorted(places[n][-1] for n in ended if places[n]):
                 if k < len(stack) and loose(k) and all(not places[n] or places[n][-1] < k for n in within):
                     end(k, lo, lo, False)
-        if name not in VOID and (not empty or name in SILENT):
-            for held, kind in ((block_at, BLOCKS), (silent_at, SILENT)):
-                if name in kind:
+        if name not in VOID and (not empty or silent):
+            for held, holds in ((block_at, name in BLOCKS), (silent_at, silent)):
+                if holds:
                     held.append(len(stack))
             places[name].append(len(stack))
             stack.append((name, lo))

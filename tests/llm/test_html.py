@@ -42,6 +42,11 @@ CASES = [
     (f"<head><title>T<article><p>{STORY}</p><svg><title>no</title></svg></article>", STORY.strip()),
     (f"<head><title>A <script> in a title</title></head><article><p>{STORY}</p></article>", STORY.strip()),
     (f"<head-line>x</head-line><article><p>{STORY}</p></article>", STORY.strip()),
+    # Formulas are text of their block; annotations repeat them.
+    (f"<article><p>{STORY} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p>Yes.</p></article>", f"{STORY.strip()} Let x=2 be. Yes."),
+    (f"<article><p>{STORY} So <math><semantics><mi>y</mi><annotation encoding='application/x-tex'>no</annotation><annotation-xml><mi>no</mi>"
+     f"</annotation-xml></semantics></math>.</p><annotation>Yes.</annotation></article>", f"{STORY.strip()} So y. Yes."),
+    (f"<article><p>{STORY} So <math><mi>y</mi><annotation/><annotation>no</math>.</p></article>", f"{STORY.strip()} So y."),
 ]
 
 
