@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from popweave.llm.common import stash, table, whole_row
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 65_536
+CHUNK = 16_384
 BLOCK = 256
 #: Remembered words of a task; beyond it the memory is emptied.
 WORDS = 100_000

@@ -7,6 +7,8 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 
 from popweave.llm import pieces
+from popweave.llm.common import stash
+from tests.conftest import SF_MID
 from tests.llm import edge
 
 PARTS = ["a", " ", "  ", "the", "ing", "aaaa", "\n", "é", "漢", "😀", "-", "----", "0", "tion", "▁", "<s>", "<0x0A>", "xx",
@@ -72,3 +74,18 @@ def test_query_columns_and_empty(spark):
     assert pieces.encoded_documents(edge.empty(spark)).count() == 0
     with pytest.raises(ValueError):
         pieces.encode(edge.empty(spark), chunk=3)
+
+
+def test_long_texts_of_the_tables_enter_the_scan(spark, library, monkeypatch):
+    sizes = {}
+
+    def counted(df, name):
+        out = stash(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(pieces, "stash", counted)
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text").where("char_length(text) >= 16384")
+    got = pieces.encode(docs).collect()
+    assert len(got) == sizes["giant-texts"] == 9 and sizes["text-chunks"] >= 18
+    assert all(r["token_ids"] == library.encode(r["text"]) for r in got)
