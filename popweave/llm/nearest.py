@@ -7,8 +7,9 @@ of a vector's neighbours, within a capacity.  A small network learns how a
 vector's neighbours spread over the parts.  Every row is indexed under its most
 probable part; a query is routed to its most probable parts, as many as the
 sample needs for ``TARGET`` of the true neighbours of vectors kept apart
-(fewer where vectors cluster, many where they are spread evenly), and ranked
-there exactly, by inner products in double precision.
+(fewer where vectors cluster, many where they are spread evenly) and until they
+hold enough candidates, and ranked there exactly, by inner products in double
+precision.
 
 Parts are dealt over blocks of bounded size, so a vector that a third of all
 rows share makes more blocks, not a larger task; per query only the best of
@@ -17,8 +18,8 @@ each block are shuffled.
 Edge cases: vectors that are null, zero, of another length than most of the
 sample, or hold a null or non-finite number take no part, nor do null
 identifiers; of rows with one identifier the smallest vector counts; ties go
-to the smaller identifier; fewer candidates than asked for are all returned if
-found; an empty table gives an empty result; other columns take no part.
+to the smaller identifier; fewer candidates than asked for are all returned; an
+empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -176,15 +177,19 @@ def train(vectors: DataFrame, sample: int = SAMPLE) -> dict | None:
     return pickle.loads(got[0]) if got else None
 
 
-def _route(model: dict, probes: int):
+def _route(model: dict, probes: int, held: np.ndarray | None = None, least: int = 0):
+    """The ``probes`` most probable parts of a vector, and the next ones until they have ``least`` of what parts ``held``."""
     def route(batches):
         import pandas as pd
 
         for pdf in batches:
             if len(pdf):
                 p = probabilities(np.array(pdf["_vector"].tolist(), float) / model["scale"], model)
-                best = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"_id": pdf["_id"], "_vector": pdf["_vector"], "_parts": list(best.astype(np.int32))})
+                best = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
+                n = np.full(len(best), probes)
+                if held is not None:
+                    n = np.maximum(n, (np.cumsum(held[best], axis=1) < least).sum(1) + 1)
+                yield pd.DataFrame({"_id": pdf["_id"], "_vector": pdf["_vector"], "_parts": [b[:k] for b, k in zip(best, n, strict=True)]})
     return route
 
 
@@ -232,10 +237,13 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, id_col:
         return vectors.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("_vector") == model["dim"])
     kind = rows.schema["_vector"].dataType.simpleString()
-    routed = lambda df, probes: df.mapInPandas(
-        _route(model, probes), f"_id long, _vector {kind}, _parts array<int>").select("_id", "_vector", F.explode("_parts").alias("_part"))
+    routed = lambda df, *how: df.mapInPandas(
+        _route(model, *how), f"_id long, _vector {kind}, _parts array<int>").select("_id", "_vector", F.explode("_parts").alias("_part"))
     index = stash(routed(rows, 1), "vector-index")
-    asked = stash(routed(rows.where(is_query), model["probes"]), "vector-queries")
+    held = np.zeros(len(model["d"]), np.int64)
+    for part, n in index.groupBy("_id").agg(F.min("_part").alias("_part")).groupBy("_part").count().collect():  # a row a part
+        held[part] = n
+    asked = stash(routed(rows.where(is_query), model["probes"], held, nearest + 1), "vector-queries")
     blocks = (index.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_ms"))
               .join(asked.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / QUERIES_).cast("int").alias("_qs")), "_part"))
     blocks = F.broadcast(blocks)  # a row a part, PARTS at most

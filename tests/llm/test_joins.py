@@ -165,3 +165,15 @@ def test_nearest_edges(spark, monkeypatch):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
     assert got[200] == [v for v in range(201, 221)]  # ties to the smaller identifier
     assert nearest.search(data.where("false"), nearest.F.col("_id") % 20 == 0).count() == 0
+
+
+def test_nearest_small_parts(spark, monkeypatch):
+    eye = np.eye(2) * 50
+    net = {"a": eye, "b": np.zeros(2), "c": eye, "d": np.zeros(2), "scale": 1.0, "probes": 1, "dim": 2}
+    monkeypatch.setattr(nearest, "train", lambda rows: net)  # a part by the larger coordinate
+    rows = [(i, [1.0, 0.1 * i]) for i in range(3)] + [(i, [0.1, 1.0 + i / 50]) for i in range(3, 40)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in nearest.search(data, nearest.F.col("_id") < 6).collect())
+    assert got == dict.fromkeys(range(6), 20)
+    few = nearest.search(data.where("vec_id < 8"), nearest.F.col("_id") < 6).collect()
+    assert Counter(r["query_id"] for r in few) == dict.fromkeys(range(6), 7)
