@@ -17,9 +17,11 @@ each block are shuffled.
 
 Edge cases: vectors that are null, zero, of another length than most of the
 sample, or hold a null or non-finite number take no part, nor do null
-identifiers; of rows with one identifier the smallest vector counts; ties go
-to the smaller identifier; fewer candidates than asked for are all returned; an
-empty table gives an empty result; other columns take no part.
+identifiers; the vectors of one identifier are all indexed and all asked for,
+its best score with another identifier counts, it is no neighbour of itself,
+and equal rows count once; ties go to the smaller identifier; fewer candidates
+than asked for are all returned; an empty table gives an empty result; other
+columns take no part.
 """
 
 from __future__ import annotations
@@ -161,7 +163,7 @@ def fit(x: np.ndarray, nearest: int = NEAREST, seed: int = 8) -> dict:
 
 def train(vectors: DataFrame, sample: int = SAMPLE) -> dict | None:
     """vectors: ``_id, _vector``, usable ones; None if there are none."""
-    chosen = vectors.orderBy(hash_uniform("vectors", F.col("_id")), "_id").limit(sample)
+    chosen = vectors.orderBy(hash_uniform("vectors", F.col("_id"), F.xxhash64("_vector")), "_id", "_vector").limit(sample)
 
     def fit_all(batches):
         import pandas as pd
@@ -202,22 +204,27 @@ def _best(nearest: int):
         if not len(members) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
                 {"query_id": "int64", "vec_id": "int64", "score": float})
+        members = members.sort_values("_id", kind="stable")
         m, q = (np.array(x["_vector"].tolist(), float) for x in (members, queries))
         ids, asked = members["_id"].to_numpy(), queries["_id"].to_numpy()
         s = q @ m.T
         s[asked[:, None] == ids[None, :]] = -np.inf
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         out = []
         for row, i in enumerate(asked):
             found = s[row]
-            if len(ids) > nearest:
+            if len(first) > nearest:
                 # All that may tie once summed in one order: equal vectors must score the same.
-                least = np.partition(found, len(found) - nearest)[len(found) - nearest]
+                top = np.maximum.reduceat(found, first)
+                least = np.partition(top, len(top) - nearest)[len(top) - nearest]
                 at = np.flatnonzero(found >= least - 1e-9 * max(1.0, abs(least)))
             else:
                 at = np.arange(len(ids))
             at = at[np.isfinite(found[at])]
             score = (m[at] * q[row]).sum(axis=1)
-            order = np.lexsort((ids[at], -score))[:nearest]
+            order = np.lexsort((ids[at], -score))
+            _, once = np.unique(ids[at][order], return_index=True)  # an identifier by its best vector
+            order = order[np.sort(once)][:nearest]
             out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at][order], "score": score[order]}))
         return pd.concat(out)
 
@@ -229,7 +236,7 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, id_col:
     """``query_id, rank, vec_id, score`` of the rows that ``is_query`` marks (a condition on ``_id``) among all rows."""
     rows = (vectors.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{vector_col}`").alias("_vector"))
             .where(F.col("_id").isNotNull() & usable(F.col("_vector")))
-            .groupBy("_id").agg(F.min("_vector").alias("_vector")))
+            .distinct())
     rows = stash(rows, "usable-vectors")
     model = train(rows)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -247,13 +254,13 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, id_col:
     blocks = (index.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_ms"))
               .join(asked.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / QUERIES_).cast("int").alias("_qs")), "_part"))
     blocks = F.broadcast(blocks)  # a row a part, PARTS at most
-    of = lambda n: F.pmod(F.xxhash64("_id"), n).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("_id", "_vector"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = index.join(blocks, "_part").select("_part", of(F.col("_ms")).alias("_mb"), upto("_qs").alias("_qb"), "_id", "_vector")
     queries = asked.join(blocks, "_part").select("_part", upto("_ms").alias("_mb"), of(F.col("_qs")).alias("_qb"), "_id", "_vector")
     where = ["_part", "_mb", "_qb"]
     found = members.groupBy(*where).cogroup(queries.groupBy(*where)).applyInPandas(
-        _best(nearest), "query_id long, vec_id long, score double")
+        _best(nearest), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

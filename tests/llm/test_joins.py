@@ -177,3 +177,21 @@ def test_nearest_small_parts(spark, monkeypatch):
     assert got == dict.fromkeys(range(6), 20)
     few = nearest.search(data.where("vec_id < 8"), nearest.F.col("_id") < 6).collect()
     assert Counter(r["query_id"] for r in few) == dict.fromkeys(range(6), 7)
+
+
+def test_nearest_repeated_identifiers(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 40, rng.normal(size=6).tolist()) for i in range(90)] + [(7, rng.normal(size=6).tolist()) for _ in range(30)]
+    rows += rows[:5]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = nearest.search(data, nearest.F.col("_id") % 20 == 0, nearest=10).collect()
+    want = set()
+    for q in (0, 20):
+        best = {}
+        for a, x in rows:
+            for b, y in rows:
+                if a == q and b != q:
+                    best[b] = max(best.get(b, -np.inf), float(np.dot(x, y)))
+        for rank, (b, s) in enumerate(sorted(best.items(), key=lambda i: (-i[1], i[0]))[:10], 1):
+            want.add((q, rank, b, round(s, 9)))
+    assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got} == want and len(got) == 20
