@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from popweave.llm import (
+    conversations,
     exact_dedup,
     html_text,
     jaccard_join,
@@ -15,7 +16,8 @@ from popweave.llm import (
     sharding,
 )
 
-MODULES = (pieces, line_dedup, mixing, exact_dedup, html_text, jaccard_join, langid, nearest, quality, sharding)
+MODULES = (pieces, line_dedup, mixing, exact_dedup, html_text, jaccard_join, langid, nearest, quality, sharding,
+           conversations)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
