@@ -11,13 +11,14 @@ from popweave.llm import (
     line_dedup,
     mixing,
     nearest,
+    packing,
     pieces,
     quality,
     sharding,
 )
 
 MODULES = (pieces, line_dedup, mixing, exact_dedup, html_text, jaccard_join, langid, nearest, quality, sharding,
-           conversations)
+           conversations, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
