@@ -15,10 +15,11 @@ from popweave.llm import (
     pieces,
     quality,
     sharding,
+    spelling,
 )
 
 MODULES = (pieces, line_dedup, mixing, exact_dedup, html_text, jaccard_join, langid, nearest, quality, sharding,
-           conversations, packing)
+           spelling, conversations, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
