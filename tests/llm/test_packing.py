@@ -1,5 +1,6 @@
 """Packing: pieces against the tokenizer itself, gapless sequences, and their number against exact packing and bounds."""
 
+import json
 import math
 import random
 import zlib
@@ -141,3 +142,32 @@ def test_places_hold_every_piece_once():
             at[length, nth] = (int(sequences[k] + key - keys[k]), int(offsets[k]))
     assert len(set(at.values())) == 16 and sound(
         [{"sequence_id": s, "offset": o, "length": x} for (x, _), (s, o) in at.items()]) == 6
+
+
+def library_ids(texts):
+    return [e.ids for e in Tokenizer.from_file(K.default_model()).encode_batch(texts, add_special_tokens=False)]
+
+
+def encoder(**changes):
+    with open(K.default_model(), encoding="utf-8") as f:
+        spec = json.loads(f.read())
+    return K.Encoder(json.dumps({**spec, **changes}))
+
+
+def test_encoder_equals_the_library():
+    pick = random.Random(6)
+    letters = [*"aàz09 .,'\n\t’“", "  ", " \n", "'s", "'LL", "don't", " the", " ", " ", "\u0085", "​", "漢字", "😀", "٣", "ß", "\x00", "\x1c"]
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 60))) for _ in range(4000)]
+    texts += ["x" * 3000, " " * 3000, "a " + "b" * 1200 + " c", "text <|endoftext|> text", "<|endoftext|>", "ab\n" * 5000, "1" * 5000]
+    # Every character, between letters, digits, signs and spaces.
+    texts += [f"a{c}a 1{c}1 .{c}. {c}{c}a  {c} '{c}s" for c in map(chr, [*range(0xD800), *range(0xE000, 0x3FFFF, 7)])]
+    encode = encoder()
+    assert encode.fast and encode._long_run("x" * 1500) and not encode._long_run("some words " * 500)
+    got = [np.frombuffer(b, "<u4").tolist() for lo in range(0, len(texts), 5000) for b in encode(texts[lo:lo + 5000])]
+    assert got == library_ids(texts)
+
+
+def test_other_models_go_to_the_library():
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True,
+                                                                          "trim_offsets": True, "use_regex": True}}):
+        assert encoder(**change).fast is None
