@@ -4,11 +4,12 @@ Both fits only rescale whole categories, so a record's weight is a function
 of its cell: fitting the cell table is exact.  Each group's cells (bounded
 by the domain product) are fitted inside one task by
 ``cogroup(cells, targets).applyInPandas`` — one job for any number of
-groups, lineage flat.  When one group's grid is larger than
-``MAX_TASK_CELLS`` (measured) the same recurrences run as a driver loop of
-small Spark aggregations over integer category codes (only per-category sums
-and factors travel), group by group: such groups are at most the cells divided
-by that limit.
+groups, lineage flat.  When groups' grids are larger than
+``MAX_TASK_CELLS`` (measured) the same recurrences run for all of these groups
+together, one aggregation over integer category codes for an attribute step
+(``factors.FactorLoop``; only per-category sums and factors travel).
+``rake_factors`` gives the fitted factors themselves, to be stored and applied
+to other records.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from popweave.domain import Domain, cell_index, domain_grid, ordinal
+from popweave.domain import Domain, cell_index, domain_grid
 from popweave.operators.cells import latest_wave
+from popweave.operators.factors import FactorLoop, null_safe, scaled_counts
 from popweave.operators.sampling import expand, weighted_hits
-from popweave.session import materialize
+from popweave.session import materialize, stash
 
 MAX_TASK_CELLS = 1_000_000
 GROUP_KEY = "_grp"
@@ -110,9 +112,13 @@ def _codes(values: np.ndarray, cats: Sequence[str]) -> np.ndarray:
 
 
 def rake_weights(n: np.ndarray, codes: Sequence[np.ndarray], props: Sequence[np.ndarray], *,
-                 mode: str = "sequential", max_iter: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, int, float]:
+                 mode: str = "sequential", max_iter: int = 100, tol: float = 1e-6,
+                 factors: list[np.ndarray] | None = None) -> tuple[np.ndarray, int, float]:
     """Per-cell weights for cell counts ``n`` (record weights are per cell).
 
+    ``factors``, if given, is filled with an array a target attribute: what
+    each of its categories' weight was multiplied by.
+
     ``sequential`` (reference-compatible): categories in target order, the
     total re-read after every category, zero targets skipped, stop when the
     largest absolute per-record weight change < tol.  ``classic``: targets
@@ -120,6 +126,8 @@ def rake_weights(n: np.ndarray, codes: Sequence[np.ndarray], props: Sequence[np.
     """
     n = np.asarray(n, dtype=np.float64)
     w = np.ones_like(n)
+    product = [] if factors is None else factors
+    product[:] = [np.ones(len(t)) for t in props]
     if len(n) == 0:
         return w, 0, 0.0
     change = 0.0
@@ -132,11 +140,12 @@ def rake_weights(n: np.ndarray, codes: Sequence[np.ndarray], props: Sequence[np.
             norm.append(np.asarray(t) / s if s > 0 else np.zeros_like(t))
             w[code < 0] = 0.0
         for it in range(1, max_iter + 1):
-            for code, t in zip(codes, norm):
+            for a, (code, t) in enumerate(zip(codes, norm)):
                 m = len(t)
                 sel = code >= 0
                 cur = np.bincount(code[sel], weights=(n * w)[sel], minlength=m)
-                f = np.where(cur > 0, t * total / np.where(cur > 0, cur, 1.0), 1.0)
+                f = scaled_counts(cur, t * total)
+                product[a] *= f
                 w = np.where(sel, w * f[np.where(sel, code, 0)], w)
             change = 0.0
             for code, t in zip(codes, norm):
@@ -152,7 +161,7 @@ def rake_weights(n: np.ndarray, codes: Sequence[np.ndarray], props: Sequence[np.
         raise ValueError(f"unknown mode {mode!r}")
     for it in range(1, max_iter + 1):
         change = 0.0
-        for code, t in zip(codes, props):
+        for a, (code, t) in enumerate(zip(codes, props)):
             m = len(t)
             mass = n * w
             W = float(mass.sum())
@@ -168,6 +177,7 @@ def rake_weights(n: np.ndarray, codes: Sequence[np.ndarray], props: Sequence[np.
                 f[j] = adj
                 W += (adj - 1.0) * cur[j]
                 change = max(change, abs(adj - 1.0) * mx[j])
+            product[a] *= f
             w = np.where(sel, w * f[np.where(sel, code, 0)], w)
         if change < tol:
             break
@@ -191,8 +201,7 @@ def ipf_fit(m: np.ndarray, codes: Sequence[np.ndarray], counts: Sequence[np.ndar
         old = conv
         for code, t in zip(codes, counts):
             cur = np.bincount(code, weights=m, minlength=len(t))
-            f = np.where(cur > 0, t / np.where(cur > 0, cur, 1.0), 1.0)
-            m = m * f[code]
+            m = m * scaled_counts(cur, t)[code]
         conv = 0.0
         for code, t in zip(codes, counts):
             cur = np.bincount(code, weights=m, minlength=len(t))
@@ -214,20 +223,34 @@ def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]
 
 
 def _by_size(cells: DataFrame, tdf: DataFrame, keys: Sequence[str], small, large) -> DataFrame:
-    """``small`` over all groups that fit a task, ``large(cells, targets)`` over each of the others."""
-    over = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells")).where(F.col("_cells") > MAX_TASK_CELLS)
-    groups = over.select(*keys).collect()  # at most the cells divided by MAX_TASK_CELLS
-    if not groups:
+    """``small`` over all groups that fit a task, ``large`` over all others, each once."""
+    side = [f"_b_{k}" for k in keys]
+    over = stash(cells.groupBy(*[F.col(k).alias(s) for k, s in zip(keys, side)]).agg(F.count(F.lit(1)).alias("_cells"))
+                 .where(F.col("_cells") > MAX_TASK_CELLS).select(*side), "large-groups")
+    if not over.limit(1).count():
         return small(cells, tdf)
-    out, rest = None, F.lit(True)
-    for g in groups:
-        here = F.lit(True)
-        for k in keys:
-            here = here & F.col(k).eqNullSafe(F.lit(g[k]))
-        one = large(cells.where(here), tdf.where(here))
-        out = one if out is None else out.unionByName(one)
-        rest = rest & ~here
-    return out.unionByName(small(cells.where(rest), tdf.where(rest)))
+    pick = lambda df, how: df.join(over, null_safe(keys, side), how)
+    return large(pick(cells, "left_semi"), pick(tdf, "left_semi")).unionByName(
+        small(pick(cells, "left_anti"), pick(tdf, "left_anti")))
+
+
+def _target_categories(tdf: DataFrame) -> dict[str, list[str]]:
+    """Categories of each attribute over all groups, in target order (as many values as the targets have)."""
+    rows = tdf.groupBy("attr", "cat").agg(F.min("attr_pos").alias("a"), F.min("cat_pos").alias("c")).orderBy("a", "attr", "c", "cat").collect()
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["attr"], []).append(str(r["cat"]))
+    return out
+
+
+def _group_targets(tpdf: pd.DataFrame) -> list[tuple[str, list[str], np.ndarray]]:
+    """Attribute, categories and shares of one group, in target order."""
+    tpdf = tpdf.sort_values(["attr_pos", "cat_pos"])
+    out = []
+    for a in tpdf["attr"].drop_duplicates():
+        t = tpdf[tpdf["attr"] == a]
+        out.append((a, t["cat"].tolist(), t["prop"].to_numpy(dtype=np.float64)))
+    return out
 
 
 def rake(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n", mode: str = "sequential",
@@ -253,13 +276,9 @@ def rake(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n",
     def fit(key, cpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if cpdf.empty:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
-        tpdf = tpdf.sort_values(["attr_pos", "cat_pos"])
-        codes, props = [], []
-        for a in tpdf["attr"].drop_duplicates():
-            t = tpdf[tpdf["attr"] == a]
-            codes.append(_codes(cpdf[a].to_numpy(), t["cat"].tolist()))
-            props.append(t["prop"].to_numpy(dtype=np.float64))
-        w, it, ch = rake_weights(cpdf[n_col].to_numpy(), codes, props, mode=mode, max_iter=max_iter, tol=tol)
+        goals = _group_targets(tpdf)
+        codes = [_codes(cpdf[a].to_numpy(), cats) for a, cats, _ in goals]
+        w, it, ch = rake_weights(cpdf[n_col].to_numpy(), codes, [p for *_, p in goals], mode=mode, max_iter=max_iter, tol=tol)
         out = cpdf[cols].copy()
         out["w"] = w
         out["iterations"] = np.int32(it)
@@ -269,7 +288,43 @@ def rake(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n",
     res = _by_size(
         c, tdf, keys,
         lambda x, t: x.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(fit, schema),
-        lambda x, t: rake_driver_loop(x, t, n_col=n_col, mode=mode, max_iter=max_iter, tol=tol))
+        lambda x, t: FactorLoop(x, t, keys, n_col, _target_categories(t), mode).run(tol=tol, max_iter=max_iter)
+        .weighted_cells().select(*cols, F.col("_w").alias("w"), F.col("_it").alias("iterations"),
+                                 F.col("_change").alias("max_change")))
+    return res.drop(GROUP_KEY) if not by else res
+
+
+def rake_factors(cells: DataFrame, targets, *, by: Sequence[str] = (), n_col: str = "n", mode: str = "sequential",
+                 max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+    """The factors of ``rake``: ``(by..., attr, cat, factor)``; a record's weight is the product of its categories'.
+
+    The null category stands for the values that the targets do not list
+    (factor 1, or 0 in ``classic`` mode).  Store them with
+    ``factors.save_factors``; ``factors.apply_factors`` weighs other records.
+    """
+    if mode not in ("sequential", "classic"):
+        raise ValueError(f"unknown mode {mode!r}")
+    tdf = _as_targets(cells.sparkSession, targets)
+    c, keys = _with_group(materialize(cells), by)
+    if not by:
+        tdf = tdf.withColumn(GROUP_KEY, F.lit(0))
+    schema = T.StructType([*[c.schema[k] for k in keys], T.StructField("attr", T.StringType()),
+                           T.StructField("cat", T.StringType()), T.StructField("factor", T.DoubleType())])
+
+    def fit(key, cpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+        if cpdf.empty:
+            return pd.DataFrame(columns=schema.names)
+        goals, found = _group_targets(tpdf), []
+        codes = [_codes(cpdf[a].to_numpy(), cats) for a, cats, _ in goals]
+        rake_weights(cpdf[n_col].to_numpy(), codes, [p for *_, p in goals], mode=mode, max_iter=max_iter, tol=tol, factors=found)
+        rows = [(*key, a, cat, float(x)) for (a, cats, _), f in zip(goals, found, strict=True)
+                for cat, x in zip([*cats, None], [*f, 0.0 if mode == "classic" else 1.0], strict=True)]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    res = _by_size(
+        c, tdf, keys,
+        lambda x, t: x.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(fit, schema),
+        lambda x, t: FactorLoop(x, t, keys, n_col, _target_categories(t), mode).run(tol=tol, max_iter=max_iter).factor_table())
     return res.drop(GROUP_KEY) if not by else res
 
 
@@ -317,133 +372,16 @@ def ipf(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain,
     res = _by_size(
         c, tdf, keys,
         lambda x, t: x.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(fit, schema),
-        lambda x, t: ipf_driver_loop(x, t, n, attrs, domain, seed_col=seed_col, tol=tol, max_iter=max_iter,
-                                     rate_tol=rate_tol))
+        lambda x, t: _ipf_large(x, t, keys, n, attrs, dom, seed_col).run(tol=tol, max_iter=max_iter, rate_tol=rate_tol)
+        .weighted_cells().select(*cols, (F.col("_mass") * F.col("_w") * float(n) / F.col("_total")).alias("fitted"),
+                                 F.col("_it").alias("iterations"), F.col("_change").alias("conv")))
     return res.drop(GROUP_KEY) if not by else res
 
 
-# ------------------------------------------------- huge-grid driver loops
-
-def _target_lists(targets) -> dict[str, tuple[list[str], np.ndarray]]:
-    """Categories and shares of each attribute, in target order (Σ target sizes values)."""
-    if not isinstance(targets, DataFrame):
-        return {a: ([str(c) for c in t], np.array([float(p) for p in t.values()])) for a, t in targets.items()}
-    rows = targets.select("attr", "attr_pos", "cat", "cat_pos", "prop").orderBy("attr_pos", "cat_pos").collect()
-    out: dict[str, tuple[list[str], list[float]]] = {}
-    for r in rows:
-        cats, props = out.setdefault(r["attr"], ([], []))
-        cats.append(r["cat"])
-        props.append(float(r["prop"]))
-    return {a: (c, np.array(p)) for a, (c, p) in out.items()}
-
-
-class _Loop:
-    """One large cell table with integer category codes, encoded once, and one factor per category.
-
-    Factors enter the plan as array literals, which generated code refers to
-    and does not contain: a step compiles nothing new.
-    """
-
-    def __init__(self, cells: DataFrame, cats: Mapping[str, Sequence[str]], mass: str):
-        self.cols = cells.columns
-        self.mass = F.col(mass).cast("double")
-        self.base = materialize(cells.select("*", *[ordinal(a, c).alias(f"_o_{a}") for a, c in cats.items()]))
-        self.factors = {a: np.ones(len(c)) for a, c in cats.items()}
-
-    def weight(self):
-        w = F.lit(1.0)
-        for a, f in self.factors.items():
-            w = w * F.element_at(F.lit(np.concatenate(([1.0], f))), F.col(f"_o_{a}") + 2)
-        return w
-
-    def sums(self, attr: str) -> tuple[np.ndarray, np.ndarray, float]:
-        """Mass and largest weight of each category, and the mass of all cells."""
-        rows = (self.base.select(F.col(f"_o_{attr}").alias("o"), (self.mass * self.weight()).alias("m"),
-                                 self.weight().alias("w"))
-                .groupBy("o").agg(F.sum("m").alias("cur"), F.max("w").alias("mx")).collect())
-        cur, top = np.zeros((2, len(self.factors[attr])))
-        for r in rows:
-            if r["o"] >= 0:
-                cur[r["o"]], top[r["o"]] = r["cur"], r["mx"]
-        return cur, top, float(sum(r["cur"] for r in rows))
-
-    def result(self, *columns) -> DataFrame:
-        return self.base.select(*self.cols, *columns)
-
-
-def rake_driver_loop(cells: DataFrame, targets, *, n_col: str = "n", mode: str = "sequential",
-                     max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
-    """Same recurrence as ``rake_weights`` for one very large cell table.
-
-    State is one factor per target category (driver side); each attribute
-    step is one aggregation over the checkpointed cells returning
-    ``|categories|`` rows.
-    """
-    lists = _target_lists(targets)
-    loop = _Loop(cells, {a: c for a, (c, _) in lists.items()}, n_col)
-    props = {a: p for a, (_, p) in lists.items()}
-    it, change = 0, 0.0
-    listed = F.lit(1.0)
-    if mode == "classic":
-        # Values outside the targets have no weight, and targets count as shares of a fixed total.
-        total = float(loop.base.agg(F.sum(loop.mass)).first()[0] or 0.0)
-        for a in props:
-            listed = listed * F.when(F.col(f"_o_{a}") >= 0, 1.0).otherwise(0.0)
-        loop.mass = loop.mass * listed
-        props = {a: p / p.sum() if p.sum() > 0 else p * 0.0 for a, p in props.items()}
-    for it in range(1, max_iter + 1):
-        change = 0.0
-        for a, t in props.items():
-            cur, top, mass = loop.sums(a)
-            if mode == "classic":
-                loop.factors[a] *= np.where(cur > 0, t * total / np.where(cur > 0, cur, 1.0), 1.0)
-                continue
-            for j in np.flatnonzero((t > 0) & (cur > 0)):
-                adj = t[j] * mass / cur[j]
-                loop.factors[a][j] *= adj
-                mass += (adj - 1.0) * cur[j]
-                change = max(change, abs(adj - 1.0) * top[j])
-        if mode == "classic":
-            for a, t in props.items():
-                cur, pos = loop.sums(a)[0], t > 0
-                if pos.any():
-                    change = max(change, float(np.max(np.abs(cur[pos] / (t[pos] * total) - 1.0))))
-            if change <= tol:
-                break
-        elif change < tol:
-            break
-    return loop.result((loop.weight() * listed).alias("w"), F.lit(it).alias("iterations"),
-                       F.lit(float(change)).alias("max_change"))
-
-
-def ipf_driver_loop(seed: DataFrame, targets, n: int, attrs: Sequence[str], domain: Domain, *,
-                    seed_col: str = "seed", tol: float = 1e-6, max_iter: int = 500,
-                    rate_tol: float = 1e-8) -> DataFrame:
-    """Classic IPF for one grid too large for a task: factors per category."""
-    lists = _target_lists(targets)
-    present = [a for a in attrs if a in lists]
-    loop = _Loop(seed, {a: list(domain[a]) for a in present}, seed_col)
-    scale = float(n) / float(loop.base.agg(F.sum(seed_col)).first()[0])
-    loop.mass = loop.mass * F.lit(scale)
-    share = {a: dict(zip(*lists[a], strict=True)) for a in present}
-    counts = {a: np.array([float(share[a].get(c, 0.0)) for c in domain[a]]) * n for a in present}
-    conv, old, it = np.inf, -np.inf, 0
-    while it < max_iter and conv > tol and abs(conv - old) > rate_tol:
-        old = conv
-        for a in present:
-            cur = loop.sums(a)[0]
-            loop.factors[a] *= np.where(cur > 0, counts[a] / np.where(cur > 0, cur, 1.0), 1.0)
-        conv = 0.0
-        for a in present:
-            cur, t = loop.sums(a)[0], counts[a]
-            pos = t > 0
-            if pos.any():
-                conv = max(conv, float(np.max(np.abs(cur[pos] / t[pos] - 1.0))))
-            if np.any(cur[~pos] > 0):
-                conv = np.inf
-        it += 1
-    return loop.result((loop.mass * loop.weight()).alias("fitted"), F.lit(it).alias("iterations"),
-                       F.lit(float(conv)).alias("conv"))
+def _ipf_large(cells: DataFrame, tdf: DataFrame, keys: Sequence[str], n: float, attrs: Sequence[str], domain: Domain,
+               mass: str) -> FactorLoop:
+    present = {r["attr"] for r in tdf.select("attr").distinct().collect()}
+    return FactorLoop(cells, tdf, keys, mass, {a: domain[a] for a in attrs if a in present}, "ipf", n=n)
 
 
 # ----------------------------------------------------- integerize / expand
@@ -491,6 +429,5 @@ def load_fitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-__all__ = ["seed_table", "seed_scaled", "rake", "ipf", "rake_weights", "ipf_fit", "trs_integerize",
-           "expand_cells", "save_fitted", "load_fitted", "targets_df", "targets_from_marginals",
-           "rake_driver_loop", "ipf_driver_loop"]
+__all__ = ["seed_table", "seed_scaled", "rake", "rake_factors", "ipf", "rake_weights", "ipf_fit", "trs_integerize",
+           "expand_cells", "save_fitted", "load_fitted", "targets_df", "targets_from_marginals"]

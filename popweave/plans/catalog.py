@@ -28,7 +28,9 @@ from popweave.domain import (
 )
 from popweave.functions import text as TX
 from popweave.operators import cells as C
+from popweave.operators import factors as FC
 from popweave.operators import fitting as FT
+from popweave.operators import implicit as IM
 from popweave.operators import metrics as M
 from popweave.operators import sampling as SM
 from popweave.operators import validate as V
@@ -643,3 +645,54 @@ def ipf_grouped(spark, d):
     tg = targets.select(F.explode(F.array(*[F.lit(y) for y in POP_TRAIN_YEARS])).alias("year"), "*")
     fit = FT.ipf(seeds, tg, IPF_N, POP_ATTRS, POP_DOMAIN, by=["year"], tol=TIGHT, rate_tol=0.0)
     return rounded(fit.select("year", "cell", *POP_ATTRS, "fitted"), 4)
+
+
+# ------------------------------------------- fits without a grid, stored factors
+
+def _implicit(spark, d, **options):
+    """POP's latest training wave fitted to skewed targets; the grid is not enumerated."""
+    both = _both_cells(spark, d, [*POP_TRAIN_YEARS, POP_TARGET_YEAR])
+    train = C.latest_wave(both.where(F.col("year").isin(POP_TRAIN_YEARS)))
+    targets = _targets_of(_side(both, POP_TARGET_YEAR, "n_skew"))
+    return IM.ipf_implicit(train.select(*POP_ATTRS, "n"), targets, IPF_N, POP_ATTRS, POP_DOMAIN, rate_tol=0.0, **options)
+
+
+@query
+def ipf_implicit(spark, d):
+    """Two sweeps over seen cells and factors, valued on every cell of the grid."""
+    fit = _implicit(spark, d, tol=0.0, max_iter=2)
+    grid = fit.value(domain_grid(spark, POP_ATTRS, POP_DOMAIN, index_col="cell"))
+    return rounded(grid.select("cell", *POP_ATTRS, "fitted"))
+
+
+@query
+def ipf_implicit_sample(spark, d):
+    """Independent draws from that fit: seen cells by their records, others attribute by attribute."""
+    drawn = _implicit(spark, d, tol=0.0, max_iter=2).sample(IPF_N, SEED)
+    return drawn.groupBy(*POP_ATTRS).agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query
+def ipf_implicit_wide(spark, d):
+    """The latest training wave fitted over a product of 4.5e12 cells: its marginals beside the targets."""
+    records = fx.wide_records(spark, d, [*POP_TRAIN_YEARS, POP_TARGET_YEAR])
+    attrs, domain = list(fx.WIDE_DOMAIN), fx.WIDE_DOMAIN
+    cells = materialize(C.cell_counts(records, attrs, domain, by=["year"]))
+    train = C.latest_wave(cells.where(F.col("year").isin(POP_TRAIN_YEARS)))
+    targets = materialize(FT.targets_from_marginals(C.marginals(
+        cells.where(F.col("year") == POP_TARGET_YEAR), attrs, domain), attrs))
+    fitted = IM.ipf_implicit(train.select(*attrs, "n"), targets, IPF_N, attrs, domain, tol=1e-9, rate_tol=0.0).marginals()
+    goal = targets.select("attr", "cat", F.col("prop").alias("target"))
+    return rounded(fitted.join(goal, ["attr", "cat"]).select(
+        "attr", "ord", "cat", "target", (F.col("fitted") / IPF_N).alias("fitted")), 5)
+
+
+@query
+def factors_apply(spark, d):
+    """Factors raked on one wave, stored, loaded and applied to the records of another."""
+    cells, real = _syn_real(spark, d)
+    path = FC.save_factors(FT.rake_factors(cells, _targets_of(real), tol=TIGHT), scratch_path(spark, "factors"))
+    records = fx.pop_records(spark, d, years=[SYN_YEAR - 1])
+    weighed = FC.apply_factors(records, FC.load_factors(spark, path))
+    out = weighed.groupBy(*POP_ATTRS).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
+    return rounded(out, 5)

@@ -709,3 +709,53 @@ FROM (SELECT id, year, string_agg(p, ', ' ORDER BY k, p) AS body FROM pc GROUP B
 register("prompt_batch", cwith() + f"""
 SELECT i // 64 AS batch, CAST(i % 64 AS INTEGER) AS pos, {_context} || {prefix_sql(str(CEN_TARGET))} || 'Sex is Female, ' AS prompt
 FROM (SELECT unnest(range({GEN_N})) AS i) LEFT JOIN era ON era.year = {CEN_TARGET}""")
+
+
+# ------------------------------------------- fits without a grid, stored factors
+register("ipf_implicit", _ipf_two_pass_sql())
+_fit, _last = _ipf_ctes(2, IPF_N)
+_first = {a: POP_DOMAIN[a][0] for a in POP_ATTRS}
+_line = {a: " AND ".join(f"{b} = {q(_first[b])}" for b in POP_ATTRS if b != a) for a in POP_ATTRS}
+# A category's factor, up to a common one: the weight of the cell that has it and first categories else.
+_run = " UNION ALL ".join(f"""SELECT {q(a)} AS attr, {a} AS cat, w,
+  sum(w) OVER (ORDER BY list_position({sql_list(POP_DOMAIN[a])}, {a}) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chi
+  FROM wgt WHERE {_line[a]}""" for a in POP_ATTRS)
+register("ipf_implicit_sample", with_(
+    *_seed_ctes(), *_targets_ctes("pop_skew"), *_fit,
+    f"wgt AS (SELECT cell, {ATTR_LIST}, seed - 0.5 AS c, m / seed AS w FROM {_last})",
+    "parts AS (SELECT sum(c * w) AS a, sum(0.5 * w) AS b FROM wgt)",
+    "iv0 AS (SELECT *, sum(c * w) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chi FROM wgt WHERE c * w > 0)",
+    "iv AS (SELECT *, COALESCE(lag(chi) OVER (ORDER BY cell), 0.0) AS clo FROM iv0)",
+    f"dr AS (SELECT range AS i, {uniform_sql('range')} * (SELECT a + b FROM parts) AS p FROM range(0, {IPF_N}))",
+    f"run AS ({_run})", "top AS (SELECT attr, max(chi) AS s FROM run GROUP BY attr)",
+    *[f"""free_{a} AS (SELECT d.i, min_by(r.cat, r.chi) AS {a} FROM dr d JOIN run r ON r.attr = {q(a)}
+        AND r.chi > {uniform_sql(f"d.i || ':{a}'")} * (SELECT s FROM top WHERE attr = {q(a)})
+        WHERE d.p >= (SELECT a FROM parts) GROUP BY d.i)""" for a in POP_ATTRS],
+    f"""drawn AS (SELECT {ATTR_LIST} FROM dr JOIN iv ON p >= clo AND p < chi WHERE p < (SELECT a FROM parts)
+        UNION ALL SELECT {ATTR_LIST} FROM free_{POP_ATTRS[0]} {' '.join(f'JOIN free_{a} USING (i)' for a in POP_ATTRS[1:])})""")
+    + f"SELECT {ATTR_LIST}, count(*) AS hits FROM drawn GROUP BY ALL")
+
+# Consistent targets, all of them of one table: the fitted shares are the targets.
+WIDE = {**POP_DOMAIN, "c_nationkey": range(25), "l_quantity": range(1, 51), "l_discount": range(11), "l_tax": range(9),
+        "l_linenumber": range(1, 8), "o_month": range(1, 13), "o_day": range(1, 32), "l_shipday": range(1, 32)}
+_wide_of = {a: a for a in WIDE} | {"l_quantity": "CAST(l_quantity AS INTEGER)", "l_discount": "CAST(round(l_discount * 100) AS INTEGER)",
+                                   "l_tax": "CAST(round(l_tax * 100) AS INTEGER)", "o_month": "month(o_orderdate)",
+                                   "o_day": "day(o_orderdate)", "l_shipday": "day(l_shipdate)"}
+_wide_long = " UNION ALL ".join(f"SELECT {q(a)} AS attr, CAST({x} AS VARCHAR) AS cat FROM wide" for a, x in _wide_of.items())
+_wide_dom = {a: [str(c) for c in cs] for a, cs in WIDE.items()}
+register("ipf_implicit_wide", f"""
+WITH wide AS (SELECT * FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+              WHERE year(o_orderdate) = {TARGET}),
+long AS ({_wide_long})
+SELECT dom.attr, CAST(dom.ord AS INTEGER) AS ord, dom.cat, round(count(long.cat) / (SELECT count(*) FROM wide), 5) AS target,
+       round(count(long.cat) / (SELECT count(*) FROM wide), 5) AS fitted
+FROM {dom_values(list(WIDE), _wide_dom)} LEFT JOIN long ON long.attr = dom.attr AND long.cat = dom.cat
+GROUP BY dom.attr, dom.ord, dom.cat""")
+
+# Weights of every cell of the grid, also of those that the raked wave lacks.
+_fit, _last = _rake_ctes("grid_cells", RAKE_PASSES)
+register("factors_apply", with_(*_targets_ctes("pop"), SKEW_CELLS, f"""
+grid_cells AS (SELECT {', '.join('g.' + a for a in POP_ATTRS)}, COALESCE(s.n, 0) AS n FROM {_grid_idx(POP_DOMAIN)} g
+               LEFT JOIN skew_cells s USING ({ATTR_LIST}))""", *_fit) + f"""
+SELECT {ATTR_LIST}, r.n, round(w.w, 5) AS w
+FROM (SELECT {ATTR_LIST}, count(*) AS n FROM pop WHERE year = {SYN_YEAR - 1} GROUP BY ALL) r JOIN {_last} w USING ({ATTR_LIST})""")

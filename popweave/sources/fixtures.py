@@ -128,6 +128,34 @@ def pop_weighted(spark: SparkSession, sf_dir: str, variant: str = "base", years=
     return out.select(*POP_COLUMNS, "n", *(["n_skew"] if both else []))
 
 
+#: Thirteen attributes of the same records; the product of their domains has 4.5e12 cells.
+WIDE_DOMAIN = {
+    **POP_DOMAIN,
+    "c_nationkey": [str(i) for i in range(25)],
+    "l_quantity": [str(i) for i in range(1, 51)],
+    "l_discount": [str(i) for i in range(11)],
+    "l_tax": [str(i) for i in range(9)],
+    "l_linenumber": [str(i) for i in range(1, 8)],
+    "o_month": [str(i) for i in range(1, 13)],
+    "o_day": [str(i) for i in range(1, 32)],
+    "l_shipday": [str(i) for i in range(1, 32)],
+}
+
+
+def wide_records(spark: SparkSession, sf_dir: str, years) -> DataFrame:
+    """``year`` and the attributes of ``WIDE_DOMAIN`` as strings (amounts as whole numbers, rates in hundredths)."""
+    o = table(spark, sf_dir, "orders").where(year_range("o_orderdate", years))
+    li, c = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(li, o["o_orderkey"] == li["l_orderkey"])
+    values = {
+        **{a: F.col(a) for a in (*POP_DOMAIN, "c_nationkey", "l_linenumber")},
+        "l_quantity": F.col("l_quantity").cast("int"),
+        **{a: F.round(F.col(a) * 100).cast("int") for a in ("l_discount", "l_tax")},
+        "o_month": F.month("o_orderdate"), "o_day": F.dayofmonth("o_orderdate"), "l_shipday": F.dayofmonth("l_shipdate"),
+    }
+    return j.select(F.year("o_orderdate").cast("int").alias("year"), *[values[a].cast("string").alias(a) for a in WIDE_DOMAIN])
+
+
 # ---------------------------------------------------------------- CEN / GEN
 
 def _pick(cats: list[str], idx: Column) -> Column:
