@@ -75,7 +75,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._popweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote, once nothing reads them any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_popweave_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+            files.delete(folder, True)
+            files.cancelDeleteOnExit(folder)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -98,4 +112,4 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "stash", "materialize", "local_path"]
+__all__ = ["local_session", "ensure_checkpoint_dir", "scratch_path", "stash", "discard", "materialize", "local_path"]
