@@ -189,6 +189,21 @@ def generation_prefix(year: Column, region: str = DEFAULT_REGION,
     return F.concat(prefix, F.concat_ws(", ", *parts), F.lit(", "))
 
 
+def generation_prompt(year: Column, region: Column, conditions: Column, *, display: Mapping[str, str] | None = None,
+                      use_era_context: bool = False) -> Column:
+    """``generation_prefix`` with region and conditions (a map, in its order) as columns; no conditions, no list."""
+    display = dict(DISPLAY_NAMES) if display is None else dict(display)
+    names = F.create_map(*[x for k, v in display.items() for x in (F.lit(k), F.lit(v))])
+    parts = F.transform(F.map_entries(conditions), lambda e: F.concat(
+        F.coalesce(F.try_element_at(names, e["key"]), e["key"]), F.lit(" is "), e["value"]))
+    prefix = F.concat(F.lit("In "), year.cast("string"), F.lit(", a resident of "), region, F.lit(" was recorded: "))
+    text = F.concat(prefix, F.when(F.size(parts) > 0, F.concat(F.array_join(parts, ", "), F.lit(", "))).otherwise(F.lit("")))
+    if not use_era_context:
+        return text
+    narr = era_narrative_expr(year)
+    return F.when(narr.isNotNull() & (narr != ""), F.concat(F.lit(CONTEXT_OPEN), narr, F.lit(CONTEXT_CLOSE), text)).otherwise(text)
+
+
 # ------------------------------------------------------------------ parsing
 
 def _internal_name(name: Column, display: Mapping[str, str]) -> Column:

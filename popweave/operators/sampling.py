@@ -105,6 +105,19 @@ def draws(spark, m: int, seed: int) -> DataFrame:
     return index_range(spark, m).select(F.col("id").alias("draw"), hash_uniform(seed, F.col("id")).alias("u"))
 
 
+def weighted_draws(cells: DataFrame, mass_col: str, m: int, seed: int, key_col: str, *,
+                   order_cols: Sequence[str] | None = None) -> DataFrame:
+    """``(draw, key_col)``: ``m`` independent draws of a row with p ∝ mass; ``order_cols`` (default: the key) order the intervals."""
+    order = list(order_cols or [key_col])
+    base = cells.select(*dict.fromkeys([key_col, *order, mass_col]))
+    rows, size = measured(base, [key_col])
+    if not rows or m <= 0:
+        return base.select(F.lit(0).cast("long").alias("draw"), key_col).limit(0)
+    iv = intervals(base, mass_col, order, rows=rows)
+    return range_join(draws(cells.sparkSession, m, seed), F.col("u"), iv.select(key_col, "lo", "hi"), "lo", "hi", span=1.0,
+                      n_buckets=rows, broadcast=size <= BROADCAST_BYTES).select("draw", key_col)
+
+
 def weighted_hits(cells: DataFrame, mass_col: str, m: int, seed: int, key_cols: Sequence[str], *,
                   order_cols: Sequence[str] | None = None) -> DataFrame:
     """Multinomial: m draws with p ∝ mass -> ``(key_cols..., hits)`` (hit cells only).
@@ -118,16 +131,26 @@ def weighted_hits(cells: DataFrame, mass_col: str, m: int, seed: int, key_cols:
     if not narrow:
         base = base.withColumn("_rid", row_key(key_cols))
     rid = key_cols[0] if narrow else "_rid"
-    rows, size = measured(base, [rid])
-    if not rows or m <= 0:
-        return base.select(*key_cols, F.lit(0).cast("long").alias("hits")).limit(0)
-    iv = intervals(base, mass_col, order, rows=rows)
-    j = range_join(draws(cells.sparkSession, m, seed), F.col("u"), iv.select(rid, "lo", "hi"), "lo", "hi", span=1.0,
-                   n_buckets=rows, broadcast=size <= BROADCAST_BYTES)
-    hits = j.groupBy(rid).agg(F.count(F.lit(1)).alias("hits"))
+    hits = weighted_draws(base, mass_col, m, seed, rid, order_cols=order).groupBy(rid).agg(F.count(F.lit(1)).alias("hits"))
     return hits if narrow else base.join(hits, "_rid").select(*key_cols, "hits")
 
 
+def numbered_members(rows: DataFrame, cell_col: str) -> DataFrame:
+    """``rows``, written, with ``_member``: 0, 1, ... within each cell, in stored order.
+
+    Counted by stored part, with the cell's rows in earlier parts added: a
+    cell that holds a third of all rows is numbered by as many tasks as the
+    table has parts.
+    """
+    kept = stash(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "members")
+    here = Window.partitionBy(cell_col, "_part").orderBy("_at")
+    before = Window.partitionBy(cell_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy(cell_col, "_part").agg(F.count(F.lit(1)).alias("_rows")).select(
+        cell_col, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return kept.withColumn("_here", F.row_number().over(here)).join(offsets, [cell_col, "_part"]).withColumn(
+        "_member", F.col("_before") + F.col("_here") - 1).drop("_part", "_at", "_here", "_before")
+
+
 def expand(cells: DataFrame, count_col: str, key_cols: Sequence[str], *,
            order_cols: Sequence[str] | None = None) -> DataFrame:
     """Repeat each cell ``count`` times (count <= 0 dropped) as record rows.

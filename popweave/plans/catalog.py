@@ -31,6 +31,7 @@ from popweave.operators import cells as C
 from popweave.operators import factors as FC
 from popweave.operators import fitting as FT
 from popweave.operators import implicit as IM
+from popweave.operators import matching as MT
 from popweave.operators import metrics as M
 from popweave.operators import sampling as SM
 from popweave.operators import validate as V
@@ -490,7 +491,9 @@ def text_corpus(spark, d):
 
 @query
 def prompt_batch(spark, d):
-    return PM.prompt_batch(spark, gen_n(spark, d), TARGET_YEAR, conditions={"sex": "Female"}, use_era_context=True)
+    """Prompts for as many texts of each year, sex and age group as there are records."""
+    specs = PM.prompt_specs(_cen(spark, d), ["sex", "age_group"])
+    return PM.prompt_batch(specs, use_era_context=True)
 
 
 def _gen(spark, d):
@@ -696,3 +699,19 @@ def factors_apply(spark, d):
     weighed = FC.apply_factors(records, FC.load_factors(spark, path))
     out = weighed.groupBy(*POP_ATTRS).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
     return rounded(out, 5)
+
+
+def _misspelt(spark, d):
+    """Customer names as orders might give them: as they are, in capitals, with a suffix, cut off, cut off too short."""
+    o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
+    name, case = F.col("c_name"), F.col("o_orderkey") % 5
+    value = (F.when(case == 1, F.upper(name)).when(case == 2, F.concat(name, F.lit(" jr"))).when(case == 3, F.substring(name, 1, 15))
+             .when(case == 4, F.substring(name, 1, 2)).otherwise(name))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.lit("c_name").alias("attr"), value.alias("value"))
+
+
+@query
+def fuzzy_inferred(spark, d):
+    """Closest categories by the prefix index, in a domain as large as the customer table."""
+    domain = infer_domain(fx.table(spark, d, "customer"), None, ["c_name"])
+    return MT.match_values(_misspelt(spark, d), domain)

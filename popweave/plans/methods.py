@@ -13,14 +13,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.domain import DEFAULT_SEED, Domain
-from popweave.functions.text import era_prefix, generation_prefix, record_prefix, serialize
+from popweave.domain import DEFAULT_REGION, DEFAULT_SEED, Domain
+from popweave.functions.hashing import hash_uniform
+from popweave.functions.text import generation_prompt, serialize
 from popweave.operators.cells import cell_counts, marginals
 from popweave.operators.conditional import EmpiricalSampler
 from popweave.operators.fitting import (expand_cells, ipf, rake, seed_from_year_cells, seed_table, targets_df,
                                         targets_from_marginals, trs_integerize)
 from popweave.operators.metrics import evaluate_suite
-from popweave.operators.sampling import BROADCAST_BYTES, expand, index_range, measured, row_key, subsample_exact, weighted_hits
+from popweave.operators.sampling import expand, numbered_members, subsample_exact, weighted_draws
 from popweave.operators.validate import first_batches, generation_stats, take_accepted, validate_generated
 from popweave.session import materialize, stash
 
@@ -47,10 +48,11 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str] | None = Non
     in the records); with none left, records are drawn uniformly.  The fit
     runs on cells keyed by the raked attributes only, with values outside the
     targets folded to NULL (they are never adjusted), so the fitted table is
-    bounded by the target sizes whatever else the records hold.  The weights
-    are joined to the distinct rows; draws carry a row's MD5, which also
-    orders them, and expand back to rows through the range join: no
-    record-level sort of whole rows, no per-cell window, no unbounded group.
+    bounded by the target sizes whatever else the records hold.  Two stages: a
+    draw picks a cell by its weight, then a second uniform picks one of the
+    cell's records by its number in the cell.  Records keep all their columns
+    and are never grouped as a whole; which of a cell's records are drawn goes
+    by the order in which these are stored.
     """
     spark = records.sparkSession
     tdf = targets if isinstance(targets, DataFrame) else targets_df(spark, targets)
@@ -60,27 +62,23 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str] | None = Non
         tcats.setdefault(r["attr"], []).append(r["cat"])
     cols = list(records.columns)
     keys = [a for a in tcats if a in cols and (attrs is None or a in attrs)]
-    full = stash(records.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_rid", row_key(cols)), "distinct-rows")
-    total = int(full.agg(F.sum("_n")).first()[0] or 0)
+    value = {a: F.col(f"`{a}`").cast("string") for a in keys}
+    folded = [F.when(value[a].isin(tcats[a]), value[a]).alias(a) for a in keys]
+    cell = F.md5(F.to_json(F.struct(*folded))) if keys else F.lit("")
+    rows = records.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), cell.alias("_rid"),
+                          *[f.alias(f"_v_{a}") for f, a in zip(folded, keys, strict=True)])
+    members = stash(numbered_members(rows, "_rid"), "numbered-members")
+    cells = materialize(members.groupBy("_rid", *[F.col(f"_v_{a}").alias(a) for a in keys]).agg(F.count(F.lit(1)).alias("n")))
+    total = int(cells.agg(F.sum("n")).first()[0] or 0)
     if total == 0:
         return records.limit(0)
-    mass = full.select("_rid", F.col("_n").cast("double").alias("_mass"))
-    if keys:
-        value = {a: F.col(f"`{a}`").cast("string") for a in keys}
-        folded = [F.when(value[a].isin(tcats[a]), value[a]).alias(a) for a in keys]
-        fit_cells = full.select(*folded, "_n").groupBy(*keys).agg(F.sum("_n").alias("n"))
-        fit = materialize(rake(fit_cells, tdf.where(F.col("attr").isin(keys)), mode=mode, max_iter=max_iter, tol=tol))
-        weights = fit.select(*[F.col(a).alias(f"_k_{a}") for a in keys], "w")
-        side = full.select("_rid", "_n", *[f.alias(f"_v_{a}") for a, f in zip(keys, folded)])
-        cond = F.lit(True)
-        for a in keys:
-            cond = cond & F.col(f"_v_{a}").eqNullSafe(F.col(f"_k_{a}"))
-        if measured(weights, weights.columns)[1] <= BROADCAST_BYTES:
-            weights = F.broadcast(weights)
-        mass = side.join(weights, cond, "left").select(
-            "_rid", (F.col("_n") * F.coalesce(F.col("w"), F.lit(1.0))).alias("_mass"))
-    hits = weighted_hits(mass, "_mass", total, seed, ["_rid"])
-    return expand(full.join(hits, "_rid"), "hits", cols, order_cols=["_rid"]).select(*cols)
+    fit = rake(cells, tdf.where(F.col("attr").isin(keys)), mode=mode, max_iter=max_iter, tol=tol) if keys else \
+        cells.withColumn("w", F.lit(1.0))
+    fit = materialize(fit.select("_rid", "n", (F.col("n") * F.col("w")).alias("_mass")))
+    drawn = weighted_draws(fit, "_mass", total, seed, "_rid").join(fit.select("_rid", "n"), "_rid")
+    picked = F.least(F.floor(hash_uniform(seed, F.lit("member"), "draw") * F.col("n")).cast("long"), F.col("n") - 1)
+    out = drawn.select("_rid", picked.alias("_member")).join(members.select("_rid", "_member", "_row"), ["_rid", "_member"])
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in cols])
 
 
 def _row(spark, method: str, elapsed: float, raw: DataFrame, raked: DataFrame | None) -> DataFrame:
@@ -165,15 +163,25 @@ def text_corpus(train: DataFrame, n: int, key_col: str, attrs: Sequence[str], *,
                                             use_era_context=use_era_context).alias("text"))
 
 
-def prompt_batch(spark, n: int, year: int, *, conditions: Mapping[str, str] | None = None, batch_size: int = 64,
-                 use_era_context: bool = False) -> DataFrame:
-    """``(batch, pos, prompt)``: the prompt for ``year``, once for each of ``n`` texts to generate."""
-    given = [(k, F.lit(v)) for k, v in (conditions or {}).items()]
-    prompt = generation_prefix(F.lit(int(year)), conditions=given)
-    if use_era_context:
-        prompt = F.concat(F.replace(era_prefix(F.lit(int(year))), record_prefix(F.lit(int(year))), F.lit("")), prompt)
-    return index_range(spark, n).select(F.floor(F.col("id") / batch_size).cast("long").alias("batch"),
-                                        (F.col("id") % batch_size).cast("int").alias("pos"), prompt.alias("prompt"))
+def prompt_specs(records: DataFrame, conditions: Sequence[str], *, year_col: str = "year",
+                 region: str = DEFAULT_REGION) -> DataFrame:
+    """``(year, region, conditions MAP, repeats)``: each year and set of values that the records have, with their number.
+
+    A null value is no condition.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in conditions])
+    held = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    counted = records.groupBy(year_col, *conditions).agg(F.count(F.lit(1)).alias("repeats"))
+    return counted.select(F.col(year_col).cast("int").alias("year"), F.lit(region).alias("region"), held.alias("conditions"), "repeats")
+
+
+def prompt_batch(specs: DataFrame, *, batch_size: int = 64, use_era_context: bool = False) -> DataFrame:
+    """``(batch, pos, prompt)``: the prompt of each row of ``prompt_specs``, as often as it says, in order of year and prompt."""
+    prompts = specs.select("year", generation_prompt(F.col("year"), F.col("region"), F.col("conditions"),
+                                                     use_era_context=use_era_context).alias("prompt"), "repeats")
+    rows = expand(materialize(prompts), "repeats", ["prompt"], order_cols=["year", "prompt"])
+    return rows.select(F.floor(F.col("record") / batch_size).cast("long").alias("batch"),
+                       (F.col("record") % batch_size).cast("int").alias("pos"), "prompt")
 
 
 def run_text(texts: DataFrame, target: DataFrame, n: int, attrs: Sequence[str], domain: Domain, *,

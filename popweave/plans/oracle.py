@@ -706,9 +706,11 @@ sub AS (SELECT * FROM cen WHERE year IN ({', '.join(str(y) for y in CEN_TRAIN)})
         ORDER BY {uniform_sql('id')}, id LIMIT (SELECT {GEN_N} // 2))""", f"pc AS ({_pieces})") + f"""
 SELECT id, {_context} || {prefix_sql('x.year')} || body AS text
 FROM (SELECT id, year, string_agg(p, ', ' ORDER BY k, p) AS body FROM pc GROUP BY id, year) x LEFT JOIN era ON era.year = x.year""")
-register("prompt_batch", cwith() + f"""
-SELECT i // 64 AS batch, CAST(i % 64 AS INTEGER) AS pos, {_context} || {prefix_sql(str(CEN_TARGET))} || 'Sex is Female, ' AS prompt
-FROM (SELECT unnest(range({GEN_N})) AS i) LEFT JOIN era ON era.year = {CEN_TARGET}""")
+register("prompt_batch", cwith(f"""
+spec AS (SELECT cen.year, {_context} || {prefix_sql('cen.year')} || 'Sex is ' || sex || ', Age Group is ' || age_group || ', ' AS prompt
+         FROM cen LEFT JOIN era ON era.year = cen.year)""") + """
+SELECT i // 64 AS batch, CAST(i % 64 AS INTEGER) AS pos, prompt
+FROM (SELECT prompt, row_number() OVER (ORDER BY year, prompt) - 1 AS i FROM spec)""")
 
 
 # ------------------------------------------- fits without a grid, stored factors
@@ -759,3 +761,12 @@ grid_cells AS (SELECT {', '.join('g.' + a for a in POP_ATTRS)}, COALESCE(s.n, 0)
                LEFT JOIN skew_cells s USING ({ATTR_LIST}))""", *_fit) + f"""
 SELECT {ATTR_LIST}, r.n, round(w.w, 5) AS w
 FROM (SELECT {ATTR_LIST}, count(*) AS n FROM pop WHERE year = {SYN_YEAR - 1} GROUP BY ALL) r JOIN {_last} w USING ({ATTR_LIST})""")
+
+register("fuzzy_inferred", f"""
+WITH dom AS (SELECT c_name AS cat, lower(c_name) AS low, row_number() OVER (ORDER BY c_name) AS ord FROM (SELECT DISTINCT c_name FROM customer)),
+vals AS (SELECT DISTINCT CASE o_orderkey % 5 WHEN 1 THEN upper(c_name) WHEN 2 THEN c_name || ' jr' WHEN 3 THEN substr(c_name, 1, 15)
+           WHEN 4 THEN substr(c_name, 1, 2) ELSE c_name END AS value FROM orders JOIN customer ON o_custkey = c_custkey),
+plain AS (SELECT value, {strip_sql("lower(value)")} AS v FROM vals),
+hits AS (SELECT value, cat, ord, CASE WHEN value = cat THEN 0 WHEN v = low THEN 1 WHEN starts_with(v, low) THEN 2 ELSE 3 END AS rule
+         FROM plain JOIN dom ON value = cat OR v = low OR starts_with(v, low) OR (length(v) >= 3 AND starts_with(low, v)))
+SELECT 'c_name' AS attr, value, (SELECT cat FROM hits h WHERE h.value = plain.value ORDER BY rule, ord LIMIT 1) AS matched FROM plain""")
