@@ -3,8 +3,8 @@
 A page's markup is read once into flat blocks of text; each block knows its
 word count and link density (share of words inside links), those of the block
 before and after, whether it is a heading or ends like a sentence, and whether
-it stands in an article, in a boilerplate element or in one whose class, id or
-role names boilerplate.  A decision tree over these numbers, grown on the
+it stands in an article, in a boilerplate element or in one whose class, id,
+role or label names boilerplate by known words.  A decision tree over these numbers, grown on the
 labelled pages of ``LABELLED`` (``label_table`` has them block by block), keeps
 or drops each block.  The work is row-local: no shuffle, one page at a time.
 
@@ -15,7 +15,8 @@ Edge cases: null, empty and text-free html give the empty text; unclosed or
 stray tags close with their container; an unclosed script, style, textarea or
 comment runs to the end of the page; an open head ends at the first body
 element or text; self-closed svg and math are empty; the text of math belongs
-to its block, annotations apart; very long pages are read whole; repeated rows
+to its block, annotations apart; very long pages, also of broken markup, are
+read whole in time linear in their length; repeated rows
 are treated alike; an empty table gives an empty result; other columns come
 back untouched.
 """
@@ -52,23 +53,34 @@ BLOCKS = set(("address article aside blockquote body caption center dd details d
               "table tbody td tfoot th thead tr ul").split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = set("nav aside footer form menu dialog fieldset".split())
-HINTS = set(("ad ads adv advert advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie "
-             "cookies copyright disclaimer discussion dialog footer form gdpr header login masthead menu modal nav "
-             "navbar navigation newsletter notice pager pagination popup promo promoted promotion recommended related "
-             "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription tags "
-             "teaser toolbar widget widgets").split())
+#: Words of classes, ids, roles and labels. Each of these names boilerplate wherever it stands ...
+HINTS = set(("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
+             "cookie cookies copyright disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice "
+             "pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup "
+             "social sponsor sponsored subscribe subscription tags toolbar widget widgets").split())
+#: ... these outside articles, and only among known words: an article can have a header or a discussion of its own ...
+LOOSE_HINTS = set("dialog discussion form header login reply search teaser".split())
+#: ... and these name what readers wrote, where an article is one of their texts.
+TALK = set("comment comments discussion disqus replies reply respond".split())
+#: Words that go with hints, and words that turn a name into a statement about the page.
+PLAIN = set(("area bar block body bottom box button card col column container content entry fixed global group inner item left "
+             "link links list main meta outer page panel post posts right row section site story text thread title top user "
+             "wrap wrapper").split())
+ABOUT = set("allowed closed disabled enabled has hidden hide is no not open show with without".split())
 
 #: Elements that a start tag ends, if the lists and tables named after them were not opened since.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
         **dict.fromkeys(("td", "th"), (("td", "th"), ("table",))), "tr": (("td", "th", "tr"), ("table",))}
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+|[^>]*)>|<[!?][^>]*>", re.S)
+#: A tag without quotes, and the places that matter in one with quotes.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _END = {n: re.compile(rf"(</{n}(?=[\s/>])[^>]*>)", re.I) for n in RAW}
 _END_INSIDE = {n: re.compile(rf"(</{n}(?=[\s/>])[^>]*>)|</(?:{'|'.join(FOREIGN)})(?=[\s/>])", re.I) for n in RAW}
 _END_CLOSED = {n: re.compile(rf"(</{n}(?=[\s/>])[^>]*>)|<(?:/head|body|{n})(?=[\s/>])", re.I) for n in RAW_CLOSED}
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z")
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_NAMED = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Block:
@@ -78,9 +90,71 @@ class Block:
         self.begin, self.text, self.words, self.links, self.state, self.heading = begin, text, words, links, state, heading
 
 
+class Tags:
+    """The tags of a page, found forwards: no character is read again for each ``<`` before it.
+
+    A tag ends at the first ``>`` outside quotes; where its quotes do not pair
+    up, at the first ``>``.  An opening quote that led to no end is remembered,
+    since from there every later attempt would go the same way.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.dead = page, page.rfind(">"), set()
+
+    def _end(self, at: int) -> int:
+        """The end of a tag whose name ends at ``at``; there is a ``>`` after it."""
+        page, path, k = self.page, [], at
+        while m := _SPECIAL.search(page, k):
+            k = m.start()
+            if page[k] == ">":
+                return k + 1
+            if k in self.dead:
+                break
+            path.append(k)
+            close = page.find(page[k], k + 1)
+            if close < 0:
+                break
+            k = close + 1
+        self.dead.update(path)
+        return page.index(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, slash, name and attributes of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (lo := page.find("<", at)) >= 0:
+            if page.startswith("<!--", lo):
+                end = page.find("-->", lo + 4)
+                return lo, len(page) if end < 0 else end + 3, "", "", ""
+            if lo < self.last:
+                if m := _PLAIN_TAG.match(page, lo):
+                    return lo, m.end(), m[1], m[2], m[3]
+                if m := _NAME.match(page, lo + 1):
+                    hi = self._end(m.end())
+                    return lo, hi, m[1], m[2], page[m.end():hi - 1]
+                if page[lo + 1:lo + 2] in ("!", "?"):
+                    return lo, page.index(">", lo) + 1, "", "", ""
+            elif page.find("<", lo + 1) < 0 and _NAME.match(page, lo + 1):
+                return lo, len(page), "", "", ""  # broken off within its last tag
+            at = lo + 1
+        return None
+
+
 @lru_cache(maxsize=4096)
-def _hinted(attributes: str) -> bool:
-    return any(p in HINTS for m in _NAMED.finditer(attributes) for p in _PARTS.findall("".join(filter(None, m.groups())).lower()))
+def _hints(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether names hint at boilerplate anywhere, at least outside articles, and at readers' texts."""
+    hint = loose = talk = False
+    for m in _NAMED.finditer(attributes):
+        value = "".join(filter(None, m.groups()[1:]))
+        for token in [value] if m[1].lower() == "aria-label" else value.split():
+            parts = {p.lower() for p in _PARTS.findall(token)}
+            if parts & ABOUT:
+                continue
+            known = parts <= HINTS | LOOSE_HINTS | PLAIN
+            found = bool(parts & HINTS) and (known or m[1].lower() != "aria-label")
+            hint |= found
+            loose |= found or known and bool(parts & LOOSE_HINTS) and not parts & {"entry", "post", "story", "body", "content", "main", "text"}
+            talk |= known and bool(parts & TALK)
+    return hint, loose, talk
 
 
 def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -95,7 +169,9 @@ def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]],
     places: dict[str, list[int]] = defaultdict(list)
     block_at: list[int] = []
     silent_at: list[int] = []
-    at = 0
+    tags, at = Tags(page), 0
+    #: Raw elements without an end tag from here on.
+    endless: set[tuple[str, bool]] = set()
 
     def end(k: int, lo: int, hi: int, own: bool) -> None:
         """Closes what the stack holds from ``k`` on, the first by its ``own`` end tag (from ``lo`` to ``hi``) or not."""
@@ -114,23 +190,24 @@ def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]],
         """Whether all silent elements above ``k`` are known to have no end tag."""
         return all(stack[i][1] in unclosed for i in silent_at[bisect_right(silent_at, k):])
 
-    while m := _MARK.search(page, at):
-        lo, text, at = m.start(), at, m.end()
+    while tag := tags.next(at):
+        text = at
+        lo, at, slash, name, attributes = tag
         if stack and stack[-1][0] == "head" and not page[text:lo].isspace() and lo > text:
             end(len(stack) - 1, text, text, False)
-        if not m[2]:
+        if not name:
             if page.startswith("<!--", lo):
                 spans.append((lo, at))
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = name.lower()
+        if slash:
             # An end tag of an inline element leaves blocks open.
             if places[name] and (name in BLOCKS or name in SILENT or not block_at or block_at[-1] <= places[name][-1]):
                 end(places[name][-1], lo, at, True)
             continue
         inside = any(places[n] for n in FOREIGN)
         silent = name in SILENT or name in ANNOTATIONS and bool(places["math"])
-        empty = m[3].endswith("/")
+        empty = attributes.endswith("/")
         if places["head"]:
             k = places["head"][-1]
             if name == "body" or name not in IN_HEAD and len(stack) - 1 - k == len(silent_at) - bisect_right(silent_at, k) and loose(k):
@@ -138,7 +215,11 @@ def _silent_spans(page: str, unclosed: set[int]) -> tuple[list[tuple[int, int]],
         if empty and (inside or name in FOREIGN):
             continue
         if name in RAW or name in RAW_CLOSED:
-            found = (_END_CLOSED if name in RAW_CLOSED else _END_INSIDE if inside else _END)[name].search(page, at)
+            found = None
+            if (name, inside) not in endless:
+                found = (_END_CLOSED if name in RAW_CLOSED else _END_INSIDE if inside else _END)[name].search(page, at)
+                if not found:
+                    endless.add((name, inside))
             if found and found[1] or name in RAW and not inside:
                 at = found.end() if found else len(page)
                 spans.append((lo, at))
@@ -182,8 +263,9 @@ def blocks(page: str) -> list[Block]:
     if "<" in page:
         page = _without_silent(page)
     out: list[Block] = []
-    #: (element, (in article, in furniture, hinted)) of the open containers
-    stack: list[tuple[str, tuple]] = [("", (0, 0, 0))]
+    #: (element, (in article, in furniture, hinted, among readers' texts)) of the open containers, and how many of each
+    stack: list[tuple[str, tuple]] = [("", (0, 0, 0, 0))]
+    opened: dict[str, int] = defaultdict(int)
     parts: list[tuple[str, bool]] = []
     begin, links, heading, at = 0, 0, False, 0
 
@@ -194,7 +276,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
                 linked = sum(len(t.split()) for t, in_link in parts if in_link)
-                out.append(Block(begin, text, text.count(" ") + 1, linked, stack[-1][1], heading))
+                out.append(Block(begin, text, text.count(" ") + 1, linked, stack[-1][1][:3], heading))
             parts = []
 
     def add(lo: int, hi: int) -> None:
@@ -207,45 +289,54 @@ def blocks(page: str) -> list[Block]:
                 begin = lo
             parts.append((text, links > 0))
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(at, m.start())
-        at = m.end()
-        name = (m[2] or "").lower()
+    def push(name: str, state: tuple) -> None:
+        stack.append((name, state))
+        opened[name] += 1
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    tags = Tags(page)
+    while tag := tags.next(at):
+        if tag[0] > at:
+            add(at, tag[0])
+        _, at, slash, name, attributes = tag
+        name = name.lower()
         if name == "a":
-            links = 0 if m[1] else 1
+            links = 0 if slash else 1
         elif name == "br":
             if parts:
                 parts.append((" ", False))
         elif name in BLOCKS:
             close()
             links = 0
-            heading = len(name) == 2 and name[0] == "h" and name[1].isdigit() and not m[1]
-            if m[1]:
-                k = len(stack) - 1
-                while k and stack[k][0] != name:
-                    k -= 1
-                if k:
-                    del stack[k:]
-            elif name not in VOID and name != "p":
-                art, furniture, hint = stack[-1][1]
-                if name in ("article", "main"):
-                    art, furniture, hint = 1, furniture, 0
-                elif name in FURNITURE or (name == "header" and not art):
-                    furniture = 1
-                if name not in ("html", "body", "article", "main") and m[3] and _hinted(m[3]):
-                    hint = 1
-                if not m[3].endswith("/"):
-                    stack.append((name, (art, furniture, hint)))
-            elif name == "p" and m[3] and _hinted(m[3]):
-                art, furniture, _ = stack[-1][1]
-                # A hinted paragraph holds until the next block.
-                while stack[-1][0] == "p":
-                    stack.pop()
-                stack.append(("p", (art, furniture, 1)))
+            heading = len(name) == 2 and name[0] == "h" and name[1].isdigit() and not slash
+            if slash:
+                if opened[name]:
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
             elif name == "p":
                 while stack[-1][0] == "p":
-                    stack.pop()
+                    pop()
+                if attributes and _hints(attributes)[0]:
+                    # A hinted paragraph holds until the next block.
+                    art, furniture, _, talk = stack[-1][1]
+                    push("p", (art, furniture, 1, talk))
+            elif name not in VOID:
+                art, furniture, hint, talk = stack[-1][1]
+                named, loose, talks = _hints(attributes) if attributes and name not in ("html", "body") else (False,) * 3
+                if name in ("article", "main"):
+                    # An article among readers' texts is one of them.
+                    talk = int(talk or name == "article" and talks)
+                    hint, art = talk, int(not talk or art)
+                else:
+                    if name in FURNITURE or (name == "header" and not art):
+                        furniture = 1
+                    if named or loose and not art:
+                        hint, talk = 1, int(talk or talks)
+                if not attributes.endswith("/"):
+                    push(name, (art, furniture, hint, talk))
     if at < len(page):
         add(at, len(page))
     close()
@@ -363,6 +454,13 @@ LABELLED: list[list[tuple[str, int]]] = [
     [("<body><article>", 0), ("<p>Word", 1)],
     [("<body>", 0), (f"<h1>Mixed</h1><p>See <a href='/1'>the whole report</a> today.</p><p>{_LONG}</p><p>By <a href='/2'>Ann Lee</a></p>"
                      f"<p>{_SHORT}</p><p>{_LONG}</p>", 1)],
+    [("<body><article>", 0), (f"<p>{_LONG}</p><a href='/1'>Map</a><p>{_SHORT}</p><p>{_LONG}</p><p><a href='/2'>All about it</a></p><p>Yes.</p>", 1)],
+    # Names that an article's own parts have, and articles that readers wrote.
+    [("<body><div class='site-header'><p>The Valley Post</p></div><article>", 0),
+     (f"<div class='entry-header'><h1>What was found</h1></div><p class='teaser'>{_SHORT}</p><section id='discussion'><h2>Discussion</h2>"
+      f"<p>{_LONG}</p><p>{_SHORT}</p></section>", 1),
+     ("</article><section id='comments'><h2>Two comments</h2><article class='comment-body'><p>" + _LONG + "</p></article>"
+      "<article><p>" + _SHORT + "</p></article></section><div id='respond'><p>" + _LONG + "</p></div>", 0)],
     # Links: lists of them are furniture wherever they stand, unless an article holds them.
     [("<body><div><a href='/1'>Ten walks for a dry autumn day in the hills</a></div><div><a href='/2'>Why the bridge was "
       "closed for such a long time</a></div><p><a href='/3'>What to do now</a></p>", 0), (f"<p>{_LONG * 2}</p><p>{_SHORT}</p>", 1),

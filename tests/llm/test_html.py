@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -50,6 +51,48 @@ CASES = [
 ]
 
 
+S = STORY.strip()
+CASES += [
+    # Readers' texts are articles of their own on many pages.
+    *[(f"<article><h1>Title</h1><p>{STORY}</p></article><{e} id='comments'><h2>Comments</h2><ol><li><article class='comment-body'><p>{STORY}"
+       f"</p></article></li><li><article><p>Me too.</p></article></li></ol></{e}>", f"Title {S}") for e in ("div", "section")],
+    (f"<main><article><p>{STORY}</p><div class='comment-list'><article class='comment'><p>{STORY}</p></article></div></article></main>", S),
+    # An article's own parts may be called what boilerplate is called elsewhere.
+    (f"<article><p>{STORY}</p><section id='discussion'><h2>Discussion</h2><p>{STORY}</p></section></article>", f"{S} Discussion {S}"),
+    (f"<article><p class='teaser'>In short, it closed.</p><p>{STORY}</p></article>", f"In short, it closed. {S}"),
+    *[(f"<article><div class='{c}'><h1>Title</h1></div><p>{STORY}</p></article>", f"Title {S}") for c in (
+        "entry-header", "article-header", "post header", "header", "EntryHeader")],
+    (f"<article><section class='search-results-discussion'><p>{STORY}</p></section></article>", S),
+    *[(f"<div class='{c}'><article><p>{STORY}</p><p>Yes.</p></article></div>", f"{S} Yes.") for c in (
+        "content-with-sidebar", "no-comments", "comments-open", "has-widgets", "two-column")],
+    # Boilerplate in an article still goes.
+    *[(f"<article><p>{STORY}</p><div class='{c}'><p>{STORY}</p></div><p>Yes.</p></article>", f"{S} Yes.") for c in (
+        "cookie-notice", "related-posts", "newsletter-box", "ad", "sidebar left", "post-comments", "CookieNotice")],
+    (f"<div class='site-header'><p>{STORY}</p></div><div id='discussion'><p>{STORY}</p></div><article><p>{STORY}</p></article>", S),
+    # Quotes that do not pair up.
+    (f"<article><p title='it's'>{STORY}</p><a href=\"x>link</a><p>Yes.</p></article>", f"{S} link Yes."),
+    (f"<article><p>{STORY}</p><p>1 < 2 and 3 > 2</p></article>", f"{S} 1 < 2 and 3 > 2"),
+]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", "<a b=\"'", "<a '>", "<!", "<", "</", "<p class='", "<svg><style>", "<title>", "<button>",
+                                  "<div>", "</section><div>", "<li><p>", "<a b=\"x'>", "<x '\">", "<td><tr>", "<!-- -->", "&amp", "<math><mi/>"])
+def test_broken_markup_takes_linear_time(unit):
+    tree = html_text.grown()
+    times = []
+    for size in (250_000, 1_000_000):
+        start = time.process_time()
+        html_text.main_text(f"<article><p>{STORY}</p>" + unit * (size // len(unit)), tree)
+        times.append(time.process_time() - start)
+    assert times[1] < 6 * times[0] + 0.5, times
+
+
+def test_long_pages_of_open_tags():
+    start = time.process_time()
+    html_text.main_text("<a " * (5_000_000 // 3), html_text.grown())
+    assert time.process_time() - start < 2
+
+
 @pytest.mark.parametrize("k", range(len(CASES)))
 def test_case(k):
     page, want = CASES[k]
