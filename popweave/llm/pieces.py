@@ -19,7 +19,7 @@ products:
 Where a word begins (a mark after another character) no piece of the
 vocabulary crosses, which is verified when the model is loaded: there the
 matrix has rank one, so inside a chunk only the cut words at its two ends need
-the lattice, and whole words are segmented once and remembered.  A text of one
+the lattice, and the words between them go through the library.  A text of one
 chunk has no cut, so its states are known at once.
 
 Edge cases: a null text has null ids; an empty text has no ids; a character
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,6 @@ from popweave.llm.common import stash, table, whole_row
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 BLOCK = 256
-#: Remembered words of a task; beyond it the memory is emptied.
-WORDS = 100_000
 MARK = "▁"
 NONE = -np.inf
 
@@ -68,7 +66,6 @@ class Vocabulary:
         probe = " Aﬁ  b "
         if m.decode(m.encode(probe)) != probe or any(map(m.is_unknown, m.encode("\n\u0001"))):
             raise ValueError("a model with identity normalisation, a mark in front and byte pieces is needed")
-        self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], float] = {}
 
     def whole(self, text: str) -> list[int]:
@@ -97,19 +94,15 @@ class Vocabulary:
         return [(p, s + len(p) - cut) for s in range(max(0, cut - self.longest), cut)
                 for p in self.starting(text, s) if s + len(p) >= cut]
 
-    def encode_words(self, text: str) -> Iterator[int]:
+    def encode_words(self, text: str) -> list[int]:
         """Ids of a text that begins with a mark and ends where a word ends."""
-        words = re.findall(f"{MARK}+[^{MARK}]*", text)
-        known = self.words
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
-                known[w] = tuple(ids)
-            if MARK in known:  # the model puts no mark in front of nothing
-                known[MARK] = tuple(self.whole(MARK))
-        return chain.from_iterable(map(known.__getitem__, words))
+        # The library puts the mark in front of a text itself, but not of nothing.
+        return self.model.encode(text[1:], num_threads=1) if len(text) > 1 else self.whole(text)
+
+    def spells(self, ids: list[int], text: str) -> bool:
+        """Whether ids from within a text decode to this part of it."""
+        before = self.model.encode("\n")  # so that no mark is taken off the front
+        return self.model.decode([*before, *ids]) == "\n" + text.replace(MARK, " ")
 
 
 def marked(text: str) -> str:
@@ -261,14 +254,15 @@ def best_states(parts: list[tuple[list[str], list[str], np.ndarray]], into: str,
 # ---------------------------------------------------------------- Spark jobs
 
 _CHUNKS = T.StructType([T.StructField("_uid", T.LongType()), T.StructField("_chunk", T.IntegerType()),
-                        *[T.StructField(c, T.StringType()) for c in ("_before", "_body", "_after")]])
+                        T.StructField("_of", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("_before", "_body", "_after")]])
 _MATRICES = T.StructType([T.StructField("_uid", T.LongType()), T.StructField("_block", T.IntegerType()),
-                          T.StructField("_chunk", T.IntegerType()),
+                          T.StructField("_chunk", T.IntegerType()), T.StructField("_of", T.IntegerType()),
                           T.StructField("_ins", T.ArrayType(T.StringType())),
                           T.StructField("_outs", T.ArrayType(T.StringType())),
                           T.StructField("_m", T.ArrayType(T.DoubleType()))])
 _STATES = T.StructType([T.StructField("_uid", T.LongType()), T.StructField("_part", T.IntegerType()),
                         T.StructField("_into", T.StringType()), T.StructField("_out", T.StringType())])
+_STATE_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.string())
 _REACH = 64
 
 
@@ -282,7 +276,7 @@ def _splitter(size: int) -> Callable:
                     some = starts[lo:lo + 64]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([uid] * len(some), pa.int64()),
-                         pa.array(range(lo, lo + len(some)), pa.int32()),
+                         pa.array(range(lo, lo + len(some)), pa.int32()), pa.array([len(starts)] * len(some), pa.int32()),
                          pa.array([text[max(0, s - _REACH):s] for s in some], pa.string()),
                          pa.array([text[s:s + size] for s in some], pa.string()),
                          pa.array([text[s + size:s + size + _REACH] for s in some], pa.string())],
@@ -298,9 +292,9 @@ def _matrix_task(model: bytes) -> Callable:
             for r in batch.to_pylist():
                 ins, outs, m = chunk_matrix(v, r["_before"], r["_body"], r["_after"])
                 rows.append({"_uid": r["_uid"], "_block": r["_chunk"] // BLOCK, "_chunk": r["_chunk"],
-                             "_ins": ins, "_outs": outs, "_m": m.ravel().tolist()})
+                             "_of": r["_of"], "_ins": ins, "_outs": outs, "_m": m.ravel().tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                [("_uid", pa.int64()), ("_block", pa.int32()), ("_chunk", pa.int32()),
+                [("_uid", pa.int64()), ("_block", pa.int32()), ("_chunk", pa.int32()), ("_of", pa.int32()),
                  ("_ins", pa.list_(pa.string())), ("_outs", pa.list_(pa.string())), ("_m", pa.list_(pa.float64()))]))
     return matrices
 
@@ -318,10 +312,32 @@ def _multiply(key, pdf):
     whole = parts[0]
     for part in parts[1:]:
         whole = product(whole, part)
-    return pd.DataFrame([{"_uid": key[0], "_block": key[1], "_chunk": key[1], "_ins": whole[0], "_outs": whole[1],
+    return pd.DataFrame([{"_uid": key[0], "_block": key[1], "_chunk": key[1], "_of": 0, "_ins": whole[0], "_outs": whole[1],
                           "_m": whole[2].ravel().tolist()}])
 
 
+def _text_states(batches):
+    """States at the cuts of texts of one block, whose chunks come one after another."""
+    def rows():
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                yield from batch.slice(lo, 500).to_pylist()
+
+    out: list[tuple] = []
+    for uid, run in groupby(rows(), key=lambda r: r["_uid"]):
+        run = list(run)  # BLOCK at most
+        parts = [(r["_ins"], r["_outs"], np.array(r["_m"], float).reshape(len(r["_ins"]), len(r["_outs"]))) for r in run]
+        path = best_states(parts, "", "")
+        out += [(uid, r["_chunk"], a, b) for r, a, b in zip(run, path, path[1:], strict=False)]
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STATE_TYPES, strict=True)],
+                                             names=_STATES.names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STATE_TYPES, strict=True)],
+                                         names=_STATES.names)
+
+
 def _block_states(key, pdf):
     import pandas as pd
 
@@ -345,14 +361,22 @@ def _id_lists(lists: list) -> pa.Array:
                                     mask=pa.array([x is None for x in lists], pa.bool_()))
 
 
-def _trace_task(model: bytes) -> Callable:
+def _trace_task(model: bytes, check: bool) -> Callable:
+    """Ids of chunks; ``check``: also whether they decode to the part of the text that their pieces cover."""
     def trace(batches):
         v = Vocabulary(model)
         for batch in batches:
-            rows = batch.to_pylist()
-            ids = [chunk_ids(v, r["_before"], r["_body"], r["_after"], r["_into"], r["_out"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("_chunk"), _id_lists(ids)],
-                                             names=["_uid", "_chunk", "_ids"])
+            for lo in range(0, batch.num_rows, 64):
+                some = batch.slice(lo, 64)
+                ids, ok = [], []
+                for r in some.to_pylist():
+                    ids.append(chunk_ids(v, r["_before"], r["_body"], r["_after"], r["_into"], r["_out"]))
+                    if check:
+                        covered = (r["_body"] + r["_after"])[unstate(r["_into"])[0]:len(r["_body"]) + unstate(r["_out"])[0]]
+                        ok.append(v.spells(ids[-1], covered))
+                yield pa.RecordBatch.from_arrays([some.column("_uid"), some.column("_chunk"), _id_lists(ids),
+                                                  *([pa.array(ok, pa.bool_())] if check else [])],
+                                                 names=["_uid", "_chunk", "_ids", *["_ok"] * check])
     return trace
 
 
@@ -367,7 +391,7 @@ def _one_chunk_task(model: bytes, check: bool) -> Callable:
             for lo in range(0, batch.num_rows, 100):
                 some = batch.slice(lo, 100)
                 texts = some.column(some.schema.names.index("_text")).to_pylist()
-                ids = [None if t is None else list(v.encode_words(marked(t))) if t else [] for t in texts]
+                ids = [None if t is None else v.encode_words(marked(t)) if t else [] for t in texts]
                 more = [pa.array([back == (t and t.replace(MARK, " ")) for t, back in zip(texts, _spelled(v.model, ids), strict=True)],
                                  pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*some.columns, _id_lists(ids), *more],
@@ -414,19 +438,23 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
     chunks = stash(giant.select("_uid", "_text").mapInArrow(_splitter(chunk), _CHUNKS).repartition("_uid", "_chunk"),
                    "text-chunks")
     matrices = stash(chunks.mapInArrow(_matrix_task(spec), _MATRICES), "chunk-matrices")
-    blocks = matrices.groupBy("_uid", "_block").applyInPandas(_multiply, _MATRICES)
+    # Texts of one block need no products: a task takes many of them.
+    of_one = matrices.where(F.col("_of") <= BLOCK).repartition("_uid").sortWithinPartitions("_uid", "_chunk").mapInArrow(
+        _text_states, _STATES)
+    more = matrices.where(F.col("_of") > BLOCK)
+    blocks = more.groupBy("_uid", "_block").applyInPandas(_multiply, _MATRICES)
     block_states = blocks.groupBy("_uid").applyInPandas(_block_states, _STATES)
-    states = matrices.groupBy("_uid", "_block").cogroup(
-        block_states.withColumnRenamed("_part", "_block").groupBy("_uid", "_block")).applyInPandas(_chunk_states, _STATES)
+    states = of_one.unionByName(more.groupBy("_uid", "_block").cogroup(
+        block_states.withColumnRenamed("_part", "_block").groupBy("_uid", "_block")).applyInPandas(_chunk_states, _STATES))
+    schema = T.StructType([*_CHUNKS.fields[:2], T.StructField("_ids", _IDS),
+                           *([T.StructField("_ok", T.BooleanType())] if check_col else [])])
     traced = (chunks.join(states.withColumnRenamed("_part", "_chunk"), ["_uid", "_chunk"])
-              .mapInArrow(_trace_task(spec), T.StructType([*_CHUNKS.fields[:2], T.StructField("_ids", _IDS)])))
+              .mapInArrow(_trace_task(spec, bool(check_col)), schema))
     # A text's ids go together again, as its characters were in one row.
     ids = traced.groupBy("_uid").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_ids"))), lambda x: x["_ids"])).alias("_ids"))
-    large = giant.join(ids, "_uid").select("_row", "_text", "_ids")
-    if check_col:
-        large = decode(large, "_ids", "_back", model).select(
-            "_row", "_text", "_ids", F.col("_back").eqNullSafe(F.regexp_replace("_text", MARK, " ")).alias("_ok"))
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_ids"))), lambda x: x["_ids"])).alias("_ids"),
+        *([F.bool_and("_ok").alias("_ok")] if check_col else []))
+    large = giant.join(ids, "_uid").select("_row", "_text", "_ids", *["_ok"] * bool(check_col))
     both = small.unionByName(large)
     return both.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c)
                          for c in docs.columns if c not in (ids_col, check_col)], F.col("_ids").alias(ids_col),
