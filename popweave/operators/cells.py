@@ -146,32 +146,44 @@ def attribute_pairs(attrs: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(attrs, 2))
 
 
-def pairwise_counts(cells: DataFrame, attrs: Sequence[str], n: str = "n") -> DataFrame:
-    """All two-way tables in one pass: ``(a1, a2, v1, v2, n)``.
+def pair_sums(cells: DataFrame, attrs: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """All two-way tables in one aggregation with grouping sets: ``(a1, a2, v1, v2, sums...)``.
 
-    Each cell row fans out to its pairs (the cell table is bounded by the
-    domain product, so the fan-out is too) and one aggregation sums them.
+    Rows with a null value in a pair take no part in it; which attributes a
+    row was grouped by is read from its grouping id, so such nulls are told
+    from the attributes that are not in the set.
     """
-    pairs = attribute_pairs(attrs)
-    kv = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"),
-                 F.col(a).cast("string").alias("v1"), F.col(b).cast("string").alias("v2"),
-                 F.col(n).alias("n"))
-        for a, b in pairs]))
-    return (cells.select(kv.alias("kv")).select("kv.*")
-            .where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-            .groupBy("a1", "a2", "v1", "v2").agg(F.sum("n").alias("n")))
+    named = [f"_v{i}" for i in range(len(attrs))]
+    text = cells.select(*[F.col(a).cast("string").alias(v) for a, v in zip(attrs, named)], *sums)
+    sets = list(combinations(range(len(attrs)), 2))
+    grouped = text.groupingSets([[F.col(named[i]) for i in pair] for pair in sets], *named).agg(
+        F.grouping_id().alias("_set"), *[F.sum(s).alias(s) for s in sums])
+    #: The grouping id has a bit for each column that is not in the set, the first column's the highest.
+    ids = {sum(1 << (len(attrs) - 1 - k) for k in range(len(attrs)) if k not in pair): pair for pair in sets}
+    which = lambda pick: F.coalesce(*[F.when(F.col("_set") == i, pick(pair)) for i, pair in ids.items()])
+    return grouped.select(
+        which(lambda p: F.lit(attrs[p[0]])).alias("a1"), which(lambda p: F.lit(attrs[p[1]])).alias("a2"),
+        which(lambda p: F.col(named[p[0]])).alias("v1"), which(lambda p: F.col(named[p[1]])).alias("v2"), *sums,
+    ).where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
+
+
+def pairwise_counts(cells: DataFrame, attrs: Sequence[str], n: str = "n") -> DataFrame:
+    """All two-way tables in one pass: ``(a1, a2, v1, v2, n)``."""
+    return pair_sums(cells, attrs, [n]).withColumnRenamed(n, "n")
+
+
+def attribute_pair_df(spark, attrs: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame(attribute_pairs(attrs), "a1 string, a2 string")
 
 
 def pairwise_joint(cells: DataFrame, attrs: Sequence[str], domain: Domain, n: str = "n") -> DataFrame:
     """Dense two-way joints ``(a1, a2, v1, v2, n, p)`` for every attribute pair."""
     spark = cells.sparkSession
     counts = pairwise_counts(cells, attrs, n)
-    lit_rows = F.array(*[
-        F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"), F.lit(x).alias("v1"), F.lit(y).alias("v2"))
-        for a, b in attribute_pairs(attrs) for x in domain[a] for y in domain[b]])
-    dense = spark.range(1).select(F.explode(lit_rows).alias("d")).select("d.*")
-    out = F.broadcast(dense).join(counts, ["a1", "a2", "v1", "v2"], "left") \
+    cats = domain_df(spark, attrs, domain)
+    side = lambda a, v: F.broadcast(cats.select(F.col("attr").alias(a), F.col("cat").alias(v)))
+    dense = attribute_pair_df(spark, attrs).join(side("a1", "v1"), "a1").join(side("a2", "v2"), "a2")
+    out = dense.join(counts, ["a1", "a2", "v1", "v2"], "left") \
         .select("a1", "a2", "v1", "v2", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("a1", "a2"))
     p = F.coalesce(F.try_divide(F.col("n").cast("double"), total.cast("double")), F.lit(0.0))

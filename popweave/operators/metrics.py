@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from popweave.domain import Domain
 from popweave.session import materialize
 from popweave.domain import domain_df
-from popweave.operators.cells import attribute_pairs
+from popweave.operators.cells import attribute_pairs, pair_sums
 
 EPS = 1e-12
 SMALL_SUPPORT = 2_000_000  # whole-support window allowed up to this grid size
@@ -148,26 +148,40 @@ def jsd_full_joint(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[
 
 def jsd_pairwise(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[str], domain: Domain,
                  n: str = "n") -> DataFrame:
-    """``(a1, a2, jsd)`` for every attribute pair from one fan-out of the tagged sides.
+    """``(a1, a2, jsd)`` for every attribute pair, from one aggregation with grouping sets over both sides.
 
-    Pairs with no rows on either side are restored from the literal pair
-    list with JSD 0 (both sides uniform).
+    Pairs of up to ``SMALL_SUPPORT`` cells take their totals from windows; with
+    larger ones these are two small aggregations joined back, so that no task
+    holds a pair.  Pairs with no rows on either side have JSD 0 (both uniform).
     """
     spark = syn_cells.sparkSession
-    t = _tagged(syn_cells, real_cells, attrs, n)
-    kv = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2"),
-                 F.col(a).cast("string").alias("v1"), F.col(b).cast("string").alias("v2"),
-                 F.lit(float(len(domain[a]) * len(domain[b]))).alias("k"), F.col("np"), F.col("nq"))
-        for a, b in attribute_pairs(attrs)]))
-    fan = t.select(kv.alias("kv")).select("kv.*").where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-    res = _jsd_core(fan, ["v1", "v2"], F.col("k"), ["a1", "a2", "k"], EPS)
-    pair_rows = F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2")) for a, b in attribute_pairs(attrs)])
-    pairs = spark.range(1).select(F.explode(pair_rows).alias("x")).select("x.*")
-    return F.broadcast(pairs).join(res, ["a1", "a2"], "left") \
+    t = pair_sums(_tagged(syn_cells, real_cells, attrs, n), attrs, ["np", "nq"])
+    grids = [(a, b, float(len(domain[a]) * len(domain[b]))) for a, b in attribute_pairs(attrs)]
+    sizes = spark.createDataFrame(grids, "a1 string, a2 string, k double")
+    fan = t.join(F.broadcast(sizes), ["a1", "a2"])
+    if max(k for *_, k in grids) <= SMALL_SUPPORT:
+        res = _jsd_core(fan, ["v1", "v2"], F.col("k"), ["a1", "a2", "k"], EPS)
+    else:
+        res = _jsd_two_pass(fan, ["v1", "v2"], ["a1", "a2", "k"], EPS)
+    return sizes.select("a1", "a2").join(res, ["a1", "a2"], "left") \
         .select("a1", "a2", F.coalesce(F.col("jsd"), F.lit(0.0)).alias("jsd"))
 
 
+def _jsd_two_pass(t: DataFrame, keys: Sequence[str], by: Sequence[str], eps: float) -> DataFrame:
+    """``_jsd_core`` for supports of any size: totals and clamp sums of a group (``k`` cells, in ``by``) by aggregation."""
+    e, k = F.lit(eps), F.col("k")
+    j = materialize(t.groupBy(*by, *keys).agg(F.sum("np").alias("np"), F.sum("nq").alias("nq")))
+    totals = j.groupBy(*by).agg(F.sum("np").alias("tp"), F.sum("nq").alias("tq"), F.count(F.lit(1)).cast("double").alias("s"))
+    share = lambda n, total: F.greatest(F.coalesce(F.try_divide(F.col(n), F.col(total)), F.lit(0.0)), e)
+    c = j.join(F.broadcast(totals), list(by)).select(*by, "s", share("np", "tp").alias("cp"), share("nq", "tq").alias("cq"))
+    clamped = c.groupBy(*by).agg(F.sum("cp").alias("zp"), F.sum("cq").alias("zq"), F.first("s").alias("s")).select(
+        *by, "s", (F.col("zp") + (k - F.col("s")) * e).alias("zp"), (F.col("zq") + (k - F.col("s")) * e).alias("zq"))
+    gs = c.drop("s").join(F.broadcast(clamped), list(by)).groupBy(*by, "s", "zp", "zq").agg(
+        F.sum(g_expr(F.col("cp") / F.col("zp"), F.col("cq") / F.col("zq"))).alias("gs"))
+    rest = F.when(k > F.col("s"), (k - F.col("s")) * g_expr(e / F.col("zp"), e / F.col("zq"))).otherwise(F.lit(0.0))
+    return gs.select(*by, F.greatest(F.lit(0.0), F.col("gs") + rest).alias("jsd"))
+
+
 def evaluate_suite(syn_cells: DataFrame, real_cells: DataFrame, attrs: Sequence[str], domain: Domain,
                    n: str = "n", per_attr: bool = False) -> DataFrame:
     """One row ``(srmse_avg, jsd_pairwise_avg, jsd_full_joint)``, with ``per_attr`` also the map ``srmse_per_attr``.

@@ -81,7 +81,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stash`` wrote, once nothing reads them any more; other tables are left alone."""
+    """Delete tables that ``stash`` wrote, once nothing reads them any more; other tables are left alone.
+
+    The driver's JVM also collects, for Spark's cleaner to remove the shuffle
+    files of the steps that are done: they stay until their plans are collected.
+    """
     for df in tables:
         path = getattr(df, "_popweave_path", None)
         if path:
@@ -90,6 +94,8 @@ def discard(*tables: DataFrame) -> None:
             files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
             files.delete(folder, True)
             files.cancelDeleteOnExit(folder)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -91,6 +91,47 @@ def test_large_grid_path_matches(spark, monkeypatch):
     assert big == pytest.approx(small, abs=1e-14)
 
 
+def test_large_pairs_match_and_need_no_window(spark, monkeypatch):
+    import io
+    from contextlib import redirect_stdout
+
+    rnd = random.Random(5)
+    grid = list(product(*DOM.values()))
+    # The last attribute is null on one side: its pairs have rows on the other side only.
+    cp = _cells(spark, {g: rnd.choice([0, 3, 8]) for g in grid if rnd.random() < 0.6})
+    cq = _cells(spark, {g: rnd.choice([1, 5]) for g in grid}).withColumn(ATTRS[-1], F.lit(None).cast("string"))
+    nothing = cp.where(F.lit(False))
+    pairs = lambda p, q: {(r.a1, r.a2): r.jsd for r in M.jsd_pairwise(p, q, ATTRS, DOM).collect()}
+    small = [pairs(cp, cq), pairs(cp, nothing), pairs(nothing, nothing)]
+    monkeypatch.setattr(M, "SMALL_SUPPORT", 1)
+    for a, b in zip(small, [pairs(cp, cq), pairs(cp, nothing), pairs(nothing, nothing)], strict=True):
+        assert a == pytest.approx(b, abs=1e-14) and len(a) == len(ATTRS) * (len(ATTRS) - 1) // 2
+    assert set(small[2].values()) == {0.0} and all(v > 0 for v in small[1].values())
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        M.jsd_pairwise(cp, cq, ATTRS, DOM).explain()
+    assert "Window" not in buf.getvalue()
+
+
+def test_pairs_are_grouping_sets(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from popweave.operators import cells as C
+
+    cells = _cells(spark, {g: i % 5 for i, g in enumerate(product(*DOM.values()))})
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        C.pairwise_joint(cells, ATTRS, DOM).explain()
+    assert "Expand" in buf.getvalue() and "Generate" not in buf.getvalue()
+    got = {(r.a1, r.a2, r.v1, r.v2): r.n for r in C.pairwise_joint(cells, ATTRS, DOM).collect()}
+    assert len(got) == sum(len(DOM[a]) * len(DOM[b]) for i, a in enumerate(ATTRS) for b in ATTRS[i + 1:])
+    # A null is no value of its attribute, and never the mark of an attribute that is not in the pair.
+    some = spark.createDataFrame([(None, "x", "p", 2), ("u", None, "p", 3), ("u", "x", None, 5)], "a string, b string, c string, n long")
+    counts = {(r.a1, r.a2, r.v1, r.v2): r.n for r in C.pairwise_counts(some, ["a", "b", "c"]).collect()}
+    assert counts == {("a", "b", "u", "x"): 5, ("a", "c", "u", "p"): 3, ("b", "c", "x", "p"): 2}
+
+
 def test_inferred_domain_ordinals(spark):
     from popweave.domain import infer_domain
 
