@@ -482,7 +482,7 @@ g2 AS (SELECT g1.id, g1.year, g1.gen_case,
                       WHEN 7 THEN '. . ' WHEN 10 THEN ', Sex is Other' ELSE '' END AS text
   FROM g1 LEFT JOIN era ON era.year = g1.year),
 gen AS (
-  SELECT id, year, gen_case, id // 64 AS batch, CAST(id % 64 AS INTEGER) AS pos, text FROM g2 WHERE gen_case <> 11
+  SELECT id, year, gen_case, id // 64 AS batch, CAST(id % 64 AS INTEGER) AS pos, text FROM g2
   UNION ALL
   SELECT -1 - doc_id, CAST(1990 + 5 * (doc_id % 12) AS INTEGER), 11, doc_id // 8, CAST(64 + doc_id % 8 AS INTEGER), text
   FROM documents)"""
@@ -625,10 +625,49 @@ for _name, _where in (("conditional_sample", "year = 1998"), ("conditional_sampl
     register(_name, with_(*_sample_ctes("pop", _where, POP_N)) + f"SELECT {ATTR_LIST}, hits FROM drawn")
 
 
-def _resample_ctes(cells: str, passes: int, attrs=POP_ATTRS, domain=POP_DOMAIN, tgt: str = "tgt", name: str = "raked") -> list[str]:
+def _rake_recursive(cells: str, passes: int, attrs, domain, tgt: str, name: str) -> tuple[list[str], str]:
+    """``_rake_ctes`` of the sequential rule as a recursion over attribute steps, for long passes over many categories.
+
+    Its state is the list of all factors; a step folds the categories of one
+    attribute in order, with the running total beside the adjustments.
+    """
+    cols, starts, at = ", ".join(attrs), [], 0
+    for a in attrs:
+        starts.append(at)
+        at += len(domain[a])
+    codes = ", ".join(f"{s} + list_position({sql_list(domain[a])}, {a})" for a, s in zip(attrs, starts))
+    goals = ", ".join(f"({i}, {s + j + 1}, {q(a)}, {q(c)})" for i, (a, s) in enumerate(zip(attrs, starts)) for j, c in enumerate(domain[a]))
+    step = f"k % {len(attrs)}"
+    zero = "'s': 0.0::DOUBLE, 'a': CAST([] AS DOUBLE[])"
+    moves = "x.t > 0 AND x.u > 0"
+    return [
+        f"{name}_c AS MATERIALIZED (SELECT {cols}, n, [{codes}] AS code FROM {cells})",
+        f"""{name}_g AS MATERIALIZED (SELECT g.i, g.j, CAST(t.prop AS DOUBLE) AS t FROM (VALUES {goals}) AS g(i, j, attr, cat)
+            JOIN {tgt} t ON t.attr = g.attr AND t.cat = g.cat)""",
+        f"""{name}_st(k, f) AS (
+          SELECT 0, list_transform(range({at}), lambda x: 1.0::DOUBLE)
+          UNION ALL
+          SELECT k + 1, list_transform(f, lambda x, i: CASE WHEN i >= lo AND i < lo + len(adj) THEN x * adj[i - lo + 1] ELSE x END) FROM (
+            SELECT any_value(k) AS k, any_value(f) AS f, min(j) AS lo,
+                   list_reduce(list_prepend({{'s': any_value(total), 'a': CAST([] AS DOUBLE[]), 't': 0.0::DOUBLE, 'u': 0.0::DOUBLE}},
+                     list({{{zero}, 't': t, 'u': u}} ORDER BY j)),
+                     lambda p, x: {{'s': CASE WHEN {moves} THEN p.s + (x.t * p.s / x.u - 1.0) * x.u ELSE p.s END,
+                       'a': list_append(p.a, CASE WHEN {moves} THEN x.t * p.s / x.u ELSE 1.0 END), 't': x.t, 'u': x.u}}).a AS adj
+            FROM (SELECT m.k, m.f, m.total, g.j, g.t, COALESCE(map_extract(m.u, CAST(g.j AS BIGINT))[1], 0.0) AS u
+                  FROM (SELECT k, any_value(f) AS f, sum(mass) AS total, map_from_entries(list({{'k': c, 'v': mass}})) AS u FROM (
+                          SELECT k, any_value(f) AS f, CAST(code[{step} + 1] AS BIGINT) AS c,
+                                 sum(n * list_product(list_transform(code, lambda x: f[x]))) AS mass
+                          FROM {name}_st CROSS JOIN {name}_c WHERE k < {passes * len(attrs)} GROUP BY k, code[{step} + 1]) GROUP BY k) m
+                  JOIN {name}_g g ON g.i = m.{step}) GROUP BY k))""",
+        f"""{name}_last AS MATERIALIZED (SELECT {cols}, n, list_product(list_transform(code, lambda x: f[x])) AS w
+            FROM {name}_c CROSS JOIN (SELECT f FROM {name}_st WHERE k = {passes * len(attrs)}))"""], f"{name}_last"
+
+
+def _resample_ctes(cells: str, passes: int, attrs=POP_ATTRS, domain=POP_DOMAIN, tgt: str = "tgt", name: str = "raked",
+                   rake=None) -> list[str]:
     """Rake the cells (``n`` records each), then draw as many records: ``(attrs, hits)``, in the order of the rows' MD5."""
     cols = ", ".join(attrs)
-    ctes, last = _rake_ctes(cells, passes, attrs, domain, tgt, name=f"{name}_w")
+    ctes, last = (rake or _rake_ctes)(cells, passes, attrs, domain, tgt, name=f"{name}_w")
     key = "md5('{' || " + " || ',' || ".join(f"'\"{a}\":\"' || {a} || '\"'" for a in attrs) + " || '}')"
     return ctes + [
         f"{name}_m AS (SELECT {cols}, {key} AS rid, n * w AS mass FROM {last})",
@@ -770,3 +809,45 @@ plain AS (SELECT value, {strip_sql("lower(value)")} AS v FROM vals),
 hits AS (SELECT value, cat, ord, CASE WHEN value = cat THEN 0 WHEN v = low THEN 1 WHEN starts_with(v, low) THEN 2 ELSE 3 END AS rule
          FROM plain JOIN dom ON value = cat OR v = low OR starts_with(v, low) OR (length(v) >= 3 AND starts_with(low, v)))
 SELECT 'c_name' AS attr, value, (SELECT cat FROM hits h WHERE h.value = plain.value ORDER BY rule, ord LIMIT 1) AS matched FROM plain""")
+
+
+# ------------------------------------------------ the text method and the table of methods
+TEXT_PASSES = 100  # as many as the operator makes at most
+_cen_long = " UNION ALL ".join(f"SELECT {q(a)} AS attr, {a} AS cat FROM real" for a in CA)
+_text_ctes = [
+    *parse_ctes(), VALIDATED[0], VALIDATED[1].replace("v AS (", "v AS MATERIALIZED (", 1),
+    *[c.replace("pool AS (", "pool AS MATERIALIZED (", 1).replace("proc AS (", "proc AS MATERIALIZED (", 1) for c in BATCHES],
+    _materialized("real", f"(SELECT {', '.join(CA)} FROM cen WHERE year = {CEN_TARGET})"),
+    f"t_long AS ({_cen_long})",
+    _materialized("tgt", f"""(SELECT dom.attr, dom.ord, dom.cat, count(t_long.cat) / (SELECT count(*) FROM real) AS prop
+      FROM {dom_values(CA, CD)} LEFT JOIN t_long ON t_long.attr = dom.attr AND t_long.cat = dom.cat GROUP BY dom.attr, dom.ord, dom.cat)"""),
+    _materialized("syn", f"(SELECT {', '.join(CA)} FROM pool)"),
+    _materialized("pool_cells", f"(SELECT {', '.join(CA)}, count(*) AS n FROM syn GROUP BY ALL)"),
+    *_resample_ctes("pool_cells", TEXT_PASSES, CA, CD, rake=_rake_recursive), _materialized("syn_raked", _records("raked", "hits", CA))]
+METHOD_TEXT = _method("Text", _text_ctes, True, CA, CD)
+_text_row = METHOD_TEXT[1] + f""", (SELECT accepted FROM ({STATS})) AS n_generated, round((SELECT fill_rate FROM ({STATS})), 6) AS parse_rate"""
+register("method_text", cwith(GEN_CTE, *METHOD_TEXT[0]).replace("WITH", "WITH RECURSIVE", 1) + _text_row)
+
+
+def _named_apart(ctes: list[str], body: str, suffix: str, names: list[str]) -> tuple[list[str], str]:
+    """The same CTEs under other names, so that several methods fit one statement."""
+    import re
+
+    def renamed(text: str) -> str:
+        return re.sub(r"\b(" + "|".join(map(re.escape, names)) + r")\b", lambda m: m[1] + suffix, text)
+
+    return [renamed(c) for c in ctes], renamed(body)
+
+
+def _cte_names(ctes: list[str]) -> list[str]:
+    return [c.strip().split()[0].split("(")[0] for c in ctes]
+
+
+_parts, _rows = [], []
+for _k, (_ctes, _body) in enumerate((METHOD_IPF, METHOD_CONDITIONAL, METHOD_TEXT)):
+    _c, _b = _named_apart(_ctes, _body, f"_{_k}", _cte_names(_ctes))
+    _parts += _c
+    _rows.append(f"row{_k} AS MATERIALIZED ({_b})")
+register("comparison_table", "WITH RECURSIVE " + ",\n".join(c.strip() for c in (POP_CTES, ERA_CTE, CEN_CTE, GEN_CTE, *_parts, *_rows)) + "\n"
+         + " UNION ALL ".join(f"""SELECT method, srmse_avg, jsd_full_joint, COALESCE(srmse_avg_ipf, srmse_avg) AS srmse_avg_ipf,
+           COALESCE(jsd_full_joint_ipf, jsd_full_joint) AS jsd_full_joint_ipf FROM row{k}""" for k in range(3)))

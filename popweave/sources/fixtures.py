@@ -194,8 +194,9 @@ GEN_CONFLICT = ", Sex is Other"
 def gen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated-text proxy ``(id, year, gen_case, batch, pos, text)``.
 
-    Case 11 is every row of ``documents`` with its whole text: identifier
-    ``-1 - doc_id``, eight to a batch after the batch's other texts.
+    Orders of case 11 keep their plain text.  Beside them stands every row of
+    ``documents`` with its whole text (case 11 too): identifier ``-1 - doc_id``,
+    eight to a batch after the batch's other texts.
     """
     cen = cen_records(spark, sf_dir, spread=True)
     case = ((F.col("id") + F.col("o_custkey")) % 12).cast("int")
@@ -227,8 +228,7 @@ def gen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("gen_case") == 7, F.lit(GEN_TRAILER))
          .when(F.col("gen_case") == 10, F.lit(GEN_CONFLICT)).otherwise(F.lit("")),
     )
-    base = cen.select("id", "year", "gen_case", text.alias("text"))
-    plain = base.where(F.col("gen_case") != 11)
+    plain = cen.select("id", "year", "gen_case", text.alias("text"))
 
     docs = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
