@@ -38,3 +38,23 @@ def test_year_filter_reaches_orders_scan(spark):
 def test_small_exact_subsample_is_take_ordered(spark):
     df = fx.pop_records(spark, SF_SMALL, with_rid=True)
     assert "TakeOrderedAndProject" in _plan(subsample_exact(df, 100, 1, ["rid"]), mode="simple")
+
+
+def test_order_keys_of_the_years_filter_lineitem_at_the_scan(spark):
+    """Catalyst's runtime filter passes the per-order aggregation; a cluster applies it from 10 GB of lineitem on."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        p = _plan(fx.pop_weighted(spark, SF_SMALL, years=[2000]), mode="simple")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert re.search(r"might_contain\(Subquery [^\n]*xxhash64\(l_orderkey", p)
+
+
+def test_base_and_skewed_counts_read_lineitem_once(spark):
+    p = _plan(fx.pop_weighted(spark, SF_SMALL, "both", years=[1999, 2000]), mode="simple")
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", p)) == 1
