@@ -1,10 +1,14 @@
 """Held-out quality and language accuracy, edge cases, and the machine's identity."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from popweave.llm import langid, quality
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 from tests.llm import edge
 
 
@@ -65,3 +69,94 @@ def test_language_edges(spark):
     none = langid.train(edge.empty(spark))
     assert {(r[0], r[1]) for r in langid.predict(docs, none).select("lang_pred", "score").collect()} == {("und", 0.0)}
     assert langid.predict(edge.empty(spark), none).count() == 0
+
+
+MASK = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def plain_mix(h):
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & MASK
+    return h ^ h >> 31
+
+
+def plain_language(text, model):
+    """The query's prediction for one text, gram by gram."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low) or not model["langs"]:
+        return "und", 0.0
+    squeezed = ""
+    for c in low:
+        if c.isalpha():
+            squeezed += c
+        elif squeezed and squeezed[-1] != " ":
+            squeezed += " "
+    padded = f" {squeezed} "
+    counts = Counter()
+    for size in (1, 2, 3):
+        for i in range(size == 1, len(padded) - size + 1 - (size == 1)):
+            key = 0
+            for c in padded[i:i + size]:
+                key = (key << 21 | ord(c)) & MASK
+            counts[(key * 0x9E3779B97F4A7C15 & MASK) >> 50] += 1
+    x = {b: math.log1p(n) * float(model["idf"][b]) for b, n in counts.items()}
+    norm = max(math.sqrt(sum(v * v for v in x.values())), 1e-9)
+    logits = [sum(v / norm * float(model["w"][b, k]) for b, v in x.items()) / model["t"] for k in range(len(model["langs"]))]
+    top = max(logits)
+    shares = [math.exp(t - top) for t in logits]
+    best = max(range(len(logits)), key=logits.__getitem__)
+    return model["langs"][best], shares[best] / sum(shares)
+
+
+def test_language_query_equals_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = langid.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op7_language(spark, SF_SMALL).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        lang, score = plain_language(r["text"], model)
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-4
+
+
+def plain_quality(text, n_chars, model):
+    """The query's score of one document: features one by one, all pairs of them."""
+    raw = (text or "").encode()
+    kind = lambda b: (0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 if b in (32, 9, 11, 12, 13)
+                      else 4 if b == 10 else 5 if chr(b) in ".,;:?'\"-()" else 7 if b >= 128 else 6)
+    kinds = [sum(kind(b) == k for b in raw) for k in range(8)]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    buckets = Counter()
+    for w in words:
+        h = 0
+        for i, b in enumerate(w):
+            h += (b + 1) * pow(BASE, i, 1 << 64)
+        buckets[(plain_mix(h & MASK) >> 40) % quality.BUCKETS] += 1
+    some = max(len(words), 1)
+    stats = [k / max(len(raw), 1) for k in kinds] + [
+        math.log1p(len(words)), sum(map(len, words)) / some, sum(len(w) ** 2 for w in words) / some, math.log1p(kinds[4]),
+        len(buckets) / some, max(buckets.values(), default=0) / some,
+        sum(kind(w[-1]) == 6 for w in words) / some, sum(kind(w[0]) == 0 for w in words) / some]
+    norm = max(math.sqrt(sum(math.log1p(n) ** 2 for n in buckets.values())), 1e-6)
+    x = {b: math.log1p(n) / norm for b, n in buckets.items()}
+    if text:
+        for k, s in enumerate(stats):
+            x[quality.BUCKETS + k] = 0.5 * min(max((s - model["mean"][k]) / model["sd"][k], -4), 4)
+    size = 11 if n_chars is None else int(min(max(math.log2(max(n_chars, 0) / 10 + 1), 0), 10))
+    x[quality.BUCKETS + len(stats) + size] = 0.5
+    at = sorted(x)
+    total = model["w0"] + sum(x[i] * float(model["w"][i]) for i in at)
+    for k, i in enumerate(at):
+        for j in at[:k]:
+            total += x[i] * x[j] * float(np.dot(model["v"][i].astype(float), model["v"][j].astype(float)))
+    return 1 / (1 + math.exp(-min(max(total, -30), 30)))
+
+
+def test_quality_query_equals_a_plain_scorer(spark):
+    docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.op9_quality(spark, SF_SMALL).collect()}
+    rows = sorted(docs.collect(), key=lambda r: len(r["text"] or ""))[:120]  # the pairs of longer texts take too long here
+    assert len(got) == docs.count()
+    for r in rows:
+        assert abs(got[r["doc_id"]] - plain_quality(r["text"], r["n_chars"], model)) < 2e-3

@@ -61,5 +61,5 @@ def test_edge_tables_through_all_stages(spark, tmp_path):
 
 def test_registered():
     names = set(E.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(E.oracle_sql()) <= names
