@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.session import stash
+from popweave.session import discard, stash
 
-__all__ = ["WHITE", "normal_space", "stash", "table", "unpack", "whole_row"]
+__all__ = ["WHITE", "discard", "normal_space", "stash", "table", "unpack", "whole_row"]
 
 #: ASCII white space: tab, line feed, vertical tab, form feed, return, space.
 WHITE = r"[\x20\x09-\x0D]+"

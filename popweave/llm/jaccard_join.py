@@ -13,15 +13,16 @@ word shingles.  The join is exact and returns classes, not pairs:
    token, the first in ``HUBS`` random orders; pairs that share enough of their
    prefixes are compared in full.  This links the bulk of a family of near
    copies with a number of pairs linear in its size.  Tokens whose classes are
-   all linked are done; ``TURNS`` turns with other orders, while they find
-   links, bring in most of the rest.
+   all linked are done; ``TURNS`` says how often, each turn with other orders.
 3. *Matrix.*  Classes are partitioned into groups of similar ones: those whose
    most shared token is the same (a large linked family apart), so that
    similar documents meet in few groups, however many they are.  The matrix
    holds the union of each group's prefix tokens.  A class's overlap with that union bounds its
    overlap with every member; only groups that reach the needed overlap are
    opened, in blocks, and a pair inside is compared in full only if the two are
-   not linked yet and their own prefix overlap reaches what a link needs.
+   not linked yet and their own prefix overlap reaches what a link needs: first
+   the ``BEST`` partners of each class by that overlap, then, with the new
+   components, all that are left.
    These bounds are necessary conditions, so no link between classes
    that are not connected already is lost.
 4. Components of the links.
@@ -32,9 +33,9 @@ group, and only the bounded list of step 1 goes through the driver.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a
 text of fewer words than a shingle is one shingle; the component of a
-document is the smallest identifier reachable, null identifiers aside (a
-document without one gets its class's component, or null); rows with the same
-identifier are one document; an empty table gives an empty result; other
+document is the smallest identifier reachable, null identifiers aside (null if
+no row that is reached has one); every row is a document of its own, whatever
+its identifier; an empty table gives an empty result; other
 columns take no part.
 """
 
@@ -45,8 +46,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from popweave.llm.common import stash, table
+from popweave.llm.common import discard, stash, table, unpack, whole_row
 from popweave.llm.components import components, partial_components
 from popweave.llm.textarrays import LOWER, batches_of, mix, word_hashes
 
@@ -57,10 +59,14 @@ HOT = 1 << 16
 HOT_FROM = 50
 #: Members, and queries, of a group that one task compares.
 BLOCK = 256
+#: Shared tokens that are multiplied at once.
+COLUMNS = 8192
 #: Queries of one call, which can hold the blocks of several small groups.
 CALL_ROWS = 2_000
 #: Hubs of a token in a turn, and turns.
-HUBS, TURNS = 4, 2
+HUBS, TURNS = 4, 1
+#: Members of a block that a class is compared with at first.
+BEST = 24
 #: Classes of a linked family from which on it is a group of its own.
 FAMILY = 64
 #: Identifiers that may be broadcast to select documents (8 bytes each).
@@ -134,48 +140,51 @@ def ordered_codes(s: np.ndarray, hot: np.ndarray, level: np.ndarray) -> np.ndarr
 
 
 def _sketch(rows: DataFrame, k: int, percent: int, hot: np.ndarray, level: np.ndarray) -> DataFrame:
-    """``_id, _n, _key, _prefix``: size, digest and prefix of each document's set."""
+    """``_id, _text_hash, _n, _key, _prefix``: size, digest and prefix of each document's set."""
 
     def sketches(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 sizes, keys, prefixes = [], [], []
-                for s in map(token_set, shingles(part.column(1).to_pylist(), k)):
+                for s in map(token_set, shingles(part.column(2).to_pylist(), k)):
                     n = len(s)
                     sizes.append(n)
                     keys.append(_digest(s) if n else None)
                     prefixes.append(ordered_codes(s, hot, level)[: n + percent * -n // 100 + 1 if n else 0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
                      pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()),
                                               pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))],
-                    names=["_id", "_n", "_key", "_prefix"])
+                    names=["_id", "_text_hash", "_n", "_key", "_prefix"])
 
-    schema = T.StructType([rows.schema["_id"], T.StructField("_n", T.LongType()), T.StructField("_key", T.StringType()),
+    schema = T.StructType([rows.schema["_id"], rows.schema["_text_hash"], T.StructField("_n", T.LongType()), T.StructField("_key", T.StringType()),
                            T.StructField("_prefix", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(sketches, schema)
 
 
-def _by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
+def _located(rows: DataFrame, at: DataFrame, once: bool) -> DataFrame:
+    """The rows at the given identifiers and hashes of texts, each of these but once."""
+    at = at.select(F.col("_id").alias("_at_id"), F.col("_text_hash").alias("_at_hash")).distinct()
+    side = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
+    found = rows.join(side, F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_text_hash") == F.col("_at_hash")), "left_semi")
+    return found if once else found.dropDuplicates(["_id", "_text_hash"])
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (``_a``, ``_b``: numbers of classes) whose full sets link."""
+def _verified(rows: DataFrame, once: bool, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (``_a``, ``_b``: numbers of classes) whose full sets link, written."""
     wanted = pairs.select(F.col("_a").alias("_class")).unionByName(pairs.select(F.col("_b").alias("_class"))).distinct()
-    ids = stash(classes.join(wanted, "_class").select("_id"), "compared-ids")
+    at = stash(classes.join(wanted, "_class").select("_id", "_text_hash"), "compared-rows")
 
     def sets(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                got = [token_set(s) for s in shingles(batch.slice(lo, 500).column(1).to_pylist(), k)]
+                got = [token_set(s) for s in shingles(batch.slice(lo, 500).column(0).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(s) for s in got], pa.string()), pa.array([s.tobytes() for s in got], pa.binary())],
                     names=["_key", "_set"])
 
-    # The digest tells which row has a class's set, should an identifier repeat.
-    full = stash(_by_id(rows, ids).mapInArrow(sets, "_key string, _set binary"), "token-sets")
+    full = stash(_located(rows, at, once).select("_text").mapInArrow(sets, "_key string, _set binary"), "token-sets")
 
     def link(batches):
         for batch in batches:
@@ -190,8 +199,10 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     keyed = pairs.join(named("_a"), "_a").join(named("_b"), "_b")
     left = full.select(F.col("_key").alias("_key_a"), F.col("_set").alias("_x"))
     right = full.select(F.col("_key").alias("_key_b"), F.col("_set").alias("_y"))
-    return (keyed.join(left, "_key_a").join(right, "_key_b").select("_a", "_b", "_x", "_y")
-            .mapInArrow(link, "_a long, _b long"))
+    links = stash(keyed.join(left, "_key_a").join(right, "_key_b").select("_a", "_b", "_x", "_y")
+                  .mapInArrow(link, "_a long, _b long"), "links")
+    discard(full, at, pairs)
+    return links
 
 
 def _needed(n: Column, other: Column, percent: int) -> Column:
@@ -200,21 +211,33 @@ def _needed(n: Column, other: Column, percent: int) -> Column:
     return both - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
 
 
-def _compared(members, queries, percent: int):
-    """Pairs of a member and a query that may link, by their shared prefix tokens, sizes and families."""
+def _compared(members, queries, percent: int, best: int | None):
+    """Pairs of a member and a query that may link, by their shared prefix tokens, sizes and families.
+
+    ``best``: of each query only so many, those that share most tokens.
+    """
     codes = [np.concatenate(list(x["_codes"])) for x in (members, queries)]
     shared = np.intersect1d(*codes)
     if not len(shared):
         return codes[0][:0], codes[0][:0]
-    grids = []
+    held = []
     for x in (members, queries):
-        grid = np.zeros((len(x), len(shared)), np.float32)
+        at = [np.searchsorted(shared, c) for c in x["_codes"]]
+        sizes = [0] * len(x)
         for i, c in enumerate(x["_codes"]):
-            at = np.searchsorted(shared, c)
-            at[at == len(shared)] = 0
-            grid[i, at[shared[at] == c]] = 1
-        grids.append(grid)
-    common = grids[0] @ grids[1].T
+            at[i][at[i] == len(shared)] = 0
+            at[i] = at[i][shared[at[i]] == c]
+            sizes[i] = len(at[i])
+        held.append((np.repeat(np.arange(len(x)), sizes), np.concatenate(at), len(x)))
+    common = np.zeros((len(members), len(queries)), np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        grids = []
+        for row, at, size in held:
+            here = (at >= lo) & (at < lo + COLUMNS)
+            grid = np.zeros((size, min(COLUMNS, len(shared) - lo)), np.float32)
+            grid[row[here], at[here] - lo] = 1
+            grids.append(grid)
+        common += grids[0] @ grids[1].T
     n, m = members["_n"].to_numpy(float)[:, None], queries["_n"].to_numpy(float)[None, :]
     both = np.ceil((n + m) * percent / (100 + percent) - 1e-9)
     need = lambda size: both - np.ceil(size * percent / 100 - 1e-9) + 1
@@ -222,11 +245,16 @@ def _compared(members, queries, percent: int):
     ok = common >= np.maximum(np.where(first, need(n), need(m)), 1)
     ok &= (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     ok &= members["_comp"].to_numpy()[:, None] != queries["_comp"].to_numpy()[None, :]
+    if best and best < len(members):
+        top = np.argpartition(np.where(ok, -common, 1), best - 1, axis=0)[:best]
+        first = np.zeros_like(ok)
+        np.put_along_axis(first, top, True, axis=0)
+        ok &= first
     i, j = np.nonzero(ok)
     return members["_class"].to_numpy()[i], queries["_class"].to_numpy()[j]
 
 
-def _opened(percent: int):
+def _opened(percent: int, best: int | None):
     """Compares blocks of queries with blocks of members; a call has the blocks of several groups."""
 
     def compare(members, queries):
@@ -234,7 +262,7 @@ def _opened(percent: int):
 
         where = ["_group", "_mb", "_qb"]
         asked = queries.groupby(where).indices
-        found = [_compared(members.iloc[rows], queries.iloc[asked[at]], percent)
+        found = [_compared(members.iloc[rows], queries.iloc[asked[at]], percent, best)
                  for at, rows in members.groupby(where).indices.items() if at in asked]
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)})
@@ -245,52 +273,83 @@ def _opened(percent: int):
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``id_col, n_shingles, component_id``."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
+    sketch, linked, classes = _classes(rows, words, percent)
+    named = classes.join(linked, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
+    smallest = named.groupBy("_comp").agg(F.min("_id").alias("_component"))
+    of_class = named.join(smallest, "_comp").select("_key", "_component")
+    return sketch.select("_id", "_n", "_key").join(of_class, "_key", "left").select(
+        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),
+        F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("_component")).alias("component_id"))
+
+
+def _star_pairs(placed: DataFrame, sizes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a class and a hub of one of its tokens that are not linked yet and share enough of their prefixes."""
+    # A hub brings its family, whose members it does not meet again.
+    # Half of the hubs are the classes with the most links so far: near copies of a text gather around it.
+    links = lambda h: -F.col("_links") if turn and h < HUBS // 2 else F.lit(0)
+    first = [F.min(F.struct(links(h).alias("links"), F.xxhash64("_class", F.lit(turn * HUBS + h)).alias("at"),
+                            F.col("_class").alias("a"), F.col("_comp").alias("of"))).alias(f"_h{h}") for h in range(HUBS)]
+    hubs = placed.groupBy("_code").agg(*first, F.min("_comp").alias("_from"), F.max("_comp").alias("_to")).where("_from <> _to")
+    found = F.array(*[F.struct(F.col(f"_h{h}.a"), F.col(f"_h{h}.of")) for h in range(HUBS)])
+    side = lambda c: sizes.select(F.col("_class").alias(f"_{c}"), F.col("_n").alias(f"_n{c}"), F.col("_comp").alias(f"_c{c}"))
+    return (
+        placed.join(hubs.select("_code", F.array_distinct(found).alias("_hubs")), "_code")
+        .select(F.col("_class").alias("_b"), "_comp", F.explode("_hubs").alias("_h")).where("_h.of <> _comp")
+        .select(F.col("_h.a").alias("_a"), "_b")
+        .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_common"))
+        .join(side("a"), "_a").join(side("b"), "_b").where("_ca <> _cb")
+        .where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
+        .where(F.col("_common") * 300 >= (100 - percent) * F.least("_na", "_nb"))
+        .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    )
+
+
+def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each row its class (``_key``), of each linked class its component, and the classes."""
     hot, level = frequent(rows, words)
-    sketch = stash(_sketch(rows, words, percent, hot, level), "shingle-sketches")
-    classes = stash(
-        sketch.where("_key is not null").groupBy("_key").agg(
-            F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.min(F.element_at("_prefix", -1)).alias("_last"))
-        .withColumn("_class", F.monotonically_increasing_id()), "shingle-classes")  # written, so the numbers stay
-
-    # Tokens of prefixes that several documents have, by class.
-    posted = sketch.where("_id is not null").select("_id", F.explode("_prefix").alias("_code"))
+    sketched = stash(_sketch(rows, words, percent, hot, level), "shingle-sketches")
+    sketch = stash(sketched.drop("_prefix"), "shingle-digests")
+    where = F.min(F.struct(F.col("_id").isNull(), "_id", "_text_hash"))  # a row that has this set
+    known = stash(
+        sketched.where("_key is not null").groupBy("_key").agg(
+            where.alias("_at"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
+        .select(F.monotonically_increasing_id().alias("_class"), "_key", "_at._id", "_at._text_hash", "_n",
+                F.element_at("_prefix", -1).alias("_last"), "_prefix"), "shingle-prefixes")  # written, so the numbers stay
+    discard(sketched)
+    classes = stash(known.drop("_prefix"), "shingle-classes")
+    once = sketch.groupBy("_id", "_text_hash").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").isEmpty()
+
+    # Tokens of prefixes that several classes have.
+    posted = known.select("_class", F.explode("_prefix").alias("_code"))
     several = posted.groupBy("_code").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").select("_code")
-    of_id = sketch.where("_id is not null").select("_id", "_key").join(classes.select("_key", "_class"), "_key").select("_id", "_class")
-    shared = stash(posted.join(several, "_code"), "shared-tokens")
-    entries = stash(shared.join(of_id, "_id").select("_code", "_class").distinct(), "token-classes")
+    entries = stash(posted.join(several, "_code"), "token-classes")
+    discard(known)
 
-    # Families of near copies: each class meets, for every token, the first classes in a few random orders.
-    of = classes.select("_class", "_n")
+    # Families of near copies: each class meets, for every token, the first classes in a few orders.
     placed = entries.withColumn("_comp", F.col("_class"))
-    near = None
+    sizes = classes.select("_class", "_n", F.col("_class").alias("_comp"))
+    near = families = None
     for turn in range(TURNS):
-        heads = [F.min(F.struct(F.xxhash64("_class", F.lit(turn * HUBS + h)).alias("_at"), F.col("_class").alias("_a"),
-                                F.col("_comp").alias("_comp_a"))).alias(f"_h{h}") for h in range(HUBS)]
-        hubs = placed.groupBy("_code").agg(*heads, F.min("_comp").alias("_from"), F.max("_comp").alias("_to")).where("_from <> _to")
-        stars = (
-            placed.join(hubs, "_code")
-            .select("_code", F.col("_class").alias("_b"), "_comp", F.explode(F.array(*[f"_h{h}" for h in range(HUBS)])).alias("_h"))
-            .where(F.col("_h._comp_a") != F.col("_comp")).select("_code", F.col("_h._a").alias("_a"), "_b").distinct()
-            .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_common"))
-            .join(of.toDF("_a", "_na"), "_a").join(of.toDF("_b", "_nb"), "_b")
-            .where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
-            .where(F.col("_common") * 300 >= (100 - percent) * F.least("_na", "_nb"))
-            .select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-        )
-        found = stash(_verified(rows, classes, stash(stars, "star-pairs"), words, percent), "star-links")
+        found = _verified(rows, once, classes, stash(_star_pairs(placed, sizes, turn, percent), "star-pairs"), words, percent)
         near = found if near is None else near.unionByName(found)
-        if turn == TURNS - 1 or found.isEmpty():
-            break
         if turn:  # what the turns before linked stands as one link each
             near = near.unionByName(families.select(F.col("_comp").alias("_a"), F.col("_class").alias("_b")))
-        families = stash(partial_components(near, "_a", "_b").toDF("_class", "_comp"), "families")
-        placed = stash(entries.join(families, "_class", "left").select(
-            "_code", "_class", F.coalesce("_comp", "_class").alias("_comp")), "token-families")
+        if turn == TURNS - 1 or found.isEmpty():
+            break
+        ends = near.select(F.explode(F.array("_a", "_b")).alias("_class")).groupBy("_class").agg(F.count(F.lit(1)).alias("_links"))
+        families = stash(partial_components(near, "_a", "_b").toDF("_class", "_comp").join(ends, "_class", "full_outer").select(
+            "_class", F.coalesce("_comp", "_class").alias("_comp"), "_links"), "families")
+        placed = entries.join(families, "_class", "left").select(
+            "_code", "_class", F.coalesce("_comp", "_class").alias("_comp"), F.coalesce("_links", F.lit(0)).alias("_links"))
+        sizes = classes.select("_class", "_n").join(families, "_class", "left").select(
+            "_class", "_n", F.coalesce("_comp", "_class").alias("_comp"))
     # Whole components before the matrix: classes that are connected already are never compared again.
     families = stash(components(near, "_a", "_b").toDF("_class", "_comp"), "families")
     placed = stash(entries.join(families, "_class", "left").select(
         "_code", "_class", F.coalesce("_comp", "_class").alias("_comp")), "token-families")
+    discard(entries)
     sizes = placed.select("_class", "_comp").distinct().groupBy("_comp").agg(F.count(F.lit(1)).alias("_members"))
 
     # What is left: tokens of classes that are not all linked.
@@ -308,7 +367,9 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         F.count(F.lit(1)).alias("_size"), F.min("_n").alias("_least"), F.max("_n").alias("_most"),
         F.min("_comp").alias("_comp_a"), F.max("_comp").alias("_comp_b"))
         .withColumn("_group", F.monotonically_increasing_id()), "groups")
+    named = known
     known = stash(known.join(groups.select("_name", "_group", "_size"), "_name").drop("_name"), "numbered-classes")
+    discard(named)
 
     # The matrix, and the overlap of each class with each group's union.
     asking = known.select("_class", "_n", "_comp", F.col("_group").alias("_own"), F.col("_size").alias("_own_size"),
@@ -320,7 +381,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     linked = (F.col("_comp_a") == F.col("_comp_b")) & (F.col("_comp_a") == F.col("_comp"))
     overlap = (
         asking.join(matrix, "_code").where(smaller & fits & ~linked)
-        .groupBy("_class", "_group").agg(F.count(F.lit(1)).alias("_common"), F.first("_n").alias("_n"),
+        .groupBy("_class", "_group").agg(F.collect_list("_code").alias("_codes"), F.first("_n").alias("_n"),
                                          F.first("_least").alias("_least"), F.first("_most").alias("_most"),
                                          F.first("_size").alias("_size"))
     )
@@ -329,10 +390,27 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     high = F.least(F.col("_most"), F.floor(n * 100 / F.lit(float(percent)) + 1e-9))
     # One less in the second case: its two roundings need not fall together over the sizes between.
     bound = F.least(_needed(n, low, percent), _needed(high, n, percent) - 1, _needed(n, n, percent))
-    opened = stash(overlap.where(F.col("_common") >= F.greatest(bound, F.lit(1)))
-                   .select("_class", "_group", "_size"), "opened-groups")
-
-    # Open them in blocks; several small groups share a call.
+    opened = stash(overlap.where(F.size("_codes") >= F.greatest(bound, F.lit(1)))
+                   .select("_class", "_group", "_size", "_codes"), "opened-groups")
+
+    # First each class meets the few members it shares most tokens with, which brings stragglers to their families;
+    # then whatever may link and is not connected yet.
+    far = _verified(rows, once, classes, stash(_group_pairs(known, opened, percent, BEST), "near-pairs"), words, percent)
+    families = stash(components(near.unionByName(far), "_a", "_b").toDF("_class", "_comp"), "families")
+    moved = stash(known.drop("_comp").join(families, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class")), "moved-classes")
+    range_ = moved.groupBy("_group").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
+    still = stash(opened.join(moved.select("_class", "_comp"), "_class").join(range_, "_group")
+                  .where("_low <> _high or _low <> _comp").select(*opened.columns), "open-groups")
+    discard(placed, known, opened)
+    rest = _verified(rows, once, classes, stash(_group_pairs(moved, still, percent, None), "candidate-pairs"), words, percent)
+    discard(moved, still)
+    named = families.select(F.col("_comp").alias("_a"), F.col("_class").alias("_b"))
+    linked = stash(components(named.unionByName(rest), "_a", "_b").toDF("_class", "_comp"), "class-components")
+    return sketch, linked, classes
+
+
+def _group_pairs(known: DataFrame, opened: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Opens groups in blocks, several small ones in a call: pairs of classes that may link."""
     parts = opened.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_qs"))
     block = lambda of: F.pmod(F.xxhash64("_class"), of).cast("int")
     ms = F.ceil(F.col("_size") / BLOCK).cast("int")
@@ -342,29 +420,41 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "_group", "_mb", "_qb", *columns, "_call")
     members = dealt(known.join(parts, "_group").select(
         "_group", block(ms).alias("_mb"), F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_qb"), *columns))
-    queries = dealt(opened.join(parts, "_group").join(known.select(*columns), "_class").select(
+    # A query brings the tokens that it shares with the group's union.
+    queries = dealt(opened.join(parts, "_group").join(known.select("_class", "_n", "_last", "_comp"), "_class").select(
         "_group", F.explode(F.sequence(F.lit(0), ms - 1)).alias("_mb"), block(F.col("_qs")).alias("_qb"), *columns))
-    pairs = members.groupBy("_call").cogroup(queries.groupBy("_call")).applyInPandas(
-        _opened(percent), "_a long, _b long").distinct()
-    far = _verified(rows, classes, stash(pairs, "candidate-pairs"), words, percent)
-
-    linked = components(near.unionByName(far), "_a", "_b").toDF("_class", "_comp")
-    named = classes.join(linked, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class"))
-    smallest = named.groupBy("_comp").agg(F.min("_id").alias("_component"))
-    of_class = named.join(smallest, "_comp").select("_key", "_component")
-    return sketch.select("_id", "_n", "_key").join(of_class, "_key", "left").select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),
-        F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("_component")).alias("component_id"))
+    return members.groupBy("_call").cogroup(queries.groupBy("_call")).applyInPandas(
+        _opened(percent, best), "_a long, _b long").distinct()
 
 
 def one_of_each(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its component, with all their columns.
+    """``docs`` with one row of each component, all columns kept: the smallest identifier's, nulls last.
 
-    Rows without an identifier stay unless their class's component has one.
+    Of rows with that identifier the one with the smallest hash of its text
+    stays, of equal ones in both the first in the order of their columns.  Rows
+    without shingles link with nothing and stay.
     """
-    found = jaccard_classes(docs, words, percent, id_col, text_col)
-    out = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(out, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_text_hash"), text.alias("_text"))
+    sketch, linked, classes = _classes(rows, words, percent)
+    of_class = classes.select("_class", "_key").join(linked, "_class", "left").select("_key", F.coalesce("_comp", "_class").alias("_comp"))
+    placed = sketch.join(of_class, "_key").groupBy("_comp", "_id", "_text_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_text_hash"))
+    stays = placed.groupBy("_comp").agg(first.alias("_first")).select(
+        F.col("_comp").alias("_of"), F.col("_first._id").alias("_first_id"), F.col("_first._text_hash").alias("_first_hash"))
+    kept = F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_text_hash") == F.col("_first_hash"))
+    told = placed.join(stays, F.col("_comp") == F.col("_of")).select(
+        F.col("_id").alias("_told_id"), F.col("_text_hash").alias("_told_hash"), kept.alias("_kept"), "_rows")
+    told = stash(told.where("not _kept or _rows > 1").select("_told_id", "_told_hash", "_kept"), "near-copies")
+    same = F.col("_found_id").eqNullSafe(F.col("_told_id")) & (F.col("_found_hash") == F.col("_told_hash"))
+    found = docs.select(whole_row(docs).alias("_row"), F.col(f"`{id_col}`").alias("_found_id"), F.xxhash64(text).alias("_found_hash"))
+    alone = found.join(told, same, "left_anti").select("_row")
+    repeated = told.where("_kept")
+    if not repeated.isEmpty():
+        order = Window.partitionBy("_told_id", "_told_hash").orderBy(F.to_json("_row"))
+        again = (found.join(repeated, same).withColumn("_at", F.row_number().over(order)).where("_at = 1").select("_row"))
+        alone = alone.unionByName(again)
+    return unpack(alone, "_row", docs)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

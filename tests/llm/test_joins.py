@@ -62,7 +62,7 @@ def family(seed, n=260):
 @pytest.mark.parametrize("k,percent,small", [(4, 85, False), (5, 80, True)])
 def test_jaccard_classes(spark, k, percent, small, monkeypatch):
     if small:
-        for name, value in (("FAMILY", 4), ("BLOCK", 8), ("HOT_FROM", 5), ("BROADCAST_IDS", 0)):
+        for name, value in (("FAMILY", 4), ("BLOCK", 8), ("HOT_FROM", 5), ("BROADCAST_IDS", 0), ("COLUMNS", 7)):
             monkeypatch.setattr(jaccard_join, name, value)
         monkeypatch.setattr(jaccard_join.frequent, "__defaults__", (jaccard_join.HOT, 5))
     rows = family(k) + [(5000, None), (5001, ""), (5002, " \n"), (5003, edge.LONG), (5004, edge.LONG + " end"), (5005, "a"), (5006, "A")]
@@ -81,11 +81,65 @@ def test_jaccard_edges(spark):
     kept = jaccard_join.one_of_each(docs, 4, 85)
     assert kept.columns == docs.columns
     left = Counter(r["doc_id"] for r in kept.collect())
-    assert left[0] == 2 and not {1, 2, 3, 9, 12} & set(left) and left[None] == 2
+    # One row of each group: also of rows that repeat an identifier and its text, and of those without identifier.
+    assert left[0] == 1 and not {1, 2, 3, 9, 12} & set(left) and left[None] == 1 and left[20] == 2
     assert jaccard_join.jaccard_classes(edge.empty(spark), 4, 85).count() == 0
     assert jaccard_join.one_of_each(edge.empty(spark), 4, 85).count() == 0
 
 
+def by_row(rows, k, percent):
+    """Brute force over rows, whatever their identifiers: set size and number of the component of each."""
+    sets = []
+    for _, text in rows:
+        w = WORD.findall((text or "").translate(LOWER))
+        sets.append({tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    links = [(a, b) for a in label for b in range(a)
+             if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            changed |= label[a] != label[b]
+            label[a] = label[b] = min(label[a], label[b])
+    return [len(x) for x in sets], label
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_null_and_repeated_identifiers(spark, seed):
+    """Links through rows without identifier, unique texts under a repeated one, equal rows."""
+    rnd = random.Random(seed)
+    rows = [(None if rnd.random() < 0.3 else rnd.randint(0, 90), t) for _, t in family(seed, 160)]
+    base = [f"b{i}" for i in range(60)]
+    near = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    rows += [(1000, near()), (2000, near(3)), (2000, "a text of its own under an identifier that repeats"), (None, near(3, 30)),
+             (None, near(3, 30)), (3000, near(3, 30, 55)), (None, near(3, 30, 55, 58)), (None, None), (None, ""), (4000, None)]
+    rows += rows[:6]
+    docs = spark.createDataFrame([(*r, str(i % 5)) for i, r in enumerate(rows)], "doc_id long, text string, _key string").repartition(5)
+    sizes, label = by_row(rows, 5, 80)
+    groups = defaultdict(list)
+    for (i, t), n, c in zip(rows, sizes, label, strict=True):
+        groups[c if n else ("alone", len(groups))].append((i, t, n))
+    want = Counter()
+    for members in groups.values():
+        ids = [i for i, *_ in members if i is not None]
+        for i, _, n in members:
+            want[i, n, min(ids) if ids else None] += 1
+    got = jaccard_join.jaccard_classes(docs, 5, 80)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    kept = [tuple(r)[:2] for r in jaccard_join.one_of_each(docs, 5, 80).collect()]
+    assert len(kept) == len(groups)
+    # Of each group one row, one with its smallest identifier.
+    left = Counter(kept)
+    for members in groups.values():
+        ids = [i for i, *_ in members if i is not None]
+        low = min(ids) if ids else None
+        here = [(i, t) for i, t, _ in members if i == low and left[i, t]]
+        assert here
+        left[here[0]] -= 1
+    assert not +left
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(rnd.randint(0, 150), rnd.randint(0, 150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
