@@ -140,14 +140,15 @@ def numbered_members(rows: DataFrame, cell_col: str) -> DataFrame:
 
     Counted by stored part, with the cell's rows in earlier parts added: a
     cell that holds a third of all rows is numbered by as many tasks as the
-    table has parts.
+    table has parts.  The counts by cell and part can be nearly as many as the
+    rows, so they are merged, however small the written table looks.
     """
     kept = stash(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "members")
     here = Window.partitionBy(cell_col, "_part").orderBy("_at")
     before = Window.partitionBy(cell_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = kept.groupBy(cell_col, "_part").agg(F.count(F.lit(1)).alias("_rows")).select(
         cell_col, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return kept.withColumn("_here", F.row_number().over(here)).join(offsets, [cell_col, "_part"]).withColumn(
+    return kept.withColumn("_here", F.row_number().over(here)).join(offsets.hint("merge"), [cell_col, "_part"]).withColumn(
         "_member", F.col("_before") + F.col("_here") - 1).drop("_part", "_at", "_here", "_before")
 
 

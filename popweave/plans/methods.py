@@ -52,7 +52,9 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str] | None = Non
     draw picks a cell by its weight, then a second uniform picks one of the
     cell's records by its number in the cell.  Records keep all their columns
     and are never grouped as a whole; which of a cell's records are drawn goes
-    by the order in which these are stored.
+    by the order in which these are stored.  Draws and records are both of
+    record scale and are merged: sorted by cell, records take so little room on
+    disk that Spark would take them for a table to broadcast.
     """
     spark = records.sparkSession
     tdf = targets if isinstance(targets, DataFrame) else targets_df(spark, targets)
@@ -77,7 +79,8 @@ def rake_resample(records: DataFrame, targets, attrs: Sequence[str] | None = Non
     fit = materialize(fit.select("_rid", "n", (F.col("n") * F.col("w")).alias("_mass")))
     drawn = weighted_draws(fit, "_mass", total, seed, "_rid").join(fit.select("_rid", "n"), "_rid")
     picked = F.least(F.floor(hash_uniform(seed, F.lit("member"), "draw") * F.col("n")).cast("long"), F.col("n") - 1)
-    out = drawn.select("_rid", picked.alias("_member")).join(members.select("_rid", "_member", "_row"), ["_rid", "_member"])
+    out = drawn.select("_rid", picked.alias("_member")).join(
+        members.select("_rid", "_member", "_row").hint("merge"), ["_rid", "_member"])
     return out.select(*[F.col("_row").getField(c).alias(c) for c in cols])
 
 

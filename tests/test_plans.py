@@ -4,8 +4,9 @@ import io
 import re
 from contextlib import redirect_stdout
 
-from popweave.operators.sampling import subsample_exact
+from popweave.operators.sampling import numbered_members, subsample_exact
 from popweave.plans import catalog as K
+from popweave.plans import methods as PM
 from popweave.sources import fixtures as fx
 from tests.conftest import SF_SMALL
 
@@ -58,3 +59,17 @@ def test_order_keys_of_the_years_filter_lineitem_at_the_scan(spark):
 def test_base_and_skewed_counts_read_lineitem_once(spark):
     p = _plan(fx.pop_weighted(spark, SF_SMALL, "both", years=[1999, 2000]), mode="simple")
     assert len(re.findall(r"FileScan parquet \[l_orderkey", p)) == 1
+
+
+def test_resampled_records_are_never_broadcast(spark):
+    """Draws and members of a cell are as many as the records, however few bytes their table takes."""
+    records = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', 'b') as x", "id")
+    out = PM.rake_resample(records, {"x": {"a": 0.3, "b": 0.7}}, ["x"])
+    assert out.count() == 4000
+    p = _plan(out, mode="simple")
+    assert re.search(r"SortMergeJoin \[[^\]]*_member", p)
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*_member", p)
+    members = numbered_members(records, "x")
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*_part", _plan(members, mode="simple"))
+    rows = [(r.x, r._member) for r in members.collect()]
+    assert sorted(rows) == [(x, i) for x in "ab" for i in range(2000)]
