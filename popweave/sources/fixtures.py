@@ -13,6 +13,8 @@ the aggregation's shuffle is the join's partitioning.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from popweave.functions.text import era_narrative_expr
 # POP_SKEW keep-thresholds by return flag: keep (l_partkey + 3*l_suppkey) % 10 < k
 SKEW_KEEP = {"A": 9, "N": 5, "R": 2}
 OOD_MOD = 97
+#: lineitem rows of a task of the record join: what it sorts, for the join and a partitioned write, stays so many rows.
+JOIN_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +80,16 @@ def pop_records(spark: SparkSession, sf_dir: str, variant: str = "base", with_ri
 
     ``rid`` is the unique row identity ``orderkey:linenumber:partkey:suppkey``
     used to key seeded hash uniforms.  ``years`` restricts the order dates at
-    the scan (pushed down; lineitem is then reduced by the join).
+    the scan (pushed down; lineitem is then reduced by the join).  Tasks of the
+    join are as many as the rows ask for (counted from the files' footers):
+    the columns take few bytes in a shuffle, by which Spark would put millions
+    of rows into a task.
     """
     li = _lineitem(spark, sf_dir, variant)
     oc = _orders_customers(spark, sf_dir, variant, years)
+    tasks = math.ceil(table(spark, sf_dir, "lineitem").count() / JOIN_ROWS)
+    if tasks > spark.sparkContext.defaultParallelism:
+        oc, li = oc.repartition(tasks, "o_orderkey"), li.repartition(tasks, "l_orderkey").hint("merge")
     j = oc.join(li, oc["o_orderkey"] == li["l_orderkey"])
     cols = [F.col(c) for c in POP_COLUMNS]
     if with_rid:

@@ -73,3 +73,14 @@ def test_resampled_records_are_never_broadcast(spark):
     assert not re.search(r"BroadcastHashJoin \[[^\]]*_part", _plan(members, mode="simple"))
     rows = [(r.x, r._member) for r in members.collect()]
     assert sorted(rows) == [(x, i) for x in "ab" for i in range(2000)]
+
+
+def test_record_join_has_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    columns = fx.POP_COLUMNS
+    before = fx.pop_records(spark, SF_SMALL).groupBy(*columns).count()
+    monkeypatch.setattr(fx, "JOIN_ROWS", 400)
+    dealt = fx.pop_records(spark, SF_SMALL)
+    n = -(-fx.table(spark, SF_SMALL, "lineitem").count() // 400)
+    assert len(re.findall(rf"hashpartitioning\(\w+_orderkey#\w+, {n}\), REPARTITION_BY_NUM", _plan(dealt, mode="simple"))) == 2
+    assert dealt.groupBy(*columns).count().exceptAll(before).isEmpty()
+    assert before.exceptAll(dealt.groupBy(*columns).count()).isEmpty()
