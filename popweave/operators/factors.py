@@ -5,7 +5,7 @@ the product of its categories' factors.  This module keeps the factors
 themselves:
 
 * ``FactorLoop`` fits all large groups at once: one aggregation over their
-  cells for an attribute step, whatever the number of groups; groups that have
+  cells for a block of attributes, whatever the number of groups; groups that have
   converged no longer read their cells.  The state is a table with a row for
   each group (arrays of factors), checkpointed at each step; the driver sees
   whether any group is left.
@@ -34,6 +34,9 @@ from popweave.session import materialize, stash
 #: Name of a category's key in the look-up map; no attribute name holds the separator.
 _SEP = "\x1f"
 
+#: Combinations of categories that one aggregation of a step may have, by group.
+BLOCK_CODES = 1 << 16
+
 
 def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
     """Equality of group columns; a NULL group is a group."""
@@ -48,9 +51,26 @@ def scaled_counts(cur: np.ndarray, goal: np.ndarray) -> np.ndarray:
     return np.where(cur > 0, goal / np.where(cur > 0, cur, 1.0), 1.0)
 
 
+def _blocks(sizes: Sequence[int]) -> list[list[int]]:
+    """Attributes in order, as many in a block as ``BLOCK_CODES`` allows, one at least."""
+    blocks, codes = [], 0
+    for i, size in enumerate(sizes):
+        if blocks and codes * (size + 1) <= BLOCK_CODES:
+            blocks[-1].append(i)
+            codes *= size + 1
+        else:
+            blocks.append([i])
+            codes = size + 1
+    return blocks
+
+
 class FactorLoop:
     """Fits of many large groups, each step for all of them.
 
+    A step sums the cells by the categories of a block of attributes together;
+    in that small table the block's attributes are scaled one after the other,
+    as exactly as over the cells: a scaled category moves all its cells alike.
+
     ``cells``: ``keys..., attributes, mass``; ``targets``: ``keys..., attr,
     attr_pos, cat, cat_pos, prop`` (attributes in one order for all groups);
     ``cats``: the categories that have a code, by attribute in that order.
@@ -65,6 +85,8 @@ class FactorLoop:
                  others: float = 1.0):
         self.keys, self.attrs, self.kind = list(keys), list(cats), kind
         self.cats = {a: [str(c) for c in cs] for a, cs in cats.items()}
+        self.sizes = [len(c) for c in self.cats.values()]
+        self.blocks = _blocks(self.sizes)
         self.columns, self.n, self.smoothing, self.others = cells.columns, float(n), float(smoothing), float(others)
         renamed = [F.col(k).alias(f"_g_{k}") for k in self.keys]
         self.groups = stash(cells.groupBy(*renamed).agg(F.sum(F.col(mass).cast("double")).alias("_total"))
@@ -116,15 +138,16 @@ class FactorLoop:
         factors = self._small(self.state.where("_on").select("_gid", *[f"_f_{i}" for i in range(len(self.attrs))]))
         return self.base.join(factors, "_gid").withColumn("_w", self._weight())
 
-    def _sums(self, attribute: int | None) -> DataFrame:
-        """Masses and largest weights by category: of one attribute, or of all (``_a``) in one pass."""
-        weighed = self._weighed()
-        mass = (F.col("_mass") * F.col("_w")).alias("m")
-        if attribute is None:
-            one = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.col(f"_o_{i}").alias("o")) for i in range(len(self.attrs))]))
-            rows = weighed.select("_gid", mass, "_w", one.alias("_x")).select("_gid", "m", "_w", "_x.a", "_x.o")
-        else:
-            rows = weighed.select("_gid", mass, "_w", F.lit(attribute).alias("a"), F.col(f"_o_{attribute}").alias("o"))
+    def _sums(self, blocks: Sequence[int]) -> DataFrame:
+        """Masses and largest weights by the categories of a block's attributes together, of some blocks in one pass."""
+        codes = []
+        for b in blocks:
+            code = F.lit(0)
+            for i in self.blocks[b]:
+                code = code * (self.sizes[i] + 1) + F.col(f"_o_{i}") + 1
+            codes.append(F.struct(F.lit(b).alias("a"), code.cast("int").alias("o")))
+        one = (F.explode(F.array(*codes)) if len(codes) > 1 else codes[0]).alias("_x")
+        rows = self._weighed().select("_gid", (F.col("_mass") * F.col("_w")).alias("m"), "_w", one).select("_gid", "m", "_w", "_x.a", "_x.o")
         by_code = rows.groupBy("_gid", "a", "o").agg(F.sum("m").alias("m"), F.max("_w").alias("w"))
         packed = by_code.groupBy("_gid").agg(F.array_sort(F.collect_list(F.struct("a", "o", "m", "w"))).alias("_s"))
         return packed.select(F.col("_gid"), *[F.col("_s").getField(k).alias(f"_s_{k}") for k in "aomw"])
@@ -133,12 +156,15 @@ class FactorLoop:
         self.state = materialize(self.state.join(sums, "_gid", "left").mapInPandas(step, self.state.schema))
 
     def run(self, *, tol: float, max_iter: int, rate_tol: float = 0.0) -> FactorLoop:
-        last = len(self.attrs) - 1
+        last, ahead = len(self.blocks) - 1, None
         for _ in range(max_iter if self.attrs else 0):
-            for i in range(len(self.attrs)):
-                self._advance(self._sums(i), _step(self, i, first=i == 0, last=i == last, tol=tol))
+            for b in range(len(self.blocks)):
+                sums = self._sums([b]) if b or ahead is None else ahead
+                self._advance(sums, _step(self, b, first=b == 0, last=b == last, tol=tol))
             if self.kind != "sequential":
-                self._advance(self._sums(None), _converged(self, tol, rate_tol))
+                # These sums also serve the first step of the next sweep.
+                ahead = materialize(self._sums(range(len(self.blocks))))
+                self._advance(ahead, _converged(self, tol, rate_tol))
             if not self.state.where("_on").limit(1).count():
                 break
         return self
@@ -181,17 +207,22 @@ def _listed(codes, factors) -> np.ndarray:
     return out
 
 
-def _row_sums(row, attribute: int, size: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mass and largest weight of each coded category of an attribute, and the mass of all cells."""
-    cur, top = np.zeros((2, size))
+def _table(row, block: int, attributes: Sequence[int], sizes: Sequence[int]) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """A block's sums in a group: codes by attribute (-1: none), masses and largest weights."""
     if row["_s_a"] is None:
-        return cur, top, 0.0
-    a, o = np.asarray(row["_s_a"]), np.asarray(row["_s_o"])
-    m, w = np.asarray(row["_s_m"], float), np.asarray(row["_s_w"], float)
-    mine = a == attribute
-    known = mine & (o >= 0)
-    cur[o[known]], top[o[known]] = m[known], w[known]
-    return cur, top, float(m[mine].sum())
+        return {i: np.zeros(0, int) for i in attributes}, np.zeros(0), np.zeros(0)
+    mine = np.asarray(row["_s_a"]) == block
+    o = np.asarray(row["_s_o"], int)[mine]
+    codes = {}
+    for i in reversed(attributes):
+        o, code = np.divmod(o, sizes[i] + 1)
+        codes[i] = code - 1
+    return codes, np.asarray(row["_s_m"], float)[mine], np.asarray(row["_s_w"], float)[mine]
+
+
+def _coded_sums(code: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
+    """Mass of each coded category."""
+    return np.bincount(code[code >= 0], weights=m[code >= 0], minlength=size)
 
 
 def _goals(loop_kind: str, n: float, row, attribute: int, size: int) -> np.ndarray | None:
@@ -224,11 +255,10 @@ def _scale(loop: FactorLoop) -> Callable:
     return (lambda total: n / (total + product)) if kind == "ipf" else (lambda total: 1.0)
 
 
-def _step(loop: FactorLoop, attribute: int, *, first: bool, last: bool, tol: float) -> Callable:
-    """One attribute's factors from its sums, for each group that is still moving."""
+def _step(loop: FactorLoop, block: int, *, first: bool, last: bool, tol: float) -> Callable:
+    """Factors of a block's attributes in turn from its sums, for each group that is still moving."""
     kind, n, smoothing, others = loop.kind, loop.n, loop.smoothing, loop.others
-    sizes, scale_of = [len(c) for c in loop.cats.values()], _scale(loop)
-    column, columns = f"_f_{attribute}", loop.state.columns
+    attributes, sizes, scale_of, columns = loop.blocks[block], loop.sizes, _scale(loop), loop.state.columns
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -236,31 +266,37 @@ def _step(loop: FactorLoop, attribute: int, *, first: bool, last: bool, tol: flo
             for row in rows:
                 if not row["_on"]:
                     continue
-                f = np.array(row[column], float)
-                cur, top, mass = _row_sums(row, attribute, sizes[attribute])
+                coded, m, w = _table(row, block, attributes, sizes)
                 change = 0.0 if first else row["_change"]
-                if kind == "sequential":
-                    codes, props = row[f"_c_{attribute}"], row[f"_p_{attribute}"]
-                    for c, p in zip(codes if codes is not None else (), props if props is not None else (), strict=True):
-                        if p <= 0 or cur[c] <= 0:
+                for i in attributes:
+                    code, size = coded[i], sizes[i]
+                    cur, moved = _coded_sums(code, m, size), np.ones(size + 1)
+                    if kind == "sequential":
+                        top, mass = np.zeros(size), float(m.sum())
+                        np.maximum.at(top, code[code >= 0], w[code >= 0])
+                        codes, props = row[f"_c_{i}"], row[f"_p_{i}"]
+                        for c, p in zip(codes if codes is not None else (), props if props is not None else (), strict=True):
+                            if p <= 0 or cur[c] <= 0:
+                                continue
+                            adjust = p * mass / cur[c]
+                            moved[c + 1] *= adjust
+                            mass += (adjust - 1.0) * cur[c]
+                            change = max(change, abs(adjust - 1.0) * top[c])
+                    else:
+                        goal = _goals(kind, n, row, i, size)
+                        if goal is None:
                             continue
-                        adjust = p * mass / cur[c]
-                        f[c + 1] *= adjust
-                        mass += (adjust - 1.0) * cur[c]
-                        change = max(change, abs(adjust - 1.0) * top[c])
+                        if smoothing:
+                            factors = [np.asarray(row[f"_f_{b}"], float) for b in range(len(sizes))]
+                            cur = cur + _product_mass(smoothing, others, factors, i)
+                        moved[1:] = scaled_counts(cur * scale_of(row["_total"]), goal)
+                    row[f"_f_{i}"] = np.array(row[f"_f_{i}"], float) * moved
+                    m, w = m * moved[code + 1], w * moved[code + 1]
+                if kind == "sequential":
                     if last:
                         row["_it"] += 1
                         row["_on"] = bool(change >= tol)
                     row["_change"] = change
-                else:
-                    goal = _goals(kind, n, row, attribute, sizes[attribute])
-                    if goal is not None:
-                        scale = scale_of(row["_total"])
-                        if smoothing:
-                            factors = [np.asarray(row[f"_f_{b}"], float) for b in range(len(sizes))]
-                            cur = cur + _product_mass(smoothing, others, factors, attribute)
-                        f[1:] *= scaled_counts(cur * scale, goal)
-                row[column] = f
             yield pd.DataFrame(rows, columns=columns)
     return task
 
@@ -268,7 +304,7 @@ def _step(loop: FactorLoop, attribute: int, *, first: bool, last: bool, tol: flo
 def _converged(loop: FactorLoop, tol: float, rate_tol: float) -> Callable:
     """How far the marginals are from the targets after a sweep, and whether the group goes on."""
     kind, n, smoothing, others = loop.kind, loop.n, loop.smoothing, loop.others
-    sizes, scale_of, columns = [len(c) for c in loop.cats.values()], _scale(loop), loop.state.columns
+    blocks, sizes, scale_of, columns = loop.blocks, loop.sizes, _scale(loop), loop.state.columns
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -278,18 +314,20 @@ def _converged(loop: FactorLoop, tol: float, rate_tol: float) -> Callable:
                     continue
                 factors = [np.asarray(row[f"_f_{b}"], float) for b in range(len(sizes))]
                 off, scale = 0.0, scale_of(row["_total"])
-                for b, size in enumerate(sizes):
-                    goal = _goals(kind, n, row, b, size)
-                    if goal is None:
-                        continue
-                    cur = _row_sums(row, b, size)[0]
-                    if smoothing:
-                        cur = cur + _product_mass(smoothing, others, factors, b)
-                    cur, known = cur * scale, goal > 0
-                    if known.any():
-                        off = max(off, float(np.max(np.abs(cur[known] / goal[known] - 1.0))))
-                    if kind == "ipf" and np.any(cur[~known] > 0):
-                        off = np.inf
+                for block, attributes in enumerate(blocks):
+                    coded, m, _ = _table(row, block, attributes, sizes)
+                    for b in attributes:
+                        goal = _goals(kind, n, row, b, sizes[b])
+                        if goal is None:
+                            continue
+                        cur = _coded_sums(coded[b], m, sizes[b])
+                        if smoothing:
+                            cur = cur + _product_mass(smoothing, others, factors, b)
+                        cur, known = cur * scale, goal > 0
+                        if known.any():
+                            off = max(off, float(np.max(np.abs(cur[known] / goal[known] - 1.0))))
+                        if kind == "ipf" and np.any(cur[~known] > 0):
+                            off = np.inf
                 stalled = kind == "ipf" and row["_it"] > 0 and not abs(off - row["_change"]) > rate_tol
                 row["_on"] = bool(off > tol and not stalled)
                 row["_it"] += 1

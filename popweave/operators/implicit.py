@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from popweave.domain import Domain, domain_grid, grid_size, ordinal
 from popweave.functions.hashing import hash_uniform
+from popweave.functions.text import stage
 from popweave.operators.cells import domain_filter
 from popweave.operators.factors import FactorLoop, scaled_counts
 from popweave.operators.fitting import MAX_TASK_CELLS, _as_targets, trs_integerize
@@ -110,9 +111,15 @@ class ImplicitFit:
 
     def marginals(self) -> DataFrame:
         """``attr, ord, cat, fitted``: fitted mass of every category, from one pass over the seen cells."""
-        mass = (F.col("_c") * F.lit(self.scale) * self.weight()).alias("m")
-        one = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), ordinal(a, self.domain[a]).alias("ord")) for a in self.attrs]))
-        seen = self.seen.select(mass, one.alias("x")).groupBy("x.attr", "x.ord").agg(F.sum("m").alias("m"))
+        # Ordinals are evaluated once, before the factors are looked up: together they are too long for the JVM to compile.
+        at = [f"_o_{i}" for i in range(len(self.attrs))]
+        coded = stage(self.seen, "_c", *[ordinal(a, self.domain[a]).alias(o) for a, o in zip(self.attrs, at, strict=True)])
+        mass = F.col("_c") * F.lit(self.scale)
+        for a, o in zip(self.attrs, at, strict=True):
+            mass = mass * F.when(F.col(o) >= 0, F.element_at(F.lit(self.factors[a]), F.col(o) + 1))
+        weighed = stage(coded, mass.alias("m"), *at)
+        one = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(o).alias("ord")) for a, o in zip(self.attrs, at, strict=True)]))
+        seen = weighed.select("m", one.alias("x")).groupBy("x.attr", "x.ord").agg(F.sum("m").alias("m"))
         rows = [(a, i, cat, float(self._product(a) * f)) for a in self.attrs
                 for i, (cat, f) in enumerate(zip(self.domain[a], self.factors[a], strict=True))]
         base = self.seen.sparkSession.createDataFrame(rows, "attr string, ord int, cat string, p double")

@@ -166,3 +166,24 @@ def test_stored_factors_weigh_other_records(spark):
     table = {(r["attr"], r["cat"]): r["factor"] for r in one.collect()}
     got = [r["w"] for r in FC.apply_factors(odd, one).collect()]
     assert got == pytest.approx([table["A", "a0"] * table["C", "c0"], 0.0, 0.0, 0.0])
+
+
+def test_a_sweep_reads_the_cells_once_for_a_block_of_attributes(spark, monkeypatch):
+    """Blocks of attributes give the factors that single attributes give, in as many passes as there are blocks."""
+    attrs, fits, passes = [f"a{i}" for i in range(5)], [], []
+    domain = {a: ["x", "y", "z"] for a in attrs}
+    rows = [tuple("xyz"[(i * (k + 3) + i // (k + 2)) % 3] for k in range(5)) for i in range(300)]
+    cells = spark.createDataFrame(rows, attrs)
+    targets = {a: {"x": 0.2 + 0.05 * k, "y": 0.5, "z": 0.3 - 0.05 * k} for k, a in enumerate(attrs)}
+    monkeypatch.setattr(IM, "MAX_TASK_CELLS", 0)
+    read = FC.FactorLoop._weighed
+    for codes in (1, 16, 1 << 16):
+        monkeypatch.setattr(FC, "BLOCK_CODES", codes)
+        seen = []
+        monkeypatch.setattr(FC.FactorLoop, "_weighed", lambda self: seen.append(1) or read(self))  # noqa: B023
+        fits.append(IM.ipf_implicit(cells, targets, 100, attrs, domain, tol=0.0, max_iter=2))
+        passes.append(len(seen))
+    assert passes == [11, 7, 3]
+    for other in fits[1:]:
+        for a in attrs:
+            assert np.allclose(fits[0].factors[a], other.factors[a], rtol=1e-10)
