@@ -19,10 +19,14 @@ word shingles.  The join is exact and returns classes, not pairs:
    similar documents meet in few groups, however many they are.  The matrix
    holds the union of each group's prefix tokens.  A class's overlap with that union bounds its
    overlap with every member; only groups that reach the needed overlap are
-   opened, in blocks, and a pair inside is compared in full only if the two are
-   not linked yet and their own prefix overlap reaches what a link needs: first
-   the ``BEST`` partners of each class by that overlap, then, with the new
-   components, all that are left.
+   opened, in blocks, and a pair inside is considered only if the two are
+   not linked yet, their own prefix overlap reaches what a link needs and the
+   parity sketches of their sets (a few bits a shingle) differ in no more bits
+   than linked sets have shingles apart: first, in ``NEAR_BLOCKS`` blocks of
+   each group, a spanning forest of the block's components by those pairs, the
+   nearest first, is compared in full; then, with the new components, the whole
+   sets of all classes with such a pair are brought to its block, which compares
+   them there and returns a forest of the links.
    These bounds are necessary conditions, so no link between classes
    that are not connected already is lost.
 4. Components of the links.
@@ -65,8 +69,10 @@ COLUMNS = 8192
 CALL_ROWS = 2_000
 #: Hubs of a token in a turn, and turns.
 HUBS, TURNS = 4, 1
-#: Members of a block that a class is compared with at first.
-BEST = 24
+#: Blocks of a group that a class meets at first.
+NEAR_BLOCKS = 4
+#: Bytes of sketches that are compared at once.
+SKETCH_BYTES = 1 << 24
 #: Classes of a linked family from which on it is a group of its own.
 FAMILY = 64
 #: Identifiers that may be broadcast to select documents (8 bytes each).
@@ -139,27 +145,40 @@ def ordered_codes(s: np.ndarray, hot: np.ndarray, level: np.ndarray) -> np.ndarr
     return np.sort(code).view(np.int64)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Of each bucket of hashes whether a set has an odd number of them; at least two buckets a member.
+
+    A member more or less changes one bit, so the bits in which two sketches
+    differ are no more than the members that one of their sets has alone.
+    """
+    width = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketch(rows: DataFrame, k: int, percent: int, hot: np.ndarray, level: np.ndarray) -> DataFrame:
-    """``_id, _text_hash, _n, _key, _prefix``: size, digest and prefix of each document's set."""
+    """``_id, _text_hash, _n, _key, _bits, _prefix``: size, digest, parities and prefix of each document's set."""
 
     def sketches(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                sizes, keys, prefixes = [], [], []
+                sizes, keys, bits, prefixes = [], [], [], []
                 for s in map(token_set, shingles(part.column(2).to_pylist(), k)):
                     n = len(s)
                     sizes.append(n)
                     keys.append(_digest(s) if n else None)
+                    bits.append(parities(s) if n else None)
                     prefixes.append(ordered_codes(s, hot, level)[: n + percent * -n // 100 + 1 if n else 0])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()),
+                     pa.array(bits, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()),
                                               pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))],
-                    names=["_id", "_text_hash", "_n", "_key", "_prefix"])
+                    names=["_id", "_text_hash", "_n", "_key", "_bits", "_prefix"])
 
     schema = T.StructType([rows.schema["_id"], rows.schema["_text_hash"], T.StructField("_n", T.LongType()), T.StructField("_key", T.StringType()),
-                           T.StructField("_prefix", T.ArrayType(T.LongType()))])
+                           T.StructField("_bits", T.BinaryType()), T.StructField("_prefix", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(sketches, schema)
 
 
@@ -171,10 +190,9 @@ def _located(rows: DataFrame, at: DataFrame, once: bool) -> DataFrame:
     return found if once else found.dropDuplicates(["_id", "_text_hash"])
 
 
-def _verified(rows: DataFrame, once: bool, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (``_a``, ``_b``: numbers of classes) whose full sets link, written."""
-    wanted = pairs.select(F.col("_a").alias("_class")).unionByName(pairs.select(F.col("_b").alias("_class"))).distinct()
-    at = stash(classes.join(wanted, "_class").select("_id", "_text_hash"), "compared-rows")
+def _full_sets(rows: DataFrame, once: bool, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``_key, _set``: digest and whole set of the classes that ``wanted`` numbers, written."""
+    at = stash(classes.join(wanted.distinct(), "_class").select("_id", "_text_hash"), "compared-rows")
 
     def sets(batches):
         for batch in batches:
@@ -185,6 +203,14 @@ def _verified(rows: DataFrame, once: bool, classes: DataFrame, pairs: DataFrame,
                     names=["_key", "_set"])
 
     full = stash(_located(rows, at, once).select("_text").mapInArrow(sets, "_key string, _set binary"), "token-sets")
+    discard(at)
+    return full
+
+
+def _verified(rows: DataFrame, once: bool, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (``_a``, ``_b``: numbers of classes) whose full sets link, written."""
+    wanted = pairs.select(F.col("_a").alias("_class")).unionByName(pairs.select(F.col("_b").alias("_class")))
+    full = _full_sets(rows, once, classes, wanted, k)
 
     def link(batches):
         for batch in batches:
@@ -201,7 +227,7 @@ def _verified(rows: DataFrame, once: bool, classes: DataFrame, pairs: DataFrame,
     right = full.select(F.col("_key").alias("_key_b"), F.col("_set").alias("_y"))
     links = stash(keyed.join(left, "_key_a").join(right, "_key_b").select("_a", "_b", "_x", "_y")
                   .mapInArrow(link, "_a long, _b long"), "links")
-    discard(full, at, pairs)
+    discard(full, pairs)
     return links
 
 
@@ -211,25 +237,62 @@ def _needed(n: Column, other: Column, percent: int) -> Column:
     return both - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
 
 
-def _compared(members, queries, percent: int, best: int | None):
-    """Pairs of a member and a query that may link, by their shared prefix tokens, sizes and families.
-
-    ``best``: of each query only so many, those that share most tokens.
-    """
-    codes = [np.concatenate(list(x["_codes"])) for x in (members, queries)]
-    shared = np.intersect1d(*codes)
-    if not len(shared):
-        return codes[0][:0], codes[0][:0]
+def _apart(members, queries, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of a member and a query, a number of shingles that at least one of their sets has alone."""
+    out = np.zeros(len(i), np.int64)
+    wide, asked = (np.array([len(b) for b in x["_bits"]]) for x in (members, queries))
+    both = np.minimum(wide[i], asked[j])
+    for width in np.unique(both).tolist():
+        here = np.nonzero(both == width)[0]
+        sides = []
+        for x, at in ((members, i[here]), (queries, j[here])):
+            used, place = np.unique(at, return_inverse=True)
+            # A wider sketch folds to a narrower one.
+            folded = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8), axis=0)
+                      for b in x["_bits"].iloc[used]]
+            sides.append((np.stack(folded), place))
+        (a, at), (b, of) = sides
+        step = max(1, SKETCH_BYTES // width)
+        for lo in range(0, len(here), step):
+            out[here[lo:lo + step]] = np.bitwise_count(a[at[lo:lo + step]] ^ b[of[lo:lo + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the pairs of components ``a``, ``b`` that make a spanning forest, the smallest ``far`` first."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    order = np.argsort(far, kind="stable")
+    pair = np.minimum(x, y) * len(names) + np.maximum(x, y)
+    order = order[np.sort(np.unique(pair[order], return_index=True)[1])]
+    root, keep = list(range(len(names))), []
+
+    def top(v):
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for at, u, v in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+        u, v = top(u), top(v)
+        if u != v:
+            root[u] = v
+            keep.append(at)
+    return np.array(keep, np.int64)
+
+
+def _common(*sides) -> np.ndarray:
+    """How many codes each array of the first side shares with each of the second."""
+    shared = np.intersect1d(*[np.concatenate(x) for x in sides])
     held = []
-    for x in (members, queries):
-        at = [np.searchsorted(shared, c) for c in x["_codes"]]
+    for x in sides if len(shared) else ():
+        at = [np.searchsorted(shared, c) for c in x]
         sizes = [0] * len(x)
-        for i, c in enumerate(x["_codes"]):
+        for i, c in enumerate(x):
             at[i][at[i] == len(shared)] = 0
             at[i] = at[i][shared[at[i]] == c]
             sizes[i] = len(at[i])
         held.append((np.repeat(np.arange(len(x)), sizes), np.concatenate(at), len(x)))
-    common = np.zeros((len(members), len(queries)), np.float32)
+    common = np.zeros([len(x) for x in sides], np.float32)
     for lo in range(0, len(shared), COLUMNS):
         grids = []
         for row, at, size in held:
@@ -238,6 +301,15 @@ def _compared(members, queries, percent: int, best: int | None):
             grid[row[here], at[here] - lo] = 1
             grids.append(grid)
         common += grids[0] @ grids[1].T
+    return common
+
+
+def _compared(members, queries, percent: int, forest: bool):
+    """Places of a member and a query that may link, by their shared prefix tokens, sizes, sketches and families.
+
+    ``forest``: only pairs that would connect the families which all of them connect.
+    """
+    common = _common(*[list(x["_codes"]) for x in (members, queries)])
     n, m = members["_n"].to_numpy(float)[:, None], queries["_n"].to_numpy(float)[None, :]
     both = np.ceil((n + m) * percent / (100 + percent) - 1e-9)
     need = lambda size: both - np.ceil(size * percent / 100 - 1e-9) + 1
@@ -245,31 +317,75 @@ def _compared(members, queries, percent: int, best: int | None):
     ok = common >= np.maximum(np.where(first, need(n), need(m)), 1)
     ok &= (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     ok &= members["_comp"].to_numpy()[:, None] != queries["_comp"].to_numpy()[None, :]
-    if best and best < len(members):
-        top = np.argpartition(np.where(ok, -common, 1), best - 1, axis=0)[:best]
-        first = np.zeros_like(ok)
-        np.put_along_axis(first, top, True, axis=0)
-        ok &= first
     i, j = np.nonzero(ok)
-    return members["_class"].to_numpy()[i], queries["_class"].to_numpy()[j]
+    may = (n + m - 2 * both)[i, j]  # shingles that one of two linked sets has alone
+    apart = _apart(members, queries, i, j)
+    near = apart <= may
+    i, j, apart, may = i[near], j[near], apart[near], may[near]
+    if forest:
+        of = _forest(members["_comp"].to_numpy()[i], queries["_comp"].to_numpy()[j], apart / np.maximum(may, 1))
+        i, j = i[of], j[of]
+    return i, j
 
 
-def _opened(percent: int, best: int | None):
-    """Compares blocks of queries with blocks of members; a call has the blocks of several groups."""
+def _opened(percent: int, forest: bool):
+    """Compares blocks of queries with blocks of members; a call has the blocks of several groups.
+
+    ``forest``: gives pairs of classes; else the classes of each block that have any.
+    """
 
     def compare(members, queries):
         import pandas as pd
 
         where = ["_group", "_mb", "_qb"]
         asked = queries.groupby(where).indices
-        found = [_compared(members.iloc[rows], queries.iloc[asked[at]], percent, best)
-                 for at, rows in members.groupby(where).indices.items() if at in asked]
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)})
+        found = [pd.DataFrame({"_a": np.zeros(0, np.int64), "_b": np.zeros(0, np.int64)}) if forest else
+                 pd.DataFrame({c: np.zeros(0, np.int64) for c in (*where, "_class")} | {"_asks": np.zeros(0, bool)})]
+        for at, rows in members.groupby(where).indices.items():
+            if at in asked:
+                ms, qs = members.iloc[rows], queries.iloc[asked[at]]
+                i, j = _compared(ms, qs, percent, forest)
+                if forest:
+                    a, b = ms["_class"].to_numpy()[i], qs["_class"].to_numpy()[j]
+                    found.append(pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)}))
+                else:
+                    i, j = np.unique(i), np.unique(j)
+                    some = np.concatenate([ms["_class"].to_numpy()[i], qs["_class"].to_numpy()[j]])
+                    found.append(pd.DataFrame(dict(zip(where, at, strict=True)) | {
+                        "_class": some, "_asks": np.arange(len(some)) >= len(i)}))
+        return pd.concat(found, ignore_index=True)
 
     return compare
 
 
+def _block_links(rows: DataFrame, once: bool, classes: DataFrame, known: DataFrame, met: DataFrame, k: int,
+                 percent: int) -> DataFrame:
+    """Of each block the links that connect its components, by whole sets of its classes ``met``, written."""
+
+    def link(block):
+        import pandas as pd
+
+        asks = block["_asks"].to_numpy(bool)
+        members, queries = block[~asks], block[asks]
+        sets = [[np.frombuffer(b, np.uint64) for b in x["_set"]] for x in (members, queries)]
+        if not (sets[0] and sets[1]):
+            return pd.DataFrame({"_a": np.zeros(0, np.int64), "_b": np.zeros(0, np.int64)})
+        n, m = (np.array([len(c) for c in x], float) for x in sets)
+        both = _common(*sets).astype(float)
+        of, to = members["_comp"].to_numpy(), queries["_comp"].to_numpy()
+        i, j = np.nonzero((100 * both >= percent * (n[:, None] + m[None, :] - both)) & (of[:, None] != to[None, :]))
+        some = _forest(of[i], to[j], -both[i, j])
+        a, b = members["_class"].to_numpy()[i[some]], queries["_class"].to_numpy()[j[some]]
+        return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)})
+
+    full = _full_sets(rows, once, classes, met.select("_class"), k)
+    links = stash(met.join(known.select("_class", "_comp"), "_class").join(classes.select("_class", "_key"), "_class")
+                  .join(full, "_key").select("_group", "_mb", "_qb", "_class", "_asks", "_comp", "_set")
+                  .groupBy("_group", "_mb", "_qb").applyInPandas(link, "_a long, _b long").distinct(), "links")
+    discard(full, met)
+    return links
+
+
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``id_col, n_shingles, component_id``."""
@@ -310,12 +426,13 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     """Of each row its class (``_key``), of each linked class its component, and the classes."""
     hot, level = frequent(rows, words)
     sketched = stash(_sketch(rows, words, percent, hot, level), "shingle-sketches")
-    sketch = stash(sketched.drop("_prefix"), "shingle-digests")
+    sketch = stash(sketched.drop("_prefix", "_bits"), "shingle-digests")
     where = F.min(F.struct(F.col("_id").isNull(), "_id", "_text_hash"))  # a row that has this set
     known = stash(
         sketched.where("_key is not null").groupBy("_key").agg(
-            where.alias("_at"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
-        .select(F.monotonically_increasing_id().alias("_class"), "_key", "_at._id", "_at._text_hash", "_n",
+            where.alias("_at"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"),
+            F.first("_prefix").alias("_prefix"))
+        .select(F.monotonically_increasing_id().alias("_class"), "_key", "_at._id", "_at._text_hash", "_n", "_bits",
                 F.element_at("_prefix", -1).alias("_last"), "_prefix"), "shingle-prefixes")  # written, so the numbers stay
     discard(sketched)
     classes = stash(known.drop("_prefix"), "shingle-classes")
@@ -359,8 +476,8 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         placed.join(left, "_code")
         .groupBy("_class", "_comp").agg(F.collect_list("_code").alias("_codes"),  # a prefix at most
                                         F.max(F.struct("_df", "_code"))["_code"].alias("_most_shared"))
-        .join(classes.select("_class", "_n", "_last"), "_class").join(sizes, "_comp", "left")
-        .select("_class", "_codes", "_n", "_last", "_comp",
+        .join(classes.select("_class", "_n", "_last", "_bits"), "_class").join(sizes, "_comp", "left")
+        .select("_class", "_codes", "_n", "_last", "_bits", "_comp",
                 F.concat_ws("/", "_most_shared", F.when(F.col("_members") >= FAMILY, F.col("_comp"))).alias("_name")),
         "grouped-classes")
     groups = stash(known.groupBy("_name").agg(
@@ -393,38 +510,45 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     opened = stash(overlap.where(F.size("_codes") >= F.greatest(bound, F.lit(1)))
                    .select("_class", "_group", "_size", "_codes"), "opened-groups")
 
-    # First each class meets the few members it shares most tokens with, which brings stragglers to their families;
+    # First as few pairs as may connect what meets in a block, which brings stragglers to their families;
     # then whatever may link and is not connected yet.
-    far = _verified(rows, once, classes, stash(_group_pairs(known, opened, percent, BEST), "near-pairs"), words, percent)
+    far = _verified(rows, once, classes, stash(_in_groups(known, opened, percent, True).distinct(), "near-pairs"), words, percent)
     families = stash(components(near.unionByName(far), "_a", "_b").toDF("_class", "_comp"), "families")
     moved = stash(known.drop("_comp").join(families, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class")), "moved-classes")
     range_ = moved.groupBy("_group").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
     still = stash(opened.join(moved.select("_class", "_comp"), "_class").join(range_, "_group")
                   .where("_low <> _high or _low <> _comp").select(*opened.columns), "open-groups")
     discard(placed, known, opened)
-    rest = _verified(rows, once, classes, stash(_group_pairs(moved, still, percent, None), "candidate-pairs"), words, percent)
+    rest = _block_links(rows, once, classes, moved, stash(_in_groups(moved, still, percent, False), "met-classes"), words, percent)
     discard(moved, still)
     named = families.select(F.col("_comp").alias("_a"), F.col("_class").alias("_b"))
     linked = stash(components(named.unionByName(rest), "_a", "_b").toDF("_class", "_comp"), "class-components")
     return sketch, linked, classes
 
 
-def _group_pairs(known: DataFrame, opened: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Opens groups in blocks, several small ones in a call: pairs of classes that may link."""
-    parts = opened.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_qs"))
-    block = lambda of: F.pmod(F.xxhash64("_class"), of).cast("int")
+def _in_groups(known: DataFrame, opened: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Opens groups in blocks, several small ones in a call: pairs of classes, or classes of a block, that may link.
+
+    ``forest``: in a few blocks of each group, a forest of such pairs.
+    """
     ms = F.ceil(F.col("_size") / BLOCK).cast("int")
-    columns = ["_class", "_codes", "_n", "_last", "_comp"]
+    meets = F.least(ms, F.lit(NEAR_BLOCKS)) if forest else ms  # blocks of members that a query meets
+    parts = opened.groupBy("_group", "_size").agg(F.count(F.lit(1)).alias("_asked")).select(
+        "_group", F.ceil(F.col("_asked") * meets / (ms * BLOCK)).cast("int").alias("_qs"))
+    block = lambda of: F.pmod(F.xxhash64("_class"), of).cast("int")
+    start = F.pmod(F.xxhash64("_class", F.lit(1)), ms).cast("int")
+    columns = ["_class", "_codes", "_n", "_last", "_bits", "_comp"]
     calls = F.lit(max(1, opened.count() // CALL_ROWS))
     dealt = lambda df: df.withColumn("_call", F.pmod(F.xxhash64("_group", "_mb", "_qb"), calls)).toDF(
         "_group", "_mb", "_qb", *columns, "_call")
     members = dealt(known.join(parts, "_group").select(
         "_group", block(ms).alias("_mb"), F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_qb"), *columns))
     # A query brings the tokens that it shares with the group's union.
-    queries = dealt(opened.join(parts, "_group").join(known.select("_class", "_n", "_last", "_comp"), "_class").select(
-        "_group", F.explode(F.sequence(F.lit(0), ms - 1)).alias("_mb"), block(F.col("_qs")).alias("_qb"), *columns))
+    queries = dealt(opened.join(parts, "_group").join(known.select("_class", "_n", "_last", "_bits", "_comp"), "_class").select(
+        "_group", F.explode(F.transform(F.sequence(F.lit(0), meets - 1), lambda i: F.pmod(start + i, ms))).alias("_mb"),
+        block(F.col("_qs")).alias("_qb"), *columns))
     return members.groupBy("_call").cogroup(queries.groupBy("_call")).applyInPandas(
-        _opened(percent, best), "_a long, _b long").distinct()
+        _opened(percent, forest), "_a long, _b long" if forest else "_group long, _mb int, _qb int, _class long, _asks boolean")
 
 
 def one_of_each(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from popweave.llm import jaccard_join, line_dedup, nearest
@@ -71,6 +72,56 @@ def test_jaccard_classes(spark, k, percent, small, monkeypatch):
     assert got == classes(rows, k, percent)
 
 
+def near_copies(n):
+    """Near copies of one text, some too far from the others to link, all sharing many shingles."""
+    rnd = random.Random(n)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        at = set(rnd.sample(range(60), rnd.randint(1, 4)))
+        rows.append((i + 1, " ".join(f"w{rnd.randint(0, 10**6)}" if x in at else w for x, w in enumerate(base))))
+    return rows
+
+
+def test_jaccard_opened_pairs_of_a_family(spark, monkeypatch):
+    """The pairs that opened groups yield grow with a family of near copies, not with its square."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    found, opened = spark.sparkContext.accumulator(0), jaccard_join._opened
+
+    def counted(*how):
+        compare = opened(*how)
+
+        def call(members, queries):
+            out = compare(members, queries)
+            found.add(len(out))
+            return out
+
+        return call
+
+    monkeypatch.setattr(jaccard_join, "_opened", counted)
+    n = 600
+    rows = near_copies(n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs, 4, 85).collect()}
+    assert got == classes(rows, 4, 85)
+    assert len({c for _, c in got.values()}) > n // 5  # many stay alone, though they meet the family
+    assert found.value < 10 * n, found.value
+
+
+def test_jaccard_parities(monkeypatch):
+    """A sketch never puts two sets further apart than they are, and folds to a narrower one."""
+    monkeypatch.setattr(jaccard_join, "SKETCH_BYTES", 256)
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, k)) for k in (1, 2, 60, 64, 65, 129, 500, 700, 1500, 1500)] + [pool[:500], pool[:501], pool[:520]]
+    table = pd.DataFrame({"_bits": [jaccard_join.parities(s) for s in sets]})
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = jaccard_join._apart(table, table, i, j)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (apart <= real).all() and (apart % 2 == real % 2).all()
+    assert (apart[real <= 20] >= real[real <= 20] - 2).all()
+
+
 def test_jaccard_edges(spark):
     docs = edge.documents(spark)
     got = jaccard_join.jaccard_classes(docs, 4, 85).collect()
