@@ -15,18 +15,20 @@ word shingles.  The join is exact and returns classes, not pairs:
    copies with a number of pairs linear in its size.  Tokens whose classes are
    all linked are done; ``TURNS`` says how often, each turn with other orders.
 3. *Matrix.*  Classes are partitioned into groups of similar ones: those whose
-   most shared token is the same (a large linked family apart), so that
-   similar documents meet in few groups, however many they are.  The matrix
-   holds the union of each group's prefix tokens.  A class's overlap with that union bounds its
-   overlap with every member; only groups that reach the needed overlap are
-   opened, in blocks, and a pair inside is considered only if the two are
-   not linked yet, their own prefix overlap reaches what a link needs and the
-   parity sketches of their sets (a few bits a shingle) differ in no more bits
+   most shared token is the same and whose sizes are in one band (a large
+   linked family apart), so that similar documents meet in few groups, however
+   many they are.  The matrix holds the union of each group's prefix tokens.  A
+   class looks only at the bands that hold sizes of sets it can link with.  Its
+   overlap with a union bounds its overlap with every member; only groups that
+   reach the needed overlap are opened, in blocks, and a pair inside is
+   considered only if the two are not linked yet, their own prefix overlap
+   reaches what a link needs and the parity sketches of their sets (a few bits a shingle) differ in no more bits
    than linked sets have shingles apart: first, in ``NEAR_BLOCKS`` blocks of
    each group, a spanning forest of the block's components by those pairs, the
-   nearest first, is compared in full; then, with the new components, the whole
-   sets of all classes with such a pair are brought to its block, which compares
-   them there and returns a forest of the links.
+   nearest first, is compared in full; then, with the new components, in groups
+   that had such a pair or have more blocks, the whole sets of all classes with
+   such a pair are brought to its block, which compares them there and returns a
+   forest of the links.
    These bounds are necessary conditions, so no link between classes
    that are not connected already is lost.
 4. Components of the links.
@@ -45,6 +47,8 @@ columns take no part.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -237,6 +241,11 @@ def _needed(n: Column, other: Column, percent: int) -> Column:
     return both - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Number of a range of sizes; below 100 percent any two in it are near enough to link."""
+    return F.floor(F.log(n) / F.lit(math.log(100 / percent) if percent < 100 else 1.0))
+
+
 def _apart(members, queries, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each pair of a member and a query, a number of shingles that at least one of their sets has alone."""
     out = np.zeros(len(i), np.int64)
@@ -331,7 +340,7 @@ def _compared(members, queries, percent: int, forest: bool):
 def _opened(percent: int, forest: bool):
     """Compares blocks of queries with blocks of members; a call has the blocks of several groups.
 
-    ``forest``: gives pairs of classes; else the classes of each block that have any.
+    ``forest``: gives pairs of classes with their group; else the classes of each block that have any.
     """
 
     def compare(members, queries):
@@ -339,7 +348,7 @@ def _opened(percent: int, forest: bool):
 
         where = ["_group", "_mb", "_qb"]
         asked = queries.groupby(where).indices
-        found = [pd.DataFrame({"_a": np.zeros(0, np.int64), "_b": np.zeros(0, np.int64)}) if forest else
+        found = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("_group", "_a", "_b")}) if forest else
                  pd.DataFrame({c: np.zeros(0, np.int64) for c in (*where, "_class")} | {"_asks": np.zeros(0, bool)})]
         for at, rows in members.groupby(where).indices.items():
             if at in asked:
@@ -347,7 +356,7 @@ def _opened(percent: int, forest: bool):
                 i, j = _compared(ms, qs, percent, forest)
                 if forest:
                     a, b = ms["_class"].to_numpy()[i], qs["_class"].to_numpy()[j]
-                    found.append(pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)}))
+                    found.append(pd.DataFrame({"_group": at[0], "_a": np.minimum(a, b), "_b": np.maximum(a, b)}))
                 else:
                     i, j = np.unique(i), np.unique(j)
                     some = np.concatenate([ms["_class"].to_numpy()[i], qs["_class"].to_numpy()[j]])
@@ -478,7 +487,8 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
                                         F.max(F.struct("_df", "_code"))["_code"].alias("_most_shared"))
         .join(classes.select("_class", "_n", "_last", "_bits"), "_class").join(sizes, "_comp", "left")
         .select("_class", "_codes", "_n", "_last", "_bits", "_comp",
-                F.concat_ws("/", "_most_shared", F.when(F.col("_members") >= FAMILY, F.col("_comp"))).alias("_name")),
+                F.concat_ws("/", "_most_shared", _band(F.col("_n"), percent),
+                            F.when(F.col("_members") >= FAMILY, F.col("_comp"))).alias("_name")),
         "grouped-classes")
     groups = stash(known.groupBy("_name").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_n").alias("_least"), F.max("_n").alias("_most"),
@@ -489,22 +499,25 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     discard(named)
 
     # The matrix, and the overlap of each class with each group's union.
-    asking = known.select("_class", "_n", "_comp", F.col("_group").alias("_own"), F.col("_size").alias("_own_size"),
-                          F.explode("_codes").alias("_code"))
-    matrix = known.select("_group", F.explode("_codes").alias("_code")).distinct().join(groups.drop("_name"), "_group")
+    n = F.col("_n")
+    fewest, largest = F.ceil(n * percent / F.lit(100.0) - 1e-9), F.floor(n * 100 / F.lit(float(percent)) + 1e-9)  # of a linked set
+    bands = F.sequence(_band(fewest, percent), _band(largest, percent))
+    asking = (known.select("_class", "_n", "_comp", F.col("_group").alias("_own"), F.col("_size").alias("_own_size"), "_codes",
+                           F.explode(bands).alias("_band"))
+              .withColumn("_code", F.explode("_codes")).drop("_codes"))
+    matrix = (known.select("_group", F.explode("_codes").alias("_code")).distinct()
+              .join(groups.drop("_name").withColumn("_band", _band(F.col("_least"), percent)), "_group"))
     smaller = (F.col("_own_size") < F.col("_size")) | (
         (F.col("_own_size") == F.col("_size")) & (F.col("_own") <= F.col("_group")))
     fits = (F.col("_n") * percent <= 100 * F.col("_most")) & (100 * F.col("_n") >= percent * F.col("_least"))
     linked = (F.col("_comp_a") == F.col("_comp_b")) & (F.col("_comp_a") == F.col("_comp"))
     overlap = (
-        asking.join(matrix, "_code").where(smaller & fits & ~linked)
+        asking.join(matrix, ["_code", "_band"]).where(smaller & fits & ~linked)
         .groupBy("_class", "_group").agg(F.collect_list("_code").alias("_codes"), F.first("_n").alias("_n"),
                                          F.first("_least").alias("_least"), F.first("_most").alias("_most"),
                                          F.first("_size").alias("_size"))
     )
-    n = F.col("_n")
-    low = F.greatest(F.col("_least"), F.ceil(n * percent / F.lit(100.0) - 1e-9))
-    high = F.least(F.col("_most"), F.floor(n * 100 / F.lit(float(percent)) + 1e-9))
+    low, high = F.greatest(F.col("_least"), fewest), F.least(F.col("_most"), largest)
     # One less in the second case: its two roundings need not fall together over the sizes between.
     bound = F.least(_needed(n, low, percent), _needed(high, n, percent) - 1, _needed(n, n, percent))
     opened = stash(overlap.where(F.size("_codes") >= F.greatest(bound, F.lit(1)))
@@ -512,13 +525,19 @@ def _classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 
     # First as few pairs as may connect what meets in a block, which brings stragglers to their families;
     # then whatever may link and is not connected yet.
-    far = _verified(rows, once, classes, stash(_in_groups(known, opened, percent, True).distinct(), "near-pairs"), words, percent)
+    found = stash(_in_groups(known, opened, percent, True), "near-pairs")
+    far = _verified(rows, once, classes, found.select("_a", "_b").distinct(), words, percent)
     families = stash(components(near.unionByName(far), "_a", "_b").toDF("_class", "_comp"), "families")
-    moved = stash(known.drop("_comp").join(families, "_class", "left").withColumn("_comp", F.coalesce("_comp", "_class")), "moved-classes")
+    # A group that met in all its blocks and had no pair has none now.
+    more = groups.where(F.col("_size") > NEAR_BLOCKS * BLOCK).select("_group").unionByName(found.select("_group")).distinct()
+    again = opened.join(more, "_group", "left_semi")
+    wanted = known.join(more, "_group", "left_semi").select("_class").unionByName(again.select("_class")).distinct()
+    moved = stash(known.drop("_comp").join(wanted, "_class").join(families, "_class", "left")
+                  .withColumn("_comp", F.coalesce("_comp", "_class")), "moved-classes")
     range_ = moved.groupBy("_group").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
-    still = stash(opened.join(moved.select("_class", "_comp"), "_class").join(range_, "_group")
+    still = stash(again.join(moved.select("_class", "_comp"), "_class").join(range_, "_group")
                   .where("_low <> _high or _low <> _comp").select(*opened.columns), "open-groups")
-    discard(placed, known, opened)
+    discard(placed, known, opened, found)
     rest = _block_links(rows, once, classes, moved, stash(_in_groups(moved, still, percent, False), "met-classes"), words, percent)
     discard(moved, still)
     named = families.select(F.col("_comp").alias("_a"), F.col("_class").alias("_b"))
@@ -548,7 +567,8 @@ def _in_groups(known: DataFrame, opened: DataFrame, percent: int, forest: bool)
         "_group", F.explode(F.transform(F.sequence(F.lit(0), meets - 1), lambda i: F.pmod(start + i, ms))).alias("_mb"),
         block(F.col("_qs")).alias("_qb"), *columns))
     return members.groupBy("_call").cogroup(queries.groupBy("_call")).applyInPandas(
-        _opened(percent, forest), "_a long, _b long" if forest else "_group long, _mb int, _qb int, _class long, _asks boolean")
+        _opened(percent, forest),
+        "_group long, _a long, _b long" if forest else "_group long, _mb int, _qb int, _class long, _asks boolean")
 
 
 def one_of_each(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

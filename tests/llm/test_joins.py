@@ -108,6 +108,46 @@ def test_jaccard_opened_pairs_of_a_family(spark, monkeypatch):
     assert found.value < 10 * n, found.value
 
 
+def passages(n):
+    """Documents of all sizes that share passages with documents of other sizes, and copies longer by up to a fifth."""
+    rnd = random.Random(n)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    shared = [[word() for _ in range(14)] for _ in range(n // 40)]
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(int(20 * 1.09 ** (i % 40)))] + shared[i // 40 % len(shared)]
+        if i % 10 == 9:
+            w = rows[-1][1].split()
+            w += [word() for _ in range(rnd.randint(0, len(w) // 5))]
+        rows.append((i + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_jaccard_opened_rows(spark, monkeypatch, percent):
+    """Only groups of sizes that can link are opened, those without a pair but once; the matrix alone finds each link."""
+    met, opened, pairs = spark.sparkContext.accumulator(0), jaccard_join._opened, jaccard_join._star_pairs
+
+    def counted(*how):
+        compare = opened(*how)
+
+        def call(members, queries):
+            met.add(len(members) + len(queries))
+            return compare(members, queries)
+
+        return call
+
+    monkeypatch.setattr(jaccard_join, "_opened", counted)
+    monkeypatch.setattr(jaccard_join, "_star_pairs", lambda *a: pairs(*a).where("false"))
+    n = 400
+    rows = passages(n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs, 4, percent).collect()}
+    assert got == classes(rows, 4, percent)
+    assert percent == 100 or n // 50 <= sum(c != i for i, (_, c) in got.items())
+    assert percent != 85 or met.value < 2.5 * n, met.value
+
+
 def test_jaccard_parities(monkeypatch):
     """A sketch never puts two sets further apart than they are, and folds to a narrower one."""
     monkeypatch.setattr(jaccard_join, "SKETCH_BYTES", 256)
